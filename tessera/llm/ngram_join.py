@@ -59,10 +59,40 @@ def _pairs(grams: np.ndarray) -> np.ndarray:
     return mix(grams[:take] * np.uint64(3) + mix(grams[1 : take + 1])).view(np.int64)
 
 
-def point(grams: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def groups_for(n: int) -> int:
+    """Groups for a set of n: a few hashes in each, so that the bound tells long texts apart too. Always GROUPS times a power of two, so a point folds to a coarser one."""
+    groups = GROUPS
+    while groups * 2 < n:
+        groups *= 2
+    return groups
+
+
+def point(grams: np.ndarray) -> np.ndarray:
+    groups = groups_for(len(grams))
     return np.bincount((mix(grams) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
+def fold(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points [rows, finer groups] with their groups added up to fewer."""
+    return points.reshape(len(points), -1, groups).sum(axis=1)
+
+
+def fine_bound(raw: list[bytes], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For pairs (u, v) of rows of raw points the sum of smaller counts, at the finest groups that both have."""
+    levels = np.array([len(x) // 4 for x in raw])
+    common = np.minimum(levels[u], levels[v])
+    out = np.zeros(len(u), np.int64)
+    for groups in np.unique(common).tolist():
+        rows = np.flatnonzero(common == groups)
+        need = np.unique(np.concatenate([u[rows], v[rows]]))
+        table = np.stack([fold(np.frombuffer(raw[i], "<u4")[None], groups)[0] for i in need])
+        a, b = np.searchsorted(need, u[rows]), np.searchsorted(need, v[rows])
+        step = max(1, (1 << 21) // groups)
+        for i in range(0, len(rows), step):
+            out[rows[i : i + step]] = np.minimum(table[a[i : i + step]], table[b[i : i + step]]).sum(axis=1)
+    return out
+
+
 def needed(a, b):
     """Least overlap of sets of a and b hashes at the threshold: WHOLE * overlap >= PART * (a + b - overlap)."""
     return -(-PART * (a + b) // (WHOLE + PART))
@@ -142,8 +172,12 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
     return _texts(docs, id_col, text_col).select("text").mapInArrow(run, "sig long, key long")
 
 
-def _sets_of(docs: DataFrame, keys: DataFrame, text_col: str, n: int) -> DataFrame:
-    """(key, n, point, grams) of the sets named in keys. A bitmap of fixed size (2**BITS bits) says which to recompute; what it lets through besides is dropped by the join."""
+def _sets_of(docs: DataFrame, keys: DataFrame, text_col: str, n: int, grams: bool) -> DataFrame:
+    """(key, n, and point or grams) of the sets named in keys, made again from the texts.
+
+    A bitmap of fixed size (2**BITS bits) says which to make; what it lets through besides is
+    dropped by the join.
+    """
     spark = docs.sparkSession
     place = F.pmod("key", F.lit(1 << BITS))
     rows = keys.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
@@ -156,44 +190,42 @@ def _sets_of(docs: DataFrame, keys: DataFrame, text_col: str, n: int) -> DataFra
         bitmap, seen = shared.value.view(np.uint64), set()
         for batch in cut(batches, "text"):
             out = []
-            for grams in shingle_sets(batch.column("text"), n):
-                if len(grams) > 2:
-                    key = _key(grams)
+            for own in shingle_sets(batch.column("text"), n):
+                if len(own) > 2:
+                    key = _key(own)
                     p = key % (1 << BITS)
                     if int(bitmap[p >> 6]) >> (p & 63) & 1 and key not in seen:
                         seen.add(key)
-                        out.append((key, grams))
+                        out.append((key, own))
             if out:
                 lengths = np.cumsum([0, *(len(g) for _, g in out)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in out], pa.int64()), pa.array(np.diff(lengths), pa.int64()), pa.array([point(g).astype("<u2" if len(g) < 65536 else "<u4").tobytes() for _, g in out], pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([g for _, g in out]).view(np.int64)))],
-                    ["key", "n", "point", "grams"],
-                )
+                if grams:
+                    what = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([g for _, g in out]).view(np.int64)))
+                else:
+                    what = pa.array([point(g).astype("<u4").tobytes() for _, g in out], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(np.diff(lengths), pa.int64()), what], ["key", "n", "grams" if grams else "point"])
 
-    sets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, n long, point binary, grams array<bigint>")
+    sets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, f"key long, n long, {'grams array<bigint>' if grams else 'point binary'}")
     return written(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
-def _point_array(raw: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in raw], np.uint32).reshape(len(raw), GROUPS)
-
-
-def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (a, b) whose points reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            if m := batch.num_rows:
+                raw = batch.column("p_a").to_pylist() + batch.column("p_b").to_pylist()
                 n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-                bound = np.minimum(_point_array(batch.column("p_a").to_pylist()), _point_array(batch.column("p_b").to_pylist())).sum(axis=1)
+                bound = fine_bound(raw, np.arange(m), np.arange(m, 2 * m))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(bound >= needed(n_a, n_b)))
 
-    light = sets.select("key", "n", "point")
-    rows = pairs.join(light.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a")), "a").join(light.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b")), "b")
-    return rows.filter("least(n_a, n_b) * 100 >= greatest(n_a, n_b) * 75").mapInArrow(run, "a long, b long")
+    one, two = (points.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}")) for x in "ab")
+    rows = pairs.join(one, "a").join(two, "b")
+    return rows.filter(f"least(n_a, n_b) * {WHOLE} >= greatest(n_a, n_b) * {PART}").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int) -> DataFrame:
     """(a, b, shared, n_a, n_b) of the pairs that meet the threshold on their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +239,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s), batch.column("n_a"), batch.column("n_b")], ["a", "b", "shared", "n_a", "n_b"])
             yield rows.filter(pa.array(WHOLE * s >= PART * (n_a + n_b - s)))
 
+    pairs = written(pairs, "pairs")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), text_col, n, grams=True)
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
 
 
-def _tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (sig, key, part) of different parts that meet in a sig and whose bound reaches the threshold.
 
     A sig with many members is dealt out in pairs of blocks, each a task's worth; points stay in numpy.
@@ -221,21 +255,30 @@ def _tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     rows = members.withColumn("block", ((F.row_number().over(by.orderBy("key")) - 1) / BLOCK).cast("int")).withColumn("blocks", F.max("block").over(by) + 1)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "part")
-    rows = rows.join(sets.select("key", "n", "point"), "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    rows = rows.join(points, "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
     def pairs(group: list[tuple], seen: set) -> list[tuple[int, int]]:
         i, j = group[0][1:3]
-        points, sizes = _point_array([r[7] for r in group]), np.array([r[6] for r in group], np.int64)
+        if len({r[5] for r in group}) < 2:
+            return []
+        raw, sizes = [r[7] for r in group], np.array([r[6] for r in group], np.int64)
+        points = np.stack([fold(np.frombuffer(x, "<u4")[None], GROUPS)[0] for x in raw])
         blocks = np.array([r[3] for r in group])
         rows = np.arange(len(group))
         u, v = tree_join(points, sizes, rows) if i == j else tree_join(points, sizes, rows[blocks == i], rows[blocks == j])
         out = []
+        parts = np.array([r[5] for r in group])
+        apart = parts[u] != parts[v]
+        u, v = u[apart], v[apart]
+        if not len(u):
+            return []
+        close = fine_bound(raw, u, v) >= needed(sizes[u], sizes[v])
+        u, v = u[close], v[close]
         for x, y in zip(u.tolist(), v.tolist()):
-            if group[x][5] != group[y][5]:
-                pair = (min(group[x][4], group[y][4]), max(group[x][4], group[y][4]))
-                if pair not in seen:
-                    seen.add(pair)
-                    out.append(pair)
+            pair = (min(group[x][4], group[y][4]), max(group[x][4], group[y][4]))
+            if pair not in seen:
+                seen.add(pair)
+                out.append(pair)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,18 +303,17 @@ def _tree_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(sig, key, lo, members): the sigs that two sets or more share, with their smallest key and number of sets."""
+    """(sig, key, lo): the sigs that two sets or more share, with their smallest key."""
     by = W.partitionBy("sig")
     rows = _signatures(docs, id_col, text_col, n).repartition("sig").withColumns({"lo": F.min("key").over(by), "hi": F.max("key").over(by)})
-    rows = rows.filter("lo <> hi").select("sig", "key", "lo").distinct()
-    return written(rows.withColumn("members", F.count("*").over(by)), "shared")
+    return written(rows.filter("lo <> hi").select("sig", "key", "lo").distinct(), "shared")
 
 
 def ngram_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """Every linked pair of different sets: (a, b, shared, n_a, n_b), a and b keys of set_keys. For corpora whose groups are small; ngram_groups needs no pairs within a group."""
     shared = _shared_keys(docs, id_col, text_col, n)
-    sets = _sets_of(docs, shared.select("key").distinct(), text_col, n)
-    return _verified(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), sets), sets)
+    points = _sets_of(docs, shared.select("key").distinct(), text_col, n, grams=False)
+    return _verified(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), points), docs, text_col, n)
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -281,21 +323,22 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of a group without any other. Rows that repeat an id stand for themselves. An empty table
     gives an empty one; other columns are left out.
 
-    First each set is verified against the smallest of each shared key; that makes components
-    without pairs within a group. Then only sets of different components that still share a key
-    go through the R-trees; their verified pairs join components. Equal sets are one set (its
-    64-bit hash; the 5-grams are 64-bit hashes too).
+    First each set is verified against one other, the smallest of the keys it shares most often;
+    that makes components without pairs within a group. Then only sets of different components
+    that still share a key go through the R-trees; their verified pairs join components. Equal
+    sets are one set (its 64-bit hash; the 5-grams are 64-bit hashes too).
     """
     keyed = written(set_keys(docs, id_col, text_col, n), "keys")
     shared = _shared_keys(docs, id_col, text_col, n)
-    sets = _sets_of(docs, shared.select("key").distinct(), text_col, n)
-    stars = shared.filter("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct()
-    edges = written(_verified(_bounded(stars, sets), sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    points = _sets_of(docs, shared.select("key").distinct(), text_col, n, grams=False)
+    stars = shared.filter("key <> lo").groupBy("key", "lo").agg(F.count("*").alias("times"))
+    best = stars.groupBy("key").agg(F.max(F.struct("times", "lo")).alias("best")).select(F.col("best.lo").alias("a"), F.col("key").alias("b"))
+    edges = written(_verified(_bounded(best, points), docs, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     roots = written(components(edges), "roots")
-    parts = shared.filter("members > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
+    parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
     by = W.partitionBy("sig")
     open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part")
-    more = written(_verified(_tree_pairs(open_keys, sets), sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    more = written(_verified(_tree_pairs(open_keys, points), docs, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     least = keyed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
