@@ -6,6 +6,7 @@ planes are used as they lie in the bytes.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,10 +23,10 @@ from .base import cut, shared_folder
 
 MAGIC, END_ID, SHARD_TOKENS, WORD_BITS = b"WVM1", 2, 1 << 20, 512
 #: A blank run and what follows it up to the next one: no pre-token of the byte-level split reaches over its start.
-_CHUNK = regex.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, which the split would join to a blank run; and the special token.
-_ODD = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]|<\|")
-_CACHE = 200_000
+_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]|<\|")
+_CACHE = 150_000
 
 
 class Encoder:
@@ -37,6 +37,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, tuple[int, ...]] = {}
+        spelled = self.tokenizer.get_vocab()  # byte-level: a character of a token's name is a byte
+        self.width = np.zeros(max(spelled.values()) + 1, np.int64)
+        self.width[list(spelled.values())] = [len(t) for t in spelled]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new chunks. Those that start with a blank and end with none are encoded as one text and told apart by the bytes their ids stand for."""
+        plain = [c for c in new if c[0] in " \t\n\r" and c[-1] not in " \t\n\r"]
+        rest = [c for c in new if not (c[0] in " \t\n\r" and c[-1] not in " \t\n\r")]
+        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for i in range(0, len(plain), 4000):
+            part = plain[i : i + 4000]
+            ids = batch(["".join(part)], add_special_tokens=False)[0].ids
+            ends = np.cumsum(self.width[ids])
+            stops = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in part]), "right").tolist()
+            self.known.update(zip(part, (tuple(ids[a:b]) for a, b in zip([0, *stops], stops))))
+        for i in range(0, len(rest), 4000):
+            part = rest[i : i + 4000]
+            self.known.update(zip(part, (tuple(e.ids) for e in batch(part, add_special_tokens=False))))
 
     def encode(self, texts: list[str], end: int = END_ID) -> tuple[np.ndarray, list[int]]:
         """All ids in turn, each text's followed by end, and their number per text."""
@@ -45,10 +63,7 @@ class Encoder:
             known.clear()
         cut_up = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
         new = list({c for chunks in cut_up if chunks for c in chunks if c not in known})
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, (tuple(e.ids) for e in batch(part, add_special_tokens=False))))
+        self._learn(new)
         pieces = [[tuple(self.tokenizer.encode(t, add_special_tokens=False).ids)] if chunks is None else list(map(known.__getitem__, chunks)) for t, chunks in zip(texts, cut_up)]
         counts = [sum(map(len, p)) + 1 for p in pieces]
         ids = np.fromiter(chain.from_iterable(chain.from_iterable((*p, tail) for p in pieces)), np.uint32, sum(counts))
