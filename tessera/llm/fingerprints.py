@@ -106,8 +106,11 @@ def with_next(docs: DataFrame, rows_per_range: int = 250, most_ranges: int = 819
     n = ids.count()
     ranges = min(most_ranges, n // rows_per_range + 1)
     cuts = sorted(set(ids.approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
-    splits = [-float("inf"), *cuts, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="x", outputCol="bucket", handleInvalid="keep").transform(docs.withColumn("x", F.col("doc_id").cast("double")))
+    ranged = docs.withColumn("x", F.col("doc_id").cast("double"))
+    if cuts:
+        ranged = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="x", outputCol="bucket", handleInvalid="keep").transform(ranged)
+    else:
+        ranged = ranged.withColumn("bucket", F.lit(0))
     ranged = ranged.select(F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("bucket").cast("int")).alias("range"), "doc_id", "text")
     tops = sorted(ranged.groupBy("range").agg(F.max("doc_id").alias("top")).collect(), key=lambda r: -r["range"])
     if not tops:

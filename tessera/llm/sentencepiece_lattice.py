@@ -122,17 +122,52 @@ _BORDERS = "e -> struct(e.ord as ord, e.i as i, e.ids as ids, shiftleft(1L, e.i)
 
 
 def fold_merges(edges: DataFrame) -> DataFrame:
-    """(unit, ids): edges in order of score, then place; an edge joins the two parts it spans if just one border lies inside it. Borders are bits, or characters in units over MASK_CHARS."""
-    short = edges.filter(F.length("unit") <= MASK_CHARS).withColumn("e", F.expr(f"array_sort(transform(edges, {_BORDERS}))"))
+    """(unit, ids): edges in order of score, then place; an edge joins the two parts it spans if just one border lies inside it. Borders are bits, so a unit has MASK_CHARS characters at most; longer ones go by fold_long."""
+    short = edges.withColumn("e", F.expr(f"array_sort(transform(edges, {_BORDERS}))"))
     short = short.withColumn("m", F.expr("aggregate(e, shiftleft(1L, length(unit) + 1) - 1, (m, e) -> if((m & e.ends) = e.ends and bit_count(m & e.inside) = 1, m & ~e.inside, m))"))
     short = short.select("unit", F.expr("filter(e, e -> (m & e.ends) = e.ends and (m & e.inside) = 0)").alias("e"))
-    long = edges.filter(F.length("unit") > MASK_CHARS).withColumn("e", F.expr("array_sort(transform(edges, e -> struct(e.ord as ord, e.i as i, e.ids as ids, e.j as j)))"))
-    inner = "length(replace(substring(m, e.i + 2, e.j - e.i - 1), '0', ''))"
-    both = "substring(m, e.i + 1, 1) = '1' and substring(m, e.j + 1, 1) = '1'"
-    long = long.withColumn("m", F.expr(f"aggregate(e, repeat('1', length(unit) + 1), (m, e) -> if({both} and e.j > e.i + 1 and {inner} = 1, overlay(m placing repeat('0', e.j - e.i - 1) from e.i + 2 for e.j - e.i - 1), m))"))
-    long = long.select("unit", F.expr(f"filter(e, e -> {both} and (e.j = e.i + 1 or {inner} = 0))").alias("e"))
     flat = F.expr("flatten(transform(array_sort(transform(e, x -> struct(x.i as i, x.ids as ids))), x -> x.ids))").alias("ids")
-    return short.select("unit", flat).unionByName(long.select("unit", flat))
+    return short.select("unit", flat)
+
+
+def fold_long(units: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
+    """(unit, ids) of units over MASK_CHARS, by the same rules over the same edges, made where the unit lies: rows of substrings would each carry so long a unit."""
+    shared = units.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared.value
+        table, longest, worst = {p: (i, s) for p, i, s in pieces.rows}, pieces.longest, min(s for _, _, s in pieces.rows) - 10.0
+
+        def spare(c: str) -> list[int]:
+            return [pieces.unknown] if pieces.byte_zero is None else [pieces.byte_zero + b for b in c.encode()]
+
+        def merged(unit: str) -> list[int]:
+            n, border = len(unit), bytearray(b"\x01") * (len(unit) + 1)
+            found = ((-table[p][1], i, j) for i in range(n) for j in range(i + 2, min(n, i + longest) + 1) if (p := unit[i:j]) in table)
+            for _, i, j in sorted(found):
+                if border[i] and border[j] and sum(border[i + 1 : j]) == 1:
+                    border[i + 1 : j] = bytes(j - i - 1)
+            cuts = [i for i in range(n + 1) if border[i]]
+            return list(chain.from_iterable([table[p][0]] if (p := unit[i:j]) in table else spare(p) for i, j in zip(cuts, cuts[1:])))
+
+        def viterbi(unit: str) -> list[int]:
+            best, back = [0.0], [0]
+            for j in range(1, len(unit) + 1):
+                score, i = max((best[i] + (table[unit[i:j]][1] if unit[i:j] in table else worst), i) for i in range(max(0, j - longest), j) if unit[i:j] in table or i == j - 1)
+                best.append(score)
+                back.append(i)
+            out, j = [], len(unit)
+            while j:
+                out.append([table[unit[back[j] : j]][0]] if unit[back[j] : j] in table else spare(unit[back[j] : j]))
+                j = back[j]
+            return list(chain.from_iterable(out[::-1]))
+
+        fold = {"merges": merged, "viterbi": viterbi}[rule]
+        for batch in batches:
+            for unit in batch.column("unit").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([fold(unit)], pa.list_(pa.int32()))], ["unit", "ids"])
+
+    return units.filter(F.length("unit") > MASK_CHARS).select("unit").mapInArrow(run, "unit string, ids array<int>")
 
 
 def fold_viterbi(edges: DataFrame) -> DataFrame:
@@ -153,7 +188,9 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
     stored = written(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pieces), "chunks")
     used = stored.select("chunk", F.posexplode("units").alias("at", "unit"))
     fold = {"merges": fold_merges, "viterbi": fold_viterbi}[rule]
-    table = written(fold(lattice(used.select("unit").distinct(), pieces)), "units")
+    units = used.select("unit").distinct()
+    short = fold(lattice(units.filter(F.length("unit") <= MASK_CHARS), pieces))
+    table = written(short.unionByName(fold_long(units, pieces, rule)), "units")
     found = used.join(table, "unit").groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
     rows = stored.select("chunk", "doc_ids", "counts", "codes").join(found, "chunk", "left")
 

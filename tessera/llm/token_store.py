@@ -81,7 +81,7 @@ def build_matrix(ids: np.ndarray, levels: int | None = None) -> bytes:
         ones = ((values >> level) & 1).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         packed = np.concatenate([packed, np.zeros(blocks * WORD_BITS // 8 - len(packed), np.uint8)])
-        counts = np.bitwise_count(packed.view(np.uint64)).reshape(blocks, -1).sum(axis=1, dtype=np.uint32)
+        counts = np.bitwise_count(packed.view(np.uint64)).reshape(blocks, WORD_BITS // 64).sum(axis=1, dtype=np.uint32)
         ranks = np.zeros(blocks + 1, np.uint32)
         np.cumsum(counts, out=ranks[1:])
         parts += [struct.pack("<Q", n - int(ranks[-1])), packed.tobytes(), ranks.tobytes()]
