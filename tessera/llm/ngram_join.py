@@ -72,20 +72,29 @@ def point(grams: np.ndarray) -> np.ndarray:
     return np.bincount((mix(grams) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A byte per count where all fit."""
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) == groups_for(n) else "<u4").astype(np.uint32)
+
+
 def fold(points: np.ndarray, groups: int) -> np.ndarray:
     """Points [rows, finer groups] with their groups added up to fewer."""
     return points.reshape(len(points), -1, groups).sum(axis=1)
 
 
-def fine_bound(raw: list[bytes], u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For pairs (u, v) of rows of raw points the sum of smaller counts, at the finest groups that both have."""
-    levels = np.array([len(x) // 4 for x in raw])
+def fine_bound(points: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For pairs (u, v) of rows of points the sum of smaller counts, at the finest groups that both have."""
+    levels = np.array([len(x) for x in points])
     common = np.minimum(levels[u], levels[v])
     out = np.zeros(len(u), np.int64)
     for groups in np.unique(common).tolist():
         rows = np.flatnonzero(common == groups)
         need = np.unique(np.concatenate([u[rows], v[rows]]))
-        table = np.stack([fold(np.frombuffer(raw[i], "<u4")[None], groups)[0] for i in need])
+        table = np.stack([fold(points[i][None], groups)[0] for i in need])
         a, b = np.searchsorted(need, u[rows]), np.searchsorted(need, v[rows])
         step = max(1, (1 << 21) // groups)
         for i in range(0, len(rows), step):
@@ -202,7 +211,7 @@ def _sets_of(docs: DataFrame, keys: DataFrame, text_col: str, n: int, grams: boo
                 if grams:
                     what = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([g for _, g in out]).view(np.int64)))
                 else:
-                    what = pa.array([point(g).astype("<u4").tobytes() for _, g in out], pa.binary())
+                    what = pa.array([packed(point(g)) for _, g in out], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(np.diff(lengths), pa.int64()), what], ["key", "n", "grams" if grams else "point"])
 
     sets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, f"key long, n long, {'grams array<bigint>' if grams else 'point binary'}")
@@ -215,9 +224,9 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if m := batch.num_rows:
-                raw = batch.column("p_a").to_pylist() + batch.column("p_b").to_pylist()
                 n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-                bound = fine_bound(raw, np.arange(m), np.arange(m, 2 * m))
+                points = [unpacked(x, k) for p, n in (("p_a", n_a), ("p_b", n_b)) for x, k in zip(batch.column(p).to_pylist(), n.tolist())]
+                bound = fine_bound(points, np.arange(m), np.arange(m, 2 * m))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(bound >= needed(n_a, n_b)))
 
     one, two = (points.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}")) for x in "ab")
@@ -261,8 +270,8 @@ def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
         i, j = group[0][1:3]
         if len({r[5] for r in group}) < 2:
             return []
-        raw, sizes = [r[7] for r in group], np.array([r[6] for r in group], np.int64)
-        points = np.stack([fold(np.frombuffer(x, "<u4")[None], GROUPS)[0] for x in raw])
+        fine, sizes = [unpacked(r[7], r[6]) for r in group], np.array([r[6] for r in group], np.int64)
+        points = np.stack([fold(x[None], GROUPS)[0] for x in fine])
         blocks = np.array([r[3] for r in group])
         rows = np.arange(len(group))
         u, v = tree_join(points, sizes, rows) if i == j else tree_join(points, sizes, rows[blocks == i], rows[blocks == j])
@@ -272,7 +281,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
         u, v = u[apart], v[apart]
         if not len(u):
             return []
-        close = fine_bound(raw, u, v) >= needed(sizes[u], sizes[v])
+        close = fine_bound(fine, u, v) >= needed(sizes[u], sizes[v])
         u, v = u[close], v[close]
         for x, y in zip(u.tolist(), v.tolist()):
             pair = (min(group[x][4], group[y][4]), max(group[x][4], group[y][4]))

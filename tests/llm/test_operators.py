@@ -119,7 +119,7 @@ def test_tree_join_bound():
     sizes = np.array([len(s) for s in sets])
     u, v = ngram_join.tree_join(points, sizes, np.arange(len(sets)))
     found = {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist())}
-    raw = [ngram_join.point(s).astype("<u4").tobytes() for s in sets]
+    raw = [ngram_join.unpacked(ngram_join.packed(ngram_join.point(s)), len(s)) for s in sets]
     for a in range(len(sets)):
         for b in range(a):
             shared = len(np.intersect1d(sets[a], sets[b]))
