@@ -1,9 +1,9 @@
 """SentencePiece encoding over a relational lattice, and decoding.
 
 A text is cut where no piece spans the place, into units; each chunk of documents keeps its
-different units and the documents as numbers into them. All different units are exploded into
-their substrings of bounded length, equi-joined to the piece table and grouped into the edges of
-their lattice, and a higher-order aggregate folds the edges into ids: by Viterbi for a unigram
+different units and the documents as numbers into them. The different units of a block of chunks
+are exploded into their substrings of bounded length, equi-joined to the piece table and grouped
+into the edges of their lattice, and a higher-order aggregate folds the edges into ids: by Viterbi for a unigram
 model, and for a BPE model by its own rule, best merge first. (The best sum over a BPE model's
 scores isn't what SentencePiece returns for it.) The ids go back to the chunks that use them.
 """
@@ -11,19 +11,20 @@ scores isn't what SentencePiece returns for it.) The ids go back to the chunks t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import cut, written
 
-BLANK, CHUNK_BYTES, MASK_CHARS = "▁", 8 << 20, 60
+BLANK, CHUNK_BYTES, BLOCK_CHUNKS, MASK_CHARS = "▁", 8 << 20, 64, 60
 
 
 @dataclass(frozen=True)
@@ -96,15 +97,61 @@ def chunks(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return docs.mapInArrow(run, CHUNK)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], starts: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole runs of rows, and the first row of each run; a run may lie across the batches that come."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else pa.concat_batches([held, batch])
+        first = starts(held)
+        if len(first) > 1:
+            yield held.slice(0, first[-1]), first[:-1]
+            held = held.slice(first[-1])
+    if held is not None:
+        yield held, starts(held)
+
+
+def _lists(first: np.ndarray, batch: pa.RecordBatch, names: list[str]) -> pa.Array:
+    """The columns of each run as a list of structs."""
+    return pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), pa.StructArray.from_arrays([batch.column(c) for c in names], names))
+
+
+USES = "uses array<struct<chunk: bigint, at: int>>"
+
+
+def uses(stored: DataFrame) -> DataFrame:
+    """(unit, uses): each different unit of a block of chunks with the chunks that have it, and where.
+
+    Blocks hold about BLOCK_CHUNKS chunks, so a unit that all chunks have is many short lists.
+    """
+    blocks = max(1, stored.select("chunk").count() // BLOCK_CHUNKS)
+    rows = stored.select(F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block"), "chunk", F.posexplode("units").alias("at", "unit"))
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.ones(batch.num_rows, bool)
+        unit, block = batch.column("unit"), batch.column("block").to_numpy()
+        new[1:] = pc.not_equal(unit[1:], unit[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+        return np.flatnonzero(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first in _runs(batches, starts):
+            yield pa.RecordBatch.from_arrays([batch.column("unit").take(pa.array(first)), _lists(first, batch, ["chunk", "at"])], ["unit", "uses"])
+
+    return rows.repartition("unit", "block").sortWithinPartitions("unit", "block").mapInArrow(run, f"unit string, {USES}")
+
+
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, edges array<struct<ord, i, j, score, ids>>) of different units: an edge for each substring that is a piece, and for each character that isn't one (its bytes, or unknown).
+    """(unit, edges array<struct<i, j, score, ids>>, other columns) of different units: an edge for each substring that is a piece, and for each character that isn't one (its bytes, or unknown).
 
-    The piece table is as large as the model's vocabulary, so it is broadcast; the substrings are
-    made and met where the units lie, and grouped there as they are already dealt out by unit.
+    The piece table is as large as the model's vocabulary, so it is broadcast. The substrings of a
+    unit are made and met where it lies, one after another, so its edges are grouped there too,
+    without a shuffle or a sort; its first edge brings the unit's columns along.
     """
     spark = units.sparkSession
     table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))
-    spans = units.select("unit", F.length("unit").alias("n")).withColumn("i", F.explode(F.expr("sequence(0, n - 1)")))
+    own = units.columns
+    spans = units.withColumn("n", F.length("unit")).withColumn("i", F.explode(F.expr("sequence(0, n - 1)")))
     spans = spans.withColumn("j", F.explode(F.expr(f"sequence(i + 1, least(n, i + {pieces.longest}))"))).withColumn("piece", F.expr("substring(unit, i + 1, j - i)"))
     joined = spans.join(table, "piece", "left").filter("id is not null or j = i + 1")
     if pieces.byte_zero is None:
@@ -113,25 +160,35 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
         spare = F.expr(f"transform(sequence(1, octet_length(piece)), b -> {pieces.byte_zero} + cast(conv(hex(substring(encode(piece, 'UTF-8'), b, 1)), 16, 10) as int))")
     ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spare)
     worst = min(s for _, _, s in pieces.rows) - 10.0
-    score = F.coalesce("score", F.lit(worst))
-    edge = F.struct((-score).alias("ord"), "i", "j", score.alias("score"), ids.alias("ids"))
-    return joined.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    head = F.expr("i = 0 and j = 1")
+    edges = joined.select(*(F.when(head, F.col(c)).alias(c) for c in own), "i", "j", F.coalesce("score", F.lit(worst)).alias("score"), ids.alias("ids"))
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        return np.flatnonzero(batch.column("unit").is_valid().to_numpy(zero_copy_only=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first in _runs(batches, starts):
+            at = pa.array(first)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), _lists(first, batch, ["i", "j", "score", "ids"])], [*own, "edges"])
+
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in units.schema)
+    return edges.mapInArrow(run, f"{kinds}edges array<struct<i: int, j: int, score: double, ids: array<int>>>")
 
 
-_BORDERS = "e -> struct(e.ord as ord, e.i as i, e.ids as ids, shiftleft(1L, e.i) | shiftleft(1L, e.j) as ends, (shiftleft(1L, e.j) - 1) & ~(shiftleft(1L, e.i + 1) - 1) as inside)"
+_BORDERS = "e -> struct(-e.score as ord, e.i as i, e.ids as ids, shiftleft(1L, e.i) | shiftleft(1L, e.j) as ends, (shiftleft(1L, e.j) - 1) & ~(shiftleft(1L, e.i + 1) - 1) as inside)"
 
 
 def fold_merges(edges: DataFrame) -> DataFrame:
-    """(unit, ids): edges in order of score, then place; an edge joins the two parts it spans if just one border lies inside it. Borders are bits, so a unit has MASK_CHARS characters at most; longer ones go by fold_long."""
+    """(unit, ids, other columns): edges in order of score, then place; an edge joins the two parts it spans if just one border lies inside it. Borders are bits, so a unit has MASK_CHARS characters at most; longer ones go by fold_long."""
     short = edges.withColumn("e", F.expr(f"array_sort(transform(edges, {_BORDERS}))"))
     short = short.withColumn("m", F.expr("aggregate(e, shiftleft(1L, length(unit) + 1) - 1, (m, e) -> if((m & e.ends) = e.ends and bit_count(m & e.inside) = 1, m & ~e.inside, m))"))
-    short = short.select("unit", F.expr("filter(e, e -> (m & e.ends) = e.ends and (m & e.inside) = 0)").alias("e"))
+    short = short.withColumn("e", F.expr("filter(e, e -> (m & e.ends) = e.ends and (m & e.inside) = 0)"))
     flat = F.expr("flatten(transform(array_sort(transform(e, x -> struct(x.i as i, x.ids as ids))), x -> x.ids))").alias("ids")
-    return short.select("unit", flat)
+    return short.select(*(c for c in edges.columns if c != "edges"), flat)
 
 
 def fold_long(units: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
-    """(unit, ids) of units over MASK_CHARS, by the same rules over the same edges, made where the unit lies: rows of substrings would each carry so long a unit."""
+    """(unit, ids, uses) of units over MASK_CHARS, by the same rules over the same edges, made where the unit lies: rows of substrings would each carry so long a unit."""
     shared = units.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,17 +221,17 @@ def fold_long(units: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
 
         fold = {"merges": merged, "viterbi": viterbi}[rule]
         for batch in batches:
-            for unit in batch.column("unit").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([fold(unit)], pa.list_(pa.int32()))], ["unit", "ids"])
+            for row, unit in enumerate(batch.column("unit").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([unit]), batch.column("uses").slice(row, 1), pa.array([fold(unit)], pa.list_(pa.int32()))], ["unit", "uses", "ids"])
 
-    return units.filter(F.length("unit") > MASK_CHARS).select("unit").mapInArrow(run, "unit string, ids array<int>")
+    return units.filter(F.length("unit") > MASK_CHARS).select("unit", "uses").mapInArrow(run, f"unit string, {USES}, ids array<int>")
 
 
 def fold_viterbi(edges: DataFrame) -> DataFrame:
-    """(unit, ids): the path with the largest sum of scores, the largest ids where sums tie."""
+    """(unit, ids, other columns): the path with the largest sum of scores, the largest ids where sums tie."""
     step = "array_max(transform(filter(edges, e -> e.j = j), e -> struct(a[e.i].score + e.score as score, concat(a[e.i].ids, e.ids) as ids)))"
     best = f"aggregate(sequence(1, length(unit)), array(struct(0.0D as score, cast(array() as array<int>) as ids)), (a, j) -> concat(a, array({step})))"
-    return edges.select("unit", F.expr(f"element_at({best}, -1).ids").alias("ids"))
+    return edges.select(*(c for c in edges.columns if c != "edges"), F.expr(f"element_at({best}, -1).ids").alias("ids"))
 
 
 def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,38 +243,51 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
     """
     pieces = load_pieces(model_file)
     stored = written(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pieces), "chunks")
-    used = stored.select("chunk", F.posexplode("units").alias("at", "unit"))
     fold = {"merges": fold_merges, "viterbi": fold_viterbi}[rule]
-    units = used.select("unit").distinct()
-    short = fold(lattice(units.filter(F.length("unit") <= MASK_CHARS), pieces))
-    table = written(short.unionByName(fold_long(units, pieces, rule)), "units")
-    found = used.join(table, "unit").groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
-    rows = stored.select("chunk", "doc_ids", "counts", "codes").join(found, "chunk", "left")
+    units = written(uses(stored), "units")
+    folded = fold(lattice(units.filter(F.length("unit") <= MASK_CHARS), pieces)).unionByName(fold_long(units, pieces, rule))
+    found = folded.select(F.explode("uses").alias("use"), "ids").select("use.chunk", "use.at", "ids")
+    rows = stored.select("chunk", F.lit(-1).alias("at"), "doc_ids", "counts", "codes").unionByName(found, allowMissingColumns=True)
+
+    def heads(batch: pa.RecordBatch) -> np.ndarray:
+        return np.flatnonzero(batch.column("at").to_numpy() < 0)
+
+    def texts(head: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc_ids, counts = (head.column(c)[0].values for c in ("doc_ids", "counts"))
+        raw, total = head.column("codes")[0].as_buffer(), int(np.sum(counts.to_numpy()))
+        codes = np.frombuffer(pa.decompress(raw, 4 * total, codec="zstd", asbytes=True), np.int32) if total else np.zeros(0, np.int32)
+        starts = np.cumsum(lengths) - lengths
+        ends = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
+        step = 1 << 8
+        for i in range(0, len(doc_ids), step):
+            own = codes[ends[i] : ends[min(i + step, len(doc_ids))]]
+            n = lengths[own] if len(own) else np.zeros(0, np.int64)
+            sums = np.concatenate([[0], np.cumsum(n)])
+            where = np.arange(sums[-1]) + np.repeat(starts[own] - sums[:-1], n) if len(own) else np.zeros(0, np.int64)
+            bounds = sums[ends[i : min(i + step, len(doc_ids)) + 1] - ends[i]]
+            yield pa.RecordBatch.from_arrays([doc_ids[i : i + step], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[where], pa.int32()))], ["doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, flat, lengths = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if head is not None:
+                yield from texts(head, np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([np.zeros(0, np.int64), *lengths]))
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids, counts = (batch.column(c)[row].values for c in ("doc_ids", "counts"))
-                raw, total = batch.column("codes")[row].as_buffer(), int(np.sum(counts.to_numpy()))
-                codes = np.frombuffer(pa.decompress(raw, 4 * total, codec="zstd", asbytes=True), np.int32) if total else np.zeros(0, np.int32)
-                lengths, starts, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-                if total:
-                    found = batch.column("found")[row].values
-                    at, ids = found.field("at").to_numpy(), found.field("ids")
-                    flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
-                    lengths, starts = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-                    lengths[at], starts[at] = np.diff(offsets), offsets[:-1]
-                ends = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
-                step = 1 << 8
-                for i in range(0, len(doc_ids), step):
-                    own = codes[ends[i] : ends[min(i + step, len(doc_ids))]]
-                    n = lengths[own] if len(own) else np.zeros(0, np.int64)
-                    sums = np.concatenate([[0], np.cumsum(n)])
-                    where = np.arange(sums[-1]) + np.repeat(starts[own] - sums[:-1], n) if len(own) else np.zeros(0, np.int64)
-                    bounds = sums[ends[i : min(i + step, len(doc_ids)) + 1] - ends[i]]
-                    yield pa.RecordBatch.from_arrays([doc_ids[i : i + step], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[where], pa.int32()))], ["doc_id", "ids"])
-
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+            bounds = [0, *heads(batch).tolist(), batch.num_rows]
+            for at, to in zip(bounds, bounds[1:]):
+                part = batch.slice(at, to - at)
+                if part.num_rows and part.column("at")[0].as_py() < 0:
+                    yield from close()
+                    head, flat, lengths, part = part.slice(0, 1), [], [], part.slice(1)
+                if part.num_rows:
+                    ids = part.column("ids")
+                    flat.append(ids.flatten().to_numpy())
+                    lengths.append(pc.list_value_length(ids).to_numpy().astype(np.int64))
+        yield from close()
+
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "at").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
