@@ -120,13 +120,13 @@ def _lists(first: np.ndarray, batch: pa.RecordBatch, names: list[str]) -> pa.Arr
 USES = "uses array<struct<chunk: bigint, at: int>>"
 
 
-def uses(stored: DataFrame) -> DataFrame:
-    """(unit, uses): each different unit of a block of chunks with the chunks that have it, and where.
+def uses(stored: DataFrame, which: str) -> DataFrame:
+    """(unit, uses): each different unit of a block of chunks, if which holds for it, with the chunks that have it, and where.
 
     Blocks hold about BLOCK_CHUNKS chunks, so a unit that all chunks have is many short lists.
     """
     blocks = max(1, stored.select("chunk").count() // BLOCK_CHUNKS)
-    rows = stored.select(F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block"), "chunk", F.posexplode("units").alias("at", "unit"))
+    rows = stored.select(F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block"), "chunk", F.posexplode("units").alias("at", "unit")).filter(which)
 
     def starts(batch: pa.RecordBatch) -> np.ndarray:
         new = np.ones(batch.num_rows, bool)
@@ -234,6 +234,38 @@ def fold_viterbi(edges: DataFrame) -> DataFrame:
     return edges.select(*(c for c in edges.columns if c != "edges"), F.expr(f"element_at({best}, -1).ids").alias("ids"))
 
 
+def _unpacked(packed: bytes, size: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(packed, size, codec="zstd", asbytes=True), np.int32)
+    return np.cumsum(raw[:n], dtype=np.int32), raw[n : 2 * n], raw[2 * n :]
+
+
+def by_chunk(folded: DataFrame) -> DataFrame:
+    """(chunk, kind 1, n, size, packed): the ids of units, gathered for each chunk that uses them before they are shuffled: n places in order (as steps), n lengths, the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times = pc.list_value_length(batch.column("uses")).to_numpy()
+            use, ids = batch.column("uses").flatten(), batch.column("ids")
+            chunk, at = use.field("chunk").to_numpy(), use.field("at").to_numpy()
+            unit = np.repeat(np.arange(batch.num_rows), times)
+            lengths, flat = pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            order = np.lexsort((at, chunk))
+            chunk, at, unit = chunk[order], at[order], unit[order]
+            bounds = np.append(np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)), len(chunk))
+            out = []
+            for i, j in zip(bounds, bounds[1:]):
+                n = lengths[unit[i:j]]
+                where = np.arange(n.sum()) + np.repeat(starts[unit[i:j]] - (np.cumsum(n) - n), n)
+                raw = np.concatenate([np.diff(at[i:j], prepend=0), n, flat[where]]).astype(np.int32).tobytes()
+                out.append((int(chunk[i]), 1, int(j - i), len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["chunk", "kind", "n", "size", "packed"])
+
+    return folded.select("uses", "ids").mapInArrow(run, "chunk long, kind int, n int, size int, packed binary")
+
+
 def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every whole text, as the model's own encoder gives them.
 
@@ -244,19 +276,13 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
     pieces = load_pieces(model_file)
     stored = written(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pieces), "chunks")
     fold = {"merges": fold_merges, "viterbi": fold_viterbi}[rule]
-    units = written(uses(stored), "units")
-    folded = fold(lattice(units.filter(F.length("unit") <= MASK_CHARS), pieces)).unionByName(fold_long(units, pieces, rule))
-    found = folded.select(F.explode("uses").alias("use"), "ids").select("use.chunk", "use.at", "ids")
-    rows = stored.select("chunk", F.lit(-1).alias("at"), "doc_ids", "counts", "codes").unionByName(found, allowMissingColumns=True)
-
-    def heads(batch: pa.RecordBatch) -> np.ndarray:
-        return np.flatnonzero(batch.column("at").to_numpy() < 0)
+    folded = fold(lattice(uses(stored, f"length(unit) <= {MASK_CHARS}"), pieces)).unionByName(fold_long(uses(stored, f"length(unit) > {MASK_CHARS}"), pieces, rule))
+    rows = stored.select("chunk", F.lit(0).alias("kind"), "doc_ids", "counts", "codes").unionByName(by_chunk(folded), allowMissingColumns=True)
 
-    def texts(head: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def texts(head: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         doc_ids, counts = (head.column(c)[0].values for c in ("doc_ids", "counts"))
         raw, total = head.column("codes")[0].as_buffer(), int(np.sum(counts.to_numpy()))
         codes = np.frombuffer(pa.decompress(raw, 4 * total, codec="zstd", asbytes=True), np.int32) if total else np.zeros(0, np.int32)
-        starts = np.cumsum(lengths) - lengths
         ends = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
         step = 1 << 8
         for i in range(0, len(doc_ids), step):
@@ -268,26 +294,26 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
             yield pa.RecordBatch.from_arrays([doc_ids[i : i + step], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[where], pa.int32()))], ["doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, flat, lengths = None, [], []
+        head, parts = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
             if head is not None:
-                yield from texts(head, np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([np.zeros(0, np.int64), *lengths]))
+                at, n, flat = (np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*parts)) if parts else [np.zeros(0, np.int32)] * 3
+                order = np.argsort(at)
+                starts = np.cumsum(n, dtype=np.int64) - n
+                yield from texts(head, flat, n[order].astype(np.int64), starts[order])
 
         for batch in batches:
-            bounds = [0, *heads(batch).tolist(), batch.num_rows]
-            for at, to in zip(bounds, bounds[1:]):
-                part = batch.slice(at, to - at)
-                if part.num_rows and part.column("at")[0].as_py() < 0:
+            kinds = batch.column("kind").to_pylist()
+            for row, kind in enumerate(kinds):
+                if kind == 0:
                     yield from close()
-                    head, flat, lengths, part = part.slice(0, 1), [], [], part.slice(1)
-                if part.num_rows:
-                    ids = part.column("ids")
-                    flat.append(ids.flatten().to_numpy())
-                    lengths.append(pc.list_value_length(ids).to_numpy().astype(np.int64))
+                    head, parts = batch.slice(row, 1), []
+                else:
+                    parts.append(_unpacked(batch.column("packed")[row].as_py(), batch.column("size")[row].as_py(), batch.column("n")[row].as_py()))
         yield from close()
 
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "at").mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
