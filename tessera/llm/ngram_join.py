@@ -7,10 +7,11 @@ on the sets.
 
 The points have tens of dimensions and texts without relation lie close together, so one tree
 over all documents would compare all boxes with all. The forest here has a tree for each key that
-similar sets must share: with the hashes of a set in order, take each two that follow one
-another. Of the first half of these pairs (and one more) at least one is common to two sets of a
+similar sets must share: with the hashes of a set in one order for all sets, take each two that
+follow one another. Of the first half of these pairs (and one more) at least one is common to two sets of a
 Jaccard similarity of 0.75: a set of n loses two pairs for each hash that the other lacks (at most
-n / 4) and one for each that the other adds. So no link is lost, and nothing is capped.
+n / 4) and one for each that the other adds. So no link is lost, and nothing is capped. The order puts hashes in few sets first, as far
+as COUNTERS counters tell them apart, so passages that many texts share give few keys.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ N, GROUPS, LEAF, BLOCK = 5, 64, 64, 512
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 75, 100
 BITS = 23
+COUNTERS = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -50,19 +52,25 @@ def _key(grams: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(grams), dtype=np.uint64) + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
-def _pairs(grams: np.ndarray) -> np.ndarray:
+def _place(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _pairs(grams: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The keys of a set, as above; none for sets of one or two, which nothing but an equal set resembles."""
     n = len(grams)
     if n < 3:
         return np.zeros(0, np.int64)
     take = min(n - 1, n // 2 + 1)
-    return mix(grams[:take] * np.uint64(3) + mix(grams[1 : take + 1])).view(np.int64)
+    order = np.argsort(often[_place(grams)], kind="stable")[: take + 1]  # grams are in order of their values
+    first = grams[order]
+    return mix(first[:take] * np.uint64(3) + mix(first[1:])).view(np.int64)
 
 
 def groups_for(n: int) -> int:
-    """Groups for a set of n: a few hashes in each, so that the bound tells long texts apart too. Always GROUPS times a power of two, so a point folds to a coarser one."""
+    """Groups for a set of n: so many that most hold a hash or none, and the bound comes near the overlap. Always GROUPS times a power of two, so a point folds to a coarser one."""
     groups = GROUPS
-    while groups * 2 < n:
+    while groups < 4 * n:
         groups *= 2
     return groups
 
@@ -73,17 +81,19 @@ def point(grams: np.ndarray) -> np.ndarray:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A byte per count where all fit."""
-    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+    """A byte per count where all fit, as a first byte says, compressed: about a bit for each."""
+    kind = "u1" if counts.max() < 256 else "<u4"
+    return kind[-1].encode() + pa.compress(counts.astype(kind).tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "u1" if len(raw) == groups_for(n) else "<u4").astype(np.uint32)
+    kind = f"<u{raw[:1].decode()}"
+    return np.frombuffer(pa.decompress(raw[1:], groups_for(n) * int(kind[-1]), codec="zstd", asbytes=True), kind)
 
 
 def fold(points: np.ndarray, groups: int) -> np.ndarray:
     """Points [rows, finer groups] with their groups added up to fewer."""
-    return points.reshape(len(points), -1, groups).sum(axis=1)
+    return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.uint32)
 
 
 def fine_bound(points: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -94,7 +104,8 @@ def fine_bound(points: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.nda
     for groups in np.unique(common).tolist():
         rows = np.flatnonzero(common == groups)
         need = np.unique(np.concatenate([u[rows], v[rows]]))
-        table = np.stack([fold(points[i][None], groups)[0] for i in need])
+        table = np.stack([points[i] if levels[i] == groups else fold(points[i][None], groups)[0] for i in need])
+        table = table.astype(np.uint8) if table.max() < 256 else table
         a, b = np.searchsorted(need, u[rows]), np.searchsorted(need, v[rows])
         step = max(1, (1 << 21) // groups)
         for i in range(0, len(rows), step):
@@ -163,8 +174,29 @@ def set_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles long, key long")
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _often(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
+    """COUNTERS counts of the sets whose hashes fall on each; a set that a task meets again counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(COUNTERS, np.int64), set()
+        for batch in cut(batches, "text"):
+            for grams in shingle_sets(batch.column("text"), n):
+                if len(grams) > 2 and (key := _key(grams)) not in seen:
+                    seen.add(key)
+                    np.add.at(counts, _place(grams), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["place", "times"])
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "place long, times long")
+    table = counted.groupBy("place").agg(F.sum("times").alias("times")).toArrow()  # COUNTERS rows at most
+    often = np.zeros(COUNTERS, np.int64)
+    often[table.column("place").to_numpy()] = table.column("times").to_numpy()
+    return often
+
+
+def _signatures(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     """(sig, key) of every set; a set that a task meets again is not repeated."""
+    shared = docs.sparkSession.sparkContext.broadcast(_often(docs, text_col, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,12 +205,12 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
             for grams in shingle_sets(batch.column("text"), n):
                 if len(grams) > 2 and (key := _key(grams)) not in seen:
                     seen.add(key)
-                    sigs.append(_pairs(grams))
+                    sigs.append(_pairs(grams, shared.value))
                     keys.append(np.full(len(sigs[-1]), key, np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], ["sig", "key"])
 
-    return _texts(docs, id_col, text_col).select("text").mapInArrow(run, "sig long, key long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig long, key long")
 
 
 def _sets_of(docs: DataFrame, keys: DataFrame, text_col: str, n: int, grams: bool) -> DataFrame:
@@ -255,8 +287,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int) -> DataF
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
 
 
-def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (sig, key, part) of different parts that meet in a sig and whose bound reaches the threshold.
+def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -> DataFrame:
+    """Pairs (a, b) of members (sig, key, part) of different parts that meet in a sig and whose bound reaches the threshold; if smallest, of each b only the one with the smallest a in each tree.
 
     A sig with many members is dealt out in pairs of blocks, each a task's worth; points stay in numpy.
     """
@@ -283,6 +315,13 @@ def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
             return []
         close = fine_bound(fine, u, v) >= needed(sizes[u], sizes[v])
         u, v = u[close], v[close]
+        if smallest and len(u):
+            keys = np.array([r[4] for r in group])
+            u, v = np.where(keys[u] < keys[v], u, v), np.where(keys[u] < keys[v], v, u)
+            order = np.lexsort((keys[u], v))
+            u, v = u[order], v[order]
+            first = np.flatnonzero(np.diff(v, prepend=-1))
+            u, v = u[first], v[first]
         for x, y in zip(u.tolist(), v.tolist()):
             pair = (min(group[x][4], group[y][4]), max(group[x][4], group[y][4]))
             if pair not in seen:
@@ -311,16 +350,16 @@ def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
     return rows.select("sig", "i", "j", "block", "key", "part", "n", "point").mapInArrow(run, "a long, b long").distinct()
 
 
-def _shared_keys(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _shared_keys(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     """(sig, key, lo): the sigs that two sets or more share, with their smallest key."""
     by = W.partitionBy("sig")
-    rows = _signatures(docs, id_col, text_col, n).repartition("sig").withColumns({"lo": F.min("key").over(by), "hi": F.max("key").over(by)})
+    rows = _signatures(docs, text_col, n).repartition("sig").withColumns({"lo": F.min("key").over(by), "hi": F.max("key").over(by)})
     return written(rows.filter("lo <> hi").select("sig", "key", "lo").distinct(), "shared")
 
 
 def ngram_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """Every linked pair of different sets: (a, b, shared, n_a, n_b), a and b keys of set_keys. For corpora whose groups are small; ngram_groups needs no pairs within a group."""
-    shared = _shared_keys(docs, id_col, text_col, n)
+    shared = _shared_keys(docs, text_col, n)
     points = _sets_of(docs, shared.select("key").distinct(), text_col, n, grams=False)
     return _verified(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), points), docs, text_col, n)
 
@@ -334,22 +373,29 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     First each set is verified against one other, the smallest of the keys it shares most often;
     that makes components without pairs within a group. Then only sets of different components
-    that still share a key go through the R-trees; their verified pairs join components. Equal
+    that still share a key go through the R-trees; their verified pairs join components. The first
+    two rounds of trees give each set its smallest partner only, so that a group of near copies
+    grows together without its pairs; the last gives every pair of sets that are still apart. Equal
     sets are one set (its 64-bit hash; the 5-grams are 64-bit hashes too).
     """
     keyed = written(set_keys(docs, id_col, text_col, n), "keys")
-    shared = _shared_keys(docs, id_col, text_col, n)
+    shared = _shared_keys(docs, text_col, n)
     points = _sets_of(docs, shared.select("key").distinct(), text_col, n, grams=False)
     stars = shared.filter("key <> lo").groupBy("key", "lo").agg(F.count("*").alias("times"))
     best = stars.groupBy("key").agg(F.max(F.struct("times", "lo")).alias("best")).select(F.col("best.lo").alias("a"), F.col("key").alias("b"))
     edges = written(_verified(_bounded(best, points), docs, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     roots = written(components(edges), "roots")
-    parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
-    by = W.partitionBy("sig")
-    open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part")
-    more = written(_verified(_tree_pairs(open_keys, points), docs, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    if not more.isEmpty():
-        roots = components(edges.unionByName(more))
+    by, settled = W.partitionBy("sig"), False
+    for smallest in (True, True, False):
+        if smallest and settled:
+            continue
+        parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
+        open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part")
+        more = written(_verified(_tree_pairs(open_keys, points, smallest), docs, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        settled = more.isEmpty()
+        if not settled:
+            edges = edges.unionByName(more)
+            roots = written(components(edges), "roots")
     least = keyed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     own = least.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
