@@ -32,6 +32,8 @@ N, GROUPS, LEAF, BLOCK = 5, 64, 64, 512
 PART, WHOLE = 75, 100
 BITS = 23
 COUNTERS = 1 << 18
+#: Points that a task keeps unpacked.
+MADE_BYTES = 32 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -96,13 +98,14 @@ def fold(points: np.ndarray, groups: int) -> np.ndarray:
     return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.uint32)
 
 
-def fine_bound(points: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For pairs (u, v) of rows of points the sum of smaller counts, at the finest groups that both have."""
+def fine_bound(points: list[np.ndarray], u: np.ndarray, v: np.ndarray, coarser: int = 1) -> np.ndarray:
+    """For pairs (u, v) of rows of points the sum of smaller counts, at the finest groups that both have, or that many times fewer."""
     levels = np.array([len(x) for x in points])
     common = np.minimum(levels[u], levels[v])
     out = np.zeros(len(u), np.int64)
     for groups in np.unique(common).tolist():
         rows = np.flatnonzero(common == groups)
+        groups = max(GROUPS, groups // coarser)
         need = np.unique(np.concatenate([u[rows], v[rows]]))
         table = np.stack([points[i] if levels[i] == groups else fold(points[i][None], groups)[0] for i in need])
         table = table.astype(np.uint8) if table.max() < 256 else table
@@ -132,6 +135,11 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np
             out += [slab[j : j + LEAF] for j in range(0, len(slab), LEAF)]
         return out
 
+    if right is None and len(left) <= LEAF // 4:  # one leaf has nothing to prune
+        u, v = np.triu_indices(len(left), 1)
+        u, v = left[u], left[v]
+        near = np.minimum(points[u], points[v]).sum(axis=1) >= needed(sizes[u], sizes[v])
+        return u[near], v[near]
     a = pack(left)
     b = a if right is None else pack(right)
     if not a or not b:
@@ -213,15 +221,16 @@ def _signatures(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig long, key long")
 
 
-def _sets_of(docs: DataFrame, keys: DataFrame, text_col: str, n: int, grams: bool) -> DataFrame:
-    """(key, n, and point or grams) of the sets named in keys, made again from the texts.
+def _sets_of(docs: DataFrame, keyed: DataFrame, keys: DataFrame, id_col: str, text_col: str, n: int, grams: bool) -> DataFrame:
+    """(key, n, and point or grams) of the sets named in keys, made again from a text of each, as keyed (set_keys of docs) tells.
 
-    A bitmap of fixed size (2**BITS bits) says which to make; what it lets through besides is
-    dropped by the join.
+    A bitmap of fixed size (2**BITS bits) of the documents' ids says which texts to read; what it
+    lets through besides is dropped by the join.
     """
     spark = docs.sparkSession
-    place = F.pmod("key", F.lit(1 << BITS))
-    rows = keys.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
+    holders = keyed.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)).alias("p")
+    rows = holders.select(place).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
     table = np.zeros(1 << (BITS - 6), np.int64)
     for w, bits in rows:
         table[w] = bits
@@ -230,14 +239,13 @@ def _sets_of(docs: DataFrame, keys: DataFrame, text_col: str, n: int, grams: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value.view(np.uint64), set()
         for batch in cut(batches, "text"):
+            p = batch.column("p").to_numpy().astype(np.uint64)
+            batch = batch.filter(pa.array(((bitmap[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)))
             out = []
             for own in shingle_sets(batch.column("text"), n):
-                if len(own) > 2:
-                    key = _key(own)
-                    p = key % (1 << BITS)
-                    if int(bitmap[p >> 6]) >> (p & 63) & 1 and key not in seen:
-                        seen.add(key)
-                        out.append((key, own))
+                if len(own) > 2 and (key := _key(own)) not in seen:
+                    seen.add(key)
+                    out.append((key, own))
             if out:
                 lengths = np.cumsum([0, *(len(g) for _, g in out)])
                 if grams:
@@ -246,7 +254,8 @@ def _sets_of(docs: DataFrame, keys: DataFrame, text_col: str, n: int, grams: boo
                     what = pa.array([packed(point(g)) for _, g in out], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(np.diff(lengths), pa.int64()), what], ["key", "n", "grams" if grams else "point"])
 
-    sets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, f"key long, n long, {'grams array<bigint>' if grams else 'point binary'}")
+    texts = _texts(docs, id_col, text_col).select(place, "text")
+    sets = texts.mapInArrow(run, f"key long, n long, {'grams array<bigint>' if grams else 'point binary'}")
     return written(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
@@ -266,7 +275,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return rows.filter(f"least(n_a, n_b) * {WHOLE} >= greatest(n_a, n_b) * {PART}").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(a, b, shared, n_a, n_b) of the pairs that meet the threshold on their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +290,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, n: int) -> DataF
             yield rows.filter(pa.array(WHOLE * s >= PART * (n_a + n_b - s)))
 
     pairs = written(pairs, "pairs")
-    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), text_col, n, grams=True)
+    sets = _sets_of(docs, keyed, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), id_col, text_col, n, grams=True)
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
@@ -298,12 +307,18 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "part")
     rows = rows.join(points, "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def pairs(group: list[tuple], seen: set) -> list[tuple[int, int]]:
+    def pairs(group: list[tuple], seen: set, made: dict) -> list[tuple[int, int]]:
         i, j = group[0][1:3]
         if len({r[5] for r in group}) < 2:
             return []
-        fine, sizes = [unpacked(r[7], r[6]) for r in group], np.array([r[6] for r in group], np.int64)
-        points = np.stack([fold(x[None], GROUPS)[0] for x in fine])
+        if sum(x.nbytes for x, _ in made.values()) > MADE_BYTES:
+            made.clear()
+        for r in group:
+            if r[4] not in made:
+                x = unpacked(r[7], r[6])
+                made[r[4]] = x, fold(x[None], GROUPS)[0]
+        fine, sizes = [made[r[4]][0] for r in group], np.array([r[6] for r in group], np.int64)
+        points = np.stack([made[r[4]][1] for r in group])
         blocks = np.array([r[3] for r in group])
         rows = np.arange(len(group))
         u, v = tree_join(points, sizes, rows) if i == j else tree_join(points, sizes, rows[blocks == i], rows[blocks == j])
@@ -313,8 +328,9 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
         u, v = u[apart], v[apart]
         if not len(u):
             return []
-        close = fine_bound(fine, u, v) >= needed(sizes[u], sizes[v])
-        u, v = u[close], v[close]
+        for coarser in (4, 1):  # groups of about one hash each tell unrelated sets apart at a quarter of the work
+            close = fine_bound(fine, u, v, coarser) >= needed(sizes[u], sizes[v])
+            u, v = u[close], v[close]
         if smallest and len(u):
             keys = np.array([r[4] for r in group])
             u, v = np.where(keys[u] < keys[v], u, v), np.where(keys[u] < keys[v], v, u)
@@ -332,11 +348,12 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         seen: set[tuple[int, int]] = set()
+        made: dict[int, tuple] = {}
         out: list[tuple[int, int]] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "block", "key", "part", "n", "point"))):
                 if group and row[:3] != group[0][:3]:
-                    out += pairs(group, seen)
+                    out += pairs(group, seen, made)
                     group = []
                     if len(seen) > 1_000_000:
                         seen.clear()  # repeats go with distinct() below
@@ -344,24 +361,28 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
                 out = []
-        if group and (out := pairs(group, seen)):
+        if group and (out := pairs(group, seen, made)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return rows.select("sig", "i", "j", "block", "key", "part", "n", "point").mapInArrow(run, "a long, b long").distinct()
 
 
 def _shared_keys(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """(sig, key, lo): the sigs that two sets or more share, with their smallest key."""
-    by = W.partitionBy("sig")
-    rows = _signatures(docs, text_col, n).repartition("sig").withColumns({"lo": F.min("key").over(by), "hi": F.max("key").over(by)})
-    return written(rows.filter("lo <> hi").select("sig", "key", "lo").distinct(), "shared")
+    """(sig, key, lo, times): the groups of sets that a key of the forest joins, with their smallest set. Keys that the same sets share are one tree: sig is a hash of the sets, times how many keys it stands for."""
+    by, mixed = W.partitionBy("sig"), F.xxhash64("key")
+    rows = _signatures(docs, text_col, n).repartition("sig").withColumns({"lo": F.min("key").over(by), "hi": F.max("key").over(by)}).filter("lo <> hi")
+    rows = rows.dropDuplicates(["sig", "key"])
+    halves = {"x": F.sum(F.shiftrightunsigned(mixed, 32)).over(by), "y": F.sum(mixed.bitwiseAND(0xFFFFFFFF)).over(by), "sets": F.count("*").over(by)}
+    same = rows.withColumns(halves).select(F.xxhash64("x", "y", "sets").alias("sig"), "key", "lo")
+    return written(same.groupBy("sig", "key", "lo").agg(F.count("*").alias("times")), "shared")
 
 
 def ngram_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """Every linked pair of different sets: (a, b, shared, n_a, n_b), a and b keys of set_keys. For corpora whose groups are small; ngram_groups needs no pairs within a group."""
+    keyed = written(set_keys(docs, id_col, text_col, n), "keys")
     shared = _shared_keys(docs, text_col, n)
-    points = _sets_of(docs, shared.select("key").distinct(), text_col, n, grams=False)
-    return _verified(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), points), docs, text_col, n)
+    points = _sets_of(docs, keyed, shared.select("key").distinct(), id_col, text_col, n, grams=False)
+    return _verified(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), points), docs, keyed, id_col, text_col, n)
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -374,26 +395,23 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     First each set is verified against one other, the smallest of the keys it shares most often;
     that makes components without pairs within a group. Then only sets of different components
     that still share a key go through the R-trees; their verified pairs join components. The first
-    two rounds of trees give each set its smallest partner only, so that a group of near copies
+    round of trees gives each set its smallest partner only, so that a group of near copies
     grows together without its pairs; the last gives every pair of sets that are still apart. Equal
     sets are one set (its 64-bit hash; the 5-grams are 64-bit hashes too).
     """
     keyed = written(set_keys(docs, id_col, text_col, n), "keys")
     shared = _shared_keys(docs, text_col, n)
-    points = _sets_of(docs, shared.select("key").distinct(), text_col, n, grams=False)
-    stars = shared.filter("key <> lo").groupBy("key", "lo").agg(F.count("*").alias("times"))
+    points = _sets_of(docs, keyed, shared.select("key").distinct(), id_col, text_col, n, grams=False)
+    stars = shared.filter("key <> lo").groupBy("key", "lo").agg(F.sum("times").alias("times"))
     best = stars.groupBy("key").agg(F.max(F.struct("times", "lo")).alias("best")).select(F.col("best.lo").alias("a"), F.col("key").alias("b"))
-    edges = written(_verified(_bounded(best, points), docs, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    edges = written(_verified(_bounded(best, points), docs, keyed, id_col, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     roots = written(components(edges), "roots")
-    by, settled = W.partitionBy("sig"), False
-    for smallest in (True, True, False):
-        if smallest and settled:
-            continue
+    by = W.partitionBy("sig")
+    for smallest in (True, False):
         parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
         open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part")
-        more = written(_verified(_tree_pairs(open_keys, points, smallest), docs, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        settled = more.isEmpty()
-        if not settled:
+        more = written(_verified(_tree_pairs(open_keys, points, smallest), docs, keyed, id_col, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        if not more.isEmpty():
             edges = edges.unionByName(more)
             roots = written(components(edges), "roots")
     least = keyed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
