@@ -395,8 +395,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     First each set is verified against one other, the smallest of the keys it shares most often;
     that makes components without pairs within a group. Then only sets of different components
     that still share a key go through the R-trees; their verified pairs join components. The first
-    round of trees gives each set its smallest partner only, so that a group of near copies
-    grows together without its pairs; the last gives every pair of sets that are still apart. Equal
+    round of trees gives each set its smallest partner in each tree, and two of those at most go
+    on, so that a group of near copies grows together without its pairs; the last gives every pair of sets that are still apart. Equal
     sets are one set (its 64-bit hash; the 5-grams are 64-bit hashes too).
     """
     keyed = written(set_keys(docs, id_col, text_col, n), "keys")
@@ -410,7 +410,11 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for smallest in (True, False):
         parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
         open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part")
-        more = written(_verified(_tree_pairs(open_keys, points, smallest), docs, keyed, id_col, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        found = _tree_pairs(open_keys, points, smallest)
+        if smallest:  # over all trees, two partners a set
+            ends = found.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y"))
+            found = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
+        more = written(_verified(found, docs, keyed, id_col, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             roots = written(components(edges), "roots")
