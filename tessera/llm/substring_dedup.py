@@ -2,7 +2,9 @@
 
 Seeds are word 8-grams picked by winnowing: of any 12 in a row the one with the smallest hash, so
 that equal passages of 19 words have equal seeds. Each seed is joined to its first holder (the
-smallest document with it); per document and holder the matches are chained in order through a
+smallest document with it). The seeds of one passage may have several first holders, none with the
+whole of it, so every run of MIN_WORDS words whose seeds are all shared is joined to the smallest
+document with that run, too. Per document and holder the matches are chained in order through a
 Fenwick tree with a cost for gaps, and the chains are aligned word by word.
 """
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import buffers, cut, sequences, word_starts, words, written
+from .base import _STEP, buffers, cut, mix, sequences, word_starts, words, written
 
 K, WINDOW, MIN_WORDS, MIN_IDENTITY = 8, 12, 50, 0.75
 GAP_COST, MAX_GAP, MARGIN, DROP = 0.2, 40, 64, 8
@@ -71,15 +73,17 @@ class Fenwick:
         return out
 
 
-def runs(at: np.ndarray, ref: np.ndarray, k: int = K, reach: int = K + WINDOW) -> np.ndarray:
-    """Matches (of one document and holder) on one diagonal, each within reach of the last, as one: rows (start, holder's start, words)."""
+def runs(at: np.ndarray, ref: np.ndarray, size: np.ndarray, apart: int = WINDOW) -> np.ndarray:
+    """Matches of size words (of one document and holder) on one diagonal, at most apart words after the last one's end, as one: rows (start, holder's start, words)."""
     order = np.lexsort((at, at - ref))
-    at, ref = at[order], ref[order]
+    at, ref, size = at[order], ref[order], size[order]
+    line = np.concatenate([[0], np.cumsum(np.diff(at - ref) != 0)]) << 40
+    far = np.maximum.accumulate(line + at + size)
     new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at - ref) != 0) | (np.diff(at) > reach)
+    new[1:] = line[1:] + at[1:] > far[:-1] + apart
     begins = np.flatnonzero(new)
     ends = np.concatenate([begins[1:], [len(at)]]) - 1
-    return np.stack([at[begins], ref[begins], at[ends] - at[begins] + k], 1)
+    return np.stack([at[begins], ref[begins], far[ends] - line[ends] - at[begins]], 1)
 
 
 def chains(segments: np.ndarray, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[list[tuple[int, int, int]]]:
@@ -166,18 +170,144 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tu
     return start_a - back, at + more, start_b - back, ref + more, matches + equal + equal_back
 
 
+def passages(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+    """As align, of a chain's passages of least words and the identity: the whole chain, else what is left when it is parted at its widest gap, else the best parts of a segment."""
+    s, e, rs, re, same = align(a, b, chain)
+    if same >= identity * max(e - s, re - rs):
+        return [(s, e, rs, re, same)] if e - s >= least else []
+    if len(chain) > 1:
+        gaps = [max(q - p - n, u - r - n) for (p, r, n), (q, u, _) in zip(chain, chain[1:])]
+        at = 1 + gaps.index(max(gaps))
+        return passages(a, b, chain[:at], least, identity) + passages(a, b, chain[at:], least, identity)
+    p, r, n = chain[0]
+    back, more = min(p, r), min(len(a) - p, len(b) - r)
+    return [(p + i, p + j, r + i, r + j, same) for i, j, same in _alike(a[p - back : p + more] == b[r - back : r + more], -back, least, identity)]
+
+
+def _alike(same: np.ndarray, start: int, least: int, identity: float) -> list[tuple[int, int, int]]:
+    """Start, end and equal words of parts of least words and the identity; a run of least equal words is always in one."""
+    todo, out = [(0, len(same))], []
+    while todo:
+        i, j = todo.pop()
+        if j - i < least:
+            continue
+        total = np.concatenate([[0.0], np.cumsum(np.where(same[i:j], 1.0, -identity / max(1 - identity, 1e-9)))])
+        rise = total - np.minimum.accumulate(total)
+        to = int(rise.argmax())
+        at = int(total[: to + 1].argmin())
+        if to == at:
+            continue
+        if to - at >= least:
+            out.append((start + i + at, start + i + to, int(same[i + at : i + to].sum())))
+        todo += [(i, i + at), (i + to, j)]
+    return sorted(out)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], names: list[str], by: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first of them (by in number), never parted within a group."""
+    held = None
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            now = [np.concatenate([x, y]) for x, y in zip(held, now)]
+        if not len(now[0]):
+            continue
+        keep = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in now[:by]])))  # the last group may go on in the next batch
+        if keep:
+            yield [x[:keep] for x in now]
+        held = [x[keep:] for x in now]
+    if held is not None:
+        yield held
+
+
+def _areas(shared: DataFrame, least: int) -> DataFrame:
+    """(id, areas) from the shared seeds (id, pos): the first and last word, in turn, at which least words that another document has may start.
+
+    Each WINDOW seeds' places within such words have a shared one: the first of them lies at most
+    WINDOW - 1 words after the start, the last one at most K + WINDOW - 1 before the end, and no two
+    that follow one another are more than WINDOW words apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, pos in _grouped(batches, ["id", "pos"], 1):
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(pos) > WINDOW)]))
+            ends = np.concatenate([begins[1:], [len(ids)]]) - 1
+            spans = np.stack([pos[begins] - WINDOW + 1, pos[ends] - (least - K - WINDOW + 1)], 1)
+            good = spans[:, 0] <= spans[:, 1]
+            of, spans = ids[begins][good], spans[good]
+            if len(of):
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
+                yield pa.RecordBatch.from_arrays([pa.array(of[heads]), pa.ListArray.from_arrays(pa.array(2 * np.append(heads, len(of)), pa.int32()), pa.array(spans.ravel()))], ["id", "areas"])
+
+    return shared.repartition("id").sortWithinPartitions("id", "pos").mapInArrow(run, "id long, areas array<bigint>")
+
+
+def windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each word on, as far as there are n."""
+    step = lambda k: np.uint64(pow(_STEP, 3 * k, 2**64))
+    out, have, part, size = None, 0, hashes.astype(np.uint64), 1
+    while True:
+        if n & size:
+            m = len(hashes) - have - size + 1
+            out = part[:m] if out is None else out[:m] + part[have : have + m] * step(have)
+            have += size
+        if have == n:
+            return mix(out)
+        m = len(part) - size
+        part, size = part[:m] + part[size:] * step(size), 2 * size
+
+
+def _whole(own: DataFrame, least: int) -> DataFrame:
+    """(doc_id, ref_id, pos, ref_pos) of each least words of an area (own: id, words, areas) that a smaller document has, with the smallest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, i = batch.column("words").offsets.to_numpy(), 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 19), "right")) - 1)
+                ids, lists, areas = (batch.slice(i, j - i).column(c) for c in ("id", "words", "areas"))
+                i = j
+                first, ends = lists.offsets.to_numpy().astype(np.int64), areas.offsets.to_numpy()
+                values = lists.values.to_numpy()[first[0] : first[-1]].view(np.uint32)
+                first = first - first[0]
+                if len(values) < least:
+                    continue
+                spans = areas.values.to_numpy()[ends[0] : ends[-1]].reshape(-1, 2)
+                of = np.repeat(np.arange(len(ids)), np.diff(ends) // 2)
+                low, high = first[of] + np.maximum(spans[:, 0], 0), np.minimum(first[of] + spans[:, 1], first[of + 1] - least) + 1
+                good = low < high
+                turns = np.zeros(len(values) + 1, np.int64)
+                np.add.at(turns, low[good], 1)
+                np.add.at(turns, high[good], -1)
+                at = np.flatnonzero(np.cumsum(turns) > 0)
+                of = np.searchsorted(first, at, "right") - 1
+                hashes = windows(values, least)[at].view(np.int64)
+                heads = np.zeros(len(at), bool)
+                heads[_first_of_each(of, hashes)] = True
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids.to_numpy()[of]), pa.array(at - first[of]), pa.array(heads)], ["seed", "id", "pos", "head"])
+
+    found = own.mapInArrow(run, "seed long, id long, pos long, head boolean")
+    return found.join(_first_holders(found), "seed").filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos")
+
+
+def _first_holders(found: DataFrame) -> DataFrame:
+    """(seed, ref_pos, ref_id) of the seeds that several ids have."""
+    first = found.groupBy("seed").agg(F.min_by("pos", F.expr("if(head, id, null)")).alias("ref_pos"), F.min("id").alias("ref_id"), F.max("id").alias("last_id"))
+    return first.filter("ref_id < last_id").drop("last_id")
+
+
 def _chained(anchors: DataFrame, least: int) -> DataFrame:
     """(doc_id, ref_id, p0, p1, r0, r1, chain) of chains that cover a good part of least words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(doc, ref, p, r):
+        def flush(doc, ref, p, r, size):
             edges = np.flatnonzero((np.diff(doc) != 0) | (np.diff(ref) != 0)) + 1
             bounds = np.concatenate([[0], edges, [len(doc)]])
             out = []
             for i, j in zip(bounds[:-1], bounds[1:]):
-                if j - i < 2:
+                if j - i < 2 and size[i] < least:
                     continue
-                for chain in chains(runs(p[i:j], r[i:j])):
+                for chain in chains(runs(p[i:j], r[i:j], size[i:j])):
                     (p0, r0, _), (p1, r1, n) = chain[0], chain[-1]
                     if sum(s[2] for s in chain) >= least // 3 and p1 + n - p0 + 2 * MARGIN >= least:
                         out.append((doc[i], ref[i], p0, p1 + n, r0, r1 + n, [x for s in chain for x in s]))
@@ -185,26 +315,15 @@ def _chained(anchors: DataFrame, least: int) -> DataFrame:
                 names = ["doc_id", "ref_id", "p0", "p1", "r0", "r1", "chain"]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in list(zip(*out))[:6]), pa.array([o[6] for o in out], pa.list_(pa.int64()))], names)
 
-        held = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "ref_id", "pos", "ref_pos")]
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now)]
-            if not len(now[0]):
-                continue
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            keep = int(np.argmax(same))  # the last group may go on in the next batch
-            yield from flush(*(x[:keep] for x in now))
-            held = [x[keep:] for x in now]
-        if held is not None:
-            yield from flush(*held)
+        for columns in _grouped(batches, ["doc_id", "ref_id", "pos", "ref_pos", "size"], 2):
+            yield from flush(*columns)
 
     rows = anchors.repartition("doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id", "pos")
     return rows.mapInArrow(run, "doc_id long, ref_id long, p0 long, p1 long, r0 long, r1 long, chain array<bigint>")
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, words array<int>) of the documents wanted: their words' hashes. A bitmap of 2**BITS bits says which to make; the join drops what else it lets through."""
+    """(id, words array<int>) of the documents wanted (one row an id), with wanted's columns: their words' hashes. A bitmap of 2**BITS bits says which to make; the join drops what else it lets through."""
     spark = docs.sparkSession
     place = F.pmod(F.xxhash64("id"), F.lit(1 << BITS))
     rows = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
@@ -223,15 +342,16 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["id", "words"])
 
     rows = docs.filter("id is not null").withColumn("p", place).mapInArrow(run, "id long, words array<int>")
-    return written(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "words")
+    return rows.join(wanted, "id").dropDuplicates(["id"])
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """Passages that a document shares with an earlier holder: doc_id, ref_doc_id, start_word, n_words, ref_start_word, ref_n_words, matches, identity.
 
     Words are runs between blanks, A-Z as a-z. identity: equal words in the alignment over the
-    longer side's words. The holder is the smallest id with the seeds, so a passage in thousands
-    of documents gives a row for each but the first, never a pair for any two. Repeats within
+    longer side's words. The holder is the smallest id with the seeds or with min_words equal words
+    in a row, so a passage in thousands of documents gives a row for each but the first, never a
+    pair for any two; each min_words words that a smaller id has are in a row. Repeats within
     one document are not reported. Null and short texts and null ids give no row; rows that
     repeat an id are taken for the same document. An empty table gives an empty one.
     """
@@ -246,12 +366,16 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(at), pa.array(heads)], ["seed", "id", "pos", "head"])
 
     occurrences = base.filter("id is not null").mapInArrow(run, "seed long, id long, pos long, head boolean")
-    first = occurrences.groupBy("seed").agg(F.min_by("pos", F.expr("if(head, id, null)")).alias("ref_pos"), F.min("id").alias("ref_id"), F.max("id").alias("last_id"))
-    first = first.filter("ref_id < last_id").drop("last_id")
-    anchors = occurrences.join(first, "seed").filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos")
+    shared = written(occurrences.join(_first_holders(occurrences), "seed").select("id", "ref_id", "pos", "ref_pos"), "shared")
+    if min_words >= K + WINDOW - 1:
+        areas = written(_areas(shared.select("id", "pos"), min_words), "areas")
+    else:  # so few words need not have a seed
+        areas = base.filter("id is not null").select("id", F.array(F.lit(0).cast("long"), F.length("text").cast("long")).alias("areas")).filter("areas[1] is not null").dropDuplicates(["id"])
+    whole = _whole(_words_of(base, areas), min_words).withColumn("size", F.lit(min_words).cast("long"))
+    anchors = shared.filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos", F.lit(K).cast("long").alias("size")).unionByName(whole)
     chained = written(_chained(anchors, min_words), "chains")
     wanted = chained.select(F.explode(F.array("doc_id", "ref_id")).alias("id")).distinct()
-    own = _words_of(base, wanted)
+    own = written(_words_of(base, wanted), "words")
     part = lambda words, a, b: F.slice(words, F.greatest(F.col(a) - MARGIN, F.lit(0)).cast("int") + 1, (F.col(b) - F.greatest(F.col(a) - MARGIN, F.lit(0)) + MARGIN).cast("int"))
     rows = chained.join(own.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("a", part("words", "p0", "p1")).drop("words")
     rows = rows.join(own.withColumnRenamed("id", "ref_id"), "ref_id").withColumn("b", part("words", "r0", "r1")).drop("words")
@@ -262,10 +386,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for doc, ref, p0, r0, chain, a, b in zip(*(batch.column(c) for c in ("doc_id", "ref_id", "p0", "r0", "chain", "a", "b"))):
                 p, r = max(0, p0.as_py() - MARGIN), max(0, r0.as_py() - MARGIN)
                 steps = chain.values.to_numpy().reshape(-1, 3) - [p, r, 0]
-                s, e, rs, re, same = align(a.values.to_numpy(), b.values.to_numpy(), [tuple(x) for x in steps.tolist()])
-                longest = max(e - s, re - rs)
-                if e - s >= min_words and same >= min_identity * longest:
-                    out.append((doc.as_py(), ref.as_py(), s + p, e - s, rs + r, re - rs, same, same / longest))
+                for s, e, rs, re, same in passages(a.values.to_numpy(), b.values.to_numpy(), [tuple(x) for x in steps.tolist()], min_words, min_identity):
+                    out.append((doc.as_py(), ref.as_py(), s + p, e - s, rs + r, re - rs, same, same / max(e - s, re - rs)))
             if out:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:7]), pa.array([o[7] for o in out])], ["doc_id", "ref_doc_id", "start_word", "n_words", "ref_start_word", "ref_n_words", "matches", "identity"])
 

@@ -197,6 +197,39 @@ def test_passages(docs, rows, nothing):
     assert substring_dedup.shared_passages(nothing).count() == 0
 
 
+def test_passages_whose_parts_have_other_holders(spark):
+    rng, n, rows = random.Random(11), substring_dedup.MIN_WORDS, []
+    fill = lambda k: words(rng, k, 10**6).split()
+    for case in range(30):
+        passage = fill(50 + 2 * case)
+        half = len(passage) // 2 if case % 3 else 20
+        parts = [passage[:half], passage[half:], passage, passage] if case % 2 else [passage[:half], passage[half:], [*passage, *fill(12), *passage[:8]], passage]
+        rows += [(100 * case + k, " ".join(fill(rng.randrange(60)) + part + fill(rng.randrange(60)))) for k, part in enumerate(parts)]
+    got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts, spans, first = {i: t.split() for i, t in rows}, defaultdict(set), {}
+    for r in got:
+        spans[r["doc_id"]].update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    for i, w in sorted(texts.items()):
+        for j in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[j : j + n]), i) != i:
+                assert spans[i] >= set(range(j, j + n)), (i, j)
+    assert {i for i in texts if i % 100 == 3} <= set(spans)
+
+
+def test_hashes_of_windows():
+    got = substring_dedup.windows(np.array([5, 7, 5, 9, 1] * 30 + [3], np.uint32), 50)
+    assert len(got) == 102 and len(set(got.tolist())) == 6 and (got[:5] == got[5:10]).all()
+
+
+def test_equal_words_are_kept_of_a_poor_chain():
+    a, b = np.arange(300), np.arange(300)
+    b[60:110:2] += 1000
+    b[130:] += 1000
+    chain = [(0, 0, 120)]
+    (s, e, _, _, same), *_ = substring_dedup.passages(a, b, chain, 50, 0.9)
+    assert s == 0 and 60 <= e <= 62 and same >= 0.9 * (e - s)
+
+
 def test_fingerprints(spark, docs, rows, nothing):
     got = fingerprints.edited_fingerprints(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
