@@ -4,8 +4,9 @@ Seeds are word 8-grams picked by winnowing: of any 12 in a row the one with the
 that equal passages of 19 words have equal seeds. Each seed is joined to its first holder (the
 smallest document with it). The seeds of one passage may have several first holders, none with the
 whole of it, so every run of MIN_WORDS words whose seeds are all shared is joined to the smallest
-document with that run, too. Per document and holder the matches are chained in order through a
-Fenwick tree with a cost for gaps, and the chains are aligned word by word.
+document with that run, too. Per document and holder the matches are chained in order with a
+cost for gaps, through a tree of the largest scores that near enough matches have (they leave it again,
+which a Fenwick tree can't do), and the chains are aligned word by word.
 """
 
 from __future__ import annotations
@@ -51,25 +52,30 @@ def seeds(texts: pa.Array, k: int = K, window: int = WINDOW) -> tuple[np.ndarray
     return grams[at].view(np.int64), at - first[of], of
 
 
-class Fenwick:
-    """Largest value at or below a place."""
+class Tree:
+    """Largest value of a range of places, each of which holds one value or none."""
 
     def __init__(self, n: int):
-        self.best = [(-1e18, -1)] * (n + 1)
-
-    def put(self, i: int, value: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i] = value
-            i += i & -i
-
-    def top(self, i: int) -> tuple[float, int]:
-        """Of places 0 to i - 1."""
-        out = (-1e18, -1)
-        while i > 0:
-            out = max(out, self.best[i])
-            i -= i & -i
+        self.n, self.best = n, [(-1e18, -1)] * (2 * n)
+
+    def put(self, i: int, value: tuple[float, int] = (-1e18, -1)) -> None:
+        i += self.n
+        self.best[i] = value
+        while i > 1:
+            i //= 2
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
+
+    def top(self, i: int, j: int) -> tuple[float, int]:
+        """Of places i to j - 1."""
+        out, i, j = (-1e18, -1), i + self.n, j + self.n
+        while i < j:
+            if i & 1:
+                out = max(out, self.best[i])
+                i += 1
+            if j & 1:
+                j -= 1
+                out = max(out, self.best[j])
+            i, j = i // 2, j // 2
         return out
 
 
@@ -95,23 +101,26 @@ def chains(segments: np.ndarray, gap_cost: float = GAP_COST, max_gap: int = MAX_
     rows = segments[np.lexsort((segments[:, 1], segments[:, 0]))].tolist()
     if len(rows) == 1:
         return [[tuple(rows[0])]]
-    ends = sorted({r + n for _, r, n in rows})
-    rank = {e: i for i, e in enumerate(ends)}
-    starts_rank = np.searchsorted(ends, [r + K // 2 for _, r, _ in rows], "right")  # seeds may overlap a little
+    by_ref = sorted(range(len(rows)), key=lambda i: rows[i][1] + rows[i][2])
+    rank = {i: place for place, i in enumerate(by_ref)}
+    ends, starts = [rows[i][1] + rows[i][2] for i in by_ref], [r for _, r, _ in rows]
+    low = np.searchsorted(ends, [r - max_gap for r in starts], "left").tolist()
+    high = np.searchsorted(ends, [r + K // 2 for r in starts], "right").tolist()  # seeds may overlap a little
     score, before = [0.0] * len(rows), [-1] * len(rows)
-    tree, waiting, done = Fenwick(len(ends)), sorted(range(len(rows)), key=lambda i: rows[i][0] + rows[i][2]), 0
+    tree, waiting, done, over = Tree(len(rows)), sorted(range(len(rows)), key=lambda i: rows[i][0] + rows[i][2]), 0, 0
     for j, (p, r, n) in enumerate(rows):
         while done < len(waiting) and (i := waiting[done]) is not None and rows[i][0] + rows[i][2] <= p + K // 2 and i < j:
             end_p, end_r = rows[i][0] + rows[i][2], rows[i][1] + rows[i][2]
-            tree.put(rank[end_r], (score[i] + gap_cost * (end_p + end_r), i))
+            tree.put(rank[i], (score[i] + gap_cost * (end_p + end_r), i))
             done += 1
-        value, i = tree.top(int(starts_rank[j]))
+        while over < done and rows[i := waiting[over]][0] + rows[i][2] < p - max_gap:  # too far from all that follow
+            tree.put(rank[i])
+            over += 1
+        value, i = tree.top(low[j], high[j])
         joined = value - gap_cost * (p + r)
         score[j] = n + max(0.0, joined)
-        if i >= 0 and joined > 0 and p - rows[i][0] - rows[i][2] <= max_gap and r - rows[i][1] - rows[i][2] <= max_gap:
+        if i >= 0 and joined > 0:
             before[j] = i
-        else:
-            score[j] = float(n)
     out, used = [], [False] * len(rows)
     for j in sorted(range(len(rows)), key=lambda j: -score[j]):
         chain = []

@@ -230,6 +230,27 @@ def test_equal_words_are_kept_of_a_poor_chain():
     assert s == 0 and 60 <= e <= 62 and same >= 0.9 * (e - s)
 
 
+def test_far_match_hides_no_near_one(spark):
+    rng = random.Random(3)
+    fill = lambda k: words(rng, k, 10**6).split()
+    assert [(105, 105, 22), (128, 127, 22), (151, 149, 22)] in substring_dedup.chains(np.array([(0, 0, 60), (105, 105, 22), (128, 127, 22), (151, 149, 22)]))
+    long, fuzzy = fill(60), fill(66)
+    mended = [*fuzzy[:22], *fill(1), *fuzzy[22:44], *fill(1), *fuzzy[44:]]
+    rows = [(1, " ".join([*long, *fill(45), *fuzzy])), (2, " ".join([*long, *fill(45), *mended]))]
+    got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(r["start_word"] >= 100 and r["n_words"] >= 60 for r in got) and len(got) == 2
+    cost, gap, k = substring_dedup.GAP_COST, substring_dedup.MAX_GAP, substring_dedup.K
+    for _ in range(200):  # the best chain, by brute force
+        found = sorted((rng.randrange(200), rng.randrange(200), rng.randrange(k, 30)) for _ in range(rng.randrange(2, 25)))
+        best = []
+        for p, r, n in found:
+            near = [s - cost * (p + r - q - u - 2 * m) for (q, u, m), s in zip(found, best) if -k // 2 <= p - q - m <= gap and -k // 2 <= r - u - m <= gap]
+            best.append(n + max([0.0, *near]))
+        chain = substring_dedup.chains(np.array(found))[0]
+        total = sum(n for _, _, n in chain) - sum(cost * (p + r - q - u - 2 * m) for (q, u, m), (p, r, _) in zip(chain, chain[1:]))
+        assert abs(total - max(best)) < 1e-6
+
+
 def test_fingerprints(spark, docs, rows, nothing):
     got = fingerprints.edited_fingerprints(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
