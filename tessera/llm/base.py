@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _powers["up"] = np.cumprod(np.full(size, _STEP, np.uint64))
         _powers["down"] = np.cumprod(np.full(size, pow(_STEP, -1, 2**64), np.uint64))
     return _powers["up"], _powers["down"]
@@ -109,6 +111,71 @@ def terms(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> t
     return starts, ends, out, first
 
 
+class Numbers:
+    """Numbers for different byte strings, in order of arrival.
+
+    Strings are told apart by a 64-bit hash, their length and their first 8 bytes; one that agrees
+    with a known string in its hash alone gets a number of its own. size: numbers given so far.
+    """
+
+    def __init__(self):
+        self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.heads, self.lengths, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def number(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each string data[bounds[i]:bounds[i + 1]], none empty, and the indexes of the strings whose numbers are new, in the numbers' order."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        starts, lengths = bounds[:-1], np.diff(bounds)
+        up, down = _power_tables(n)
+        hashes = mix(np.add.reduceat(_BYTE[data] * up[:n], starts) * down[starts])
+        heads = np.ndarray((n,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))[starts]
+        heads = np.where(lengths < 8, heads & ((np.uint64(1) << (8 * np.minimum(lengths, 7)).astype(np.uint64)) - np.uint64(1)), heads)
+        different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, different), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == different if len(self.hashes) else np.zeros(len(different), bool)
+        new = np.flatnonzero(~known)
+        codes = np.empty(len(different), np.int32)
+        codes[known] = self.codes[at[known]]
+        codes[new] = self.size + np.arange(len(new))
+        fresh = first[new]
+        spots = np.searchsorted(self.hashes, different[new])
+        self.hashes, self.codes = np.insert(self.hashes, spots, different[new]), np.insert(self.codes, spots, codes[new])
+        self._more(heads[fresh], lengths[fresh])
+        out = codes[which]
+        other = np.flatnonzero((self.heads[out] != heads) | (self.lengths[out] != lengths))
+        if len(other):
+            out[other] = self.size + np.arange(len(other))
+            self._more(heads[other], lengths[other])
+            fresh = np.concatenate([fresh, other])
+        return out, fresh
+
+    def _more(self, heads: np.ndarray, lengths: np.ndarray) -> None:
+        end = self.size + len(heads)
+        if end > len(self.heads):
+            room = max(end, 2 * len(self.heads)) - self.size
+            self.heads = np.concatenate([self.heads[: self.size], np.zeros(room, np.uint64)])
+            self.lengths = np.concatenate([self.lengths[: self.size], np.zeros(room, np.int64)])
+        self.heads[self.size : end], self.lengths[self.size : end] = heads, lengths
+        self.size = end
+
+
+def joined(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of data with these starts and lengths, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return data[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+
+
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; afterwards the worker, which goes on to other tasks, gives the memory it no longer needs back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sequences(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the k words from each word on, and whether they lie in one text; short ends give no sequence."""
     n = len(hashes)

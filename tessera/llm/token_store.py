@@ -19,55 +19,109 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import cut, shared_folder
+from .base import Numbers, buffers, cut, freed, joined, shared_folder
 
 MAGIC, END_ID, SHARD_TOKENS, WORD_BITS = b"WVM1", 2, 1 << 20, 512
-#: A blank run and what follows it up to the next one: no pre-token of the byte-level split reaches over its start.
-_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Strings whose ids a task keeps.
+KNOWN = 1_500_000
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 13, 32]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: ASCII signs, which end a word.
+_SIGN = ~_ALNUM & ~_BLANK
+_SIGN[[*range(33), *range(127, 256)]] = False
+#: First bytes of white space other than blanks, and of the special token.
+_LEAD = np.zeros(256, bool)
+_LEAD[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF, 0x3C]] = True
 #: Other white space, which the split would join to a blank run; and the special token.
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]|<\|")
-_CACHE = 150_000
 
 
 class Encoder:
-    """A byte-level tokenizers file; ids of the chunks between blanks are kept, and whole texts go to the tokenizer where chunks could differ."""
+    """A byte-level tokenizers file, whose encoder sees each different string between blanks once; texts where such strings could differ go to it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
         spelled = self.tokenizer.get_vocab()  # byte-level: a character of a token's name is a byte
         self.width = np.zeros(max(spelled.values()) + 1, np.int64)
         self.width[list(spelled.values())] = [len(t) for t in spelled]
+        self._forget()
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new chunks. Those that start with a blank and end with none are encoded as one text and told apart by the bytes their ids stand for."""
-        plain = [c for c in new if c[0] in " \t\n\r" and c[-1] not in " \t\n\r"]
-        rest = [c for c in new if not (c[0] in " \t\n\r" and c[-1] not in " \t\n\r")]
+    def _forget(self) -> None:
+        self.numbers = Numbers()
+        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of new strings. Those that start with a blank and end with none are encoded as one text and told apart by the bytes their ids stand for."""
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            ids = batch(["".join(part)], add_special_tokens=False)[0].ids
-            ends = np.cumsum(self.width[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in part]), "right").tolist()
-            self.known.update(zip(part, (tuple(ids[a:b]) for a, b in zip([0, *stops], stops))))
-        for i in range(0, len(rest), 4000):
-            part = rest[i : i + 4000]
-            self.known.update(zip(part, (tuple(e.ids) for e in batch(part, add_special_tokens=False))))
-
-    def encode(self, texts: list[str], end: int = END_ID) -> tuple[np.ndarray, list[int]]:
-        """All ids in turn, each text's followed by end, and their number per text."""
-        known, tail = self.known, (end,)
-        if len(known) > _CACHE:
-            known.clear()
-        cut_up = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        new = list({c for chunks in cut_up if chunks for c in chunks if c not in known})
-        self._learn(new)
-        pieces = [[tuple(self.tokenizer.encode(t, add_special_tokens=False).ids)] if chunks is None else list(map(known.__getitem__, chunks)) for t, chunks in zip(texts, cut_up)]
-        counts = [sum(map(len, p)) + 1 for p in pieces]
-        ids = np.fromiter(chain.from_iterable(chain.from_iterable((*p, tail) for p in pieces)), np.uint32, sum(counts))
-        return ids, counts
+        plain = _BLANK[data[starts]] & ~_BLANK[data[ends - 1]]
+        counts, ids, held = np.zeros(len(starts), np.int64), [], []
+        some = np.flatnonzero(plain)
+        for i in range(0, len(some), 4000):
+            part = some[i : i + 4000]
+            lengths = ends[part] - starts[part]
+            got = np.array(batch([joined(data, starts[part], lengths).tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.searchsorted(np.cumsum(self.width[got]), np.cumsum(lengths), "right")
+            counts[part] = np.diff(stops, prepend=0)
+            ids.append(got)
+            held.append(part)
+        some = np.flatnonzero(~plain)
+        for i in range(0, len(some), 4000):
+            part = some[i : i + 4000]
+            got = [e.ids for e in batch([data[a:b].tobytes().decode() for a, b in zip(starts[part].tolist(), ends[part].tolist())], add_special_tokens=False)]
+            counts[part] = [len(g) for g in got]
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            held.append(part)
+        order = np.concatenate(held)
+        at = np.empty(len(starts), np.int64)
+        at[order] = len(self.flat) + np.cumsum(counts[order]) - counts[order]
+        self.starts, self.counts, self.flat = np.concatenate([self.starts, at]), np.concatenate([self.counts, counts]), np.concatenate([self.flat, *ids])
+
+    def encode(self, texts: pa.Array, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn, each text's followed by end, and their number per text (a null text is empty)."""
+        data, offsets = buffers(texts)
+        n = len(data)
+        odd = np.zeros(len(texts), bool)
+        for t in np.unique(np.searchsorted(offsets, np.flatnonzero(_LEAD[data]), "right") - 1).tolist():
+            odd[t] = bool(_ODD.search(data[offsets[t] : offsets[t + 1]].tobytes().decode()))
+        if self.numbers.size > KNOWN:
+            self._forget()
+        # a string: a run of blanks and what follows up to the next one, or the signs that end it after a letter
+        blank = _BLANK[data]
+        new = np.zeros(n + 1, bool)
+        new[1:n] = blank[1:] & ~blank[:-1]
+        new[offsets] = True
+        heads = np.flatnonzero(new)
+        sign = _SIGN[data]
+        letter = _ALNUM[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        turn = np.zeros(n + 1, bool)  # a sign after a letter: it starts an ending if only signs follow
+        turn[1:n] = sign[1:] & letter[:-1]
+        turns = np.flatnonzero(turn)
+        if len(turns):
+            others = np.flatnonzero(np.concatenate([~sign, [True]]) | new)
+            after = others[np.searchsorted(others, turns, "right")]
+            turns = turns[new[after]]
+            bounds = np.sort(np.concatenate([heads, turns]), kind="stable")
+        else:
+            bounds = heads
+        codes, fresh = self.numbers.number(data, bounds)
+        if len(fresh):
+            self._learn(data, bounds[fresh], bounds[fresh + 1])
+        n_ids = self.counts[codes]
+        firsts = np.searchsorted(bounds, offsets)
+        total = np.concatenate([[0], np.cumsum(n_ids)])
+        ids = joined(self.flat, self.starts[codes], n_ids)
+        ends = total[firsts]
+        if odd.any():
+            parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            for t in np.flatnonzero(odd).tolist():
+                parts[t] = np.array(self.tokenizer.encode(data[offsets[t] : offsets[t + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return np.insert(ids, ends[1:], np.uint32(end)), np.diff(ends) + 1
 
 
 def build_matrix(ids: np.ndarray, levels: int | None = None) -> bytes:
@@ -192,11 +246,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 ["part", "shard", "n_tokens", "doc_ids", "lengths", "matrix"],
             )
 
-        for batch in cut(batches, "text", 1 << 19):
-            got, counts = encoder.encode(batch.column("text").fill_null("").to_pylist(), end_id)
+        for batch in cut(freed(batches), "text", 1 << 20):
+            got, counts = encoder.encode(batch.column("text"), end_id)
             ids.append(got)
             docs_in += batch.column("doc_id").to_pylist()
-            lengths += counts
+            lengths += counts.tolist()
             held += len(got)
             if held >= shard_tokens:
                 yield row()
