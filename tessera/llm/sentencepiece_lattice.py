@@ -1,33 +1,37 @@
 """SentencePiece encoding over a relational lattice, and decoding.
 
-A text is cut where no piece spans the place, into units; each chunk of documents keeps its
-different units and the documents as numbers into them. The different units of a block of chunks
-are exploded into their substrings of bounded length, equi-joined to the piece table and grouped
-into the edges of their lattice, and a higher-order aggregate folds the edges into ids: by Viterbi for a unigram
-model, and for a BPE model by its own rule, best merge first. (The best sum over a BPE model's
-scores isn't what SentencePiece returns for it.) The ids go back to the chunks that use them.
+Each chunk of documents keeps its different words and the documents as numbers into them. The
+different words of a block of chunks, by lots, are cut where no piece spans the place, into units.
+Units are exploded into their substrings of bounded length, equi-joined to the piece table and
+grouped into the edges of their lattice, and a higher-order aggregate folds the edges into ids: by
+Viterbi for a unigram model, and for a BPE model by its own rule, best merge first. (The best sum
+over a BPE model's scores isn't what SentencePiece returns for it.) The ids go back to the chunks
+that use them.
 """
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, written
+from .base import Numbers, buffers, cut, freed, joined, mix, written
 
-BLANK, CHUNK_BYTES, BLOCK_CHUNKS, MASK_CHARS = "▁", 8 << 20, 64, 60
+#: A chunk's bytes of text, chunks of a block and lots of a chunk's words.
+CHUNK_BYTES, BLOCK_CHUNKS, LOTS = 8 << 20, 256, 64
+BLANK, MASK_CHARS = "▁", 60
 
 
-@dataclass(frozen=True)
+@dataclass
 class Pieces:
     """The table of a model: pieces that texts can be made of, with ids and scores; id of byte 0 (or None) and of an unknown character."""
 
@@ -36,10 +40,14 @@ class Pieces:
     unknown: int
     spelled: tuple[bytes, ...]
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
 
+    @cached_property
+    def table(self) -> dict[str, tuple[int, float]]:
+        return {p: (i, s) for p, i, s in self.rows}
+
 
 def load_pieces(model_file: str) -> Pieces:
     import sentencepiece
@@ -65,33 +73,58 @@ def units_of(word: str, pairs: frozenset[str]) -> list[str]:
     return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-CHUNK = "chunk long, doc_ids array<bigint>, counts array<int>, codes binary, units array<string>"
+#: Rows of a chunk: itself (lot -1; packed has the lot of each different word and the words in turn as numbers) and, for each lot of its different words, these.
+CHUNK = "chunk long, lot int, doc_ids array<bigint>, counts array<int>, n int, size int, packed binary"
 
 
-def chunks(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """Documents (doc_id, text) in chunks: ids, units per document, their numbers (zstd), the chunk's different units. A blank goes before each text that isn't empty."""
-    pairs = frozenset(p[i : i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1))
-    shared = docs.sparkSession.sparkContext.broadcast(pairs)
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, their lowest bytes first: small numbers leave planes that compress to nothing."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4")[:, 0].astype(np.int64)
+
+
+def _zipped(raw: bytes) -> tuple[int, bytes]:
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unzipped(size: int, packed: bytes) -> bytes:
+    return pa.decompress(packed, size, codec="zstd", asbytes=True)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) in chunks of about CHUNK_BYTES, as rows of CHUNK. A word is a run of blanks and what follows up to the next one; a blank goes before each text that isn't empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, seq = shared.value, 0
-        for batch in batches:
+        seq = 0
+        for batch in freed(batches):
             for part in cut([batch], "text", CHUNK_BYTES):
-                number: dict[str, int] = {}
-                known: dict[str, tuple[int, ...]] = {}
-                codes = []
-                for text in part.column("text").fill_null("").to_pylist():
-                    found = _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
-                    for w in found:
-                        if w not in known:
-                            known[w] = tuple(number.setdefault(u, len(number)) for u in units_of(w, pairs))
-                    codes.append(np.fromiter(chain.from_iterable(map(known.__getitem__, found)), np.int32))
-                raw = pa.compress(np.concatenate(codes).tobytes(), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(TaskContext.get().partitionId() << 32) + seq], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([[len(c) for c in codes]], pa.list_(pa.int32())), pa.array([raw], pa.binary()), pa.array([list(number)], pa.list_(pa.string()))],
-                    ["chunk", "doc_ids", "counts", "codes", "units"],
-                )
+                numbers, codes, counts, texts = Numbers(), [], [], []
+                for some in cut([part], "text", 1 << 20):
+                    data, offsets = buffers(some.column("text"))
+                    full = np.diff(offsets) > 0
+                    data = np.insert(data, offsets[:-1][full], 32)
+                    offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+                    new = np.zeros(len(data) + 1, bool)
+                    new[1:-1] = (data[1:] == 32) & (data[:-1] != 32)
+                    new[offsets] = True
+                    bounds = np.flatnonzero(new)
+                    own, fresh = numbers.number(data, bounds)
+                    codes.append(own)
+                    counts.append(np.diff(np.searchsorted(bounds, offsets)))
+                    texts.append(joined(data, bounds[fresh], bounds[fresh + 1] - bounds[fresh]))
+                lengths, words = numbers.lengths[: numbers.size], np.concatenate(texts)
+                starts = np.cumsum(lengths) - lengths
+                lots = (mix(numbers.heads[: numbers.size] + lengths.astype(np.uint64)) % np.uint64(LOTS)).astype(np.uint8)
+                rows = [(-1, part.column("doc_id").to_pylist(), np.concatenate(counts).tolist(), numbers.size, *_zipped(lots.tobytes() + _planes(np.concatenate(codes))))]
+                for lot in np.unique(lots).tolist():
+                    own = np.flatnonzero(lots == lot)
+                    rows.append((lot, None, None, len(own), *_zipped(_planes(lengths[own]) + joined(words, starts[own], lengths[own]).tobytes())))
+                key = (TaskContext.get().partitionId() << 32) + seq
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), *columns], ["chunk", "lot", "doc_ids", "counts", "n", "size", "packed"])
                 seq += 1
 
     return docs.mapInArrow(run, CHUNK)
@@ -112,47 +145,66 @@ def _runs(batches: Iterator[pa.RecordBatch], starts: Callable[[pa.RecordBatch],
         yield held, starts(held)
 
 
-def _lists(first: np.ndarray, batch: pa.RecordBatch, names: list[str]) -> pa.Array:
-    """The columns of each run as a list of structs."""
-    return pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), pa.StructArray.from_arrays([batch.column(c) for c in names], names))
-
-
-USES = "uses array<struct<chunk: bigint, at: int>>"
-
-
-def uses(stored: DataFrame, which: str) -> DataFrame:
-    """(unit, uses): each different unit of a block of chunks, if which holds for it, with the chunks that have it, and where.
-
-    Blocks hold about BLOCK_CHUNKS chunks, so a unit that all chunks have is many short lists.
+def _load(lot: int, members: list[tuple], pieces: Pieces, pairs: frozenset[str], rule: str) -> tuple[bytes, list[tuple[int, str]]]:
+    """What answering the chunks of a lot takes beside its units' ids, and the units to fold, with their numbers."""
+    numbers, codes, words = Numbers(), [], []
+    for _, n, size, packed in members:
+        raw = _unzipped(size, packed)
+        bounds = np.concatenate([[0], np.cumsum(_numbers(raw, 0, n))])
+        own, fresh = numbers.number(np.frombuffer(raw, np.uint8, offset=4 * n), bounds)
+        codes.append(own)
+        words += [raw[4 * n + i : 4 * n + j].decode().replace(" ", BLANK) for i, j in zip(bounds[fresh].tolist(), bounds[fresh + 1].tolist())]
+    number: dict[str, int] = {}
+    parts = [[number.setdefault(u, len(number)) for u in units_of(w, pairs)] for w in words]
+    long = {i: fold_unit(u, pieces, rule) for u, i in number.items() if len(u) > MASK_CHARS}
+    load = (lot, [m[0] for m in members], [len(c) for c in codes], np.concatenate(codes), np.array([len(p) for p in parts]), np.fromiter(chain.from_iterable(parts), np.int64), len(number), long)
+    return pickle.dumps(load), [(i, u) for u, i in number.items() if i not in long]
+
+
+def units(stored: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
+    """(at, unit, load): the different units of a lot of a block of chunks, numbered, after a row (-1, null, load) that answers takes.
+
+    A word is cut into units between characters that no piece has together. Blocks hold about
+    BLOCK_CHUNKS chunks, so what meets in a task is bounded whatever the corpus, and a word that
+    all chunks have is folded once a block. Units over MASK_CHARS are folded here.
     """
-    blocks = max(1, stored.select("chunk").count() // BLOCK_CHUNKS)
-    rows = stored.select(F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block"), "chunk", F.posexplode("units").alias("at", "unit")).filter(which)
+    blocks = max(1, stored.filter("lot = -1").count() // BLOCK_CHUNKS)
+    asked = stored.filter("lot >= 0").select(F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block"), "lot", "chunk", "n", "size", "packed")
+    pairs = frozenset(p[i : i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1))
+    shared = stored.sparkSession.sparkContext.broadcast((pieces, pairs))
+    names = ["at", "unit", "load"]
 
     def starts(batch: pa.RecordBatch) -> np.ndarray:
-        new = np.ones(batch.num_rows, bool)
-        unit, block = batch.column("unit"), batch.column("block").to_numpy()
-        new[1:] = pc.not_equal(unit[1:], unit[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
-        return np.flatnonzero(new)
+        key = batch.column("block").to_numpy().astype(np.int64) * LOTS + batch.column("lot").to_numpy()
+        return np.flatnonzero(np.diff(key, prepend=-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first in _runs(batches, starts):
-            yield pa.RecordBatch.from_arrays([batch.column("unit").take(pa.array(first)), _lists(first, batch, ["chunk", "at"])], ["unit", "uses"])
+        pieces, pairs = shared.value
+        for batch, first in _runs(freed(batches), starts):
+            for i, j in zip(first, np.append(first[1:], batch.num_rows)):
+                own = batch.slice(i, j - i)
+                load, found = _load(own.column("lot")[0].as_py(), list(zip(*(own.column(c).to_pylist() for c in ("chunk", "n", "size", "packed")))), pieces, pairs, rule)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([load], pa.binary())], names)
+                for k in range(0, len(found), 5000):
+                    part = found[k : k + 5000]
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int32()), pa.array([u for _, u in part], pa.string()), pa.nulls(len(part), pa.binary())], names)
 
-    return rows.repartition("unit", "block").sortWithinPartitions("unit", "block").mapInArrow(run, f"unit string, {USES}")
+    return asked.repartition("block", "lot").sortWithinPartitions("block", "lot", "chunk").mapInArrow(run, "at int, unit string, load binary")
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, edges array<struct<i, j, score, ids>>, other columns) of different units: an edge for each substring that is a piece, and for each character that isn't one (its bytes, or unknown).
+    """(edges array<struct<i, j, score, ids>>, other columns) of different units: an edge for each substring that is a piece, and for each character that isn't one (its bytes, or unknown). A row without a unit has none.
 
     The piece table is as large as the model's vocabulary, so it is broadcast. The substrings of a
     unit are made and met where it lies, one after another, so its edges are grouped there too,
-    without a shuffle or a sort; its first edge brings the unit's columns along.
+    without a shuffle or a sort; its first edge brings the unit's columns along, and edges that
+    come in another order raise an error.
     """
     spark = units.sparkSession
     table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))
     own = units.columns
-    spans = units.withColumn("n", F.length("unit")).withColumn("i", F.explode(F.expr("sequence(0, n - 1)")))
-    spans = spans.withColumn("j", F.explode(F.expr(f"sequence(i + 1, least(n, i + {pieces.longest}))"))).withColumn("piece", F.expr("substring(unit, i + 1, j - i)"))
+    span = f"flatten(transform(sequence(0, length(unit) - 1), i -> transform(sequence(i + 1, least(length(unit), i + {pieces.longest})), j -> struct(i as i, j as j))))"
+    spans = units.withColumn("s", F.explode(F.expr(f"if(unit is null, array(struct(0 as i, 1 as j)), {span})"))).select(*own, "s.i", "s.j").withColumn("piece", F.expr("substring(unit, i + 1, j - i)"))
     joined = spans.join(table, "piece", "left").filter("id is not null or j = i + 1")
     if pieces.byte_zero is None:
         spare = F.array(F.lit(pieces.unknown))
@@ -164,12 +216,18 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     edges = joined.select(*(F.when(head, F.col(c)).alias(c) for c in own), "i", "j", F.coalesce("score", F.lit(worst)).alias("score"), ids.alias("ids"))
 
     def starts(batch: pa.RecordBatch) -> np.ndarray:
-        return np.flatnonzero(batch.column("unit").is_valid().to_numpy(zero_copy_only=False))
+        return np.flatnonzero((batch.column("i").to_numpy() == 0) & (batch.column("j").to_numpy() == 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first in _runs(batches, starts):
+            place = batch.column("i").to_numpy().astype(np.int64) * (1 << 32) + batch.column("j").to_numpy()
+            same = np.ones(batch.num_rows, bool)
+            same[first] = False
+            if not len(first) or first[0] or (np.diff(place)[same[1:]] <= 0).any():
+                raise RuntimeError("edges of units came out of order")
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), pa.StructArray.from_arrays([batch.column(c) for c in ("i", "j", "score", "ids")], ["i", "j", "score", "ids"]))
             at = pa.array(first)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), _lists(first, batch, ["i", "j", "score", "ids"])], [*own, "edges"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), lists], [*own, "edges"])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in units.schema)
     return edges.mapInArrow(run, f"{kinds}edges array<struct<i: int, j: int, score: double, ids: array<int>>>")
@@ -187,44 +245,32 @@ def fold_merges(edges: DataFrame) -> DataFrame:
     return short.select(*(c for c in edges.columns if c != "edges"), flat)
 
 
-def fold_long(units: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
-    """(unit, ids, uses) of units over MASK_CHARS, by the same rules over the same edges, made where the unit lies: rows of substrings would each carry so long a unit."""
-    shared = units.sparkSession.sparkContext.broadcast(pieces)
+def fold_unit(unit: str, pieces: Pieces, rule: str) -> list[int]:
+    """The ids of one unit over MASK_CHARS, by the same rules over the same edges: rows of substrings would each carry so long a unit."""
+    table, longest, worst = pieces.table, pieces.longest, min(s for _, _, s in pieces.rows) - 10.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        table, longest, worst = {p: (i, s) for p, i, s in pieces.rows}, pieces.longest, min(s for _, _, s in pieces.rows) - 10.0
-
-        def spare(c: str) -> list[int]:
-            return [pieces.unknown] if pieces.byte_zero is None else [pieces.byte_zero + b for b in c.encode()]
-
-        def merged(unit: str) -> list[int]:
-            n, border = len(unit), bytearray(b"\x01") * (len(unit) + 1)
-            found = ((-table[p][1], i, j) for i in range(n) for j in range(i + 2, min(n, i + longest) + 1) if (p := unit[i:j]) in table)
-            for _, i, j in sorted(found):
-                if border[i] and border[j] and sum(border[i + 1 : j]) == 1:
-                    border[i + 1 : j] = bytes(j - i - 1)
-            cuts = [i for i in range(n + 1) if border[i]]
-            return list(chain.from_iterable([table[p][0]] if (p := unit[i:j]) in table else spare(p) for i, j in zip(cuts, cuts[1:])))
-
-        def viterbi(unit: str) -> list[int]:
-            best, back = [0.0], [0]
-            for j in range(1, len(unit) + 1):
-                score, i = max((best[i] + (table[unit[i:j]][1] if unit[i:j] in table else worst), i) for i in range(max(0, j - longest), j) if unit[i:j] in table or i == j - 1)
-                best.append(score)
-                back.append(i)
-            out, j = [], len(unit)
-            while j:
-                out.append([table[unit[back[j] : j]][0]] if unit[back[j] : j] in table else spare(unit[back[j] : j]))
-                j = back[j]
-            return list(chain.from_iterable(out[::-1]))
-
-        fold = {"merges": merged, "viterbi": viterbi}[rule]
-        for batch in batches:
-            for row, unit in enumerate(batch.column("unit").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([unit]), batch.column("uses").slice(row, 1), pa.array([fold(unit)], pa.list_(pa.int32()))], ["unit", "uses", "ids"])
+    def spare(c: str) -> list[int]:
+        return [pieces.unknown] if pieces.byte_zero is None else [pieces.byte_zero + b for b in c.encode()]
 
-    return units.filter(F.length("unit") > MASK_CHARS).select("unit", "uses").mapInArrow(run, f"unit string, {USES}, ids array<int>")
+    n = len(unit)
+    if rule == "merges":
+        border = bytearray(b"\x01") * (n + 1)
+        found = ((-table[p][1], i, j) for i in range(n) for j in range(i + 2, min(n, i + longest) + 1) if (p := unit[i:j]) in table)
+        for _, i, j in sorted(found):
+            if border[i] and border[j] and sum(border[i + 1 : j]) == 1:
+                border[i + 1 : j] = bytes(j - i - 1)
+        cuts = [i for i in range(n + 1) if border[i]]
+    else:
+        best, back = [0.0], [0]
+        for j in range(1, n + 1):
+            score, i = max((best[i] + (table[unit[i:j]][1] if unit[i:j] in table else worst), i) for i in range(max(0, j - longest), j) if unit[i:j] in table or i == j - 1)
+            best.append(score)
+            back.append(i)
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
+        cuts.reverse()
+    return list(chain.from_iterable([table[p][0]] if (p := unit[i:j]) in table else spare(p) for i, j in zip(cuts, cuts[1:])))
 
 
 def fold_viterbi(edges: DataFrame) -> DataFrame:
@@ -234,36 +280,48 @@ def fold_viterbi(edges: DataFrame) -> DataFrame:
     return edges.select(*(c for c in edges.columns if c != "edges"), F.expr(f"element_at({best}, -1).ids").alias("ids"))
 
 
-def _unpacked(packed: bytes, size: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(pa.decompress(packed, size, codec="zstd", asbytes=True), np.int32)
-    return np.cumsum(raw[:n], dtype=np.int32), raw[n : 2 * n], raw[2 * n :]
-
-
-def by_chunk(folded: DataFrame) -> DataFrame:
-    """(chunk, kind 1, n, size, packed): the ids of units, gathered for each chunk that uses them before they are shuffled: n places in order (as steps), n lengths, the ids."""
+def answers(folded: DataFrame) -> DataFrame:
+    """The words' ids of each chunk and lot, as rows of CHUNK, from the folded units (at, load, ids) in the order of units: n lengths, and the ids."""
+    names = ["chunk", "lot", "n", "size", "packed"]
+
+    def close(load: bytes, parts: list[tuple]) -> pa.RecordBatch:
+        lot, chunk, sizes, codes, per_word, unit, n_units, long = pickle.loads(load)
+        at = np.concatenate([*(p[0] for p in parts), list(long)]).astype(np.int64)
+        if len(at) != n_units:
+            raise RuntimeError("units are missing")
+        lengths = np.concatenate([*(p[1] for p in parts), [len(x) for x in long.values()]]).astype(np.int64)
+        flat = np.concatenate([*(p[2] for p in parts), *long.values()]).astype(np.int64)
+        n, starts = np.empty(n_units, np.int64), np.empty(n_units, np.int64)
+        n[at], starts[at] = lengths, np.cumsum(lengths) - lengths
+        flat = joined(flat, starts[unit], n[unit])  # words' ids in turn
+        ends = np.concatenate([[0], np.cumsum(n[unit])])[np.concatenate([[0], np.cumsum(per_word)])]
+        begins, n = ends[:-1], np.diff(ends)
+        rows, i = [], 0
+        for key, size in zip(chunk, sizes):
+            own = codes[i : i + size]
+            rows.append((key, lot, size, *_zipped(_planes(n[own]) + _planes(joined(flat, begins[own], n[own])))))
+            i += size
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load, parts = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            times = pc.list_value_length(batch.column("uses")).to_numpy()
-            use, ids = batch.column("uses").flatten(), batch.column("ids")
-            chunk, at = use.field("chunk").to_numpy(), use.field("at").to_numpy()
-            unit = np.repeat(np.arange(batch.num_rows), times)
-            lengths, flat = pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy()
-            starts = np.cumsum(lengths) - lengths
-            order = np.lexsort((at, chunk))
-            chunk, at, unit = chunk[order], at[order], unit[order]
-            bounds = np.append(np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)), len(chunk))
-            out = []
-            for i, j in zip(bounds, bounds[1:]):
-                n = lengths[unit[i:j]]
-                where = np.arange(n.sum()) + np.repeat(starts[unit[i:j]] - (np.cumsum(n) - n), n)
-                raw = np.concatenate([np.diff(at[i:j], prepend=0), n, flat[where]]).astype(np.int32).tobytes()
-                out.append((int(chunk[i]), 1, int(j - i), len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["chunk", "kind", "n", "size", "packed"])
-
-    return folded.select("uses", "ids").mapInArrow(run, "chunk long, kind int, n int, size int, packed binary")
+            at = batch.column("at").to_numpy()
+            heads = set(np.flatnonzero(at == -1).tolist())
+            cuts = sorted({0, batch.num_rows} | heads)
+            for i, j in zip(cuts, cuts[1:]):
+                if i in heads:
+                    if load is not None:
+                        yield close(load, parts)
+                    load, parts = batch.column("load")[i].as_py(), []
+                    i += 1
+                if j > i:
+                    ids = batch.column("ids").slice(i, j - i)
+                    parts.append((at[i:j], pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy()))
+        if load is not None:
+            yield close(load, parts)
+
+    return folded.select("at", "load", "ids").mapInArrow(run, "chunk long, lot int, n int, size int, packed binary")
 
 
 def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,57 +332,65 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
     columns are left out. A long word is a longer unit, not a cut one.
     """
     pieces = load_pieces(model_file)
-    stored = written(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pieces), "chunks")
+    stored = written(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "chunks")
     fold = {"merges": fold_merges, "viterbi": fold_viterbi}[rule]
-    folded = fold(lattice(uses(stored, f"length(unit) <= {MASK_CHARS}"), pieces)).unionByName(fold_long(uses(stored, f"length(unit) > {MASK_CHARS}"), pieces, rule))
-    rows = stored.select("chunk", F.lit(0).alias("kind"), "doc_ids", "counts", "codes").unionByName(by_chunk(folded), allowMissingColumns=True)
-
-    def texts(head: pa.RecordBatch, flat: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        doc_ids, counts = (head.column(c)[0].values for c in ("doc_ids", "counts"))
-        raw, total = head.column("codes")[0].as_buffer(), int(np.sum(counts.to_numpy()))
-        codes = np.frombuffer(pa.decompress(raw, 4 * total, codec="zstd", asbytes=True), np.int32) if total else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
+    answered = answers(fold(lattice(units(stored, pieces, rule), pieces)))
+    rows = stored.filter("lot = -1").unionByName(answered, allowMissingColumns=True)
+
+    def texts(head: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc_ids, counts, n, size, packed = head
+        raw = _unzipped(size, packed)
+        lots, codes = np.frombuffer(raw, np.uint8, n), _numbers(raw, n, sum(counts))
+        lengths, starts, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.int64)], 0
+        for lot, m, size, packed in parts:
+            raw = _unzipped(size, packed)
+            own, of = np.flatnonzero(lots == lot), _numbers(raw, 0, m)
+            lengths[own], starts[own] = of, at + np.cumsum(of) - of
+            flat.append(_numbers(raw, 4 * m, int(of.sum())))
+            at += len(flat[-1])
+        flat = np.concatenate(flat)
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         step = 1 << 8
         for i in range(0, len(doc_ids), step):
-            own = codes[ends[i] : ends[min(i + step, len(doc_ids))]]
-            n = lengths[own] if len(own) else np.zeros(0, np.int64)
-            sums = np.concatenate([[0], np.cumsum(n)])
-            where = np.arange(sums[-1]) + np.repeat(starts[own] - sums[:-1], n) if len(own) else np.zeros(0, np.int64)
-            bounds = sums[ends[i : min(i + step, len(doc_ids)) + 1] - ends[i]]
-            yield pa.RecordBatch.from_arrays([doc_ids[i : i + step], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[where], pa.int32()))], ["doc_id", "ids"])
+            some = ends[i : i + step + 1]
+            own = codes[some[0] : some[-1]]
+            sums = np.concatenate([[0], np.cumsum(lengths[own])])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + step], pa.int64()), pa.ListArray.from_arrays(pa.array(sums[some - some[0]], pa.int32()), pa.array(joined(flat, starts[own], lengths[own]), pa.int32()))], ["doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parts = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if head is not None:
-                at, n, flat = (np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*parts)) if parts else [np.zeros(0, np.int32)] * 3
-                order = np.argsort(at)
-                starts = np.cumsum(n, dtype=np.int64) - n
-                yield from texts(head, flat, n[order].astype(np.int64), starts[order])
-
-        for batch in batches:
-            kinds = batch.column("kind").to_pylist()
-            for row, kind in enumerate(kinds):
-                if kind == 0:
-                    yield from close()
-                    head, parts = batch.slice(row, 1), []
+        for batch in freed(batches):
+            for row, lot in enumerate(batch.column("lot").to_pylist()):
+                if lot == -1:
+                    if head is not None:
+                        yield from texts(head, parts)
+                    head, parts = tuple(batch.column(c)[row].as_py() for c in ("doc_ids", "counts", "n", "size", "packed")), []
                 else:
-                    parts.append(_unpacked(batch.column("packed")[row].as_py(), batch.column("size")[row].as_py(), batch.column("n")[row].as_py()))
-        yield from close()
+                    parts.append((lot, *(batch.column(c)[row].as_py() for c in ("n", "size", "packed"))))
+        if head is not None:
+            yield from texts(head, parts)
 
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "lot").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
-    """(doc_id, ids, text): the pieces of the ids in turn, without the blank put before a text. Ids outside the vocabulary raise an error; a null list gives the empty text."""
-    spelled = list(load_pieces(model_file).spelled)
-    shared = encoded.sparkSession.sparkContext.broadcast(spelled)
+    """(doc_id, ids, text): the pieces of the ids in turn, without the blank put before a text. Ids outside the vocabulary raise an error; a null list gives the empty text. Rows stand for themselves; an empty table gives an empty one."""
+    spelled = load_pieces(model_file).spelled
+    lengths = np.array([len(x) for x in spelled], np.int64)
+    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(lengths) - lengths, lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = shared.value
+        data, starts, lengths = shared.value
         for batch in batches:
-            texts = [b"".join(map(spelled.__getitem__, ids or ())).decode("utf-8", "replace").removeprefix(" ") for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                ids = part.column("ids")
+                flat = ids.flatten().to_numpy()
+                if len(flat) and flat.min() < 0:
+                    raise IndexError(int(flat.min()))
+                ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])]
+                raw = joined(data, starts[flat], lengths[flat]).tobytes()
+                texts = [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends.tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
