@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +168,27 @@ def joined(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
+def different(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], starts: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole runs of rows, and the first row of each run; a run may lie across the batches that come."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else pa.concat_batches([held, batch])
+        first = starts(held)
+        if len(first) > 1:
+            yield held.slice(0, first[-1]), first[:-1]
+            held = held.slice(first[-1])
+    if held is not None:
+        yield held, starts(held)
+
+
 def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same batches; afterwards the worker, which goes on to other tasks, gives the memory it no longer needs back."""
     yield from batches

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Numbers, buffers, cut, freed, joined, mix, written
+from .base import Numbers, buffers, cut, freed, joined, mix, whole_runs, written
 
 #: A chunk's bytes of text, chunks of a block and lots of a chunk's words.
 CHUNK_BYTES, BLOCK_CHUNKS, LOTS = 8 << 20, 256, 64
@@ -48,6 +48,12 @@ class Pieces:
     def table(self) -> dict[str, tuple[int, float]]:
         return {p: (i, s) for p, i, s in self.rows}
 
+    def character(self, c: str) -> list[int]:
+        """The ids of one character: its piece, or its bytes, or unknown."""
+        if c in self.table:
+            return [self.table[c][0]]
+        return [self.unknown] if self.byte_zero is None else [self.byte_zero + b for b in c.encode()]
+
 
 def load_pieces(model_file: str) -> Pieces:
     import sentencepiece
@@ -130,21 +136,6 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, CHUNK)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], starts: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches of whole runs of rows, and the first row of each run; a run may lie across the batches that come."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = batch if held is None else pa.concat_batches([held, batch])
-        first = starts(held)
-        if len(first) > 1:
-            yield held.slice(0, first[-1]), first[:-1]
-            held = held.slice(first[-1])
-    if held is not None:
-        yield held, starts(held)
-
-
 def _load(lot: int, members: list[tuple], pieces: Pieces, pairs: frozenset[str], rule: str) -> tuple[bytes, list[tuple[int, str]]]:
     """What answering the chunks of a lot takes beside its units' ids, and the units to fold, with their numbers."""
     numbers, codes, words = Numbers(), [], []
@@ -156,7 +147,7 @@ def _load(lot: int, members: list[tuple], pieces: Pieces, pairs: frozenset[str],
         words += [raw[4 * n + i : 4 * n + j].decode().replace(" ", BLANK) for i, j in zip(bounds[fresh].tolist(), bounds[fresh + 1].tolist())]
     number: dict[str, int] = {}
     parts = [[number.setdefault(u, len(number)) for u in units_of(w, pairs)] for w in words]
-    long = {i: fold_unit(u, pieces, rule) for u, i in number.items() if len(u) > MASK_CHARS}
+    long = {i: fold_unit(u, pieces, rule) for u, i in number.items() if len(u) > MASK_CHARS or len(u) < 2}
     load = (lot, [m[0] for m in members], [len(c) for c in codes], np.concatenate(codes), np.array([len(p) for p in parts]), np.fromiter(chain.from_iterable(parts), np.int64), len(number), long)
     return pickle.dumps(load), [(i, u) for u, i in number.items() if i not in long]
 
@@ -166,7 +157,7 @@ def units(stored: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
 
     A word is cut into units between characters that no piece has together. Blocks hold about
     BLOCK_CHUNKS chunks, so what meets in a task is bounded whatever the corpus, and a word that
-    all chunks have is folded once a block. Units over MASK_CHARS are folded here.
+    all chunks have is folded once a block. Units over MASK_CHARS and single characters are folded here.
     """
     blocks = max(1, stored.filter("lot = -1").count() // BLOCK_CHUNKS)
     asked = stored.filter("lot >= 0").select(F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block"), "lot", "chunk", "n", "size", "packed")
@@ -180,7 +171,7 @@ def units(stored: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, pairs = shared.value
-        for batch, first in _runs(freed(batches), starts):
+        for batch, first in whole_runs(freed(batches), starts):
             for i, j in zip(first, np.append(first[1:], batch.num_rows)):
                 own = batch.slice(i, j - i)
                 load, found = _load(own.column("lot")[0].as_py(), list(zip(*(own.column(c).to_pylist() for c in ("chunk", "n", "size", "packed")))), pieces, pairs, rule)
@@ -192,66 +183,98 @@ def units(stored: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
     return asked.repartition("block", "lot").sortWithinPartitions("block", "lot", "chunk").mapInArrow(run, "at int, unit string, load binary")
 
 
-def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(edges array<struct<i, j, score, ids>>, other columns) of different units: an edge for each substring that is a piece, and for each character that isn't one (its bytes, or unknown). A row without a unit has none.
+EDGES = "edges array<struct<i: int, j: int, id: int, score: double>>, merges array<struct<ends: bigint, inside: bigint>>"
+
+
+def lattice(units: DataFrame, pieces: Pieces, least: int = 1) -> DataFrame:
+    """The units' rows with edges, one for each substring of least characters or more that is a piece (id null for a single character that isn't one), by place, and merges: the borders of edges of several characters, best score first. A row without a unit has neither.
 
     The piece table is as large as the model's vocabulary, so it is broadcast. The substrings of a
     unit are made and met where it lies, one after another, so its edges are grouped there too,
-    without a shuffle or a sort; its first edge brings the unit's columns along, and edges that
-    come in another order raise an error.
+    without a shuffle or a sort; its first substring brings the unit's columns along, and edges
+    that come in another order raise an error. A unit has least to MASK_CHARS characters: borders are bits.
     """
-    spark = units.sparkSession
-    table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))
+    table = F.broadcast(units.sparkSession.createDataFrame(pieces.rows, "piece string, id int, score double"))
     own = units.columns
-    span = f"flatten(transform(sequence(0, length(unit) - 1), i -> transform(sequence(i + 1, least(length(unit), i + {pieces.longest})), j -> struct(i as i, j as j))))"
-    spans = units.withColumn("s", F.explode(F.expr(f"if(unit is null, array(struct(0 as i, 1 as j)), {span})"))).select(*own, "s.i", "s.j").withColumn("piece", F.expr("substring(unit, i + 1, j - i)"))
-    joined = spans.join(table, "piece", "left").filter("id is not null or j = i + 1")
-    if pieces.byte_zero is None:
-        spare = F.array(F.lit(pieces.unknown))
-    else:
-        spare = F.expr(f"transform(sequence(1, octet_length(piece)), b -> {pieces.byte_zero} + cast(conv(hex(substring(encode(piece, 'UTF-8'), b, 1)), 16, 10) as int))")
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spare)
+    spans = units.withColumn("i", F.explode(F.expr(f"sequence(0, coalesce(length(unit), {least}) - {least})"))).withColumn("rest", F.expr(f"substring(unit, i + 1, {pieces.longest})"))
+    spans = spans.withColumn("k", F.explode(F.expr(f"sequence({least}, coalesce(length(rest), {least}))"))).withColumn("piece", F.expr("substring(rest, 1, k)"))
+    head = f"(i = 0 and k = {least})"
+    joined = spans.join(table, "piece", "left").filter(f"id is not null or k = 1 or {head}")
+    edges = joined.select(*(F.when(F.expr(head), F.col(c)).alias(c) for c in own), "i", (F.col("i") + F.col("k")).alias("j"), "id", "score")
     worst = min(s for _, _, s in pieces.rows) - 10.0
-    head = F.expr("i = 0 and j = 1")
-    edges = joined.select(*(F.when(head, F.col(c)).alias(c) for c in own), "i", "j", F.coalesce("score", F.lit(worst)).alias("score"), ids.alias("ids"))
 
     def starts(batch: pa.RecordBatch) -> np.ndarray:
-        return np.flatnonzero((batch.column("i").to_numpy() == 0) & (batch.column("j").to_numpy() == 1))
+        return np.flatnonzero((batch.column("i").to_numpy() == 0) & (batch.column("j").to_numpy() == least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first in _runs(batches, starts):
-            place = batch.column("i").to_numpy().astype(np.int64) * (1 << 32) + batch.column("j").to_numpy()
-            same = np.ones(batch.num_rows, bool)
-            same[first] = False
-            if not len(first) or first[0] or (np.diff(place)[same[1:]] <= 0).any():
+        for batch, first in whole_runs(batches, starts):
+            i, j = (batch.column(c).to_numpy().astype(np.int64) for c in "ij")
+            unit = np.cumsum(np.isin(np.arange(len(i)), first)) - 1
+            if not len(first) or first[0] or (np.diff(unit << 16 | i << 8 | j) <= 0).any():
                 raise RuntimeError("edges of units came out of order")
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), pa.StructArray.from_arrays([batch.column(c) for c in ("i", "j", "score", "ids")], ["i", "j", "score", "ids"]))
+            found = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+            score = np.where(found, batch.column("score").fill_null(0.0).to_numpy(), worst)
+            some = batch.column("unit").is_valid().to_numpy(zero_copy_only=False)[first][unit]
+            kept = np.flatnonzero((found | (j == i + 1)) & some)
+            lists = pa.StructArray.from_arrays([pa.array(i[kept], pa.int32()), pa.array(j[kept], pa.int32()), batch.column("id").take(pa.array(kept)), pa.array(score[kept])], ["i", "j", "id", "score"])
+            bounds = np.searchsorted(unit[kept], np.arange(len(first) + 1))
+            several = np.flatnonzero(found & (j > i + 1) & some)
+            several = several[np.lexsort((i[several], -score[several], unit[several]))]
+            low, high = i[several], j[several]
+            one = np.int64(1)
+            borders = pa.StructArray.from_arrays([pa.array((one << low) | (one << high)), pa.array(((one << high) - 1) & ~((one << (low + 1)) - 1))], ["ends", "inside"])
+            ends = np.searchsorted(unit[several], np.arange(len(first) + 1))
             at = pa.array(first)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), lists], [*own, "edges"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lists), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), borders)], [*own, "edges", "merges"])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in units.schema)
-    return edges.mapInArrow(run, f"{kinds}edges array<struct<i: int, j: int, score: double, ids: array<int>>>")
-
-
-_BORDERS = "e -> struct(-e.score as ord, e.i as i, e.ids as ids, shiftleft(1L, e.i) | shiftleft(1L, e.j) as ends, (shiftleft(1L, e.j) - 1) & ~(shiftleft(1L, e.i + 1) - 1) as inside)"
-
-
-def fold_merges(edges: DataFrame) -> DataFrame:
-    """(unit, ids, other columns): edges in order of score, then place; an edge joins the two parts it spans if just one border lies inside it. Borders are bits, so a unit has MASK_CHARS characters at most; longer ones go by fold_long."""
-    short = edges.withColumn("e", F.expr(f"array_sort(transform(edges, {_BORDERS}))"))
-    short = short.withColumn("m", F.expr("aggregate(e, shiftleft(1L, length(unit) + 1) - 1, (m, e) -> if((m & e.ends) = e.ends and bit_count(m & e.inside) = 1, m & ~e.inside, m))"))
-    short = short.withColumn("e", F.expr("filter(e, e -> (m & e.ends) = e.ends and (m & e.inside) = 0)"))
-    flat = F.expr("flatten(transform(array_sort(transform(e, x -> struct(x.i as i, x.ids as ids))), x -> x.ids))").alias("ids")
-    return short.select(*(c for c in edges.columns if c != "edges"), flat)
+    return edges.mapInArrow(run, f"{kinds}{EDGES}")
+
+
+def fold_merges(lattices: DataFrame) -> DataFrame:
+    """Adds borders, a bit for each place where a piece ends or starts: merges in turn; one joins the two parts it spans if just one border lies inside it."""
+    return lattices.withColumn("borders", F.expr("aggregate(merges, shiftleft(1L, length(unit) + 1) - 1, (m, e) -> if((m & e.ends) = e.ends and bit_count(m & e.inside) = 1, m & ~e.inside, m))"))
+
+
+def fold_viterbi(lattices: DataFrame) -> DataFrame:
+    """Adds borders, as fold_merges, of the path with the largest sum of scores; of the largest bits where sums tie. It needs edges of single characters."""
+    step = "array_max(transform(filter(edges, e -> e.j = j), e -> struct(a[e.i].score + e.score as score, a[e.i].borders | shiftleft(1L, j) as borders)))"
+    best = f"aggregate(sequence(1, length(unit)), array(struct(0.0D as score, 1L as borders)), (a, j) -> concat(a, array({step})))"
+    return lattices.withColumn("borders", F.expr(f"element_at({best}, -1).borders"))
+
+
+def ids_of(batch: pa.RecordBatch, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each row (unit, edges, borders), and all ids: of the edges between borders that follow one another; of single characters without an edge, as spelled."""
+    edges, masks = batch.column("edges"), batch.column("borders").to_numpy()
+    row = np.repeat(np.arange(len(masks)), pc.list_value_length(edges).to_numpy())
+    flat = edges.flatten()
+    i, j = (flat.field(c).to_numpy().astype(np.int64) for c in "ij")
+    one, borders = np.int64(1), masks[row]
+    ends, inside = (one << i) | (one << j), ((one << j) - 1) & ~((one << (i + 1)) - 1)
+    chosen = np.flatnonzero(((borders & ends) == ends) & ((borders & inside) == 0) & flat.field("id").is_valid().to_numpy(zero_copy_only=False))
+    row, i, ids = row[chosen], i[chosen], flat.field("id").take(pa.array(chosen)).to_numpy().astype(np.int64)
+    covered = np.zeros(len(masks), np.int64)  # borders where a chosen edge starts
+    np.bitwise_or.at(covered, row, one << i[:])
+    text = np.frombuffer("".join(batch.column("unit").to_pylist()).encode("utf-32-le"), np.uint32)
+    lengths = pc.utf8_length(batch.column("unit")).to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(len(masks)), lengths)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    single = np.flatnonzero(((masks[of] >> place) & 1).astype(bool) & ((masks[of] >> (place + 1)) & 1).astype(bool) & ~((covered[of] >> place) & 1).astype(bool))
+    chars, which = np.unique(text[single], return_inverse=True)
+    spelled = [pieces.character(chr(c)) for c in chars.tolist()]
+    n = np.array([len(x) for x in spelled], np.int64)
+    starts, own = np.cumsum(n) - n, which
+    more = joined(np.array(list(chain.from_iterable(spelled)), np.int64), starts[own], n[own])
+    row = np.concatenate([row, np.repeat(of[single], n[own])])
+    i = np.concatenate([i, np.repeat(place[single], n[own])])
+    order = np.lexsort((i, row))  # stable: the bytes of a character stay in turn
+    return np.bincount(row, minlength=len(masks)), np.concatenate([ids, more])[order]
 
 
 def fold_unit(unit: str, pieces: Pieces, rule: str) -> list[int]:
-    """The ids of one unit over MASK_CHARS, by the same rules over the same edges: rows of substrings would each carry so long a unit."""
+    """The ids of one unit of a character or of more than MASK_CHARS, by the same rules over the same edges: rows of substrings would each carry so long a unit."""
     table, longest, worst = pieces.table, pieces.longest, min(s for _, _, s in pieces.rows) - 10.0
 
-    def spare(c: str) -> list[int]:
-        return [pieces.unknown] if pieces.byte_zero is None else [pieces.byte_zero + b for b in c.encode()]
-
     n = len(unit)
     if rule == "merges":
         border = bytearray(b"\x01") * (n + 1)
@@ -270,18 +293,12 @@ def fold_unit(unit: str, pieces: Pieces, rule: str) -> list[int]:
         while cuts[-1]:
             cuts.append(back[cuts[-1]])
         cuts.reverse()
-    return list(chain.from_iterable([table[p][0]] if (p := unit[i:j]) in table else spare(p) for i, j in zip(cuts, cuts[1:])))
-
-
-def fold_viterbi(edges: DataFrame) -> DataFrame:
-    """(unit, ids, other columns): the path with the largest sum of scores, the largest ids where sums tie."""
-    step = "array_max(transform(filter(edges, e -> e.j = j), e -> struct(a[e.i].score + e.score as score, concat(a[e.i].ids, e.ids) as ids)))"
-    best = f"aggregate(sequence(1, length(unit)), array(struct(0.0D as score, cast(array() as array<int>) as ids)), (a, j) -> concat(a, array({step})))"
-    return edges.select(*(c for c in edges.columns if c != "edges"), F.expr(f"element_at({best}, -1).ids").alias("ids"))
+    return list(chain.from_iterable([table[p][0]] if (p := unit[i:j]) in table else pieces.character(p) for i, j in zip(cuts, cuts[1:])))
 
 
-def answers(folded: DataFrame) -> DataFrame:
-    """The words' ids of each chunk and lot, as rows of CHUNK, from the folded units (at, load, ids) in the order of units: n lengths, and the ids."""
+def answers(folded: DataFrame, pieces: Pieces) -> DataFrame:
+    """The words' ids of each chunk and lot, as rows of CHUNK, from the folded units (at, unit, load, edges, borders) in the order of units: n lengths, and the ids."""
+    shared = folded.sparkSession.sparkContext.broadcast(pieces)
     names = ["chunk", "lot", "n", "size", "packed"]
 
     def close(load: bytes, parts: list[tuple]) -> pa.RecordBatch:
@@ -316,12 +333,11 @@ def answers(folded: DataFrame) -> DataFrame:
                     load, parts = batch.column("load")[i].as_py(), []
                     i += 1
                 if j > i:
-                    ids = batch.column("ids").slice(i, j - i)
-                    parts.append((at[i:j], pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy()))
+                    parts.append((at[i:j], *ids_of(batch.slice(i, j - i), shared.value)))
         if load is not None:
             yield close(load, parts)
 
-    return folded.select("at", "load", "ids").mapInArrow(run, "chunk long, lot int, n int, size int, packed binary")
+    return folded.select("at", "unit", "load", "edges", "borders").mapInArrow(run, "chunk long, lot int, n int, size int, packed binary")
 
 
 def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +350,7 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
     pieces = load_pieces(model_file)
     stored = written(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "chunks")
     fold = {"merges": fold_merges, "viterbi": fold_viterbi}[rule]
-    answered = answers(fold(lattice(units(stored, pieces, rule), pieces)))
+    answered = answers(fold(lattice(units(stored, pieces, rule), pieces, 2 if rule == "merges" else 1)), pieces)
     rows = stored.filter("lot = -1").unionByName(answered, allowMissingColumns=True)
 
     def texts(head: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:

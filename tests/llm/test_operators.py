@@ -369,7 +369,10 @@ def test_viterbi_takes_the_best_sum(spark):
     pieces = {c: -5.0 for c in "abc"} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))): -rng.uniform(1, 12) for _ in range(40)}
     table = sentencepiece_lattice.Pieces(tuple((p, i, s) for i, (p, s) in enumerate(pieces.items())), None, 999, ())
     units = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)]
-    got = sentencepiece_lattice.fold_viterbi(sentencepiece_lattice.lattice(spark.createDataFrame([(u,) for u in set(units)], "unit string"), table)).collect()
+    folded = sentencepiece_lattice.fold_viterbi(sentencepiece_lattice.lattice(spark.createDataFrame([(u,) for u in set(units)], "unit string"), table)).toArrow().combine_chunks().to_batches()[0]
+    counts, ids = sentencepiece_lattice.ids_of(folded, table)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    got = [{"unit": u, "ids": ids[a:b].tolist()} for u, a, b in zip(folded.column("unit").to_pylist(), ends, ends[1:])]
     worst = min(pieces.values()) - 10
     names = {i: p for i, p in enumerate(pieces)}
 
