@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import buffers, cut, mix, sequences, words, written
+from .base import buffers, cut, different, freed, mix, sequences, whole_runs, words, written
 from .components import components
 
 N, GROUPS, LEAF, BLOCK = 5, 64, 64, 512
@@ -32,8 +32,6 @@ N, GROUPS, LEAF, BLOCK = 5, 64, 64, 512
 PART, WHOLE = 75, 100
 BITS = 23
 COUNTERS = 1 << 18
-#: Points that a task keeps unpacked.
-MADE_BYTES = 32 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -43,7 +41,7 @@ def shingle_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
     grams, whole = sequences(hashes, first, n)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            yield np.unique(grams[a : b - n + 1])
+            yield different(grams[a : b - n + 1])
         elif b > a:
             yield mix(np.array([np.sum(hashes[a:b] * np.array([3, 5, 7, 11, 13, 17, 19, 23][: b - a], np.uint64)) + np.uint64(b - a)], np.uint64))
         else:
@@ -174,7 +172,7 @@ def set_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """(doc_id, n_shingles, key): key is a 64-bit hash of the set, null for an empty one; equal sets have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             sets = list(shingle_sets(batch.column("text"), n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "key"])
 
@@ -187,7 +185,7 @@ def _often(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(COUNTERS, np.int64), set()
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             for grams in shingle_sets(batch.column("text"), n):
                 if len(grams) > 2 and (key := _key(grams)) not in seen:
                     seen.add(key)
@@ -208,7 +206,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             sigs, keys = [], []
             for grams in shingle_sets(batch.column("text"), n):
                 if len(grams) > 2 and (key := _key(grams)) not in seen:
@@ -238,7 +236,7 @@ def _sets_of(docs: DataFrame, keyed: DataFrame, keys: DataFrame, id_col: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value.view(np.uint64), set()
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             p = batch.column("p").to_numpy().astype(np.uint64)
             batch = batch.filter(pa.array(((bitmap[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)))
             out = []
@@ -296,6 +294,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, id_col: str,
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
 
 
+def _near_rows(batch: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a batch of whole trees (each from a row of first on) the pairs of rows (u, v) of different parts that may reach the threshold, their tree, and the different sets' points, and which of these each row has.
+
+    Trees of a leaf at most have nothing to prune by boxes; their pairs of like size are made all at once.
+    """
+    key, part, sizes, block = (batch.column(c).to_numpy() for c in ("key", "part", "n", "block"))
+    counts = np.diff(np.append(first, batch.num_rows))
+    tree = np.repeat(np.arange(len(first)), counts)
+    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+    points = [unpacked(x, k) for x, k in zip(batch.column("point").take(pa.array(one)).to_pylist(), sizes[one].tolist())]
+    split = batch.column("i").to_numpy()[first] != batch.column("j").to_numpy()[first]
+    whole = (counts > LEAF // 4) | split
+    rows = np.arange(batch.num_rows)
+    us, vs = [], []
+    for step in range(1, LEAF // 4):
+        u = rows[:-step]
+        u = u[(tree[u] == tree[u + step]) & ~whole[tree[u]]]
+        if not len(u):
+            break
+        us.append(u)
+        vs.append(u + step)
+    for t in np.flatnonzero(whole).tolist():
+        own = rows[first[t] : first[t] + counts[t]]
+        coarse = np.stack([fold(points[k][None], GROUPS)[0] for k in which[own]])
+        if split[t]:
+            low = block[own] == block[own].min()
+            u, v = tree_join(coarse, sizes[own], np.flatnonzero(low), np.flatnonzero(~low))
+        else:
+            u, v = tree_join(coarse, sizes[own], np.arange(len(own)))
+        us.append(own[u])
+        vs.append(own[v])
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+    near = (part[u] != part[v]) & (WHOLE * np.minimum(sizes[u], sizes[v]) >= PART * np.maximum(sizes[u], sizes[v]))
+    u, v = u[near], v[near]
+    swap = key[u] > key[v]
+    return np.where(swap, v, u), np.where(swap, u, v), tree[u], points, which
+
+
 def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -> DataFrame:
     """Pairs (a, b) of members (sig, key, part) of different parts that meet in a sig and whose bound reaches the threshold; if smallest, of each b only the one with the smallest a in each tree.
 
@@ -307,62 +343,38 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "part")
     rows = rows.join(points, "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def pairs(group: list[tuple], seen: set, made: dict) -> list[tuple[int, int]]:
-        i, j = group[0][1:3]
-        if len({r[5] for r in group}) < 2:
-            return []
-        if sum(x.nbytes for x, _ in made.values()) > MADE_BYTES:
-            made.clear()
-        for r in group:
-            if r[4] not in made:
-                x = unpacked(r[7], r[6])
-                made[r[4]] = x, fold(x[None], GROUPS)[0]
-        fine, sizes = [made[r[4]][0] for r in group], np.array([r[6] for r in group], np.int64)
-        points = np.stack([made[r[4]][1] for r in group])
-        blocks = np.array([r[3] for r in group])
-        rows = np.arange(len(group))
-        u, v = tree_join(points, sizes, rows) if i == j else tree_join(points, sizes, rows[blocks == i], rows[blocks == j])
-        out = []
-        parts = np.array([r[5] for r in group])
-        apart = parts[u] != parts[v]
-        u, v = u[apart], v[apart]
-        if not len(u):
-            return []
-        for coarser in (4, 1):  # groups of about one hash each tell unrelated sets apart at a quarter of the work
-            close = fine_bound(fine, u, v, coarser) >= needed(sizes[u], sizes[v])
-            u, v = u[close], v[close]
-        if smallest and len(u):
-            keys = np.array([r[4] for r in group])
-            u, v = np.where(keys[u] < keys[v], u, v), np.where(keys[u] < keys[v], v, u)
-            order = np.lexsort((keys[u], v))
-            u, v = u[order], v[order]
-            first = np.flatnonzero(np.diff(v, prepend=-1))
-            u, v = u[first], v[first]
-        for x, y in zip(u.tolist(), v.tolist()):
-            pair = (min(group[x][4], group[y][4]), max(group[x][4], group[y][4]))
-            if pair not in seen:
-                seen.add(pair)
-                out.append(pair)
-        return out
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = False
+        for c in ("sig", "i", "j"):
+            x = batch.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        seen: set[tuple[int, int]] = set()
-        made: dict[int, tuple] = {}
-        out: list[tuple[int, int]] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "block", "key", "part", "n", "point"))):
-                if group and row[:3] != group[0][:3]:
-                    out += pairs(group, seen, made)
-                    group = []
-                    if len(seen) > 1_000_000:
-                        seen.clear()  # repeats go with distinct() below
-                group.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-                out = []
-        if group and (out := pairs(group, seen, made)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        for batch, first in whole_runs(freed(batches), starts):
+            u, v, tree, points, which = _near_rows(batch, first)
+            if not len(u):
+                continue
+            key, sizes = batch.column("key").to_numpy(), batch.column("n").to_numpy()
+            own, counts = np.zeros(len(points), np.int64), np.int64(len(points))
+            own[which] = sizes
+            pairs, back = np.unique(which[u] * counts + which[v], return_inverse=True)  # a pair may meet in many trees
+            x, y = pairs // counts, pairs % counts
+            close = np.arange(len(pairs))
+            for coarser in (4, 1):  # groups of about one hash each tell unrelated sets apart at a quarter of the work
+                close = close[fine_bound(points, x[close], y[close], coarser) >= needed(own[x[close]], own[y[close]])]
+            good = np.zeros(len(pairs), bool)
+            good[close] = True
+            if smallest:
+                rows = np.flatnonzero(good[back])
+                order = rows[np.lexsort((key[u[rows]], key[v[rows]], tree[rows]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(tree[order]) != 0) | (np.diff(key[v[order]]) != 0)
+                close = np.unique(back[order[new]])
+            keys = np.empty(len(points), np.int64)
+            keys[which] = key
+            yield pa.RecordBatch.from_arrays([pa.array(keys[x[close]]), pa.array(keys[y[close]])], ["a", "b"])
 
     return rows.select("sig", "i", "j", "block", "key", "part", "n", "point").mapInArrow(run, "a long, b long").distinct()
 
