@@ -236,3 +236,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """The rows, stored once as a table in buckets of a column, so that a join by it shuffles the other side alone."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    table = f"tessera_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+    return spark.table(table)

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Numbers, buffers, cut, freed, joined, mix, whole_runs, written
+from .base import Numbers, bucketed, buffers, cut, freed, joined, mix, whole_runs
 
 #: A chunk's bytes of text, chunks of a block and lots of a chunk's words.
-CHUNK_BYTES, BLOCK_CHUNKS, LOTS = 8 << 20, 256, 64
+CHUNK_BYTES, BLOCK_CHUNKS, LOTS = 16 << 20, 128, 64
 BLANK, MASK_CHARS = "▁", 60
 
 
@@ -92,6 +92,18 @@ def _numbers(raw: bytes, at: int, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4")[:, 0].astype(np.int64)
 
 
+def _frequent_first(codes: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent: a byte each below 255, and what is beyond after them."""
+    return np.minimum(codes, 255).astype(np.uint8).tobytes() + _planes(codes[codes >= 255] - 255)
+
+
+def _codes(raw: bytes, at: int, n: int) -> np.ndarray:
+    codes = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+    more = np.flatnonzero(codes == 255)
+    codes[more] += _numbers(raw, at + n, len(more))
+    return codes
+
+
 def _zipped(raw: bytes) -> tuple[int, bytes]:
     return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -121,10 +133,14 @@ def chunks(docs: DataFrame) -> DataFrame:
                     codes.append(own)
                     counts.append(np.diff(np.searchsorted(bounds, offsets)))
                     texts.append(joined(data, bounds[fresh], bounds[fresh + 1] - bounds[fresh]))
-                lengths, words = numbers.lengths[: numbers.size], np.concatenate(texts)
-                starts = np.cumsum(lengths) - lengths
-                lots = (mix(numbers.heads[: numbers.size] + lengths.astype(np.uint64)) % np.uint64(LOTS)).astype(np.uint8)
-                rows = [(-1, part.column("doc_id").to_pylist(), np.concatenate(counts).tolist(), numbers.size, *_zipped(lots.tobytes() + _planes(np.concatenate(codes))))]
+                codes, words = np.concatenate(codes), np.concatenate(texts)
+                order = np.argsort(-np.bincount(codes, minlength=numbers.size), kind="stable")
+                rank = np.empty(numbers.size, np.int64)
+                rank[order] = np.arange(numbers.size)
+                lengths = numbers.lengths[: numbers.size]
+                starts, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+                lots = (mix(numbers.heads[order] + lengths.astype(np.uint64)) % np.uint64(LOTS)).astype(np.uint8)
+                rows = [(-1, part.column("doc_id").to_pylist(), np.concatenate(counts).tolist(), numbers.size, *_zipped(lots.tobytes() + _frequent_first(rank[codes])))]
                 for lot in np.unique(lots).tolist():
                     own = np.flatnonzero(lots == lot)
                     rows.append((lot, None, None, len(own), *_zipped(_planes(lengths[own]) + joined(words, starts[own], lengths[own]).tobytes())))
@@ -348,15 +364,16 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
     columns are left out. A long word is a longer unit, not a cut one.
     """
     pieces = load_pieces(model_file)
-    stored = written(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "chunks")
+    stored = bucketed(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "chunks", "chunk")
     fold = {"merges": fold_merges, "viterbi": fold_viterbi}[rule]
     answered = answers(fold(lattice(units(stored, pieces, rule), pieces, 2 if rule == "merges" else 1)), pieces)
-    rows = stored.filter("lot = -1").unionByName(answered, allowMissingColumns=True)
+    parts = answered.groupBy("chunk").agg(F.collect_list(F.struct("lot", "n", "size", "packed")).alias("parts"))  # LOTS at most
+    rows = stored.filter("lot = -1").join(parts, "chunk", "left")  # chunks lie in buckets: only the answers are shuffled
 
     def texts(head: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc_ids, counts, n, size, packed = head
         raw = _unzipped(size, packed)
-        lots, codes = np.frombuffer(raw, np.uint8, n), _numbers(raw, n, sum(counts))
+        lots, codes = np.frombuffer(raw, np.uint8, n), _codes(raw, n, sum(counts))
         lengths, starts, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.int64)], 0
         for lot, m, size, packed in parts:
             raw = _unzipped(size, packed)
@@ -374,19 +391,12 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + step], pa.int64()), pa.ListArray.from_arrays(pa.array(sums[some - some[0]], pa.int32()), pa.array(joined(flat, starts[own], lengths[own]), pa.int32()))], ["doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, parts = None, []
         for batch in freed(batches):
-            for row, lot in enumerate(batch.column("lot").to_pylist()):
-                if lot == -1:
-                    if head is not None:
-                        yield from texts(head, parts)
-                    head, parts = tuple(batch.column(c)[row].as_py() for c in ("doc_ids", "counts", "n", "size", "packed")), []
-                else:
-                    parts.append((lot, *(batch.column(c)[row].as_py() for c in ("n", "size", "packed"))))
-        if head is not None:
-            yield from texts(head, parts)
-
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "lot").mapInArrow(run, "doc_id long, ids array<int>")
+            for row in range(batch.num_rows):
+                head = tuple(batch.column(c)[row].as_py() for c in ("doc_ids", "counts", "n", "size", "packed"))
+                yield from texts(head, [tuple(x.values()) for x in batch.column("parts")[row].as_py() or ()])
+
+    return rows.select("doc_ids", "counts", "n", "size", "packed", "parts").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
