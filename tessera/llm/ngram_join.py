@@ -7,10 +7,10 @@ on the sets.
 
 The points have tens of dimensions and texts without relation lie close together, so one tree
 over all documents would compare all boxes with all. The forest here has a tree for each key that
-similar sets must share: with the hashes of a set in one order for all sets, take each two that
-follow one another. Of the first half of these pairs (and one more) at least one is common to two sets of a
-Jaccard similarity of 0.75: a set of n loses two pairs for each hash that the other lacks (at most
-n / 4) and one for each that the other adds. So no link is lost, and nothing is capped. The order puts hashes in few sets first, as far
+similar sets must share: with the hashes of a set in one order for all sets, each of the first
+quarter, to be exact of the first n - ceil(0.75 n) + 1. Two sets of a Jaccard similarity of 0.75 have
+at least 0.75 n of the larger one's hashes in common, so the smallest common hash lies in both of
+these parts: no link is lost, and nothing is capped. The order puts hashes in few sets first, as far
 as COUNTERS counters tell them apart, so passages that many texts share give few keys.
 """
 
@@ -56,15 +56,13 @@ def _place(grams: np.ndarray) -> np.ndarray:
     return (grams & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _pairs(grams: np.ndarray, often: np.ndarray) -> np.ndarray:
+def _prefix(grams: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The keys of a set, as above; none for sets of one or two, which nothing but an equal set resembles."""
     n = len(grams)
     if n < 3:
         return np.zeros(0, np.int64)
-    take = min(n - 1, n // 2 + 1)
-    order = np.argsort(often[_place(grams)], kind="stable")[: take + 1]  # grams are in order of their values
-    first = grams[order]
-    return mix(first[:take] * np.uint64(3) + mix(first[1:])).view(np.int64)
+    order = np.argsort(often[_place(grams)], kind="stable")[: n - -(-PART * n // WHOLE) + 1]  # grams are in order of their values
+    return grams[order].view(np.int64)
 
 
 def groups_for(n: int) -> int:
@@ -211,7 +209,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int) -> DataFrame:
             for grams in shingle_sets(batch.column("text"), n):
                 if len(grams) > 2 and (key := _key(grams)) not in seen:
                     seen.add(key)
-                    sigs.append(_pairs(grams, shared.value))
+                    sigs.append(_prefix(grams, shared.value))
                     keys.append(np.full(len(sigs[-1]), key, np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], ["sig", "key"])
@@ -352,6 +350,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
         return np.flatnonzero(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for batch, first in whole_runs(freed(batches), starts):
             u, v, tree, points, which = _near_rows(batch, first)
             if not len(u):
@@ -374,6 +373,9 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
                 close = np.unique(back[order[new]])
             keys = np.empty(len(points), np.int64)
             keys[which] = key
+            mark = mix(mix(keys[x[close]].view(np.uint64)) + keys[y[close]].view(np.uint64))
+            new = np.isin(mark, seen, invert=True)  # other tasks' repeats go with distinct() below
+            close, seen = close[new], np.concatenate([seen if len(seen) < 1_000_000 else seen[:0], mark[new]])
             yield pa.RecordBatch.from_arrays([pa.array(keys[x[close]]), pa.array(keys[y[close]])], ["a", "b"])
 
     return rows.select("sig", "i", "j", "block", "key", "part", "n", "point").mapInArrow(run, "a long, b long").distinct()
