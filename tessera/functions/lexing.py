@@ -1,24 +1,38 @@
-"""Tokens of a programming language's texts, with Spark's own regular expressions."""
+"""Tokens of a programming language's texts: lines of ids, whole texts, fragments as they arrive, and what an open end may become."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The language's operators of several characters, longest first.
-OPERATORS = ("<<=", ">>=", "**=", "..=", "&&=", "||=", "...", "->", "=>", "==", "!=", "<=", ">=", "&&", "||", "??", "|>", "~>", "++", "--", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**", "<<", ">>", "..", "::")
+OPERATORS = (
+    "&&=", "||=", "<<=", ">>=", "**=", "..=", "...", "==", "!=", "<:", "<=", ">=", "&&", "||", "??", "|>", "~>", "=>", "->", "<<", ">>",
+    "**", "+=", "-=", "*=", "/=", "%=", "&=", "^=", "|=", "++", "--", "..",
+)
 # Its keywords.
 KEYWORDS = (
-    "abstract", "as", "break", "case", "catch", "class", "const", "continue", "do", "else", "enum", "extend", "false",
-    "finally", "for", "foreign", "func", "if", "import", "in", "init", "interface", "is", "let", "macro", "main", "match",
-    "mut", "open", "operator", "override", "package", "private", "prop", "protected", "public", "quote", "redef", "return",
-    "spawn", "static", "struct", "super", "synchronized", "this", "throw", "true", "try", "type", "unsafe", "var", "where", "while",
+    "func", "var", "let", "mut", "class", "struct", "enum", "interface", "extend", "import", "package", "if", "else", "for", "while", "do",
+    "break", "continue", "return", "throw", "try", "catch", "finally", "match", "case", "in", "is", "as", "this", "super", "operator",
+    "true", "false", "new", "spawn", "sync", "where", "type", "unsafe", "foreign", "macro", "quote", "public", "private", "static", "init",
 )
+KINDS = ("newline", "text", "multiline", "rune", "raw", "name", "keyword", "integer", "float", "operator", "sign")
 
-_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
-_OPERATOR = "|".join("".join("\\" + c for c in op) for op in OPERATORS)
-#: One token: comment, quoted text, number, name, line end, operator, any other sign.
-TOKEN = rf"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|{_QUOTED}|[0-9][0-9A-Za-z_.]*|[A-Za-z_][0-9A-Za-z_]*|\n|{_OPERATOR}|[^\s]"
+_LONGER = {op[:i] for op in OPERATORS for i in range(1, len(op))}
+_STRING = r'"(?:[^"\\]|\\.)*"'
+#: The tokens that a regular expression tells; block comments, which nest, are measured by hand.
+_TOKEN = re.compile(
+    r"(?P<blank>[ \t\r\f\v]+)|(?P<newline>\n)|(?P<line>//[^\n]*)|(?P<block>/\*)"
+    r'|(?P<multiline>"""(?:[^"\\]|\\.|"(?!""))*""")|(?P<text>' + _STRING + r")"
+    r"|(?P<rune>r(?:'(?:[^'\\\n]|\\[^\n])*'|\"(?:[^\"\\\n]|\\[^\n])*\"))|(?P<raw>`[^`]*`)"
+    r"|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<operator>" + "|".join(map(re.escape, OPERATORS)) + r")|(?P<sign>[^\n])",
+    re.DOTALL,
+)
+_COMMENT = re.compile(r"/\*|\*/")
 
 
 def token_id(raw: Column) -> Column:
@@ -27,26 +41,116 @@ def token_id(raw: Column) -> Column:
     return F.when(number != "", number.try_cast("bigint"))
 
 
-def kind_of(token: Column) -> Column:
-    return (
-        F.when(token == "\n", "newline")
-        .when(token.startswith("//") | token.startswith("/*"), "comment")
-        .when(token.rlike(r"^[\"'].*[\"']$") & (F.length(token) > 1), "text")
-        .when(token.rlike(r"^[0-9][0-9_]*([iu](8|16|32|64))?$|^0[xob]"), "integer")
-        .when(token.rlike(r"^[0-9]"), "float")
-        .when(token.isin(*KEYWORDS), "keyword")
-        .when(token.rlike(r"^[A-Za-z_]"), "name")
-        .otherwise("sign")
-    )
+def _block_end(text: str, at: int) -> int:
+    """Where the block comment that starts at a place ends, -1 if it doesn't."""
+    depth = 0
+    for m in _COMMENT.finditer(text, at):
+        depth += 1 if m[0] == "/*" else -1
+        if not depth:
+            return m.end()
+    return -1
+
+
+def scan(text: str, last: bool = True) -> tuple[list[tuple[str, int, int]], int]:
+    """The tokens (kind, start, end) of a text, and where what is not certain yet begins.
+
+    Unless this is the last of a text, a token is certain only when nothing that may follow changes
+    it: a name, number or operator at the end may go on, an open text, rune, raw name or comment is
+    one token to be. In the last part, what stays open is signs and names as they stand, an open
+    block comment the rest of the text. A number is a run of digits, letters, _ and dots, a float
+    if it has one of . e E f, so 0..10 is one float.
+    """
+    out, at, n = [], 0, len(text)
+    while at < n:
+        m = _TOKEN.match(text, at)
+        kind, end = m.lastgroup, m.end()
+        if kind == "block":
+            end = _block_end(text, at)
+            if end < 0:
+                return out, n if last else at
+        elif not last:
+            opens = kind == "text" and text.startswith('"""', at) or kind == "sign" and text[at] in '"`' or kind == "name" and text[at : at + 2] == "r" and end == n
+            quote = kind == "name" and end == at + 1 and text[at] == "r" and end < n and text[end] in "'\""  # an open rune
+            grows = end == n and (kind in ("name", "number", "line") or kind in ("operator", "sign") and text[at:end] in _LONGER | {"/"} or kind == "text" and text[at:end] == '""')
+            if opens or grows or quote and "\n" not in text[end:]:
+                return out, at
+        if kind == "number":
+            kind = "float" if any(c in ".eEf" for c in text[at + 1 : end]) and not text.startswith(("0x", "0X"), at) else "integer"
+        elif kind == "name" and text[at:end] in KEYWORDS:
+            kind = "keyword"
+        if kind not in ("blank", "line", "block"):
+            out.append((kind, at, end))
+        at = end
+    return out, n
+
+
+def candidates(partial: str) -> list[str]:
+    """What an open end may become: kinds of tokens, and the keywords that begin like it. None for blanks and comments."""
+    if not partial or partial.isspace() or partial.startswith(("//", "/*")):
+        return []
+    if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", partial):
+        return ["name", *(["rune"] if partial == "r" else []), *(k for k in KEYWORDS if k.startswith(partial))]
+    if partial[0].isdigit():
+        return ["integer", "float"] if not any(c in ".eEf" for c in partial) else ["float"]
+    for start, kinds in (('"""', ["multiline"]), ('"', ["text", "multiline"] if partial in ('"', '""') else ["text"]), ("r'", ["rune"]), ('r"', ["rune"]), ("`", ["raw"])):
+        if partial.startswith(start):
+            return kinds
+    return [op for op in OPERATORS if op.startswith(partial)] + (["sign"] if len(partial) == 1 else [])
+
+
+def viable(partial: str) -> bool:
+    """Whether an open end can still become a token: nothing, blanks, comments, and what has a candidate."""
+    return not partial or partial.isspace() or partial.startswith(("//", "/*")) or bool(candidates(partial))
+
+
+TOKENS = "pos int, kind string, token string, line int, col int"
+
+
+def _rows(text: str, tokens: list[tuple[str, int, int]], line: int, col: int) -> Iterator[tuple[str, str, int, int]]:
+    """Kind, text, line and column of tokens, of a text that starts at a line and column."""
+    at = 0
+    for kind, start, end in tokens:
+        line, col = moved(text, at, start, line, col)
+        yield kind, text[start:end], line, col
+        at = start
+
+
+def moved(text: str, start: int, end: int, line: int, col: int) -> tuple[int, int]:
+    """Line and column after a part of a text."""
+    lines = text.count("\n", start, end)
+    return (line + lines, end - text.rfind("\n", start, end)) if lines else (line, col + end - start)
 
 
 def lex(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row (id, pos, token, kind) per token that a text certainly has, in order; blanks are skipped. A null text has none."""
-    found = sources.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    return found.withColumn("kind", kind_of(F.col("token")))
+    """A row (id, pos, kind, token, line, col) per token of each whole text, in order; blanks and comments (block comments nest) are skipped, line and column count from 1. A null text has none; rows that repeat an id stand for themselves."""
+    kind = sources.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(i, p, *row) for i, text in zip(pdf["id"], pdf["text"]) if isinstance(text, str) for p, row in enumerate(_rows(text, scan(text)[0], 1, 1))]
+            yield pd.DataFrame(out, columns=["id", "pos", "kind", "token", "line", "col"])
+
+    rows = sources.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, {TOKENS}")
+    return rows.withColumnRenamed("id", id_col)
+
+
+def type_ids(tokens: DataFrame, vocabulary: DataFrame, kind: str = "kind") -> DataFrame:
+    """The tokens with type_id by a table (kind, type_id); a kind that it lacks is a name. Without a name in the table, null."""
+    table = vocabulary.groupBy(F.col("kind").alias("of_kind")).agg(F.min("type_id").alias("type_id"))
+    spare = vocabulary.filter("kind = 'name'").agg(F.min("type_id").alias("spare"))  # one row
+    rows = tokens.join(table, F.col(kind) == F.col("of_kind"), "left").join(F.broadcast(spare))
+    return rows.select(*tokens.columns, F.coalesce("type_id", "spare").alias("type_id"))
 
 
-def fragments(sources: DataFrame, id_col: str, text_col: str, layout: str) -> DataFrame:
-    """A text in parts (id, seq, fragment): as a whole, by line, or by word with the blanks before it. The parts make up the text."""
-    pattern = {"whole": r"(?s)^.+$", "line": r"[^\n]*\n|[^\n]+$", "word": r"\s*\S+|\s+$"}[layout]
-    return sources.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("seq", "fragment"))
+def fragments(sources: DataFrame, id_col: str, text_col: str, layout: str, seed: int = 0) -> DataFrame:
+    """A text in parts (id, seq, fragment) that make it up: as a whole, by line, by word with the blanks before it, by character, or by pieces of 1 to 17 characters whose lengths follow from the id, the place and a seed. A null or empty text has no part."""
+    text = F.col(text_col)
+    if layout == "random":
+        place = F.expr(f"sequence(0, greatest(length({text_col}) - 1, 0))")
+        size = lambda k: F.pmod(F.xxhash64(F.col(id_col), k, F.lit(seed)), F.lit(17)).cast("int") + 1
+        # from each cut on the next one: a fold over the characters that keeps the cuts made so far
+        cuts = F.aggregate(place, F.array(F.lit(0)), lambda a, k: F.when(k >= F.element_at(a, -1) + size(F.element_at(a, -1)), F.array_append(a, k)).otherwise(a))
+        parts = F.transform(cuts, lambda c: F.substring(text, c + 1, size(c)))
+        return sources.filter(F.length(text) > 0).select(id_col, F.posexplode(parts).alias("seq", "fragment"))
+    pattern = {"whole": r"(?s)^.+$", "line": r"[^\n]*\n|[^\n]+$", "word": r"\s*\S+|\s+$", "character": r"(?s)."}[layout]
+    return sources.select(id_col, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("seq", "fragment"))

@@ -2,31 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.types import arguments, canonical, function_parts, head
+from tessera.sources.folders import forget, shared_folder
+
 
 def subtype_closure(edges: DataFrame) -> DataFrame:
-    """(sub, super, steps) of all pairs that edges (sub, super) lead to, each with its fewest steps; cycles end where they meet. A type is its own at 0 steps."""
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE reach(sub, super, steps) MAX RECURSION LEVEL 200 AS (
-          SELECT t, t, 0 FROM (SELECT sub AS t FROM {edges} UNION SELECT super FROM {edges})
-          UNION ALL
-          SELECT r.sub, e.super, r.steps + 1 FROM reach r JOIN {edges} e ON e.sub = r.super WHERE r.steps < 32 AND e.super <> r.sub)
-        SELECT sub, super, min(steps) AS steps FROM reach GROUP BY sub, super
-        """,
-        edges=edges,
-    )
+    """(sub, super, steps) of all pairs that edges (sub, super) lead to, each with its fewest steps; a type is its own at 0 steps.
+
+    Paths double in length in each round, so a chain of n types takes log2(n) rounds, and of each
+    pair only the fewest steps go on: cycles and lattices end like trees. It ends when a round
+    changes nothing, whatever the depth. Edges with a null are left out; repeated ones count once.
+    """
+    spark = edges.sparkSession
+    known = edges.filter("sub is not null and super is not null").select("sub", "super").distinct()
+    names = known.select(F.explode(F.array("sub", "super")).alias("sub")).distinct()
+    now = names.select("sub", F.col("sub").alias("super"), F.lit(0).cast("long").alias("steps")).unionByName(known.filter("sub <> super").withColumn("steps", F.lit(1).cast("long")))
+    before, old = None, None
+    while True:
+        path = shared_folder(spark, "closure")
+        now.write.parquet(path)
+        if old:
+            forget(spark, old)
+        now = spark.read.schema(now.schema).parquet(path)
+        state = now.agg(F.count("*"), F.sum("steps")).first()
+        if state == before:
+            return now.withColumn("steps", F.col("steps").cast("int"))
+        before, old = state, path
+        on = now.select(F.col("sub").alias("super"), F.col("super").alias("end"), F.col("steps").alias("more"))
+        now = now.join(on, "super").groupBy("sub", F.col("end").alias("super")).agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
+
+
+def _unknown(kind: Column) -> Column:
+    return kind.isNull() | kind.isin("", "?")
+
+
+def _pairs_compatible(rows: DataFrame, closure: DataFrame) -> DataFrame:
+    """rows (id, got, want), canonical, with fits: of types that aren't functions."""
+    known = closure.select(F.col("sub").alias("known_sub"), F.col("super").alias("known_super")).distinct()
+    rows = rows.withColumn("g", head(F.col("got"))).withColumn("w", head(F.col("want")))
+    rows = rows.join(known, (F.col("g") == F.col("known_sub")) & (F.col("w") == F.col("known_super")), "left")
+    plain = ~F.contains("want", F.lit("<"))
+    fits = _unknown(F.col("got")) | _unknown(F.col("want")) | (F.col("got") == F.col("want")) | (plain & F.col("known_sub").isNotNull()) | (plain & (F.col("g") == F.col("w")))
+    return rows.select("id", F.coalesce(fits, F.lit(False)).alias("fits"))
 
 
 def compatible(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """Adds compatible: whether got may stand for want. Unknown (null, '' or '?') fits everything; otherwise equal, a subtype, or the same head where want has no arguments."""
-    known = closure.select(F.col("sub").alias("__sub"), F.col("super").alias("__super")).distinct()
-    head = lambda c: F.substring_index(F.regexp_replace(c, r"\s+", ""), "<", 1)
-    rows = pairs.withColumn("__g", head("got")).withColumn("__w", head("want"))
-    rows = rows.join(known, (F.col("__g") == F.col("__sub")) & (F.col("__w") == F.col("__super")), "left")
-    unknown = lambda c: F.col(c).isNull() | F.col(c).isin("", "?")
-    same = F.regexp_replace("got", r"\s+", "") == F.regexp_replace("want", r"\s+", "")
-    plain = ~F.col("want").contains("<")
-    return rows.withColumn("compatible", unknown("got") | unknown("want") | same | (plain & ((F.col("__g") == F.col("__w")) | F.col("__sub").isNotNull()))).drop("__g", "__w", "__sub", "__super")
+    """Adds compatible: whether got may stand for want.
+
+    Unknown (null, '' or '?') fits everything; otherwise equal, a subtype, or the same head where
+    want has no arguments. A function fits one with as many parameters, each of which fits in the
+    other direction, and whose result fits. Functions are taken apart, level by level, into pairs of
+    their parts; a pair of types is looked up once however often it stands in the table.
+    """
+    named = pairs.withColumn("pair", F.struct(canonical(F.col("got")).alias("got"), canonical(F.col("want")).alias("want")))
+    todo = named.select(F.xxhash64("pair").alias("id"), "pair.got", "pair.want").distinct()
+    parts = []
+    while True:
+        rows = todo.withColumn("a", function_parts(F.col("got"))).withColumn("b", function_parts(F.col("want")))
+        both = F.expr("a.params is not null and b.params is not null")
+        parts.append(_pairs_compatible(rows.filter(~both).select("id", "got", "want"), closure))
+        deep = rows.filter(both)
+        parts.append(deep.filter("size(a.params) <> size(b.params)").select("id", F.lit(False).alias("fits")))
+        inner = F.concat(F.transform(F.arrays_zip(F.col("b.params").alias("got"), F.col("a.params").alias("want")), lambda x: F.struct(x["got"].alias("got"), x["want"].alias("want"))), F.array(F.struct(F.col("a.result").alias("got"), F.col("b.result").alias("want"))))
+        todo = deep.filter("size(a.params) = size(b.params)").select("id", F.explode(inner).alias("part")).select("id", "part.got", "part.want")
+        if todo.isEmpty():  # as many rounds as functions stand in functions
+            break
+    fits = parts[0]
+    for more in parts[1:]:
+        fits = fits.unionByName(more)
+    fits = fits.groupBy("id").agg(F.bool_and("fits").alias("compatible"))
+    return named.withColumn("id", F.xxhash64("pair")).join(fits, "id").select(*pairs.columns, "compatible")
+
+
+def compatible_strict(pairs: DataFrame, closure: DataFrame) -> DataFrame:
+    """Adds compatible by the stricter rule: an unknown:, type: or interface-type: never fits; otherwise equal, or a subtype or the same head of which either side has no arguments. Nulls don't fit."""
+    known = closure.select(F.col("sub").alias("known_sub"), F.col("super").alias("known_super")).distinct()
+    rows = pairs.select(F.struct(*pairs.columns).alias("own"), "got", "want").withColumn("pair", F.struct(canonical(F.col("got")).alias("got"), canonical(F.col("want")).alias("want"), head(F.col("got")).alias("g"), head(F.col("want")).alias("w")))
+    rows = rows.join(known, (F.col("pair.g") == F.col("known_sub")) & (F.col("pair.w") == F.col("known_super")), "left")
+    raw = ~F.contains("pair.got", F.lit("<")) | ~F.contains("pair.want", F.lit("<"))
+    never = F.col("got").rlike("^(unknown:|type:|interface-type:)")
+    fits = ~never & ((F.col("pair.got") == F.col("pair.want")) | (raw & ((F.col("pair.g") == F.col("pair.w")) | F.col("known_sub").isNotNull())))
+    return rows.select("own.*", F.coalesce(fits, F.lit(False)).alias("compatible"))
+
+
+def type_facts(kinds: DataFrame, kind: str) -> DataFrame:
+    """The rows with canonical, head, args, params and result of a type; params and result are null unless it is a function."""
+    parts = kinds.withColumn("canonical", canonical(F.col(kind))).withColumn("head", head(F.col(kind))).withColumn("args", arguments(F.col(kind))).withColumn("f", function_parts(F.col(kind)))
+    return parts.select(*kinds.columns, "canonical", "head", "args", "f.params", "f.result")

@@ -48,15 +48,34 @@ def context_rule(tokens: DataFrame, stream: str, order: str, kind: str, heads: t
     return tokens.withColumn("previous", previous).withColumn("violates", F.coalesce(F.col("previous").isin(*heads) & ~allowed, F.lit(False)))
 
 
-def call_frontier(overloads: DataFrame, calls: DataFrame) -> DataFrame:
+def context_rule_after(tokens: DataFrame, stream: str, order: str, kind: str, heads: dict[str, tuple[str, ...]], middle: str) -> DataFrame:
+    """Adds violates: a row two after a head, with a middle between them, that is none of heads[head]. Rows of equal order follow their kind; the last rows of a stream break nothing."""
+    by = W.partitionBy(stream).orderBy(order, kind)
+    rows = tokens.withColumns({"one_before": F.lag(kind).over(by), "two_before": F.lag(kind, 2).over(by)})
+    broken = F.lit(False)
+    for head, allowed in heads.items():
+        broken = broken | ((F.col("two_before") == head) & (F.col("one_before") == middle) & ~F.col(kind).isin(*allowed))
+    return rows.withColumn("violates", F.coalesce(broken, F.lit(False))).drop("one_before", "two_before")
+
+
+def call_frontier(overloads: DataFrame, calls: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """Per call and overload of its name: alive, waiting or dead, and why.
 
     overloads: name, overload, params array, required (0: all). calls: call_id, name, args array,
-    closed. An argument of an unknown type (null) fits every parameter.
+    closed. An argument of an unknown type (null) fits every parameter. With a closure of super
+    types arguments must be compatible, each pair of types being looked up once; without one equal.
     """
+    from .types import compatible
+
     need = F.when(F.col("required") == 0, F.size("params")).otherwise(F.col("required"))
     rows = calls.join(overloads, "name")
-    clash = F.expr("exists(sequence(0, greatest(least(size(args), size(params)), 1) - 1), i -> i < size(args) and i < size(params) and get(args, i) <> get(params, i))")
+    if closure is None:
+        clash = F.expr("exists(sequence(0, greatest(least(size(args), size(params)), 1) - 1), i -> i < size(args) and i < size(params) and get(args, i) <> get(params, i))")
+    else:
+        both = rows.select("call_id", "overload", F.explode(F.arrays_zip(F.col("args").alias("got"), F.slice("params", 1, F.greatest(F.size("args"), F.lit(0))).alias("want"))).alias("p")).select("call_id", "overload", "p.got", "p.want").filter("want is not null")
+        bad = compatible(both.select("got", "want").distinct(), closure).filter(~F.col("compatible")).select("got", "want")
+        hit = both.join(bad, ["got", "want"]).select("call_id", "overload").distinct().withColumn("hit", F.lit(True))
+        rows, clash = rows.join(hit, ["call_id", "overload"], "left"), F.coalesce("hit", F.lit(False))
     reason = F.when(F.size("args") > F.size("params"), "arity exceeded").when(clash, "argument type").when(F.col("closed") & (F.size("args") < need), "arity short at close")
     state = F.when(F.col("reason").isNotNull(), "dead").when(F.size("args") < need, "waiting").otherwise("alive")
     return rows.withColumn("reason", reason).withColumn("state", state).select("call_id", "name", "overload", "state", "reason")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexing
 from tessera.operators import summaries, types, verdicts
-from tessera.sources import context, vocabulary
+from tessera.plans import harness
+from tessera.sources import vocabulary
 from tessera.streaming import checker
 
 _QUERIES, _SQL = {}, {}
@@ -90,14 +91,14 @@ def p95_three_rules(spark, d):
     return summaries.p95_rules(_t(spark, d, "lineitem"), "l_returnflag", "l_extendedprice")
 
 
-@_query("SELECT o_orderstatus, count(o_totalprice) AS n, min(o_totalprice) AS least, median(o_totalprice) AS median, max(o_totalprice) AS most, round(sum(o_totalprice::DECIMAL(30,6)), 2)::DOUBLE AS total FROM orders GROUP BY 1")
+@_query("SELECT o_orderstatus, count(o_totalprice) AS n, min(o_totalprice) AS least, median(o_totalprice) AS median, quantile_disc(o_totalprice, 0.95) AS p95, max(o_totalprice) AS most, round(sum(o_totalprice::DECIMAL(30,6)), 2)::DOUBLE AS total, round(sum(o_totalprice::DECIMAL(30,6)) / count(o_totalprice), 6)::DOUBLE AS mean FROM orders GROUP BY 1")
 def median_summary(spark, d):
     return summaries.summary(_t(spark, d, "orders"), "o_orderstatus", "o_totalprice")
 
 
 @_query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
 def family_counts(spark, d):
-    return _t(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return summaries.family_counts(_t(spark, d, "documents"), "lang", "source")
 
 
 @_query("SELECT (1 - grouping(lang))::VARCHAR || (1 - grouping(source))::VARCHAR AS dimension, lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
@@ -136,7 +137,7 @@ def multiset_difference(spark, d):
 
 @_query("SELECT bool_and(quality IN (0, 1)) AS all_valid, bool_or(toxic = 1) AS any_toxic, count(*) FILTER (quality = 1 AND toxic = 1) AS both FROM labels")
 def gates(spark, d):
-    return _t(spark, d, "labels").agg(F.bool_and(F.col("quality").isin(0, 1)).alias("all_valid"), F.bool_or(F.col("toxic") == 1).alias("any_toxic"), F.count_if(F.expr("quality = 1 and toxic = 1")).alias("both"))
+    return summaries.gates(_t(spark, d, "labels"), {"all_valid": F.col("quality").isin(0, 1)}, {"any_toxic": F.col("toxic") == 1}, {"both": F.expr("quality = 1 and toxic = 1")})
 
 
 @_query(
@@ -148,10 +149,10 @@ def cluster_top_examples(spark, d):
     return summaries.clusters(rows, ("event_type", "bucket"), "event_id")
 
 
-@_query("SELECT role, word, count(*) AS n FROM (SELECT role, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM conversations) GROUP BY ALL")
+@_query("SELECT role, target, count(*) AS n FROM (SELECT role, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS target FROM conversations) GROUP BY ALL")
 def explode_count(spark, d):
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return _t(spark, d, "conversations").select("role", F.explode(words).alias("word")).groupBy("role", "word").agg(F.count("*").alias("n"))
+    return summaries.covered_counts(_t(spark, d, "conversations").select("role", words.alias("words")), "words", "role")
 
 
 @_query(
@@ -180,11 +181,12 @@ def byte_offsets(spark, d):
     return summaries.running_offsets(_t(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "end_byte")
 
 
-@_query("SELECT ts AS at, 0 AS priority, event_id AS id FROM events UNION ALL SELECT o_orderdate, 1, o_orderkey FROM orders")
+@_query("SELECT ts AS at, CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS priority, CASE WHEN event_type IN ('signup', 'error') THEN event_type ELSE 'step' END AS kind, event_id AS id FROM events UNION ALL SELECT o_orderdate, 3, 'order', o_orderkey FROM orders")
 def timeline(spark, d):
-    a = _t(spark, d, "events").select(F.col("ts").alias("at"), F.lit(0).alias("priority"), F.col("event_id").alias("id"))
-    b = _t(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.lit(1).alias("priority"), F.col("o_orderkey").alias("id"))
-    return a.unionByName(b).orderBy("at", "priority", "id")
+    events = _t(spark, d, "events").select("event_type", F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    orders = _t(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))
+    of = lambda condition: events.filter(condition).select("at", "id")
+    return summaries.timeline(signup=of("event_type = 'signup'"), error=of("event_type = 'error'"), step=of("event_type not in ('signup', 'error')"), order=orders)
 
 
 _EDGES = "e AS (SELECT 'N' || n_nationkey::VARCHAR AS sub, 'R' || n_regionkey::VARCHAR AS super FROM nation UNION ALL SELECT 'R' || r_regionkey::VARCHAR, 'Any' FROM region)"
@@ -197,32 +199,48 @@ def _edges(spark, d):
 
 @_query(
     f"""WITH RECURSIVE {_EDGES}, r(sub, super, steps) AS (SELECT t, t, 0 FROM (SELECT sub AS t FROM e UNION SELECT super FROM e)
-    UNION ALL SELECT r.sub, e.super, r.steps + 1 FROM r JOIN e ON e.sub = r.super WHERE r.steps < 32) SELECT sub, super, min(steps)::INT AS steps FROM r GROUP BY 1, 2"""
+    UNION ALL SELECT r.sub, e.super, r.steps + 1 FROM r JOIN e ON e.sub = r.super) SELECT sub, super, min(steps)::INT AS steps FROM r GROUP BY 1, 2"""
 )
 def subtype_closure(spark, d):
     return types.subtype_closure(_edges(spark, d))
 
 
 @_query(
-    """SELECT c_custkey, s_nationkey AS want_nation, (c_nationkey = s_nationkey) AS compatible FROM customer CROSS JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey <= 5)"""
+    """WITH l AS (SELECT o_orderkey, l_linenumber, c_nationkey AS c, s_nationkey AS s, a.n_regionkey AS cr, b.n_regionkey AS sr FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+      JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey)
+    SELECT o_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN c = s WHEN 1 THEN cr = sr WHEN 2 THEN cr = sr ELSE true END AS compatible FROM l"""
 )
 def type_compatibility(spark, d):
-    want = _t(spark, d, "supplier").filter("s_suppkey <= 5").select("s_nationkey").distinct()
-    pairs = _t(spark, d, "customer").crossJoin(F.broadcast(want)).selectExpr("c_custkey", "s_nationkey as want_nation", "concat('N', c_nationkey) as got", "concat('N', s_nationkey) as want")
-    return types.compatible(pairs, types.subtype_closure(_edges(spark, d))).select("c_custkey", "want_nation", "compatible")
+    """A customer's nation, for its suppliers' nation, their region, a function over both, or anything."""
+    nation = _t(spark, d, "nation")
+    of = lambda key: nation.selectExpr(f"n_nationkey as {key}_nation", f"concat('N', n_nationkey) as {key}", f"concat('R', n_regionkey) as {key}_region")
+    rows = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(of("c"), F.col("c_nationkey") == F.col("c_nation")).join(of("s"), F.col("s_nationkey") == F.col("s_nation"))
+    pairs = rows.selectExpr("o_orderkey", "l_linenumber", "if(l_linenumber % 4 = 2, concat('(', c_region, ') -> ', c), c) as got", "case l_linenumber % 4 when 0 then s when 1 then s_region when 2 then concat('(', s, ') -> ', s_region) else 'Any' end as want")
+    return types.compatible(pairs, types.subtype_closure(_edges(spark, d))).select("o_orderkey", "l_linenumber", "compatible")
 
 
 @_query(
-    """WITH calls AS (SELECT o_orderkey AS call_id, 'f' || (o_orderkey % 2)::VARCHAR AS name, o_orderkey % 4 AS n, o_orderkey % 3 = 0 AS closed FROM orders),
-    f(name, overload, n_params, required) AS (VALUES ('f0', 0, 1, 1), ('f0', 1, 2, 0), ('f1', 0, 3, 2)),
-    j AS (SELECT call_id, overload, n, n_params, closed, CASE WHEN required = 0 THEN n_params ELSE required END AS need FROM calls JOIN f USING (name)),
-    r AS (SELECT *, CASE WHEN n > n_params THEN 'arity exceeded' WHEN closed AND n < need THEN 'arity short at close' END AS reason FROM j)
+    """WITH calls AS (SELECT o_orderkey AS call_id, 'f' || (o_orderkey % 2)::VARCHAR AS name, (o_orderkey % 4)::INT AS n, o_orderkey % 3 = 0 AS closed, c_nationkey AS nation, n_regionkey AS region FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+    f(name, overload, params, required) AS (VALUES ('f0', 0, ['Any'], 1), ('f0', 1, ['R1', 'N3'], 0), ('f1', 0, ['R2', 'R2', 'Any'], 2)),
+    j AS (SELECT call_id, overload, n, len(params) AS n_params, closed, CASE WHEN required = 0 THEN len(params) ELSE required END AS need,
+      len(list_filter(params[1:n], lambda p: p <> 'Any' AND p <> 'N' || nation AND p <> 'R' || region)) > 0 AS clash FROM calls JOIN f USING (name)),
+    r AS (SELECT *, CASE WHEN n > n_params THEN 'arity exceeded' WHEN clash THEN 'argument type' WHEN closed AND n < need THEN 'arity short at close' END AS reason FROM j)
     SELECT call_id, overload::INT AS overload, CASE WHEN reason IS NOT NULL THEN 'dead' WHEN n < need THEN 'waiting' ELSE 'alive' END AS state, reason FROM r"""
 )
 def call_frontier(spark, d):
-    calls = _t(spark, d, "orders").selectExpr("o_orderkey call_id", "concat('f', o_orderkey % 2) name", "array_repeat('Int64', cast(o_orderkey % 4 as int)) args", "o_orderkey % 3 = 0 closed")
-    overloads = spark.createDataFrame([("f0", 0, ["Int64"], 1), ("f0", 1, ["Int64", "Int64"], 0), ("f1", 0, ["Int64"] * 3, 2)], "name string, overload int, params array<string>, required int")
-    return verdicts.call_frontier(overloads, calls).select("call_id", "overload", "state", "reason")
+    rows = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    calls = rows.selectExpr("o_orderkey call_id", "concat('f', o_orderkey % 2) name", "array_repeat(concat('N', c_nationkey), cast(o_orderkey % 4 as int)) args", "o_orderkey % 3 = 0 closed")
+    overloads = spark.createDataFrame([("f0", 0, ["Any"], 1), ("f0", 1, ["R1", "N3"], 0), ("f1", 0, ["R2", "R2", "Any"], 2)], "name string, overload int, params array<string>, required int")
+    return verdicts.call_frontier(overloads, calls, types.subtype_closure(_edges(spark, d))).select("call_id", "overload", "state", "reason")
+
+
+@_query(
+    """WITH p AS (SELECT conv_id, turn, role, lag(role) OVER w AS one, lag(role, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
+    SELECT conv_id, turn, role, coalesce(two = 'user' AND one = 'assistant' AND role <> 'user', false) AS violates FROM p"""
+)
+def context_rule_after(spark, d):
+    return verdicts.context_rule_after(_t(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role", {"user": ("user",)}, "assistant")
 
 
 @_query("SELECT doc_id, seq::INT AS seq, fragment FROM (SELECT doc_id, unnest(f) AS fragment, generate_subscripts(f, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+$') AS f FROM documents))")
@@ -230,10 +248,15 @@ def line_fragments(spark, d):
     return lexing.fragments(_t(spark, d, "documents"), "doc_id", "text", "line")
 
 
-@_query()
+@_query(
+    r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)[ \t\r\f\v]+|\n|//[^\n]*|"(?:[^"\\]|\\.)*"|r''(?:[^''\\\n]|\\[^\n])*''|r"(?:[^"\\\n]|\\[^\n])*"|`[^`]*`|[A-Za-z_][A-Za-z0-9_]*|[0-9][A-Za-z0-9_.]*|OPERATORS|[^\n]')) AS token FROM pages),
+    k AS (SELECT page_id, CASE WHEN token = chr(10) THEN 'newline' WHEN regexp_matches(token, '^[ \t\r\f\v]') OR starts_with(token, '//') THEN NULL WHEN regexp_matches(token, '^"') AND len(token) > 1 THEN 'text' WHEN regexp_matches(token, '^r["'']') THEN 'rune' WHEN starts_with(token, '`') AND len(token) > 1 THEN 'raw'
+      WHEN token IN (KEYWORDS) THEN 'keyword' WHEN regexp_matches(token, '^[A-Za-z_]') THEN 'name' WHEN regexp_matches(token, '^0[xX]') THEN 'integer' WHEN regexp_matches(token, '^[0-9].*[.eEf]') THEN 'float' WHEN regexp_matches(token, '^[0-9]') THEN 'integer'
+      WHEN token IN (SIGNS) THEN 'operator' ELSE 'sign' END AS kind FROM t)
+    SELECT page_id, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL""".replace("OPERATORS", "|".join("".join("\\" + c for c in op) for op in lexing.OPERATORS)).replace("KEYWORDS", ", ".join(f"'{k}'" for k in lexing.KEYWORDS)).replace("SIGNS", ", ".join(f"'{o}'" for o in lexing.OPERATORS))
+)
 def lex_pages(spark, d):
-    tokens = lexing.lex(_t(spark, d, "pages"), "page_id", "html")
-    return tokens.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
+    return lexing.lex(_t(spark, d, "pages"), "page_id", "html").groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
 @_query()
@@ -242,24 +265,14 @@ def check_fragments(spark, d):
     return checker.check_batch(parts.selectExpr("doc_id as stream_id", "seq", "fragment"))
 
 
-@_query(
-    """SELECT 'f' || event_type AS name, 0 AS overload, count(*) AS n, 'Unit' AS result FROM events GROUP BY event_type"""
-)
-def catalog_functions(spark, d):
-    kinds = _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    made = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("f"), F.col("event_type")).alias("identifier"), F.array(F.struct(F.lit("Int64").alias("ty"))).alias("parameters"))).alias("functions")))
-    functions = context.functions_of(kinds.select(made.alias("json")))
-    return functions.join(kinds.withColumn("name", F.concat(F.lit("f"), F.col("event_type"))), "name").select("name", "overload", "n", "result")
-
-
 @_query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def source_digests(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | harness.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    return _SQL | harness.SQL

@@ -2,7 +2,9 @@
 
 A step takes what a stream has left open (brackets, a quoted text, a comment) and the next
 fragment; a stream is rejected at the first fragment with a closing bracket that nothing opened,
-and nothing is answered after that. Where a text is cut into fragments makes no difference to
+and nothing is answered after that. Fragments are taken by seq from 0 on, and nothing is answered
+after a gap; of a repeated seq the smallest text counts in a batch, the first to arrive in a stream.
+Rows without a stream or a seq are left out, a null fragment is empty. Where a text is cut into fragments makes no difference to
 what is accepted in the end.
 """
 
@@ -60,16 +62,16 @@ def check_batch(fragments: DataFrame) -> DataFrame:
     """(stream_id, seq, ok, depth) up to each stream's first reject. A stream's fragments come sorted through its task a batch at a time; none is held whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, open_, mode, last, failed, seen = None, "", "", "", False, None
+        at, open_, mode, last, failed, next_seq = None, "", "", "", False, 0
         for pdf in batches:
             out = []
             for stream, seq, text in zip(pdf["stream_id"], pdf["seq"], pdf["fragment"]):
                 if stream != at:
-                    at, open_, mode, last, failed, seen = stream, "", "", "", False, None
-                if failed or seq == seen:
+                    at, open_, mode, last, failed, next_seq = stream, "", "", "", False, 0
+                if failed or seq != next_seq:
                     continue
-                ok, open_, mode, last = step(open_, mode, last, text or "")
-                failed, seen = not ok, seq
+                ok, open_, mode, last = step(open_, mode, last, text if isinstance(text, str) else "")
+                failed, next_seq = not ok, next_seq + 1
                 out.append((stream, seq, ok, len(open_)))
             yield pd.DataFrame(out, columns=["stream_id", "seq", "ok", "depth"])
 
@@ -77,8 +79,8 @@ def check_batch(fragments: DataFrame) -> DataFrame:
     return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq", "fragment").mapInPandas(run, OUT)
 
 
-def check_stream(fragments: DataFrame) -> DataFrame:
-    """The same over a streaming DataFrame: fragments are taken strictly by seq from 0 on, early ones wait in the state, repeated ones are dropped."""
+def check_stream(fragments: DataFrame, most_waiting: int = 10_000) -> DataFrame:
+    """The same over a streaming DataFrame: early fragments wait in the state, most_waiting a stream; more of them raise an error, as the missing one is then not expected any more."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         next_seq, open_, mode, last, failed, held_seq, held = state.get if state.exists else (0, "", "", "", False, [], [])
@@ -86,7 +88,7 @@ def check_stream(fragments: DataFrame) -> DataFrame:
         for pdf in parts:
             for seq, text in zip(pdf["seq"], pdf["fragment"]):
                 if not failed and seq >= next_seq:
-                    waiting.setdefault(int(seq), text or "")
+                    waiting.setdefault(int(seq), text if isinstance(text, str) else "")
         out = []
         while not failed and next_seq in waiting:
             ok, open_, mode, last = step(open_, mode, last, waiting.pop(next_seq))
@@ -94,8 +96,10 @@ def check_stream(fragments: DataFrame) -> DataFrame:
             failed, next_seq = not ok, next_seq + 1
         if failed:
             waiting = {}
+        if len(waiting) > most_waiting:
+            raise RuntimeError(f"stream {key[0]}: fragment {next_seq} is missing")
         state.update((next_seq, open_, mode, last, failed, list(waiting), list(waiting.values())))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "ok", "depth"])
 
-    rows = fragments.selectExpr("cast(stream_id as string) stream_id", "cast(seq as bigint) seq", "fragment")
+    rows = fragments.selectExpr("cast(stream_id as string) stream_id", "cast(seq as bigint) seq", "fragment").filter("stream_id is not null and seq is not null")
     return rows.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
