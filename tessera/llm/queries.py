@@ -105,15 +105,21 @@ shares AS (
               ELSE ((everything - coalesce(sum(ceiling) FILTER (is_full) OVER (), 0)) * weight)::DOUBLE / (sum(weight) FILTER (NOT is_full) OVER ())::DOUBLE END AS target
   FROM judged),
 queued AS (
-  SELECT s.doc_id, s.source, s.size, h.source_size, h.weight, h.target,
+  SELECT s.skey, s.doc_id, s.source, s.size, h.source_size, h.weight, h.target,
          coalesce(sum(s.size) OVER (PARTITION BY s.skey ORDER BY s.shuffled, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead_words
-  FROM sized s JOIN shares h USING (skey))
-SELECT doc_id, source, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - ahead_words))
-        + greatest(0, least(size, floor(target)::BIGINT - ahead_words - source_size))
-        + greatest(0, least(size, floor(target)::BIGINT - ahead_words - 2 * source_size)))::BIGINT AS taken,
-       (ahead_words + size)::DOUBLE / weight::DOUBLE AS virtual_finish
-FROM queued
+  FROM sized s JOIN shares h USING (skey)),
+copies AS (
+  SELECT q.*, e AS epoch, ahead_words + source_size * e AS begins, greatest(0, least(size, floor(target)::BIGINT - ahead_words - source_size * e)) AS head
+  FROM queued q, range(3) t(e) WHERE size > 0),
+packets AS (
+  SELECT skey, ahead_words, epoch, 0 AS piece, head AS words, (begins + head)::DOUBLE / target AS finish FROM copies WHERE head > 0
+  UNION ALL SELECT skey, ahead_words, epoch, 1, size - head, (begins + size)::DOUBLE / target FROM copies WHERE size > head),
+served AS (
+  SELECT *, coalesce(sum(words) OVER (ORDER BY finish, skey, epoch, ahead_words, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM packets),
+given AS (
+  SELECT skey, ahead_words, sum(greatest(0, least(words, (SELECT sum(size) FROM sized) - earlier)))::BIGINT AS taken FROM served GROUP BY ALL)
+SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS taken, (ahead_words + size)::DOUBLE / nullif(target, 0) AS virtual_finish
+FROM queued LEFT JOIN given USING (skey, ahead_words)
 """
 
 _OP2 = r"""
