@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from tessera.sources.folders import shared_folder, stored
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -210,7 +211,7 @@ def sequences(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(out), whole
 
 
-def cut(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of a column, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -223,19 +224,7 @@ def cut(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) ->
             at = to
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; only where that is unset (as in tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/tessera-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, stored once in the shared folder: cuts the lineage and outlives an executor."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+written = stored
 
 
 def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:

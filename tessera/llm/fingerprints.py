@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import buffers, cut, mix
+from .base import buffers, cut, freed, mix
 
 K, S, SKETCH = 16, 6, 64
 _WINDOW = K - S + 1
@@ -84,7 +84,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per document (doc_id, anchors array<struct<pos, hash>>): byte place and hash of every closed syncmer, for positional matching. Null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             data, offsets = buffers(batch.column("text"))
             pos, hashes, of = syncmers(data, offsets)
             inner = pa.StructArray.from_arrays([pa.array(pos, pa.int64()), pa.array(hashes.view(np.int64))], ["pos", "hash"])
@@ -160,7 +160,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
         at, ended, size = None, False, 0
-        for batch in cut(batches, "text", 1 << 20):
+        for batch in cut(freed(batches), "text", 1 << 20):
             for where, look, doc, text in zip(*(batch.column(c).to_pylist() for c in ("range", "look", "doc_id", "text"))):
                 if where != at:
                     held, at, ended, size = [], where, False, 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, mix
+from .base import cut, freed, mix
 
 BLOCK, RATE, FRAME, HOP, AHEAD, SHOWN = 64, 8000, 128, 64, 3, 16
 
@@ -96,7 +96,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return base + ((media, [{"time": t, "code": c} for t, c in zip(times.tolist(), codes.tolist())]) if keep_media else ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             rows = [row(t) for t in batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
             columns = [pa.array(c) for c in zip(*rows)]
             if keep_media:

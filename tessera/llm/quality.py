@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import buffers, cut, words, written
+from .base import buffers, cut, freed, words, written
 
 #: At most so many labelled documents, those whose md5 of the id comes first, are learnt from.
 TRAIN_DOCS = 20_000
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = train.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(statistics(batch.column("text"))), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(train), "doc_id")
@@ -114,7 +114,7 @@ def posterior(docs: DataFrame, evidence: Evidence, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), pa.array(shared.value.log_odds(statistics(batch.column("text"))))], ["doc_id", "host", "path", "evidence"])
 
     named = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))

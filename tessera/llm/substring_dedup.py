@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import _STEP, buffers, cut, mix, sequences, word_starts, words, written
+from .base import _STEP, buffers, cut, freed, mix, sequences, word_starts, words, written
 
 K, WINDOW, MIN_WORDS, MIN_IDENTITY = 8, 12, 50, 0.75
 GAP_COST, MAX_GAP, MARGIN, DROP = 0.2, 40, 64, 8
@@ -367,7 +367,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             hashes, at, of = seeds(batch.column("text"))
             ids = batch.column("id").to_numpy(zero_copy_only=False)[of].astype(np.int64)
             heads = np.zeros(len(of), bool)

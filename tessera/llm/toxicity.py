@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import buffers, cut, terms
+from .base import buffers, cut, freed, terms
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 #: At most so many labelled documents, those whose md5 of the id comes first, are learnt from.
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(wanted: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in cut(batches, "text"):
+            for batch in cut(freed(batches), "text"):
                 _, _, hashes, first = terms(*buffers(batch.column("text")), PREFIXES)
                 out = []
                 for a, b in zip(first[:-1], first[1:]):
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return empty
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text"):
+        for batch in cut(freed(batches), "text"):
             _, _, steps, first = _evidence(*buffers(batch.column("text")), model)
             rows = [(np.flatnonzero(steps[i:j]), steps[i:j][steps[i:j] > 0]) for i, j in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(np.diff(first), pa.int64()), pa.array([x.tolist() for x, _ in rows], pa.list_(pa.int32())), pa.array([y.tolist() for _, y in rows], pa.list_(pa.int32()))], ["toxic", "n", "at", "step"])
@@ -267,7 +267,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in cut(batches, "text", 1 << 20):
+        for batch in cut(freed(batches), "text", 1 << 20):
             data, offsets = buffers(batch.column("text"))
             starts, ends, first, p, value = _scored(data, offsets, model)
             total = np.zeros(batch.num_rows)
@@ -296,7 +296,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, text_col, 1 << 20):
+        for batch in cut(freed(batches), text_col, 1 << 20):
             *_, value = _scored(*buffers(batch.column(text_col)), shared.value)
             yield batch.filter(pa.array(value < threshold))
 
