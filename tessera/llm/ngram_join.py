@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .base import buffers, cut, different, freed, mix, sequences, whole_runs, words, written
 from .components import components
@@ -399,20 +400,8 @@ def ngram_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _verified(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), points), docs, keyed, id_col, text_col, n)
 
 
-def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, the smallest id that links of similarity >= 0.75 reach.
-
-    Null, empty and blank texts have no set and stand alone; a null id can only be the component
-    of a group without any other. Rows that repeat an id stand for themselves. An empty table
-    gives an empty one; other columns are left out.
-
-    First each set is verified against one other, the smallest of the keys it shares most often;
-    that makes components without pairs within a group. Then only sets of different components
-    that still share a key go through the R-trees; their verified pairs join components. The first
-    round of trees gives each set its smallest partner in each tree, and two of those at most go
-    on, so that a group of near copies grows together without its pairs; the last gives every pair of sets that are still apart. Equal
-    sets are one set (its 64-bit hash; the 5-grams are 64-bit hashes too).
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """ngram_groups with key, the set's, and root, a key of the component; both null for a document without words."""
     keyed = written(set_keys(docs, id_col, text_col, n), "keys")
     shared = _shared_keys(docs, text_col, n)
     points = _sets_of(docs, keyed, shared.select("key").distinct(), id_col, text_col, n, grams=False)
@@ -434,18 +423,50 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             roots = written(components(edges), "roots")
     least = keyed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     own = least.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    return keyed.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "root", "component_id")
+    return keyed.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "root")
+
+
+def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, the smallest id that links of similarity >= 0.75 reach.
+
+    Null, empty and blank texts have no set and stand alone; a null id can only be the component
+    of a group without any other. Rows that repeat an id stand for themselves. An empty table
+    gives an empty one; other columns are left out.
+
+    First each set is verified against one other, the smallest of the keys it shares most often;
+    that makes components without pairs within a group. Then only sets of different components
+    that still share a key go through the R-trees; their verified pairs join components. The first
+    round of trees gives each set its smallest partner in each tree, and two of those at most go
+    on, so that a group of near copies grows together without its pairs; the last gives every pair of sets that are still apart. Equal
+    sets are one set (its 64-bit hash; the 5-grams are 64-bit hashes too).
+    """
+    return _grouped(docs, id_col, text_col, n).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, of each group the one with the smallest id; one row of it where an id is repeated. Rows without an id or without words stay."""
-    groups = written(ngram_groups(docs, id_col, text_col), "groups")
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    repeated = groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if repeated.isEmpty():
+    """The documents with all their columns, of each group the one with the smallest id. Rows without an id or without words stay.
+
+    Texts that stand under one id are told apart by their sets: those of different groups are
+    documents of their own, and of rows with the same id and set the one with the smallest text
+    stays. An empty table gives an empty one.
+    """
+    groups = written(_grouped(docs, id_col, text_col, N).filter("doc_id is not null and key is not null").select("doc_id", "key", "root"), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = groups.join(first, "root").filter("first.doc_id <> doc_id or first.key <> key").select("doc_id", "key").distinct()
+    twice = written(groups.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "twice")
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))  # so that no column's name can clash
+    kept = own.join(gone.join(twice, "doc_id", "left_anti").select("doc_id").distinct().unionByName(twice), "doc_id", "left_anti").select("own.*")
+    if twice.isEmpty():
         return kept
-    flagged = kept.join(repeated.select(F.col("doc_id").alias("__twice")), F.col(id_col) == F.col("__twice"), "left")
-    once = flagged.filter("__twice is not null").dropDuplicates([id_col])
-    return flagged.filter("__twice is null").unionByName(once).drop("__twice")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(freed(batches), "text"):
+            keys = [_key(s) if len(s) else None for s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("doc_id"), batch.column("text"), pa.array(keys, pa.int64())], ["own", "doc_id", "text", "key"])
+
+    some = own.join(twice, "doc_id", "left_semi").select("own", "doc_id", "text")
+    some = some.mapInArrow(run, StructType([*some.schema.fields, StructField("key", LongType())]))
+    rank = F.row_number().over(W.partitionBy("doc_id", "key").orderBy("text"))
+    some = some.join(gone, ["doc_id", "key"], "left_anti").withColumn("rank", rank).filter("rank = 1 or key is null")
+    return kept.unionByName(some.select("own.*"))

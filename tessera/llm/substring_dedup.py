@@ -361,10 +361,14 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     longer side's words. The holder is the smallest id with the seeds or with min_words equal words
     in a row, so a passage in thousands of documents gives a row for each but the first, never a
     pair for any two; each min_words words that a smaller id has are in a row. Repeats within
-    one document are not reported. Null and short texts and null ids give no row; rows that
-    repeat an id are taken for the same document. An empty table gives an empty one.
+    one document are not reported. Null and short texts and null ids give no row. Rows that
+    repeat an id and its text are one document; of an id's different texts the one with the smallest
+    hash is looked at. An empty table gives an empty one.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    several = written(_texts_of_one_id(base.select(F.col("id").alias("span_id"), F.xxhash64("text").alias("mark"))), "texts")
+    if not several.isEmpty():  # ids with several texts: one is looked at
+        base = base.join(several, F.col("id") == F.col("span_id"), "left").filter("mark is null or mark = xxhash64(text)").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(freed(batches), "text"):
@@ -412,16 +416,23 @@ def _first_of_each(of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their columns, the passages' words cut from the texts; a document of which no word is left goes. Whatever else stands in a text stays as it is."""
-    spans = passages.groupBy(F.col("doc_id").alias("__span_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__spans"))
+    """The documents with their columns, the passages' words cut from the texts; a document of which no word is left goes. Whatever else stands in a text stays as it is.
+
+    Null texts and ids stay. Of an id's different texts only the one that shared_passages looks at is
+    cut, with its exact copies. Passages that overlap are cut once. Empty tables give empty ones.
+    """
+    spans = passages.groupBy(F.col("doc_id").cast("long").alias("span_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("spans"))
+    id_, mark = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    spans = spans.join(_texts_of_one_id(docs.select(id_.alias("span_id"), mark.alias("mark"))), "span_id", "left")
+    own = docs.select(F.struct(*docs.columns).alias("own"), id_.alias("own_id"), F.col(text_col).alias("own_text"), mark.alias("own_mark"))  # so that no column's name can clash
+    rows = own.join(spans, F.col("own_id") == F.col("span_id"), "left").select("own", "own_text", F.when(F.col("mark").isNull() | (F.col("mark") == F.col("own_mark")), F.col("spans")).alias("spans"))
     names = docs.columns
-    rows = docs.join(spans, F.col(id_col) == F.col("__span_id"), "left").drop("__span_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, spans = batch.column(text_col), batch.column("__spans")
+        for batch in freed(batches):
+            column, spans = batch.column("own_text"), batch.column("spans")
             texts, keep = column.to_pylist(), np.ones(batch.num_rows, bool)
-            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 data = texts[i].encode()
                 raw = np.frombuffer(data, np.uint8)
                 starts, _ = word_starts(raw, np.array([0, len(raw)]))
@@ -434,7 +445,12 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
                     at = max(at, b)
                 texts[i] = b"".join([*pieces, data[at:]]).decode()
                 keep[i] = bool(texts[i].strip(" \t\n\v\f\r"))
-            columns = [pa.array(texts, column.type) if n == text_col else batch.column(n) for n in names]
+            columns = [pa.array(texts, column.type) if n == text_col else c for n, c in zip(names, batch.column("own").flatten())]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
     return rows.mapInArrow(run, docs.schema)
+
+
+def _texts_of_one_id(marks: DataFrame) -> DataFrame:
+    """(span_id, mark) of ids that stand with several texts: the smallest of the texts' hashes (span_id, mark)."""
+    return marks.filter("span_id is not null").groupBy("span_id").agg(F.min("mark").alias("mark"), F.max("mark").alias("other")).filter("mark <> other").drop("other")

@@ -424,3 +424,29 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
     assert out.count() > 0 and {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, DIR).count() == out.count()
+
+
+def test_groups_of_texts_under_one_id(spark):
+    rng = random.Random(11)
+    a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (7, c, 3), (7, b + " more", 4), (7, c, 3), (None, a, 5), (8, None, 6), (8, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = Counter((r["doc_id"], r["key"]) for r in ngram_join.one_of_each_group(docs).collect())
+    assert got == Counter([(1, 0), (5, 2), (7, 3), (None, 5), (8, 6), (8, 7)])
+
+
+def test_passages_of_nulls_and_repeats(spark):
+    rng = random.Random(12)
+    passage = words(rng, 80)
+    rows = [(1, passage + " end", "a"), (2, "start " + passage, "b"), (2, "start " + passage, "c"), (2, None, "d"), (3, None, "e"), (None, passage, "f"), (4, words(rng, 90), "g"), (4, words(rng, 200), "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    passages = substring_dedup.shared_passages(docs)
+    assert {(r["doc_id"], r["ref_doc_id"], r["n_words"]) for r in passages.collect()} == {(2, 1, 80)}
+    got = {r["spans"]: r["text"] for r in substring_dedup.without_passages(docs, passages).collect()}
+    expect = {r[2]: r[1] for r in rows} | {"b": "start ", "c": "start "}
+    assert {k: (v or "").strip() for k, v in got.items()} == {k: (v or "").strip() for k, v in expect.items()}
+
+
+def test_mixing_with_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "w " * (i + 1), "s", i, i, "x", "y") for i in range(20)], "doc_id long, text string, source string, size int, copies int, own string, own_id string")
+    assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(docs).count() == 20
