@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .base import Numbers, bucketed, buffers, cut, freed, joined, mix, whole_runs
 
 #: A chunk's bytes of text, chunks of a block and lots of a chunk's words.
-CHUNK_BYTES, BLOCK_CHUNKS, LOTS = 16 << 20, 128, 64
+CHUNK_BYTES, BLOCK_CHUNKS, LOTS = 12 << 20, 160, 64
 BLANK, MASK_CHARS = "▁", 60
 
 
@@ -120,7 +120,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         for batch in freed(batches):
             for part in cut([batch], "text", CHUNK_BYTES):
                 numbers, codes, counts, texts = Numbers(), [], [], []
-                for some in cut([part], "text", 1 << 20):
+                for some in cut([part], "text", 1 << 19):
                     data, offsets = buffers(some.column("text"))
                     full = np.diff(offsets) > 0
                     data = np.insert(data, offsets[:-1][full], 32)
@@ -135,8 +135,8 @@ def chunks(docs: DataFrame) -> DataFrame:
                     texts.append(joined(data, bounds[fresh], bounds[fresh + 1] - bounds[fresh]))
                 codes, words = np.concatenate(codes), np.concatenate(texts)
                 order = np.argsort(-np.bincount(codes, minlength=numbers.size), kind="stable")
-                rank = np.empty(numbers.size, np.int64)
-                rank[order] = np.arange(numbers.size)
+                rank = np.empty(numbers.size, np.int32)
+                rank[order] = np.arange(numbers.size, dtype=np.int32)
                 lengths = numbers.lengths[: numbers.size]
                 starts, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
                 lots = (mix(numbers.heads[order] + lengths.astype(np.uint64)) % np.uint64(LOTS)).astype(np.uint8)
@@ -146,7 +146,8 @@ def chunks(docs: DataFrame) -> DataFrame:
                     rows.append((lot, None, None, len(own), *_zipped(_planes(lengths[own]) + joined(words, starts[own], lengths[own]).tobytes())))
                 key = (TaskContext.get().partitionId() << 32) + seq
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), *columns], ["chunk", "lot", "doc_ids", "counts", "n", "size", "packed"])
+                del codes, words, numbers, rows
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(columns[0]), pa.int64()), *columns], ["chunk", "lot", "doc_ids", "counts", "n", "size", "packed"])
                 seq += 1
 
     return docs.mapInArrow(run, CHUNK)
@@ -223,7 +224,7 @@ def lattice(units: DataFrame, pieces: Pieces, least: int = 1) -> DataFrame:
         return np.flatnonzero((batch.column("i").to_numpy() == 0) & (batch.column("j").to_numpy() == least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first in whole_runs(batches, starts):
+        for batch, first in whole_runs(freed(batches), starts):
             i, j = (batch.column(c).to_numpy().astype(np.int64) for c in "ij")
             unit = np.cumsum(np.isin(np.arange(len(i)), first)) - 1
             if not len(first) or first[0] or (np.diff(unit << 16 | i << 8 | j) <= 0).any():
@@ -338,7 +339,7 @@ def answers(folded: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load, parts = None, []
-        for batch in batches:
+        for batch in freed(batches):
             at = batch.column("at").to_numpy()
             heads = set(np.flatnonzero(at == -1).tolist())
             cuts = sorted({0, batch.num_rows} | heads)
@@ -407,7 +408,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, lengths = shared.value
-        for batch in batches:
+        for batch in freed(batches):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 ids = part.column("ids")
