@@ -95,11 +95,12 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, anchors array<struct<pos: bigint, hash: bigint>>")
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 250, most_ranges: int = 8192) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 250, most_ranges: int = 65536) -> DataFrame:
     """(doc_id, text) partitioned into ranges of descending doc_id, each followed by a row with look = 1, the first of the next range (the last range: of the first).
 
     Columns: range, look, doc_id, text; sorted within partitions. Null ids form the last range.
-    Each text is shuffled once. One row per range (most_ranges at most) passes the driver.
+    Each text is shuffled once. One row per range (most_ranges at most: beyond 16 million documents
+    ranges grow instead; a task reads its range in batches) passes the driver.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("double").alias("x"))

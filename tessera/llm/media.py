@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, freed, mix
+from .base import cut, freed
 
-BLOCK, RATE, FRAME, HOP, AHEAD, SHOWN = 64, 8000, 128, 64, 3, 16
+BLOCK, RATE, FRAME, HOP, AHEAD = 64, 8000, 128, 64, 3
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -64,27 +64,22 @@ def landmarks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def feature_text(times: np.ndarray, codes: np.ndarray) -> str:
-    """Count of all landmarks and, of their scrambled codes, the SHOWN smallest with their first times, in order of time."""
-    if not len(codes):
-        return "0"
-    order = np.argsort(times, kind="stable")
-    unique, first = np.unique(codes[order], return_index=True)
-    chosen = np.argsort(mix(unique.astype(np.uint64)), kind="stable")[:SHOWN]
-    rows = sorted((int(times[order][first[i]]), int(unique[i])) for i in chosen)
-    return f"{len(codes)};" + " ".join(f"{t}:{c:x}" for t, c in rows)
+    """Count of the landmarks, and each one's time and code in order of time, then of code."""
+    order = np.lexsort((codes, times))
+    return f"{len(codes)};" + " ".join(f"{t}:{c:x}" for t, c in zip(times[order].tolist(), codes[order].tolist()))
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """Per document the stored media and what reading it back gives.
 
     Columns: doc_id, n_bytes, media (binary, if keep_media), media_bytes, media_sha256,
-    payload_bytes, payload_sha256, tail_crc32, landmarks array<struct<time, code>> (if
-    keep_media), feature. The payload is the text in UTF-8 (null: empty) with bytes 0 up to a
+    payload_bytes, payload_sha256, tail_crc32, landmarks array<struct<time, code>> of the whole
+    payload, feature, their text. The payload is the text in UTF-8 (null: empty) with bytes 0 up to a
     positive multiple of 64. Every row stands for itself: ties, repeats and other columns play
     no part; an empty table gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    extra = ", media binary, landmarks array<struct<time: bigint, code: bigint>>" if keep_media else ""
+    extra = ", landmarks array<struct<time: bigint, code: bigint>>" + (", media binary" if keep_media else "")
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string{extra}"
 
     def row(text: bytes) -> tuple:
@@ -93,15 +88,17 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         back = from_wav(media)
         times, codes = landmarks(back)
         base = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(times, codes))
-        return base + ((media, [{"time": t, "code": c} for t, c in zip(times.tolist(), codes.tolist())]) if keep_media else ())
+        return base, times, codes, media if keep_media else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(freed(batches), "text"):
             rows = [row(t) for t in batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
-            columns = [pa.array(c) for c in zip(*rows)]
+            columns = [pa.array(c) for c in zip(*(r[0] for r in rows))]
+            inner = pa.StructArray.from_arrays([pa.array(np.concatenate([r[k] for r in rows]), pa.int64()) for k in (1, 2)], ["time", "code"])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[1]) for r in rows)]), pa.int32()), inner))
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "landmarks"]
             if keep_media:
-                columns[-1] = pa.array([r[-1] for r in rows], pa.list_(pa.struct([("time", pa.int64()), ("code", pa.int64())])))
-                columns[-2] = pa.array([r[-2] for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media", "landmarks"] if keep_media else [])])
+                columns.append(pa.array([r[3] for r in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names + ["media"] * keep_media)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

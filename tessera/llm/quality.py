@@ -106,6 +106,7 @@ def posterior(docs: DataFrame, evidence: Evidence, id_col: str = "doc_id", text_
     """Per document: doc_id, host, path, evidence (log odds), host_rate, path_rate, score, keep.
 
     score: logistic(evidence + logit(path_rate) - logit(corpus rate)); keep: score >= threshold.
+    Both rates are those of the other documents: a document's own evidence is left out of them.
     A null host or path is a group of its own; null and empty texts have the evidence of a text
     without words. Rows stand for themselves; an empty table gives an empty one.
     Groups are summed up before anything is shuffled, and only their sums are joined back.
@@ -129,11 +130,14 @@ def posterior(docs: DataFrame, evidence: Evidence, id_col: str = "doc_id", text_
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("squares").alias("squares"))
     hosts = hosts.select("host", "n", "good", within, (F.col("good") / F.col("n")).alias("rate"), F.lit(overall).alias("prior"))
     by_host = _weight_of_prior(hosts, "rate", "prior")
-    hosts = hosts.select("host", ((F.col("good") + by_host * overall) / (F.col("n") + by_host)).alias("host_rate"))
-    paths = paths.join(hosts, "host").select("host", "path", "n", "good", within, (F.col("good") / F.col("n")).alias("rate"), "host_rate")
+    rated = lambda good, n, prior, worth: (good + worth * prior) / (n + worth)
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), rated(F.col("good"), F.col("n"), overall, by_host).alias("host_rate"))
+    paths = paths.join(hosts, "host").select("host", "path", "n", "good", within, (F.col("good") / F.col("n")).alias("rate"), "host_rate", "host_n", "host_good")
     by_path = _weight_of_prior(paths, "rate", "host_rate")
-    paths = paths.select("host", "path", "host_rate", ((F.col("good") + by_path * F.col("host_rate")) / (F.col("n") + by_path)).alias("path_rate"))
+    paths = paths.select("host", "path", "host_n", "host_good", F.col("n").alias("path_n"), F.col("good").alias("path_good"))
+    rows = rows.join(paths, ["host", "path"]).withColumn("own", p)
+    rows = rows.withColumn("host_rate", rated(F.col("host_good") - F.col("own"), F.col("host_n") - 1, overall, by_host)).withColumn("path_rate", rated(F.col("path_good") - F.col("own"), F.col("path_n") - 1, F.col("host_rate"), by_path))
     clipped = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("path_rate")))
     shift = F.log(clipped / (1 - clipped)) - float(np.log(overall / (1 - overall)))
     score = 1 / (1 + F.exp(-(F.col("evidence") + shift)))
-    return rows.join(paths, ["host", "path"]).select("doc_id", F.expr("if(host = '-', null, substring(host, 2))").alias("host"), F.expr("if(path = '-', null, substring(path, 2))").alias("path"), "evidence", "host_rate", "path_rate", score.alias("score"), (score >= threshold).alias("keep"))
+    return rows.select("doc_id", F.expr("if(host = '-', null, substring(host, 2))").alias("host"), F.expr("if(path = '-', null, substring(path, 2))").alias("path"), "evidence", "host_rate", "path_rate", score.alias("score"), (score >= threshold).alias("keep"))

@@ -21,15 +21,18 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix to weights 5, 2, 1 takes of each. Nulls, ties and empty tables as in fair_queue."""
     queue = mixing.fair_queue(_table(spark, sf_dir, "documents"))
     return queue.select("doc_id", "source", "size", "source_size", "target", "taken", "virtual_finish")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of 5-grams and its component of links of similarity 0.75. Nulls and repeats as in ngram_groups."""
     return ngram_join.ngram_groups(_table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a field that learns from labels outside of the held-out quarter; an id that is null is held out in no sense (null). Nulls as in score."""
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
@@ -37,18 +40,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that a document shares with an earlier holder. Nulls and repeats as in shared_passages."""
     return substring_dedup.shared_passages(_table(spark, sf_dir, "documents"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text. Nulls and repeats as in edited_fingerprints."""
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as WAV, read back, with the landmarks of all of it. Nulls as in media_column."""
     return media.media_column(_table(spark, sf_dir, "documents"), keep_media=False)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through an archive: its digest, and what it revisits. Nulls and repeats as in write_archives."""
     return warc.archive_pages(_table(spark, sf_dir, "pages")).select(
         "page_id",
         F.col("response.payload_bytes").alias("payload_bytes"),
@@ -59,21 +66,25 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text and the digest of what they decode to. Nulls as in encode."""
     model = _tokenizer("piece_bpe_32k.model")
     encoded = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents"), model)
     return sentencepiece_lattice.decode(encoded, model).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its evidence, its host's and path's rates and its score. Nulls as in posterior."""
     docs = _table(spark, sf_dir, "documents")
     return quality.posterior(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids stand in the store, how many, and their checksum, from the stored files. Nulls as in write_shards."""
     return token_store.token_store(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of corpus_pipeline.run. An empty table gives an empty one."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -62,7 +62,8 @@ def marginals(steps: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
     """P(toxic) of each token, forward-backward over each text.
 
     The ratio of both states' messages contracts by a factor that only the moves decide; blocks
-    start so far ahead that what they start from is below 1e-12 in the result.
+    start so far ahead that what they start from is below 1e-12 in the result, at their text's
+    start if need be.
     """
     n = len(steps)
     if not n:
@@ -70,9 +71,11 @@ def marginals(steps: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
     e = np.exp(model.emit)[steps]
     m = np.exp(model.move)
     on, off = math.sqrt(m[0, 0] * m[1, 1]), math.sqrt(m[0, 1] * m[1, 0])
-    shrink = max(1e-6, min(0.999, abs(on - off) / (on + off)))
-    warm = min(4096, max(4, math.ceil(math.log(1e-12) / math.log(shrink))))
+    shrink = max(1e-6, abs(on - off) / (on + off))
     lengths = np.diff(first)
+    warm = int(lengths.max())
+    if shrink < 1:
+        warm = min(warm, max(4, math.ceil(math.log(1e-12) / math.log(shrink))))
     blocks = -(-lengths // BLOCK)
     text = np.repeat(np.arange(len(lengths)), blocks)
     begin = first[text] + BLOCK * (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import shared_folder
+from .base import shared_folder, written
 
 DATE, AGENT = "2024-01-01T00:00:00Z", "tessera"
 END = "\r\n\r\n"
@@ -54,13 +54,15 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
         F.regexp_replace(F.coalesce(url_col, F.lit("")), r"[\x00-\x20]", "%20").alias("url"),
         F.coalesce(html_col, F.lit("")).alias("html"),
     )
-    digests = rows.select("page_id", base32_sha1("html").alias("digest"), F.octet_length("html").alias("n")).filter(F.col("n") >= least_bytes)
-    firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1 and first_id < last_id").select("digest", "first_id")
-    revisits = digests.join(firsts, "digest").filter("page_id > first_id or page_id is null").select("page_id", "digest", "first_id").distinct()
+    digests = rows.select("page_id", "url", base32_sha1("html").alias("digest"), F.octet_length("html").alias("n")).filter(F.col("n") >= least_bytes)
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    firsts = digests.groupBy("digest").agg(F.min(known).alias("first"), F.max("page_id").alias("last_id"), F.count("*").alias("n"))
+    first_rid = _uuid(F.lit("response"), F.col("first.page_id").cast("string"), F.col("first.url"), F.col("digest"))
+    firsts = firsts.filter("n > 1 and first.page_id < last_id").select("digest", F.col("first.page_id").alias("first_id"), first_rid.alias("first_rid"))
+    revisits = digests.join(firsts, "digest").filter("page_id > first_id or page_id is null").select("page_id", "digest", "first_rid").distinct()
     # few rows of ids against the pages: by id and not by digest, so a payload that many share is no hot key
     rows = rows.withColumn("digest", base32_sha1("html"))
-    revisits = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first_id")
+    revisits = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first_rid")
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     rid = _uuid(F.lit("response"), page, F.col("url"), F.col("digest"))
@@ -71,8 +73,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     uri, digest = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     http, concurrent = "application/http; msgtype=", ("WARC-Concurrent-To", F.col("rid"))
     full = _record("response", F.col("rid"), http + "response", [uri, digest], F.concat(head, F.col("html")))
-    # the first page's url is not at hand here: a revisit names the response by its page and digest
-    again = _record("revisit", F.col("rid"), http + "response", [uri, digest, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(":"), F.col("digest"), F.lit(">")))], head)
+    again = _record("revisit", F.col("rid"), http + "response", [uri, digest, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.col("first_rid"))], head)
     ask = _record("request", _uuid(F.lit("request"), F.col("rid")), http + "request", [uri, concurrent], F.col("ask"))
     meta = _record("metadata", _uuid(F.lit("metadata"), F.col("rid")), "application/warc-fields", [uri, concurrent], F.concat(F.lit("page-id: "), F.col("page"), F.lit("\r\n")))
     records = rows.select(F.explode(F.array(ask, F.when(F.col("r_digest").isNull(), full).otherwise(again), meta)).alias("value"))
@@ -132,24 +133,28 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = False) ->
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: page_id, request, response, metadata, joined through WARC-Concurrent-To.
+    """One nested row per capture: page_id, refers_to_page, request, response, metadata, assembled through WARC-Concurrent-To.
 
     A record repeated with the same id counts once. A response without its request or metadata
-    keeps null there. page_id comes from the metadata; refers_to_page from a revisit's
-    WARC-Refers-To.
+    keeps null there; requests and metadata without a response are left out. page_id comes from the
+    metadata; refers_to_page is the page of the response whose record id a revisit names, null where
+    no such response is among the records. The records are read once: a capture's meet in one
+    aggregation by the id they share, and the captures are stored.
     """
+    is_response = F.col("kind").isin("response", "revisit")
     own = F.struct("record_id", "kind", "target_uri", "refers_to", "declared_digest", "payload_bytes", "payload_digest", "payload")
-    # the three kinds as light rows: one shuffle by the id they share
-    responses = records.filter("kind in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), own.alias("response"))
-    requests = records.filter("kind = 'request'").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target_uri").alias("request"))
-    metadata = records.filter("kind = 'metadata'").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "fields").alias("metadata"))
-    responses, requests, metadata = (x.dropDuplicates(["capture_id"]) for x in (responses, requests, metadata))
-    joined = responses.join(requests, "capture_id", "left").join(metadata, "capture_id", "left")
-    return joined.select(
-        F.expr("try_cast(nullif(regexp_extract(metadata.fields, 'page-id: ?([^\\\\r\\\\n]*)', 1), '') as bigint)").alias("page_id"),
-        F.expr("try_cast(nullif(regexp_extract(response.refers_to, '^<urn:page:(-?[0-9]+):', 1), '') as bigint)").alias("refers_to_page"),
-        "request", "response", "metadata",
-    )
+    by = records.withColumn("capture_id", F.when(is_response, F.col("record_id")).otherwise(F.col("concurrent_to"))).filter("capture_id is not null").groupBy("capture_id")
+    found = by.agg(
+        F.min(F.when(is_response, own)).alias("response"),
+        F.min(F.when(F.col("kind") == "request", F.struct("record_id", "target_uri"))).alias("request"),
+        F.min(F.when(F.col("kind") == "metadata", F.struct("record_id", "fields"))).alias("metadata"),
+    ).filter("response is not null")
+    page = F.expr("try_cast(nullif(regexp_extract(metadata.fields, 'page-id: ?([^\\\\r\\\\n]*)', 1), '') as bigint)")
+    found = written(found.select(page.alias("page_id"), "request", "response", "metadata"), "captures")
+    targets = found.filter("response.kind = 'response'").select(F.col("response.record_id").alias("target"), F.col("page_id").alias("refers_to_page"))
+    named = found.select(F.col("response.refers_to").alias("target")).filter("target is not null").distinct()
+    targets = targets.join(named, "target", "left_semi").groupBy("target").agg(F.min("refers_to_page").alias("refers_to_page"))
+    return found.join(targets, F.col("response.refers_to") == F.col("target"), "left").select("page_id", "refers_to_page", "request", "response", "metadata")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0, keep_payload: bool = False) -> DataFrame:
