@@ -85,9 +85,14 @@ def packed(counts: np.ndarray) -> bytes:
     return kind[-1].encode() + pa.compress(counts.astype(kind).tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(raw: bytes, n: int) -> np.ndarray:
+def unpacked(raw: bytes, groups: int) -> np.ndarray:
     kind = f"<u{raw[:1].decode()}"
-    return np.frombuffer(pa.decompress(raw[1:], groups_for(n) * int(kind[-1]), codec="zstd", asbytes=True), kind)
+    return np.frombuffer(pa.decompress(raw[1:], groups * int(kind[-1]), codec="zstd", asbytes=True), kind)
+
+
+def rough_for(n: int) -> int:
+    """Groups of the points that go through the trees: about four hashes each, which tells most unrelated sets apart at a tenth of the bytes."""
+    return max(GROUPS, groups_for(n) // 16)
 
 
 def fold(points: np.ndarray, groups: int) -> np.ndarray:
@@ -219,7 +224,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, keyed: DataFrame, keys: DataFrame, id_col: str, text_col: str, n: int, grams: bool) -> DataFrame:
-    """(key, n, and point or grams) of the sets named in keys, made again from a text of each, as keyed (set_keys of docs) tells.
+    """(key, n, and point and rough, or grams) of the sets named in keys, made again from a text of each, as keyed (set_keys of docs) tells.
 
     A bitmap of fixed size (2**BITS bits) of the documents' ids says which texts to read; what it
     lets through besides is dropped by the join.
@@ -248,11 +253,13 @@ def _sets_of(docs: DataFrame, keyed: DataFrame, keys: DataFrame, id_col: str, te
                 if grams:
                     what = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([g for _, g in out]).view(np.int64)))
                 else:
-                    what = pa.array([packed(point(g)) for _, g in out], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(np.diff(lengths), pa.int64()), what], ["key", "n", "grams" if grams else "point"])
+                    points = [point(g) for _, g in out]
+                    what = pa.array([packed(x) for x in points], pa.binary())
+                    rough = pa.array([packed(fold(x[None], rough_for(len(g)))[0]) for x, (_, g) in zip(points, out)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(np.diff(lengths), pa.int64()), what, *([] if grams else [rough])], ["key", "n", *(["grams"] if grams else ["point", "rough"])])
 
     texts = _texts(docs, id_col, text_col).select(place, "text")
-    sets = texts.mapInArrow(run, f"key long, n long, {'grams array<bigint>' if grams else 'point binary'}")
+    sets = texts.mapInArrow(run, f"key long, n long, {'grams array<bigint>' if grams else 'point binary, rough binary'}")
     return written(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
@@ -263,7 +270,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
         for batch in batches:
             if m := batch.num_rows:
                 n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-                points = [unpacked(x, k) for p, n in (("p_a", n_a), ("p_b", n_b)) for x, k in zip(batch.column(p).to_pylist(), n.tolist())]
+                points = [unpacked(x, groups_for(k)) for p, n in (("p_a", n_a), ("p_b", n_b)) for x, k in zip(batch.column(p).to_pylist(), n.tolist())]
                 bound = fine_bound(points, np.arange(m), np.arange(m, 2 * m))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(bound >= needed(n_a, n_b)))
 
@@ -302,7 +309,7 @@ def _near_rows(batch: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np
     counts = np.diff(np.append(first, batch.num_rows))
     tree = np.repeat(np.arange(len(first)), counts)
     _, one, which = np.unique(key, return_index=True, return_inverse=True)
-    points = [unpacked(x, k) for x, k in zip(batch.column("point").take(pa.array(one)).to_pylist(), sizes[one].tolist())]
+    points = [unpacked(x, rough_for(k)) for x, k in zip(batch.column("rough").take(pa.array(one)).to_pylist(), sizes[one].tolist())]
     split = batch.column("i").to_numpy()[first] != batch.column("j").to_numpy()[first]
     whole = (counts > LEAF // 4) | split
     rows = np.arange(batch.num_rows)
@@ -332,7 +339,7 @@ def _near_rows(batch: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -> DataFrame:
-    """Pairs (a, b) of members (sig, key, part) of different parts that meet in a sig and whose bound reaches the threshold; if smallest, of each b only the one with the smallest a in each tree.
+    """Pairs (a, b) of members (sig, key, part) of different parts that meet in a sig and whose rough points' bound reaches the threshold; if smallest, of each b only the one with the smallest a in each tree.
 
     A sig with many members is dealt out in pairs of blocks, each a task's worth; points stay in numpy.
     """
@@ -340,7 +347,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
     rows = members.withColumn("block", ((F.row_number().over(by.orderBy("key")) - 1) / BLOCK).cast("int")).withColumn("blocks", F.max("block").over(by) + 1)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "part")
-    rows = rows.join(points, "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    rows = rows.join(points.select("key", "n", "rough"), "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
     def starts(batch: pa.RecordBatch) -> np.ndarray:
         new = np.ones(batch.num_rows, bool)
@@ -361,9 +368,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
             own[which] = sizes
             pairs, back = np.unique(which[u] * counts + which[v], return_inverse=True)  # a pair may meet in many trees
             x, y = pairs // counts, pairs % counts
-            close = np.arange(len(pairs))
-            for coarser in (4, 1):  # groups of about one hash each tell unrelated sets apart at a quarter of the work
-                close = close[fine_bound(points, x[close], y[close], coarser) >= needed(own[x[close]], own[y[close]])]
+            close = np.flatnonzero(fine_bound(points, x, y) >= needed(own[x], own[y]))
             good = np.zeros(len(pairs), bool)
             good[close] = True
             if smallest:
@@ -379,7 +384,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
             close, seen = close[new], np.concatenate([seen if len(seen) < 1_000_000 else seen[:0], mark[new]])
             yield pa.RecordBatch.from_arrays([pa.array(keys[x[close]]), pa.array(keys[y[close]])], ["a", "b"])
 
-    return rows.select("sig", "i", "j", "block", "key", "part", "n", "point").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("sig", "i", "j", "block", "key", "part", "n", "rough").mapInArrow(run, "a long, b long").distinct()
 
 
 def _shared_keys(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -397,7 +402,7 @@ def ngram_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = written(set_keys(docs, id_col, text_col, n), "keys")
     shared = _shared_keys(docs, text_col, n)
     points = _sets_of(docs, keyed, shared.select("key").distinct(), id_col, text_col, n, grams=False)
-    return _verified(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), points), docs, keyed, id_col, text_col, n)
+    return _verified(_bounded(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), points), points), docs, keyed, id_col, text_col, n)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -413,7 +418,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     for smallest in (True, False):
         parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
         open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part")
-        found = _tree_pairs(open_keys, points, smallest)
+        found = _bounded(_tree_pairs(open_keys, points, smallest), points)
         if smallest:  # over all trees, two partners a set
             ends = found.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y"))
             found = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
