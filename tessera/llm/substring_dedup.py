@@ -305,8 +305,8 @@ def _first_holders(found: DataFrame) -> DataFrame:
     return first.filter("ref_id < last_id").drop("last_id")
 
 
-def _chained(anchors: DataFrame, least: int) -> DataFrame:
-    """(doc_id, ref_id, p0, p1, r0, r1, chain) of chains that cover a good part of least words."""
+def _chained(anchors: DataFrame) -> DataFrame:
+    """(doc_id, ref_id, p0, p1, r0, r1, chain) of all chains, those of one seed among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(doc, ref, p, r, size):
@@ -314,12 +314,9 @@ def _chained(anchors: DataFrame, least: int) -> DataFrame:
             bounds = np.concatenate([[0], edges, [len(doc)]])
             out = []
             for i, j in zip(bounds[:-1], bounds[1:]):
-                if j - i < 2 and size[i] < least:
-                    continue
                 for chain in chains(runs(p[i:j], r[i:j], size[i:j])):
                     (p0, r0, _), (p1, r1, n) = chain[0], chain[-1]
-                    if sum(s[2] for s in chain) >= least // 3 and p1 + n - p0 + 2 * MARGIN >= least:
-                        out.append((doc[i], ref[i], p0, p1 + n, r0, r1 + n, [x for s in chain for x in s]))
+                    out.append((doc[i], ref[i], p0, p1 + n, r0, r1 + n, [x for s in chain for x in s]))
             if out:
                 names = ["doc_id", "ref_id", "p0", "p1", "r0", "r1", "chain"]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in list(zip(*out))[:6]), pa.array([o[6] for o in out], pa.list_(pa.int64()))], names)
@@ -386,7 +383,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         areas = base.filter("id is not null").select("id", F.array(F.lit(0).cast("long"), F.length("text").cast("long")).alias("areas")).filter("areas[1] is not null").dropDuplicates(["id"])
     whole = _whole(_words_of(base, areas), min_words).withColumn("size", F.lit(min_words).cast("long"))
     anchors = shared.filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos", F.lit(K).cast("long").alias("size")).unionByName(whole)
-    chained = written(_chained(anchors, min_words), "chains")
+    chained = written(_chained(anchors), "chains")
     wanted = chained.select(F.explode(F.array("doc_id", "ref_id")).alias("id")).distinct()
     own = written(_words_of(base, wanted), "words")
     part = lambda words, a, b: F.slice(words, F.greatest(F.col(a) - MARGIN, F.lit(0)).cast("int") + 1, (F.col(b) - F.greatest(F.col(a) - MARGIN, F.lit(0)) + MARGIN).cast("int"))

@@ -120,7 +120,7 @@ def test_tree_join_bound():
     sizes = np.array([len(s) for s in sets])
     u, v = ngram_join.tree_join(points, sizes, np.arange(len(sets)))
     found = {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist())}
-    raw = [ngram_join.unpacked(ngram_join.packed(ngram_join.point(s)), len(s)) for s in sets]
+    raw = [ngram_join.unpacked(ngram_join.packed(ngram_join.point(s)), ngram_join.groups_for(len(s))) for s in sets]
     for a in range(len(sets)):
         for b in range(a):
             shared = len(np.intersect1d(sets[a], sets[b]))
@@ -426,6 +426,21 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DIR).count() == out.count()
 
 
+def test_recall_of_near_passages(spark):
+    rng = random.Random(5)
+    w = lambda k: [f"w{rng.randrange(20000)}" for _ in range(k)]
+    rows, rate = [], 0.05
+    for i in range(150):
+        near = []
+        passage = w(rng.randint(60, 160))
+        for x in passage:
+            u = rng.random() / rate
+            near += [f"x{rng.randrange(20000)}"] if u < 0.6 else [] if u < 0.8 else [x, f"y{rng.randrange(20000)}"] if u < 1 else [x]
+        rows += [(2 * i, " ".join(w(100) + passage + w(80))), (2 * i + 1, " ".join(w(60) + near + w(120)))]
+    found = {r["doc_id"] for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["ref_doc_id"] == r["doc_id"] - 1}
+    assert len(found) >= 0.9 * 150
+
+
 def test_groups_of_texts_under_one_id(spark):
     rng = random.Random(11)
     a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
