@@ -1,7 +1,7 @@
 """Passages that documents share, exactly or nearly, by collinear chaining.
 
-Seeds are word 8-grams picked by winnowing: of any 12 in a row the one with the smallest hash, so
-that equal passages of 19 words have equal seeds. Each seed is joined to its first holder (the
+Seeds are word 6-grams picked by winnowing: of any 10 in a row the one with the smallest hash, so
+that equal passages of 15 words have equal seeds. Each seed is joined to its first holder (the
 smallest document with it). The seeds of one passage may have several first holders, none with the
 whole of it, so every run of MIN_WORDS words whose seeds are all shared is joined to the smallest
 document with that run, too. Per document and holder the matches are chained in order with a
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .base import _STEP, buffers, cut, freed, mix, sequences, word_starts, words, written
 
-K, WINDOW, MIN_WORDS, MIN_IDENTITY = 8, 12, 50, 0.75
+K, WINDOW, MIN_WORDS, MIN_IDENTITY = 6, 10, 50, 0.75
 GAP_COST, MAX_GAP, MARGIN, DROP = 0.2, 40, 64, 8
 BITS = 24
 
