@@ -465,3 +465,115 @@ def test_passages_of_nulls_and_repeats(spark):
 def test_mixing_with_clashing_names(spark):
     docs = spark.createDataFrame([(i, "w " * (i + 1), "s", i, i, "x", "y") for i in range(20)], "doc_id long, text string, source string, size int, copies int, own string, own_id string")
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(docs).count() == 20
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Each stage's result against a plain version over its own input."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    stages = dict(corpus_pipeline.STAGES)
+    rng = random.Random(21)
+    passage = words(rng, 60, 5000)
+    texts = [words(rng, rng.randint(60, 200), 5000) for _ in range(30)]
+    texts += [t + " more" for t in texts[:5]] + [words(rng, 70, 5000) + " " + passage + " " + words(rng, 70, 5000) for _ in range(3)] + ["", None]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    copies = stages["near_copies"](spark, docs, DIR)
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    gone = {j for i in sets for j in sets if i < j and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert {r["doc_id"] for r in copies.collect()} == set(sets) - gone and gone == set(range(30, 35))
+    cut = stages["shared_passages"](spark, copies, DIR).collect()
+    seen = Counter(tuple(w[i : i + 50]) for r in cut if (w := (r["text"] or "").split()) for i in range(len(w) - 49))
+    assert max(seen.values()) == 1 and sum(passage in (r["text"] or "") for r in cut) == 1
+    before = {r["doc_id"]: r["text"] for r in copies.collect()}
+    assert all(r["text"] == before[r["doc_id"]] for r in cut if r["doc_id"] not in (36, 37))
+    mixed = stages["mixing"](spark, docs, DIR)
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.fair_queue(docs).collect()}
+    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({i: (2 * t + n) // (2 * n) for i, (t, n) in taken.items() if n})
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r["doc_id"]: (r["ids"], r["n_tokens"]) for r in stages["encoding"](spark, docs, DIR).collect()} == {i: (x := sp.encode(t or ""), len(x)) for i, t, *_ in rows}
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_toxic_documents_are_found_by_labels_of_others(spark):
+    rng = random.Random(31)
+    slurs = [f"vile{c}" for c in "abcdef"]
+    rows = []
+    for i in range(600):
+        w = words(rng, rng.randint(10, 120)).split()
+        if i % 6 == 0:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(slurs))
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    right = sum(got[i]["predicted"] == (i % 6 == 0) for i in held)
+    assert right >= 0.98 * len(held)
+    for i in held:
+        named = {rows[i][1][s["start"] : s["end"]] for s in got[i]["spans"]}
+        assert not named or named & set(" ".join(slurs).split()) or any(x in n for n in named for x in slurs)
+
+
+def test_landmarks_by_plain_transform():
+    payload = bytes(random.Random(2).randrange(32, 127) for _ in range(64 * 40))
+    samples = [b - 128 for b in payload] + [0] * 64
+    window, peaks = np.hanning(128), []
+    for at in range(0, len(samples) - 127, 64):
+        x = np.array(samples[at : at + 128]) * window
+        power = [abs(sum(x * np.exp(-2j * np.pi * k * np.arange(128) / 128))) ** 2 for k in range(2, 65)]
+        peaks.append((int(np.argmax(power)), max(power)))
+    kept = [t for t, (_, p) in enumerate(peaks) if (t == 0 or p >= peaks[t - 1][1]) and (t == len(peaks) - 1 or p >= peaks[t + 1][1])]
+    expect = sorted((kept[i], peaks[kept[i]][0] << 13 | peaks[kept[i + j]][0] << 6 | min(63, kept[i + j] - kept[i])) for j in (1, 2, 3) for i in range(len(kept) - j))
+    times, codes = media.landmarks(payload)
+    assert sorted(zip(times.tolist(), codes.tolist())) == expect
+    assert media.feature_text(times, codes) == f"{len(expect)};" + " ".join(f"{t}:{c:x}" for t, c in expect)
+
+
+def test_likeness_by_sets(spark, docs, rows):
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.edited_fingerprints(docs).collect())
+    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+
+    def sketch(text):
+        data = text.encode()
+        hashes = fingerprints.syncmers(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1]
+        return sorted({int(h) >> 32 for h in hashes})[:64]
+
+    def like(a, b):
+        a, b = set(sketch(a)), set(sketch(b))
+        if not a and not b:
+            return 1.0
+        least = sorted(a | b)[:64]
+        return len([x for x in least if x in a and x in b]) / len(least)
+
+    expect = Counter()
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        n = len(text) // 3
+        edited = text[: len(text) - n] + after[:n]
+        expect[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(like(text, edited), 9), round(like(text, after), 9)] += 1
+    assert got == expect
+
+
+def test_shrunk_rates_against_sql(spark):
+    rng = random.Random(41)
+    rows = [(i, words(rng, rng.randint(3, 60)), f"h{rng.randrange(4)}" if i % 9 else None, f"p{i}" if i % 2 else "p") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(0, 300, 3)], "doc_id long, quality int"))
+    found = quality.posterior(docs, model).toPandas()
+    p = 1 / (1 + np.exp(-found["evidence"]))
+    found = found.assign(p=p, host=found["host"].fillna("-"), path=found["path"].fillna("-"))
+    overall = min(0.999, max(0.001, p.mean()))
+    own = duckdb.sql(
+        f"""WITH s AS (SELECT *, sum(p) OVER (PARTITION BY host) - p AS hg, count(*) OVER (PARTITION BY host) - 1 AS hn, sum(p) OVER (PARTITION BY host, path) - p AS pg, count(*) OVER (PARTITION BY host, path) - 1 AS pn FROM found)
+        SELECT hg, hn, pg, pn, host_rate, path_rate FROM s"""
+    ).fetchall()
+    worth_host = [(hg - hr * hn) / (hr - overall) for hg, hn, _, _, hr, _ in own if abs(hr - overall) > 1e-6]
+    worth_path = [(pg - pr * pn) / (pr - hr) for _, _, pg, pn, hr, pr in own if pn and abs(pr - hr) > 1e-6]
+    for worth in (worth_host, worth_path):  # one weight of the prior for all
+        assert len(worth) > 20 and max(worth) - min(worth) < 1e-3 * max(worth) and min(worth) > 0.999
+    assert all(abs(pr - hr) < 1e-9 for _, _, _, pn, hr, pr in own if not pn)  # a site without other documents is its host
