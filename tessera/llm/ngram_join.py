@@ -91,8 +91,8 @@ def unpacked(raw: bytes, groups: int) -> np.ndarray:
 
 
 def rough_for(n: int) -> int:
-    """Groups of the points that go through the trees: about four hashes each, which tells most unrelated sets apart at a tenth of the bytes."""
-    return max(GROUPS, groups_for(n) // 16)
+    """Groups of the points that go through the trees: about one hash each, which tells sets that share half of theirs from near copies, at less bytes."""
+    return max(GROUPS, groups_for(n) // 4)
 
 
 def fold(points: np.ndarray, groups: int) -> np.ndarray:
