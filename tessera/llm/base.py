@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.folders import shared_folder, stored
 
@@ -233,3 +233,15 @@ def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
     table = f"tessera_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
     return spark.table(table)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While this lasts, what runs hands Arrow batches of fewer rows to Python, so that neither side holds many texts; afterwards the session's setting holds again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

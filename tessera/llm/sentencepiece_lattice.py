@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Numbers, bucketed, buffers, cut, freed, joined, mix, whole_runs
+from .base import Numbers, bucketed, buffers, cut, freed, joined, mix, small_batches, whole_runs
 
 #: A chunk's bytes of text, chunks of a block and lots of a chunk's words.
 CHUNK_BYTES, BLOCK_CHUNKS, LOTS = 12 << 20, 160, 64
@@ -115,40 +115,45 @@ def _unzipped(size: int, packed: bytes) -> bytes:
 def chunks(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) in chunks of about CHUNK_BYTES, as rows of CHUNK. A word is a run of blanks and what follows up to the next one; a blank goes before each text that isn't empty."""
 
+    def close(key: int, numbers: Numbers, ids: list, counts: list, codes: list, texts: list) -> pa.RecordBatch:
+        codes, words = np.concatenate(codes), np.concatenate(texts)
+        order = np.argsort(-np.bincount(codes, minlength=numbers.size), kind="stable")
+        rank = np.empty(numbers.size, np.int32)
+        rank[order] = np.arange(numbers.size, dtype=np.int32)
+        lengths = numbers.lengths[: numbers.size]
+        starts, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        lots = (mix(numbers.heads[order] + lengths.astype(np.uint64)) % np.uint64(LOTS)).astype(np.uint8)
+        rows = [(-1, ids, np.concatenate(counts).tolist(), numbers.size, *_zipped(lots.tobytes() + _frequent_first(rank[codes])))]
+        for lot in np.unique(lots).tolist():
+            own = np.flatnonzero(lots == lot)
+            rows.append((lot, None, None, len(own), *_zipped(_planes(lengths[own]) + joined(words, starts[own], lengths[own]).tobytes())))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), *columns], ["chunk", "lot", "doc_ids", "counts", "n", "size", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = 0
-        for batch in freed(batches):
-            for part in cut([batch], "text", CHUNK_BYTES):
-                numbers, codes, counts, texts = Numbers(), [], [], []
-                for some in cut([part], "text", 1 << 19):
-                    data, offsets = buffers(some.column("text"))
-                    full = np.diff(offsets) > 0
-                    data = np.insert(data, offsets[:-1][full], 32)
-                    offsets = offsets + np.concatenate([[0], np.cumsum(full)])
-                    new = np.zeros(len(data) + 1, bool)
-                    new[1:-1] = (data[1:] == 32) & (data[:-1] != 32)
-                    new[offsets] = True
-                    bounds = np.flatnonzero(new)
-                    own, fresh = numbers.number(data, bounds)
-                    codes.append(own)
-                    counts.append(np.diff(np.searchsorted(bounds, offsets)))
-                    texts.append(joined(data, bounds[fresh], bounds[fresh + 1] - bounds[fresh]))
-                codes, words = np.concatenate(codes), np.concatenate(texts)
-                order = np.argsort(-np.bincount(codes, minlength=numbers.size), kind="stable")
-                rank = np.empty(numbers.size, np.int32)
-                rank[order] = np.arange(numbers.size, dtype=np.int32)
-                lengths = numbers.lengths[: numbers.size]
-                starts, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
-                lots = (mix(numbers.heads[order] + lengths.astype(np.uint64)) % np.uint64(LOTS)).astype(np.uint8)
-                rows = [(-1, part.column("doc_id").to_pylist(), np.concatenate(counts).tolist(), numbers.size, *_zipped(lots.tobytes() + _frequent_first(rank[codes])))]
-                for lot in np.unique(lots).tolist():
-                    own = np.flatnonzero(lots == lot)
-                    rows.append((lot, None, None, len(own), *_zipped(_planes(lengths[own]) + joined(words, starts[own], lengths[own]).tobytes())))
-                key = (TaskContext.get().partitionId() << 32) + seq
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()))]
-                del codes, words, numbers, rows
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(columns[0]), pa.int64()), *columns], ["chunk", "lot", "doc_ids", "counts", "n", "size", "packed"])
-                seq += 1
+        key, held = TaskContext.get().partitionId() << 32, 0
+        state = Numbers(), [], [], [], []
+        for some in cut(freed(batches), "text", 1 << 19):
+            numbers, ids, counts, codes, texts = state
+            data, offsets = buffers(some.column("text"))
+            full = np.diff(offsets) > 0
+            data = np.insert(data, offsets[:-1][full], 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+            new = np.zeros(len(data) + 1, bool)
+            new[1:-1] = (data[1:] == 32) & (data[:-1] != 32)
+            new[offsets] = True
+            bounds = np.flatnonzero(new)
+            own, fresh = numbers.number(data, bounds)
+            ids += some.column("doc_id").to_pylist()
+            counts.append(np.diff(np.searchsorted(bounds, offsets)))
+            codes.append(own)
+            texts.append(joined(data, bounds[fresh], bounds[fresh + 1] - bounds[fresh]))
+            held += len(data)
+            if held >= CHUNK_BYTES:
+                yield close(key, *state)
+                key, held, state = key + 1, 0, (Numbers(), [], [], [], [])
+        if state[1]:
+            yield close(key, *state)
 
     return docs.mapInArrow(run, CHUNK)
 
@@ -365,7 +370,8 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
     columns are left out. A long word is a longer unit, not a cut one.
     """
     pieces = load_pieces(model_file)
-    stored = bucketed(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "chunks", "chunk")
+    with small_batches(docs.sparkSession):
+        stored = bucketed(chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "chunks", "chunk")
     fold = {"merges": fold_merges, "viterbi": fold_viterbi}[rule]
     answered = answers(fold(lattice(units(stored, pieces, rule), pieces, 2 if rule == "merges" else 1)), pieces)
     parts = answered.groupBy("chunk").agg(F.collect_list(F.struct("lot", "n", "size", "packed")).alias("parts"))  # LOTS at most
