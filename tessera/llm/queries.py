@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, ngram_join, quality, sentencepiece_lattice, substring_dedup, token_store, toxicity, warc
+from . import fingerprints, media, merkle, mixing, ngram_join, quality, sentencepiece_lattice, substring_dedup, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest, and whether its text without line feeds, where its id's checksum is even, still leads to the root. Nulls and ties as in authenticated; a null id is not tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    audit = merkle.tamper_audit(docs, F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text")))
+    return audit.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of corpus_pipeline.run. An empty table gives an empty one."""
     import corpus_pipeline
@@ -91,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_ngram_join, op3_toxicity, op4_substring_dedup, op5_fingerprints, op6_media, op7_warc, op8_sentencepiece, op9_quality, op10_token_store, pipeline)
+    own = (op1_mixing, op2_ngram_join, op3_toxicity, op4_substring_dedup, op5_fingerprints, op6_media, op7_warc, op8_sentencepiece, op9_quality, op10_token_store, op11_merkle, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -163,5 +171,47 @@ FROM firsts
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         CASE WHEN list_reduce(flatten([[4294967295::BIGINT]] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                lambda crc, e: CASE WHEN e >= 0 THEN xor(crc, e) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END) & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS shown
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, row_number() OVER () AS rid,
+         sha256(list_reduce(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')), lambda a, b: a || b)) AS leaf,
+         sha256(list_reduce(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, shown], lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')), lambda a, b: a || b)) AS shown_leaf
+  FROM texts),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes(source, level, idx, digest) AS (
+  SELECT source, 0, pos, leaf FROM placed
+  UNION ALL
+  SELECT source, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY source) AS c FROM nodes) WHERE c > 1 GROUP BY source, level, idx // 3),
+subroots AS (SELECT source, arg_max(digest, level) AS subroot, max(level) AS height FROM nodes GROUP BY source),
+tops AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spot FROM subroots),
+upper_nodes(level, idx, digest) AS (
+  SELECT 0, spot, subroot FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM upper_nodes GROUP BY level, idx // 3 HAVING (SELECT count(*) FROM upper_nodes) > 1),
+runs AS (
+  SELECT source, level, idx // 3 AS run, list(digest ORDER BY idx) AS members FROM (SELECT *, max(level) OVER (PARTITION BY source) AS height FROM nodes) WHERE level < height GROUP BY ALL),
+upper_runs AS (SELECT level, idx // 3 AS run, list(digest ORDER BY idx) AS members FROM upper_nodes WHERE level < (SELECT max(level) FROM upper_nodes) GROUP BY ALL),
+steps AS (
+  SELECT rid, level + 1 AS k, members, (pos // (3 ** level)::BIGINT) % 3 AS place FROM placed p JOIN runs r ON r.source IS NOT DISTINCT FROM p.source AND r.run = p.pos // (3 ** (level + 1))::BIGINT
+  UNION ALL
+  SELECT rid, t.height + level + 1, members, (t.spot // (3 ** level)::BIGINT) % 3 FROM placed p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source JOIN upper_runs r ON r.run = t.spot // (3 ** (level + 1))::BIGINT),
+around AS (SELECT rid, k, array_to_string(members[1:place::BIGINT], '') AS before, array_to_string(members[place::BIGINT + 2:], '') AS after FROM steps),
+fold(rid, k, digest) AS (
+  SELECT rid, 0, shown_leaf FROM placed
+  UNION ALL
+  SELECT f.rid, f.k + 1, sha256(a.before || f.digest || a.after) FROM fold f JOIN around a ON a.rid = f.rid AND a.k = f.k + 1),
+ends AS (SELECT rid, arg_max(digest, k) AS folded_root FROM fold GROUP BY rid),
+proofs AS (SELECT rid, string_agg(before || after, '' ORDER BY k) AS proof FROM around GROUP BY rid)
+SELECT p.doc_id, p.leaf, t.subroot, u.digest AS root, sha256(coalesce(f.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = u.digest AS verified
+FROM placed p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source JOIN ends e USING (rid) LEFT JOIN proofs f USING (rid)
+CROSS JOIN (SELECT arg_max(digest, level) AS digest FROM upper_nodes) u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1, "op2_ngram_join": _OP2, "op7_warc": _OP7}
+    return {"op1_mixing": _OP1, "op2_ngram_join": _OP2, "op7_warc": _OP7, "op11_merkle": _OP11}
