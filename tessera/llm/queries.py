@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, merkle, mixing, ngram_join, quality, sentencepiece_lattice, substring_dedup, token_store, toxicity, warc
+from . import divergence, fingerprints, media, merkle, mixing, ngram_join, quality, sentencepiece_lattice, substring_dedup, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that mark a source. Nulls and empty tables as in source_divergence."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of corpus_pipeline.run. An empty table gives an empty one."""
     import corpus_pipeline
@@ -99,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_ngram_join, op3_toxicity, op4_substring_dedup, op5_fingerprints, op6_media, op7_warc, op8_sentencepiece, op9_quality, op10_token_store, op11_merkle, pipeline)
+    own = (op1_mixing, op2_ngram_join, op3_toxicity, op4_substring_dedup, op5_fingerprints, op6_media, op7_warc, op8_sentencepiece, op9_quality, op10_token_store, op11_merkle, op12_divergence, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -213,5 +218,27 @@ CROSS JOIN (SELECT arg_max(digest, level) AS digest FROM upper_nodes) u
 """
 
 
+_OP12 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+terms AS (SELECT rid, lang, source, unnest(words) AS term FROM texts),
+kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+found AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+full_counts AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM groups JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)),
+shares AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p FROM full_counts JOIN sizes USING (lang)),
+lang_counts AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM full_counts GROUP BY ALL),
+lang_shares AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q FROM lang_counts JOIN sizes USING (lang)),
+distances AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+more AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM more))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1, "op2_ngram_join": _OP2, "op7_warc": _OP7, "op11_merkle": _OP11}
+    return {"op1_mixing": _OP1, "op2_ngram_join": _OP2, "op7_warc": _OP7, "op11_merkle": _OP11, "op12_divergence": _OP12}
