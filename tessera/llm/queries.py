@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fingerprints, media, merkle, mixing, ngram_join, quality, sentencepiece_lattice, substring_dedup, token_store, toxicity, warc
+from . import divergence, fingerprints, html_text, media, merkle, mixing, ngram_join, quality, sentencepiece_lattice, substring_dedup, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Nulls and empty tables as in main_text."""
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of corpus_pipeline.run. An empty table gives an empty one."""
     import corpus_pipeline
@@ -104,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_ngram_join, op3_toxicity, op4_substring_dedup, op5_fingerprints, op6_media, op7_warc, op8_sentencepiece, op9_quality, op10_token_store, op11_merkle, op12_divergence, pipeline)
+    own = (op1_mixing, op2_ngram_join, op3_toxicity, op4_substring_dedup, op5_fingerprints, op6_media, op7_warc, op8_sentencepiece, op9_quality, op10_token_store, op11_merkle, op12_divergence, op13_html_text, pipeline)
     return {f.__name__: f for f in own}
 
 
