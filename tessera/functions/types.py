@@ -63,3 +63,55 @@ def _function_parts(texts: pd.Series) -> pd.DataFrame:
 def function_parts(kind: Column) -> Column:
     """struct<params, result> of a function type, nulls in it for any other type."""
     return _function_parts(canonical(kind))
+
+
+def _walk(text: str, way: str) -> list[tuple[str, str]]:
+    out, function = [(way, text)], _function(text)
+    if function:
+        for i, part in enumerate(function[0]):
+            out += _walk(part, f"{way}->{i}/")
+        return out + _walk(function[1], f"{way}->r/")
+    if text.startswith("(") and text.endswith(")"):
+        start, inner = "()", text[1:-1]
+    else:
+        start, _, inner = text.partition("<")
+        start, inner = start + "<", inner[:-1] if inner.endswith(">") else ""
+    for i, part in enumerate(_parts(inner)):
+        out += _walk(part, f"{way}{start}{i}/")
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("way", StringType()), StructField("text", StringType())])))
+def _type_nodes(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [{"way": w, "text": x} for w, x in _walk(t, "")], na_action="ignore")
+
+
+def type_nodes(kind: Column) -> Column:
+    """The nodes of a type in preorder, each with the way from the root: heads and places; a function's result is at place r. Null for null."""
+    return _type_nodes(canonical(kind))
+
+
+def _leaves(got: str | None, want: str | None) -> list[tuple[str | None, str | None]] | None:
+    a, b = (_function(t) if t else None for t in (got, want))
+    if not a or not b:
+        return [(got, want)]
+    if len(a[0]) != len(b[0]):
+        return None
+    out = []
+    for pair in (*zip(b[0], a[0], strict=True), (a[1], b[1])):
+        found = _leaves(*pair)
+        if found is None:
+            return None
+        out += found
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("got", StringType()), StructField("want", StringType())])))
+def _leaf_pairs(got: pd.Series, want: pd.Series) -> pd.Series:
+    pairs = (_leaves(g if isinstance(g, str) else None, w if isinstance(w, str) else None) for g, w in zip(got, want, strict=True))
+    return pd.Series([None if p is None else [{"got": g, "want": w} for g, w in p] for p in pairs])
+
+
+def leaf_pairs(got: Column, want: Column) -> Column:
+    """What must fit what for a type to stand for another: functions are taken apart, parameters in the other direction. Null where they take different numbers of parameters."""
+    return _leaf_pairs(canonical(got), canonical(want))

@@ -5,76 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.types import arguments, canonical, function_parts, head
-from tessera.sources.folders import forget, shared_folder
+from tessera.functions.types import arguments, canonical, function_parts, head, leaf_pairs
+from tessera.operators.generics import bound, substituted
+from tessera.sources.folders import forget, shared_folder, stored
 
 
 def subtype_closure(edges: DataFrame) -> DataFrame:
     """(sub, super, steps) of all pairs that edges (sub, super) lead to, each with its fewest steps; a type is its own at 0 steps.
 
     Paths double in length in each round, so a chain of n types takes log2(n) rounds, and of each
-    pair only the fewest steps go on: cycles and lattices end like trees. It ends when a round
-    changes nothing, whatever the depth. Edges with a null are left out; repeated ones count once.
+    pair only the fewest steps go on: cycles and lattices end like trees. A round joins what the one before
+    has changed, on either side, and it ends when nothing has changed, whatever the depth. Edges with a null are left out; repeated ones count once.
     """
     spark = edges.sparkSession
     known = edges.filter("sub is not null and super is not null").select("sub", "super").distinct()
     names = known.select(F.explode(F.array("sub", "super")).alias("sub")).distinct()
-    now = names.select("sub", F.col("sub").alias("super"), F.lit(0).cast("long").alias("steps")).unionByName(known.filter("sub <> super").withColumn("steps", F.lit(1).cast("long")))
-    before, old = None, None
+    now = names.select("sub", F.col("sub").alias("super"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("new")).unionByName(known.filter("sub <> super").select("sub", "super", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("new")))
+    old = None
     while True:
         path = shared_folder(spark, "closure")
         now.write.parquet(path)
         if old:
             forget(spark, old)
-        now = spark.read.schema(now.schema).parquet(path)
-        state = now.agg(F.count("*"), F.sum("steps")).first()
-        if state == before:
-            return now.withColumn("steps", F.col("steps").cast("int"))
-        before, old = state, path
-        on = now.select(F.col("sub").alias("super"), F.col("super").alias("end"), F.col("steps").alias("more"))
-        now = now.join(on, "super").groupBy("sub", F.col("end").alias("super")).agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
+        now, old = spark.read.schema(now.schema).parquet(path), path
+        if not now.filter("new").limit(1).count():
+            return now.select("sub", "super", F.col("steps").cast("int").alias("steps"))
+        apart = now.filter("sub <> super")
+        on = apart.select(F.col("sub").alias("super"), F.col("super").alias("end"), F.col("steps").alias("more"), F.col("new").alias("more_new"))
+        longer = apart.join(on, "super").filter("(new or more_new) and sub <> end").select("sub", F.col("end").alias("super"), (F.col("steps") + F.col("more")).alias("steps"), F.lit(True).alias("new"))
+        both = now.withColumn("new", F.lit(False)).unionByName(longer)
+        now = both.groupBy("sub", "super").agg(F.min(F.struct("steps", "new")).alias("m")).select("sub", "super", "m.steps", "m.new")
 
 
 def _unknown(kind: Column) -> Column:
     return kind.isNull() | kind.isin("", "?")
 
 
-def _pairs_compatible(rows: DataFrame, closure: DataFrame) -> DataFrame:
-    """rows (id, got, want), canonical, with fits: of types that aren't functions."""
-    known = closure.select(F.col("sub").alias("known_sub"), F.col("super").alias("known_super")).distinct()
-    rows = rows.withColumn("g", head(F.col("got"))).withColumn("w", head(F.col("want")))
-    rows = rows.join(known, (F.col("g") == F.col("known_sub")) & (F.col("w") == F.col("known_super")), "left")
-    plain = ~F.contains("want", F.lit("<"))
-    fits = _unknown(F.col("got")) | _unknown(F.col("want")) | (F.col("got") == F.col("want")) | (plain & F.col("known_sub").isNotNull()) | (plain & (F.col("g") == F.col("w")))
-    return rows.select("id", F.coalesce(fits, F.lit(False)).alias("fits"))
-
-
 def compatible(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     """Adds compatible: whether got may stand for want.
 
     Unknown (null, '' or '?') fits everything; otherwise equal, a subtype, or the same head where
-    want has no arguments. A function fits one with as many parameters, each of which fits in the
-    other direction, and whose result fits. Functions are taken apart, level by level, into pairs of
-    their parts; a pair of types is looked up once however often it stands in the table.
+    want has no arguments. closure has sub and super, and type_params where super types are spelled by
+    them: then got's arguments stand for those. A function fits one with as many parameters, each of which fits in the
+    other direction, and whose result fits. A pair of types is looked up once however often it stands in the table.
     """
-    named = pairs.withColumn("pair", F.struct(canonical(F.col("got")).alias("got"), canonical(F.col("want")).alias("want")))
-    todo = named.select(F.xxhash64("pair").alias("id"), "pair.got", "pair.want").distinct()
-    parts = []
-    while True:
-        rows = todo.withColumn("a", function_parts(F.col("got"))).withColumn("b", function_parts(F.col("want")))
-        both = F.expr("a.params is not null and b.params is not null")
-        parts.append(_pairs_compatible(rows.filter(~both).select("id", "got", "want"), closure))
-        deep = rows.filter(both)
-        parts.append(deep.filter("size(a.params) <> size(b.params)").select("id", F.lit(False).alias("fits")))
-        inner = F.concat(F.transform(F.arrays_zip(F.col("b.params").alias("got"), F.col("a.params").alias("want")), lambda x: F.struct(x["got"].alias("got"), x["want"].alias("want"))), F.array(F.struct(F.col("a.result").alias("got"), F.col("b.result").alias("want"))))
-        todo = deep.filter("size(a.params) = size(b.params)").select("id", F.explode(inner).alias("part")).select("id", "part.got", "part.want")
-        if todo.isEmpty():  # as many rounds as functions stand in functions
-            break
-    fits = parts[0]
-    for more in parts[1:]:
-        fits = fits.unionByName(more)
-    fits = fits.groupBy("id").agg(F.bool_and("fits").alias("compatible"))
-    return named.withColumn("id", F.xxhash64("pair")).join(fits, "id").select(*pairs.columns, "compatible")
+    named = pairs.withColumn("pair_got", canonical(F.col("got"))).withColumn("pair_want", canonical(F.col("want")))
+    todo = stored(named.select("pair_got", "pair_want").distinct(), "type-pairs")
+    params = F.col("type_params") if "type_params" in closure.columns else F.array().cast("array<string>")
+    known = closure.select(F.col("sub").alias("known_sub"), canonical(F.col("super")).alias("known_super"), params.alias("known_params")).distinct().withColumn("known_head", head(F.col("known_super")))
+    parts = todo.select("pair_got", "pair_want", F.posexplode_outer(leaf_pairs(F.col("pair_got"), F.col("pair_want"))).alias("at", "leaf"))
+    parts = parts.select("pair_got", "pair_want", "at", "leaf.got", "leaf.want", head(F.col("leaf.got")).alias("g"), head(F.col("leaf.want")).alias("w")).withColumn("args", arguments(F.col("got")))
+    rows = parts.join(known, (F.col("g") == F.col("known_sub")) & (F.col("w") == F.col("known_head")), "left")
+    plain = ~F.contains("want", F.lit("<"))
+    spelled = substituted(F.col("known_super"), bound(F.col("known_params"), F.col("args"))) == F.col("want")
+    fits = _unknown(F.col("got")) | _unknown(F.col("want")) | (F.col("got") == F.col("want")) | (plain & (F.col("known_sub").isNotNull() | (F.col("g") == F.col("w")))) | spelled
+    each = rows.groupBy("pair_got", "pair_want", "at").agg(F.bool_or(F.col("at").isNotNull() & F.coalesce(fits, F.lit(False))).alias("fits"))
+    all_fit = each.groupBy(F.col("pair_got").alias("of_got"), F.col("pair_want").alias("of_want")).agg(F.bool_and("fits").alias("compatible"))
+    same = F.col("pair_got").eqNullSafe(F.col("of_got")) & F.col("pair_want").eqNullSafe(F.col("of_want"))
+    return named.join(all_fit, same).select(*pairs.columns, "compatible")
 
 
 def compatible_strict(pairs: DataFrame, closure: DataFrame) -> DataFrame:
