@@ -130,29 +130,41 @@ def _counted(docs: DataFrame, shared: Broadcast, key: str) -> DataFrame:
     """Counts of a block's terms; key names the block among those that a worker sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], np.ndarray] = {}
+        hits: dict[tuple[str, str], list[np.ndarray]] = {}
+        sums: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+        pending = 0
+
+        def summed_up() -> int:
+            """Puts what was hit to the sums; the sums' entries."""
+            for group, found in hits.items():
+                ids, counts = sums.get(group, (np.zeros(0, np.int32), np.zeros(0, np.int64)))
+                more, n = np.unique(np.concatenate(found), return_counts=True)
+                both, at = np.unique(np.concatenate([ids, more]), return_inverse=True)
+                total = np.zeros(len(both), np.int64)
+                np.add.at(total, at, np.concatenate([counts, n]))
+                sums[group] = both, total
+            hits.clear()
+            return sum(len(ids) for ids, _ in sums.values())
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in sums.items():
-                found = np.flatnonzero(counts)
-                ids = _automaton(key, lang, shared)[1][found]
-                same = lambda name: pa.array([name] * len(found), pa.string())
-                yield pa.RecordBatch.from_arrays([same(lang), same(source), pa.array(ids), pa.array(counts[found])], ["lang", "source", "id", "n"])
+            for (lang, source), (ids, counts) in sums.items():
+                same = lambda name: pa.array([name] * len(ids), pa.string())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(lang), same(source), pa.array(_automaton(key, lang, shared)[1][ids]), pa.array(counts)], ["lang", "source", "id", "n"])
             sums.clear()
 
-        held = 0
         for lang, source, text in _texts(batches):
             found = _automaton(key, lang, shared)
             if not found:
                 continue
-            if (lang, source) not in sums:
-                if held and held + len(found[1]) > HELD:
+            own = np.array([i for _, i in found[0].iter(f" {text.decode()} ")], np.int32)
+            if len(own):
+                hits.setdefault((lang, source), []).append(own)
+                pending += len(own)
+            if pending > HELD:
+                pending = 0
+                if summed_up() > HELD:
                     yield from out()
-                    held = 0
-                sums[lang, source] = np.zeros(len(found[1]), np.int64)
-                held += len(found[1])
-            hits = np.array([i for _, i in found[0].iter(f" {text.decode()} ")], np.int64)
-            np.add.at(sums[lang, source], hits, 1)
+        summed_up()
         yield from out()
 
     found = docs.mapInArrow(lambda b: freed(run(b)), "lang string, source string, id long, n long")
