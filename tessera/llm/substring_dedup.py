@@ -4,9 +4,10 @@ Seeds are word 6-grams picked by winnowing: of any 10 in a row the one with the
 that equal passages of 15 words have equal seeds. Each seed is joined to its first holder (the
 smallest document with it). The seeds of one passage may have several first holders, none with the
 whole of it, so every run of MIN_WORDS words whose seeds are all shared is joined to the smallest
-document with that run, too. Per document and holder the matches are chained in order with a
+document with that run, too, and where the seeds' holders change on the way, the document is matched with the
+first one in which those holders meet as far from each other. Per document and holder the matches are chained in order with a
 cost for gaps, through a tree of the largest scores that near enough matches have (they leave it again,
-which a Fenwick tree can't do), and the chains are aligned word by word.
+which a Fenwick tree can't do), and the chains are aligned word by word, on to where the texts part.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from .base import _STEP, buffers, cut, freed, mix, sequences, word_starts, words, written
 
 K, WINDOW, MIN_WORDS, MIN_IDENTITY = 6, 10, 50, 0.75
-GAP_COST, MAX_GAP, MARGIN, DROP = 0.2, 40, 64, 8
+GAP_COST, MAX_GAP, MARGIN, DROP, BAND = 0.2, 40, 64, 8, 6
 BITS = 24
+#: Words between seeds of different holders that may belong to one passage; holders further on that are looked at; words that what was put in or left out may move them by.
+SEAM, FURTHER, SHIFT = 64, 3, 32
 
 
 def seeds(texts: pa.Array, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,8 +165,30 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return far, int(same[:far].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """Start and end in a and in b, and equal words, of a chain (places in a and b) with its gaps aligned and its ends extended."""
+def _extend_over_gaps(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """How far two runs go on alike from their start, in a and in b, and the equal words up to there, words put in or left out included: a word that is changed or missing costs 1, BAND of them one way at most, given up after a fall of DROP or MARGIN words."""
+    shifts = np.arange(-BAND, BAND + 1)
+    one = 1 << 20  # a score in units of one, and below it the equal words
+    value = np.where(shifts < 0, -(1 << 50), -one * shifts)
+    best = (0, 0, 0)
+    for i in range(1, min(len(a), MARGIN) + 1):
+        j = i + shifts
+        inside = (j >= 1) & (j <= len(b))
+        same = np.zeros(len(j), bool)
+        same[inside] = b[j[inside] - 1] == a[i - 1]
+        value = np.maximum(value + np.where(same, one + 1, -one), np.append(value[1:], -(1 << 50)) - one)
+        value = np.where((j >= 0) & (j <= len(b)), value, -(1 << 50))
+        value = np.maximum.accumulate(value + one * shifts) - one * shifts
+        k = int(value.argmax())
+        if value[k] > best[0]:
+            best = int(value[k]), i, i + int(shifts[k])
+        if value[k] < best[0] - DROP * one:
+            break
+    return best[1], best[2], best[0] & (one - 1)
+
+
+def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least: int = 0) -> tuple[int, int, int, int, int]:
+    """Start and end in a and in b, and equal words, of a chain (places in a and b) with its gaps aligned and its ends extended, over gaps where it has fewer than least words otherwise."""
     p, r, n = chain[0]
     matches, start_a, start_b = 0, p, r
     at, ref = p, r
@@ -176,12 +201,15 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tu
         matches += int((x[:m] == y[:m]).sum())
     more, equal = _extend(a[at:], b[ref:])
     back, equal_back = _extend(a[:start_a][::-1], b[:start_b][::-1])
+    if at + more - start_a + back < least:
+        (more, more_b, equal), (back, back_b, equal_back) = _extend_over_gaps(a[at:], b[ref:]), _extend_over_gaps(a[:start_a][::-1], b[:start_b][::-1])
+        return start_a - back, at + more, start_b - back_b, ref + more_b, matches + equal + equal_back
     return start_a - back, at + more, start_b - back, ref + more, matches + equal + equal_back
 
 
 def passages(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
     """As align, of a chain's passages of least words and the identity: the whole chain, else what is left when it is parted at its widest gap, else the best parts of a segment."""
-    s, e, rs, re, same = align(a, b, chain)
+    s, e, rs, re, same = align(a, b, chain, least)
     if same >= identity * max(e - s, re - rs):
         return [(s, e, rs, re, same)] if e - s >= least else []
     if len(chain) > 1:
@@ -305,11 +333,53 @@ def _first_holders(found: DataFrame) -> DataFrame:
     return first.filter("ref_id < last_id").drop("last_id")
 
 
+def _met(shared: DataFrame) -> DataFrame:
+    """(doc_id, ref_id): documents and the smallest one in which the same two holders of seeds follow each other at the same distance, measured in the holders' places.
+
+    The parts of a passage may have first holders of their own, of which none has the whole. What a document holds
+    first itself is passed over. Distances are the same if one of two rows of SHIFT words, half of it apart, has both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, pos, ref, at in _grouped(batches, ["id", "pos", "ref_id", "ref_pos"], 1):
+            others = ids != ref
+            ids, pos, ref, at = ids[others], pos[others], ref[others], at[others]
+            if not len(ids):
+                continue
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(ref) != 0)]))
+            ends = np.concatenate([begins[1:], [len(ids)]]) - 1
+            for step in range(1, FURTHER + 1):
+                a, b = ends[:-step], begins[step:]
+                near = (ids[a] == ids[b]) & (ref[a] != ref[b]) & (pos[b] - pos[a] <= SEAM)
+                a, b = a[near], b[near]
+                if len(a):
+                    apart = (at[b] - pos[b]) - (at[a] - pos[a])
+                    rows = [2 * (apart // SHIFT), 2 * ((apart + SHIFT // 2) // SHIFT) + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(x, 2)) for x in (ids[a], ref[a], ref[b])] + [pa.array(np.concatenate(rows))], ["id", "one", "other", "apart"])
+
+    rows = shared.select("id", "pos", "ref_id", "ref_pos").repartition("id").sortWithinPartitions("id", "pos")
+    seams = rows.mapInArrow(run, "id long, one long, other long, apart long")
+    key = ["one", "other", "apart"]
+    first = seams.groupBy(*key).agg(F.min("id").alias("ref_id"), F.max("id").alias("last_id")).filter("ref_id < last_id").drop("last_id")
+    return seams.distinct().join(first, key).filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id").distinct()
+
+
+def _between(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, ref_id, pos, ref_pos) of all seeds that the documents of each pair (doc_id, ref_id) have in common. A seed is known by its first holder's place."""
+    own = pairs.join(shared.select(F.col("id").alias("doc_id"), "pos", F.col("ref_id").alias("of"), F.col("ref_pos").alias("of_pos")), "doc_id")
+    held = shared.filter("head").select(F.col("id").alias("ref_id"), F.col("pos").alias("ref_pos"), F.col("ref_id").alias("of"), F.col("ref_pos").alias("of_pos"))
+    return own.join(held, ["ref_id", "of", "of_pos"]).select("doc_id", "ref_id", "pos", "ref_pos")
+
+
 def _chained(anchors: DataFrame) -> DataFrame:
     """(doc_id, ref_id, p0, p1, r0, r1, chain) of all chains, those of one seed among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(doc, ref, p, r, size):
+            order = np.lexsort((size, r, p, ref, doc))
+            doc, ref, p, r, size = (x[order] for x in (doc, ref, p, r, size))
+            other = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(ref) != 0) | (np.diff(p) != 0) | (np.diff(r) != 0) | (np.diff(size) != 0)])
+            doc, ref, p, r, size = (x[other] for x in (doc, ref, p, r, size))  # a match may have been found twice
             edges = np.flatnonzero((np.diff(doc) != 0) | (np.diff(ref) != 0)) + 1
             bounds = np.concatenate([[0], edges, [len(doc)]])
             out = []
@@ -376,13 +446,14 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(at), pa.array(heads)], ["seed", "id", "pos", "head"])
 
     occurrences = base.filter("id is not null").mapInArrow(run, "seed long, id long, pos long, head boolean")
-    shared = written(occurrences.join(_first_holders(occurrences), "seed").select("id", "ref_id", "pos", "ref_pos"), "shared")
+    shared = written(occurrences.join(_first_holders(occurrences), "seed").select("id", "ref_id", "pos", "ref_pos", "head"), "shared")
     if min_words >= K + WINDOW - 1:
         areas = written(_areas(shared.select("id", "pos"), min_words), "areas")
     else:  # so few words need not have a seed
         areas = base.filter("id is not null").select("id", F.array(F.lit(0).cast("long"), F.length("text").cast("long")).alias("areas")).filter("areas[1] is not null").dropDuplicates(["id"])
     whole = _whole(_words_of(base, areas), min_words).withColumn("size", F.lit(min_words).cast("long"))
-    anchors = shared.filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos", F.lit(K).cast("long").alias("size")).unionByName(whole)
+    matches = shared.filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos").unionByName(_between(written(_met(shared), "met"), shared))
+    anchors = matches.withColumn("size", F.lit(K).cast("long")).unionByName(whole)
     chained = written(_chained(anchors), "chains")
     wanted = chained.select(F.explode(F.array("doc_id", "ref_id")).alias("id")).distinct()
     own = written(_words_of(base, wanted), "words")

@@ -441,6 +441,28 @@ def test_recall_of_near_passages(spark):
     assert len(found) >= 0.9 * 150
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1])
+def test_recall_of_near_passages_whose_parts_have_other_holders(spark, rate):
+    rng, rows, cases = random.Random(17), [], 120
+    w = lambda k: [f"w{rng.randrange(20000)}" for _ in range(k)]
+    for i in range(cases):
+        passage, holders = w(rng.randint(80, 110)), 1 + i % 3
+        cuts = [len(passage) * k // (holders + (holders == 1)) for k in range(holders + 1 + (holders == 1))]
+        near = []
+        for x in passage:
+            u = rng.random() / rate
+            near += [f"x{rng.randrange(20000)}"] if u < 0.6 else [] if u < 0.8 else [x, f"y{rng.randrange(20000)}"] if u < 1 else [x]
+        parts = [passage[a:b] for a, b in zip(cuts, cuts[1:])][:holders]
+        parts += [passage, *parts, near]
+        rows += [(100 * i + k, " ".join(w(rng.randrange(20, 90)) + part + w(rng.randrange(20, 90)))) for k, part in enumerate(parts)]
+    last = {}
+    for i, _ in rows:
+        last[i // 100] = i
+    got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = Counter(case % 3 for case in {r["doc_id"] // 100 for r in got if r["doc_id"] == last[r["doc_id"] // 100]})
+    assert all(found[k] >= 0.9 * cases / 3 for k in range(3)), found
+
+
 def test_groups_of_texts_under_one_id(spark):
     rng = random.Random(11)
     a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
