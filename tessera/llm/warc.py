@@ -46,7 +46,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     """Writes request, response or revisit, and metadata records of every page under path, gzipped.
 
     Of pages with equal payloads of at least least_bytes, the one with the smallest id is the
-    response and the others revisit it. A null payload is empty, a null url the empty string.
+    response and the others revisit it, those without an id among them; where none has an id, all are responses. A null payload is empty, a null url the empty string.
     Rows that repeat id, url and payload get the same record ids: they are one capture.
     """
     rows = pages.select(
@@ -56,9 +56,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     )
     digests = rows.select("page_id", "url", base32_sha1("html").alias("digest"), F.octet_length("html").alias("n")).filter(F.col("n") >= least_bytes)
     known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
-    firsts = digests.groupBy("digest").agg(F.min(known).alias("first"), F.max("page_id").alias("last_id"), F.count("*").alias("n"))
+    firsts = digests.groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n"))
     first_rid = _uuid(F.lit("response"), F.col("first.page_id").cast("string"), F.col("first.url"), F.col("digest"))
-    firsts = firsts.filter("n > 1 and first.page_id < last_id").select("digest", F.col("first.page_id").alias("first_id"), first_rid.alias("first_rid"))
+    firsts = firsts.filter("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("first_id"), first_rid.alias("first_rid"))
     revisits = digests.join(firsts, "digest").filter("page_id > first_id or page_id is null").select("page_id", "digest", "first_rid").distinct()
     # few rows of ids against the pages: by id and not by digest, so a payload that many share is no hot key
     rows = rows.withColumn("digest", base32_sha1("html"))

@@ -463,6 +463,12 @@ def test_recall_of_near_passages_whose_parts_have_other_holders(spark, rate):
     assert all(found[k] >= 0.9 * cases / 3 for k in range(3)), found
 
 
+def test_pages_without_ids(spark):
+    rows = [(None, f"http://a/{i}", "same") for i in range(5)] + [(1, "http://a/", "same")] + [(None, f"http://b/{i}", "other") for i in range(2)] + [(7, "http://c/", "own"), (None, "http://c/", "own")]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "response.kind", "refers_to_page", "response.payload_bytes").collect()
+    assert Counter((r["page_id"], r["kind"], r["refers_to_page"], r["payload_bytes"]) for r in got) == Counter({(None, "revisit", 1, 4): 5, (1, "response", None, 4): 1, (None, "response", None, 5): 2, (7, "response", None, 3): 1, (None, "revisit", 7, 3): 1})
+
+
 def test_groups_of_texts_under_one_id(spark):
     rng = random.Random(11)
     a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
