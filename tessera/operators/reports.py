@@ -105,17 +105,26 @@ def gate(rows: DataFrame, category: str, prefix: str = "BUG_") -> DataFrame:
     return rows.groupBy(category).agg(F.count("*").alias("n")).withColumn("fatal", F.coalesce(F.startswith(F.col(category), F.lit(prefix)), F.lit(False)))
 
 
+# What reading, calling, calling as a value, and whether the call was refused as not callable (1 or 0 each) tell of a member.
+PROBE_KINDS = {
+    "field": ("1001",),
+    "method": ("0110", "0111"),
+    "callable_field": ("1100", "1101", "1110", "1111"),
+    "error": ("0000", "0001"),
+}
+
+
 def classify_probes(probes: DataFrame, member: Sequence[str], probe: str = "probe", verdict: str = "verdict", code: str = "code") -> DataFrame:
-    """Per member the kind that its probes A (read), B (call) and C (call as a value) tell: field, method, callable_field, error or special; (member..., a, b, c, kind).
+    """Per member the kind that its probes A (read), B (call) and C (call as a value) tell by PROBE_KINDS, special where it has none; (member..., a, b, c, kind).
 
     A probe accepts if one of its rows does; one without rows doesn't.
     """
-    of = lambda name: F.coalesce(F.bool_or(F.when(F.col(probe) == name, F.col(verdict) == "ACCEPT")), F.lit(False))
-    uncallable = F.coalesce(F.bool_or((F.col(probe) == "B") & (F.col(code) == "E_SYNTH_NOT_CALLABLE")), F.lit(False))
-    rows = probes.groupBy(*member).agg(of("A").alias("a"), of("B").alias("b"), of("C").alias("c"), uncallable.alias("uncallable"))
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    kind = F.when(a & ~b & F.col("uncallable") & ~c, "field").when(~a & b & c, "method").when(a & b, "callable_field").when(~a & ~b & ~c, "error").otherwise("special")
-    return rows.select(*member, "a", "b", "c", kind.alias("kind"))
+    accepts = lambda name: F.max((F.col(probe).eqNullSafe(name) & F.col(verdict).eqNullSafe("ACCEPT")).cast("int"))
+    refused = F.max((F.col(probe).eqNullSafe("B") & F.col(code).eqNullSafe("E_SYNTH_NOT_CALLABLE")).cast("int"))
+    rows = probes.groupBy(*member).agg(*(accepts(x).alias(x.lower()) for x in "ABC"), refused.alias("refused"))
+    kinds = F.create_map(*(F.lit(x) for kind, bits in PROBE_KINDS.items() for b in bits for x in (b, kind)))
+    told = F.coalesce(F.try_element_at(kinds, F.concat("a", "b", "c", "refused")), F.lit("special"))
+    return rows.select(*member, *(F.col(x).cast("boolean").alias(x) for x in "abc"), told.alias("kind"))
 
 
 def fragmentation_invariance(results: DataFrame, case: str, layout: str = "layout", accepted: str = "accepted") -> DataFrame:

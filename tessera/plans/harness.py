@@ -37,9 +37,9 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
 _CASES = "c AS (SELECT doc_id, source AS family, lang || '-' || n_chars || '-' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'reject' ELSE 'accept' END AS expected, doc_id % 5 <> 0 AS complete, text AS source FROM documents)"
 
 
-@_query(f"WITH {_CASES} SELECT doc_id, family, name FROM c WHERE family IN ('web', 'books', 'code', 'wiki') AND family NOT IN ('wiki') AND contains(name, '-1')")
+@_query(f"WITH {_CASES} SELECT doc_id, family, name FROM c WHERE family IN ('src0', 'src1', 'src2', 'src3') AND family NOT IN ('src3') AND contains(name, '-1')")
 def select_cases(spark, d):
-    return reports.select_cases(_cases(spark, d), ("web", "books", "code", "wiki"), ("wiki",), "-1").select("doc_id", "family", "name")
+    return reports.select_cases(_cases(spark, d), ("src0", "src1", "src2", "src3"), ("src3",), "-1").select("doc_id", "family", "name")
 
 
 @_query(f"WITH {_CASES} SELECT doc_id, family, name FROM c ORDER BY family NULLS FIRST, name NULLS FIRST, doc_id LIMIT 200")
@@ -162,9 +162,9 @@ def interleaved_schedule(spark, d):
     return reports.interleaved(plan.withColumns({"control": F.col("control"), "candidate": F.col("candidate")}), "case_id")
 
 
-@_query(f"WITH {_CASES} SELECT doc_id, name FROM c WHERE NOT coalesce(family = 'web' AND try_cast(split_part(name, '-', 2) AS BIGINT) > 3000, false)")
+@_query(f"WITH {_CASES} SELECT doc_id, name FROM c WHERE NOT coalesce(try_cast(split_part(name, '-', 2) AS BIGINT) > CASE family WHEN 'src0' THEN 1500 WHEN 'src1' THEN 4000 END, false)")
 def within_scale(spark, d):
-    return reports.within_scale(_cases(spark, d), {"web": (1, 3000)}).select("doc_id", "name")
+    return reports.within_scale(_cases(spark, d), {"src0": (1, 1500), "src1": (1, 4000)}).select("doc_id", "name")
 
 
 @_query(f"WITH {_CASES} SELECT doc_id, row_number() OVER (ORDER BY family NULLS FIRST, expected, name NULLS FIRST, doc_id) - 1 AS place FROM c")
@@ -177,9 +177,9 @@ def duplicate_keys(spark, d):
     return reports.duplicates(_t(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@_query("SELECT event_id, user_id % 2 = 0 AS fatal FROM events WHERE value > 20")
+@_query("SELECT event_id, user_id % 2 = 0 AS fatal FROM events")
 def expectation_policy(spark, d):
-    rows = _t(spark, d, "events").filter("value > 20").select("event_id", F.when(F.col("user_id") % 2 == 0, "authoritative").otherwise("generated").alias("tier"))
+    rows = _t(spark, d, "events").select("event_id", F.when(F.col("user_id") % 2 == 0, "authoritative").otherwise("generated").alias("tier"))
     return reports.split_by_policy(rows).select("event_id", "fatal")
 
 
@@ -233,12 +233,12 @@ def hex_fragments(spark, d):
 
 
 def _manifest(spark, d):
-    """A manifest per source, whose cases are its documents: some without a stage, some with a wrong digest or prefix."""
+    """A manifest for every 100 ids of a source, whose cases are its documents: some without a stage, some with a wrong digest or prefix."""
     one = F.struct(
         F.concat(F.lit("d"), "doc_id").alias("name"), F.col("lang").alias("family"), F.concat(F.lit("d"), "doc_id", F.lit(".cj")).alias("file"), F.when(F.col("doc_id") % 3 == 0, "reject").otherwise("accept").alias("expected"), F.lit(True).alias("complete"),
         F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") * F.when(F.col("doc_id") % 2 == 0, 0).otherwise(9)).alias("safe_prefix_bytes"), F.when(F.col("doc_id") % 4 == 0, F.sha2(F.concat("text", F.when(F.col("doc_id") % 8 == 0, "!").otherwise("")), 256)).alias("source_sha256"),
     )
-    groups = _t(spark, d, "documents").filter("text is not null").groupBy("source").agg(F.count("*").alias("case_count"), F.sort_array(F.collect_list(one)).alias("cases"))
+    groups = _t(spark, d, "documents").filter("text is not null").groupBy("source", F.expr("doc_id div 100")).agg(F.count("*").alias("case_count"), F.sort_array(F.collect_list(one)).alias("cases"))
     return groups.select(F.to_json(F.struct(F.lit(2).alias("schema_version"), "case_count", "cases")).alias("json"))
 
 
@@ -259,7 +259,7 @@ def manifest_violations(spark, d):
 @_query("SELECT 'u' || user_id AS name, CASE WHEN user_id % 4 <> 0 THEN max(event_id) END AS first_error_token_index, user_id % 4 <> 0 AS valid FROM events GROUP BY user_id")
 def error_registry(spark, d):
     rows = _t(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("m"))
-    entries = rows.agg(F.collect_list(F.struct(F.concat(F.lit("u"), "user_id").alias("name"), F.when(F.col("user_id") % 4 != 0, F.col("m")).alias("first_error_token_index"))).alias("wrong_examples"))
+    entries = rows.groupBy(F.expr("user_id div 100")).agg(F.collect_list(F.struct(F.concat(F.lit("u"), "user_id").alias("name"), F.when(F.col("user_id") % 4 != 0, F.col("m")).alias("first_error_token_index"))).alias("wrong_examples"))
     return harness.first_errors(entries.select(F.to_json(F.struct("wrong_examples")).alias("json")))
 
 
@@ -290,9 +290,9 @@ def fire_lines(spark, d):
     return lines.event_lines(_t(spark, d, "events").selectExpr("event_id", "event_type as symbol", "if(value > 5, user_id, null) as token"), "fire", "event_id", "symbol", "token")
 
 
-@_query("""SELECT '{"event":"ledger","id":"d' || event_id || '","rule":"' || event_type || '","overridden":' || (value > 50)::VARCHAR || '}' AS line FROM events WHERE value > 20""")
+@_query("""SELECT '{"event":"ledger","id":"d' || event_id || '","rule":"' || event_type || '","overridden":' || (value > 50)::VARCHAR || '}' AS line FROM events""")
 def ledger_lines(spark, d):
-    rows = _t(spark, d, "events").filter("value > 20").selectExpr("concat('d', event_id) as id", "event_type as rule", "value > 50 as overridden")
+    rows = _t(spark, d, "events").selectExpr("concat('d', event_id) as id", "event_type as rule", "value > 50 as overridden")
     return lines.event_lines(rows, "ledger", "id", "rule", "overridden")
 
 
@@ -309,18 +309,19 @@ def corpus_files(spark, d):
 
 
 def _catalog(spark, d):
-    """A catalog in one JSON: a nominal per nation with its region as super type, a field per segment of its customers, a method per supplier; parts are functions, in overloads by brand."""
+    """Catalogs in JSON: one a nation, a nominal with its region as super type and a field per segment of its customers; one for every 100 suppliers of a nation, with a method each; one a brand, whose parts' types are overloads of a function."""
     nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
+    nominal = F.concat(F.lit("N"), "n_nationkey").alias("k")
+    whole = lambda section, key, value: F.to_json(F.struct(F.map_from_arrays(F.array(key), F.array(value)).alias(section))).alias("json")
     fields = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.lower("c_mktsegment").alias("k"), F.lit("Int64").alias("v"))))).alias("instance_fields"))
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(fields, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    supers = F.array(F.struct(F.concat(F.lit("R"), "r_regionkey").alias("nominal"), F.array(F.lit("Int64")).alias("args"))).alias("supers")
+    nominals = rows.select(whole("nominals", nominal, F.struct(supers, "instance_fields", F.array(F.struct(F.array(F.lit("Int64")).alias("params"))).alias("inits"))))
     one = F.struct(F.array(F.concat(F.lit("x: "), F.when(F.col("s_acctbal") > 5000, "Int64").otherwise("Array<Int64>"))).alias("params"), F.lit("Bool").alias("ret"))
-    methods = _t(spark, d, "supplier").groupBy("s_nationkey").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("m"), "s_suppkey").alias("k"), one.alias("v"))))).alias("instance_methods"))
-    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(fields, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(methods, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    entry = F.struct(F.array(F.struct(F.concat(F.lit("R"), "r_regionkey").alias("nominal"), F.array(F.lit("Int64")).alias("args"))).alias("supers"), "instance_fields", "instance_methods", F.array(F.struct(F.array(F.lit("Int64")).alias("params"))).alias("inits"))
-    nominals = rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("N"), "n_nationkey").alias("k"), F.to_json(entry).alias("v"))))).alias("m"))
-    listed = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    methods = _t(spark, d, "supplier").groupBy("s_nationkey", F.expr("s_suppkey div 100").alias("block")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("m"), "s_suppkey").alias("k"), one.alias("v"))))).alias("instance_methods"))
+    methods = methods.select(whole("nominals", F.concat(F.lit("N"), "s_nationkey"), F.struct("instance_methods")))
     overloads = _t(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set(F.struct(F.array(F.col("p_type")).alias("parameters")))).alias("v"))
-    brands = overloads.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("p_brand").alias("k"), "v")))).alias("functions"))
-    return nominals.join(brands).select(F.concat(F.lit('{"nominals":'), listed, F.lit(',"global_functions":'), F.to_json("functions"), F.lit("}")).alias("json"))
+    return nominals.union(methods).union(overloads.select(whole("global_functions", F.col("p_brand"), F.col("v"))))
 
 
 @_query("SELECT 'N' || n_nationkey AS name, 0 AS ord, 'R' || n_regionkey || '<Int64>' AS super FROM nation")
@@ -456,12 +457,12 @@ def duplicate_parameters(spark, d):
 
 
 @_query(
-    """WITH m AS (SELECT c_nationkey AS owner, c_mktsegment AS member, CASE WHEN c_acctbal > 0 THEN 'field' ELSE 'method' END AS kind FROM customer WHERE c_custkey % 9 < 2),
+    """WITH m AS (SELECT c_nationkey AS owner, c_mktsegment || c_custkey // 3 AS member, CASE WHEN c_acctbal > 0 THEN 'field' ELSE 'method' END AS kind FROM customer),
     g AS (SELECT owner, member, count(*) FILTER (kind = 'field') AS f, count(*) FILTER (kind = 'method') AS m FROM m GROUP BY ALL)
     SELECT owner, member, CASE WHEN f > 1 THEN 'duplicate class field' ELSE 'class member name collision' END AS problem FROM g WHERE f > 1 OR (f > 0 AND m > 0)"""
 )
 def member_collisions(spark, d):
-    rows = _t(spark, d, "customer").filter("c_custkey % 9 < 2").selectExpr("c_nationkey as owner", "c_mktsegment as member", "if(c_acctbal > 0, 'field', 'method') as kind")
+    rows = _t(spark, d, "customer").selectExpr("c_nationkey as owner", "concat(c_mktsegment, c_custkey div 3) as member", "if(c_acctbal > 0, 'field', 'method') as kind")
     return symbols.member_collisions(rows)
 
 

@@ -6,6 +6,8 @@ input never raises by itself: it gives a null, no row, or a row in a table of vi
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,14 +101,19 @@ def profile_counters(lines: DataFrame, run: str, line: str = "line", marker: str
     return rows.select(run, "payloads", F.when(F.col("payloads") == 1, counters).alias("counters"))
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """Once a worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def token_ids(sources: DataFrame, id_col: str, text_col: str, tokenizer_path: str) -> DataFrame:
     """(id, seq, token_id): the ids of each text by a tokenizer's file, in order. A null or empty text has none. Texts go to the tokenizer by Arrow batches; its file must be readable where tasks run."""
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def encoded(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        return pd.Series([e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)])
+        return pd.Series([e.ids for e in _tokenizer(tokenizer_path).encode_batch([t or "" for t in texts], add_special_tokens=False)])
 
     return sources.select(id_col, F.posexplode(encoded(F.col(text_col))).alias("seq", "token_id"))

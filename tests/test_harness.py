@@ -158,6 +158,8 @@ def test_compatibility(spark):
 def test_symbols(spark):
     sources = spark.createDataFrame([(1, "import a.b.C\nimport d import C"), (2, None), (3, "reimport x")], "i int, t string")
     assert rows_of(symbols.imports(sources, "i", "t")) == [(1, "C", "namespace:C"), (1, "d", "namespace:d")]
+    odd = spark.createDataFrame([(1, "// import no\n/* import no */ import a . b /* c */ . `x`\nimport e.f.*; let s = \"import no\" import"), (2, "import import g.h\nimport 7 import i")], "i int, t string")
+    assert rows_of(symbols.imports(odd, "i", "t")) == [(1, "b", "namespace:b"), (1, "f", "namespace:f"), (2, "h", "namespace:h"), (2, "i", "namespace:i")]
     low, high = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "name string, v int"), spark.createDataFrame([("b", 9)], "name string, v int")
     assert rows_of(symbols.overlay(low, high)) == [("a", 1, 0), ("b", 9, 1)]
     assert symbols.model_difference(low, low).count() == 0 and rows_of(symbols.model_difference(low, high)) == [("a", 1, "left"), ("b", 2, "left"), ("b", 3, "left"), ("b", 9, "right")]
