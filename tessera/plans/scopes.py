@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexing
-from tessera.operators import scopes
+from tessera.operators import masking, scopes
 from tessera.sources.folders import stored
 
 QUERIES, SQL = {}, {}
@@ -77,3 +77,15 @@ def open_functions(spark, d):
 def scope_conflicts(spark, d):
     rows = scopes.scope_conflicts(_tokens(spark, d), "l_suppkey", chunk=1000)
     return rows.select("l_suppkey", "name", *(F.col(c).cast("long").alias(c) for c in ("pos", "scope", "other")), "problem")
+
+
+@_query(
+    r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?s)//[^\n\r]*|/\*.*?(?:\*/|\z)|\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\\?\z)|"(?:\\.|[^"\\])*(?:"|\\?\z)|''(?:\\.|[^''\\])*(?:''|\\?\z)|[^/"'']+|/') AS parts FROM pages WHERE html IS NOT NULL)
+    SELECT page_id, sha256(array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^(//|/\*|"|'')') THEN regexp_replace(x, '[^\n\r]', ' ', 'g') ELSE x END), '')) AS digest,
+      len(list_filter(parts, lambda x: regexp_matches(x, '^(//|/\*|"|'')'))) > 0 AS masks FROM t"""
+)
+def masked_pages(spark, d):
+    """Pages, read as if they were programs, without what would be comments and texts; in parts of 4096 characters."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").filter("html is not null")
+    rows = masking.mask_non_code(pages, "page_id", "html", part=4096).join(pages.select("page_id", "html"), "page_id")
+    return rows.select("page_id", F.sha2("masked", 256).alias("digest"), (F.col("masked") != F.col("html")).alias("masks"))
