@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexing
 from tessera.operators import summaries, types, verdicts
-from tessera.plans import generics, harness, scopes
+from tessera.plans import generics, harness, locks, scopes
 from tessera.sources import vocabulary
 from tessera.streaming import checker
 
@@ -271,8 +271,8 @@ def source_digests(spark, d):
 
 
 def queries() -> dict:
-    return _QUERIES | harness.QUERIES | generics.QUERIES | scopes.QUERIES
+    return _QUERIES | harness.QUERIES | generics.QUERIES | scopes.QUERIES | locks.QUERIES
 
 
 def oracle_sql() -> dict:
-    return _SQL | harness.SQL | generics.SQL | scopes.SQL
+    return _SQL | harness.SQL | generics.SQL | scopes.SQL | locks.SQL
