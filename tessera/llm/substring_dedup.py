@@ -187,8 +187,45 @@ def _extend_over_gaps(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best[1], best[2], best[0] & (one - 1)
 
 
-def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least: int = 0) -> tuple[int, int, int, int, int]:
-    """Start and end in a and in b, and equal words, of a chain (places in a and b) with its gaps aligned and its ends extended, over gaps where it has fewer than least words otherwise."""
+def _reaches(a: np.ndarray, a_at: np.ndarray, a_left: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_left: np.ndarray, step: int) -> np.ndarray:
+    """_extend_over_gaps for many places at once, a row each: from a_at and b_at on, forwards or backwards, where a_left and b_left words follow."""
+    shifts = np.arange(-BAND, BAND + 1)
+    one, none = 1 << 20, -(1 << 40)
+    value = np.tile(np.where(shifts < 0, none, -one * shifts), (len(a_at), 1))
+    best, out, live = np.zeros(len(a_at), np.int64), np.zeros((len(a_at), 3), np.int64), np.arange(len(a_at))
+    for i in range(1, MARGIN + 1):
+        on = a_left[live] >= i
+        live, value = live[on], value[on]
+        if not len(live):
+            break
+        j, n = i + shifts, b_left[live][:, None]
+        word = a[a_at[live] + step * (i - 1)][:, None]
+        same = (b[np.clip(b_at[live][:, None] + step * (j - 1), 0, len(b) - 1)] == word) & (j >= 1) & (j <= n)
+        straight = value + np.where(same, one + 1, -one)
+        straight[:, :-1] = np.maximum(straight[:, :-1], value[:, 1:] - one)
+        value = np.where((j >= 0) & (j <= n), straight, none)
+        value = np.maximum.accumulate(value + one * shifts, 1) - one * shifts
+        k = value.argmax(1)
+        top = value[np.arange(len(live)), k]
+        more = top > best[live]
+        best[live[more]] = top[more]
+        out[live[more]] = np.stack([np.full(int(more.sum()), i), i + shifts[k[more]], top[more] & (one - 1)], 1)
+        on = top >= best[live] - DROP * one
+        live, value = live[on], value[on]
+    return out
+
+
+def _extended(a: pa.ListArray, b: pa.ListArray, begins: np.ndarray, ends: np.ndarray, b_begins: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far what is alike goes on over gaps after and before chains that begin and end at these places of the lists."""
+    (x, x0), (y, y0) = ((c.values.to_numpy(), c.offsets.to_numpy().astype(np.int64)) for c in (a, b))
+    if not len(x) or not len(y):
+        return np.zeros((2, len(begins), 3), np.int64)
+    after = _reaches(x, x0[:-1] + ends, np.diff(x0) - ends, y, y0[:-1] + b_ends, np.diff(y0) - b_ends, 1)
+    return after, _reaches(x, x0[:-1] + begins - 1, begins, y, y0[:-1] + b_begins - 1, b_begins, -1)
+
+
+def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least: int = 0, over_gaps: tuple | None = None) -> tuple[int, int, int, int, int]:
+    """Start and end in a and in b, and equal words, of a chain (places in a and b) with its gaps aligned and its ends extended, over gaps where it has fewer than least words otherwise; over_gaps is how far after and before it, where that is known."""
     p, r, n = chain[0]
     matches, start_a, start_b = 0, p, r
     at, ref = p, r
@@ -202,14 +239,15 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least
     more, equal = _extend(a[at:], b[ref:])
     back, equal_back = _extend(a[:start_a][::-1], b[:start_b][::-1])
     if at + more - start_a + back < least:
-        (more, more_b, equal), (back, back_b, equal_back) = _extend_over_gaps(a[at:], b[ref:]), _extend_over_gaps(a[:start_a][::-1], b[:start_b][::-1])
+        over_gaps = over_gaps or (_extend_over_gaps(a[at:], b[ref:]), _extend_over_gaps(a[:start_a][::-1], b[:start_b][::-1]))
+        (more, more_b, equal), (back, back_b, equal_back) = over_gaps
         return start_a - back, at + more, start_b - back_b, ref + more_b, matches + equal + equal_back
     return start_a - back, at + more, start_b - back, ref + more, matches + equal + equal_back
 
 
-def passages(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+def passages(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least: int, identity: float, over_gaps: tuple | None = None) -> list[tuple[int, int, int, int, int]]:
     """As align, of a chain's passages of least words and the identity: the whole chain, else what is left when it is parted at its widest gap, else the best parts of a segment."""
-    s, e, rs, re, same = align(a, b, chain, least)
+    s, e, rs, re, same = align(a, b, chain, least, over_gaps)
     if same >= identity * max(e - s, re - rs):
         return [(s, e, rs, re, same)] if e - s >= least else []
     if len(chain) > 1:
@@ -333,19 +371,29 @@ def _first_holders(found: DataFrame) -> DataFrame:
     return first.filter("ref_id < last_id").drop("last_id")
 
 
-def _met(shared: DataFrame) -> DataFrame:
-    """(doc_id, ref_id): documents and the smallest one in which the same two holders of seeds follow each other at the same distance, measured in the holders' places.
+def _loose(shared: DataFrame, least: int) -> DataFrame:
+    """(id, pos, one, other, apart) of two sorts: seeds that lie in no stretch of least words with one holder (apart null, one and other the holder's id and place), and seams, where two such holders follow each other (pos null, apart what lies between, measured in the holders' places).
 
-    The parts of a passage may have first holders of their own, of which none has the whole. What a document holds
+    The parts of a passage may have first holders of their own, of which none has enough of it. What a document holds
     first itself is passed over. Distances are the same if one of two rows of SHIFT words, half of it apart, has both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "pos", "one", "other", "apart"]
         for ids, pos, ref, at in _grouped(batches, ["id", "pos", "ref_id", "ref_pos"], 1):
-            others = ids != ref
-            ids, pos, ref, at = ids[others], pos[others], ref[others], at[others]
+            row = (at - pos) // SHIFT
+            order = np.lexsort((pos, row, ref, ids))
+            new = np.ones(len(ids), bool)
+            new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (ids, ref, row)]) | (np.diff(pos[order]) > SEAM)
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(ids)) - 1
+            short = np.zeros(len(ids), bool)
+            short[order] = np.repeat(pos[order][tails] + K - pos[order][heads] < least, tails - heads + 1)
+            short &= ids != ref
+            ids, pos, ref, at = ids[short], pos[short], ref[short], at[short]
             if not len(ids):
                 continue
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ids, pos, ref, at)), pa.nulls(len(ids), pa.int64())], names)
             begins = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(ref) != 0)]))
             ends = np.concatenate([begins[1:], [len(ids)]]) - 1
             for step in range(1, FURTHER + 1):
@@ -354,21 +402,23 @@ def _met(shared: DataFrame) -> DataFrame:
                 a, b = a[near], b[near]
                 if len(a):
                     apart = (at[b] - pos[b]) - (at[a] - pos[a])
-                    rows = [2 * (apart // SHIFT), 2 * ((apart + SHIFT // 2) // SHIFT) + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(x, 2)) for x in (ids[a], ref[a], ref[b])] + [pa.array(np.concatenate(rows))], ["id", "one", "other", "apart"])
+                    rows = np.concatenate([2 * (apart // SHIFT), 2 * ((apart + SHIFT // 2) // SHIFT) + 1])
+                    twice = [pa.array(np.tile(x, 2)) for x in (ids[a], ref[a], ref[b])]
+                    yield pa.RecordBatch.from_arrays([twice[0], pa.nulls(len(rows), pa.int64()), *twice[1:], pa.array(rows)], names)
 
     rows = shared.select("id", "pos", "ref_id", "ref_pos").repartition("id").sortWithinPartitions("id", "pos")
-    seams = rows.mapInArrow(run, "id long, one long, other long, apart long")
-    key = ["one", "other", "apart"]
-    first = seams.groupBy(*key).agg(F.min("id").alias("ref_id"), F.max("id").alias("last_id")).filter("ref_id < last_id").drop("last_id")
-    return seams.distinct().join(first, key).filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id").distinct()
+    return rows.mapInArrow(run, "id long, pos long, one long, other long, apart long")
 
 
-def _between(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, ref_id, pos, ref_pos) of all seeds that the documents of each pair (doc_id, ref_id) have in common. A seed is known by its first holder's place."""
-    own = pairs.join(shared.select(F.col("id").alias("doc_id"), "pos", F.col("ref_id").alias("of"), F.col("ref_pos").alias("of_pos")), "doc_id")
-    held = shared.filter("head").select(F.col("id").alias("ref_id"), F.col("pos").alias("ref_pos"), F.col("ref_id").alias("of"), F.col("ref_pos").alias("of_pos"))
-    return own.join(held, ["ref_id", "of", "of_pos"]).select("doc_id", "ref_id", "pos", "ref_pos")
+def _met(loose: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, ref_id, pos, ref_pos): the loose seeds that a document has in common with the smallest one that has a seam of it, too. A seed is known by its first holder's place."""
+    key = ["one", "other", "apart"]
+    seams = loose.filter("apart is not null").select("id", *key).distinct()
+    first = seams.groupBy(*key).agg(F.min("id").alias("ref_id"), F.max("id").alias("last_id")).filter("ref_id < last_id").drop("last_id")
+    pairs = seams.join(first, key).filter("id <> ref_id").select("id", "ref_id").distinct()
+    own = pairs.join(loose.filter("apart is null").select("id", "pos", "one", "other"), "id")
+    held = shared.filter("head").select(F.col("id").alias("ref_id"), F.col("pos").alias("ref_pos"), F.col("ref_id").alias("one"), F.col("ref_pos").alias("other"))
+    return own.join(held, ["ref_id", "one", "other"]).select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos")
 
 
 def _chained(anchors: DataFrame) -> DataFrame:
@@ -452,7 +502,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:  # so few words need not have a seed
         areas = base.filter("id is not null").select("id", F.array(F.lit(0).cast("long"), F.length("text").cast("long")).alias("areas")).filter("areas[1] is not null").dropDuplicates(["id"])
     whole = _whole(_words_of(base, areas), min_words).withColumn("size", F.lit(min_words).cast("long"))
-    matches = shared.filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos").unionByName(_between(written(_met(shared), "met"), shared))
+    matches = shared.filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos").unionByName(_met(written(_loose(shared, min_words), "loose"), shared))
     anchors = matches.withColumn("size", F.lit(K).cast("long")).unionByName(whole)
     chained = written(_chained(anchors), "chains")
     wanted = chained.select(F.explode(F.array("doc_id", "ref_id")).alias("id")).distinct()
@@ -464,15 +514,21 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, ref, p0, r0, chain, a, b in zip(*(batch.column(c) for c in ("doc_id", "ref_id", "p0", "r0", "chain", "a", "b"))):
+            p0, r0, p1, r1 = (batch.column(c).to_numpy() for c in ("p0", "r0", "p1", "r1"))
+            p_, r_ = np.maximum(0, p0 - MARGIN), np.maximum(0, r0 - MARGIN)
+            after, before = _extended(batch.column("a"), batch.column("b"), p0 - p_, p1 - p_, r0 - r_, r1 - r_)
+            # ten words are left for what other costs of a mismatch make of it
+            worth = p1 - p0 + after[:, 0] + before[:, 0] >= min_words - 10
+            batch = batch.filter(pa.array(worth))
+            for doc, ref, p0, r0, chain, a, b, *over_gaps in zip(*(batch.column(c) for c in ("doc_id", "ref_id", "p0", "r0", "chain", "a", "b")), after[worth].tolist(), before[worth].tolist()):
                 p, r = max(0, p0.as_py() - MARGIN), max(0, r0.as_py() - MARGIN)
                 steps = chain.values.to_numpy().reshape(-1, 3) - [p, r, 0]
-                for s, e, rs, re, same in passages(a.values.to_numpy(), b.values.to_numpy(), [tuple(x) for x in steps.tolist()], min_words, min_identity):
+                for s, e, rs, re, same in passages(a.values.to_numpy(), b.values.to_numpy(), [tuple(x) for x in steps.tolist()], min_words, min_identity, over_gaps):
                     out.append((doc.as_py(), ref.as_py(), s + p, e - s, rs + r, re - rs, same, same / max(e - s, re - rs)))
             if out:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:7]), pa.array([o[7] for o in out])], ["doc_id", "ref_doc_id", "start_word", "n_words", "ref_start_word", "ref_n_words", "matches", "identity"])
 
-    return rows.select("doc_id", "ref_id", "p0", "r0", "chain", "a", "b").mapInArrow(aligned, "doc_id long, ref_doc_id long, start_word long, n_words long, ref_start_word long, ref_n_words long, matches long, identity double")
+    return rows.select("doc_id", "ref_id", "p0", "p1", "r0", "r1", "chain", "a", "b").mapInArrow(aligned, "doc_id long, ref_doc_id long, start_word long, n_words long, ref_start_word long, ref_n_words long, matches long, identity double")
 
 
 def _first_of_each(of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
