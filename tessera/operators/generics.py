@@ -26,6 +26,11 @@ def substituted(kind: Column, bindings: Column) -> Column:
     return F.array_join(F.transform(_pieces(kind), lambda p: F.coalesce(F.try_element_at(bindings, p), p)), "")
 
 
+def names_one_of(kind: Column, names: Column) -> Column:
+    """Whether a type has one of the names, as a part that is a name alone. False for null."""
+    return F.coalesce(F.arrays_overlap(_pieces(canonical(kind)), names), F.lit(False))
+
+
 def bound(params: Column, args: Column) -> Column:
     """Map from parameters to arguments, as many as there are of both."""
     n = F.least(F.size(params), F.size(args))

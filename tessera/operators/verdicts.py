@@ -64,11 +64,17 @@ def call_frontier(overloads: DataFrame, calls: DataFrame, closure: DataFrame | N
     overloads: name, overload, params array, required (0: all). calls: call_id, name, args array,
     closed. An argument of an unknown type (null) fits every parameter. With a closure of super
     types arguments must be compatible, each pair of types being looked up once; without one equal.
+    Where overloads have type_params, a parameter or result that names one of them fits everything. Where overloads
+    have a result and calls an expected type (null: none), a result that doesn't fit it is told as the reason expected return only of an
+    overload that isn't dead; it kills none.
     """
+    from .generics import names_one_of
     from .types import compatible
 
     need = F.when(F.col("required") == 0, F.size("params")).otherwise(F.col("required"))
     rows = calls.join(overloads, "name")
+    variables = F.coalesce("type_params", F.array().cast("array<string>")) if "type_params" in overloads.columns else F.array().cast("array<string>")
+    rows = rows.withColumn("params", F.transform("params", lambda p: F.when(~names_one_of(p, variables), p)))
     if closure is None:
         clash = F.expr("exists(sequence(0, greatest(least(size(args), size(params)), 1) - 1), i -> i < size(args) and i < size(params) and get(args, i) <> get(params, i))")
     else:
@@ -78,4 +84,13 @@ def call_frontier(overloads: DataFrame, calls: DataFrame, closure: DataFrame | N
         rows, clash = rows.join(hit, ["call_id", "overload"], "left"), F.coalesce("hit", F.lit(False))
     reason = F.when(F.size("args") > F.size("params"), "arity exceeded").when(clash, "argument type").when(F.col("closed") & (F.size("args") < need), "arity short at close")
     state = F.when(F.col("reason").isNotNull(), "dead").when(F.size("args") < need, "waiting").otherwise("alive")
-    return rows.withColumn("reason", reason).withColumn("state", state).select("call_id", "name", "overload", "state", "reason")
+    rows = rows.withColumn("reason", reason).withColumn("state", state)
+    if "result" in overloads.columns and "expected" in calls.columns:
+        asked = F.col("expected").isNotNull() & ~names_one_of(F.col("result"), variables)
+        if closure is None:
+            other = F.col("result") != F.col("expected")
+        else:
+            bad = compatible(rows.filter(asked).selectExpr("result as got", "expected as want").distinct(), closure).filter(~F.col("compatible")).selectExpr("got as result", "want as expected", "true as other")
+            rows, other = rows.join(bad, ["result", "expected"], "left"), F.col("other")
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(asked & other, "expected return only")))
+    return rows.select("call_id", "name", "overload", "state", "reason")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import lexing
-from tessera.operators import summaries, types, verdicts
+from tessera.operators import reports, summaries, types, verdicts
 from tessera.plans import generics, harness, locks, scopes
 from tessera.sources import vocabulary
-from tessera.streaming import checker
+from tessera.streaming import checker, lexer
 
 _QUERIES, _SQL = {}, {}
 
@@ -235,6 +237,47 @@ def call_frontier(spark, d):
     return verdicts.call_frontier(overloads, calls, types.subtype_closure(_edges(spark, d))).select("call_id", "overload", "state", "reason")
 
 
+@_query(
+    """WITH calls AS (SELECT o_orderkey AS call_id, 'f' || (o_orderkey % 2)::VARCHAR AS name, (o_orderkey % 3)::INT AS n, o_orderkey % 5 = 0 AS closed, c_nationkey AS nation, n_regionkey AS region, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'R1' WHEN 2 THEN 'Any' ELSE 'N3' END AS expected FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+    f(name, overload, first, n_params, required, result) AS (VALUES ('f0', 0, 'Any', 1, 1, 'R1'), ('f0', 1, 'T', 2, 1, 'Array<T>'), ('f1', 0, 'R2', 2, 0, 'N3'), ('f1', 1, 'Box<T>', 1, 1, 'N3')),
+    three AS (SELECT 'R' || n_regionkey AS r FROM nation WHERE n_nationkey = 3),
+    j AS (SELECT *, CASE WHEN required = 0 THEN n_params ELSE required END AS need, n > 0 AND first = 'R2' AND region <> 2 AS clash FROM calls JOIN f USING (name)),
+    r AS (SELECT *, CASE WHEN n > n_params THEN 'arity exceeded' WHEN clash THEN 'argument type' WHEN closed AND n < need THEN 'arity short at close' END AS dead,
+      result <> 'Array<T>' AND expected IS NOT NULL AND expected <> 'Any' AND expected <> result AND NOT (result = 'N3' AND expected = (SELECT r FROM three)) AS other FROM j)
+    SELECT call_id, overload::INT AS overload, CASE WHEN dead IS NOT NULL THEN 'dead' WHEN n < need THEN 'waiting' ELSE 'alive' END AS state, coalesce(dead, CASE WHEN other THEN 'expected return only' END) AS reason FROM r"""
+)
+def call_frontier_returns(spark, d):
+    """Calls that expect a type, of overloads with results and type parameters."""
+    rows = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    expected = "case o_orderkey % 4 when 0 then null when 1 then 'R1' when 2 then 'Any' else 'N3' end expected"
+    calls = rows.selectExpr("o_orderkey call_id", "concat('f', o_orderkey % 2) name", "array_repeat(concat('N', c_nationkey), cast(o_orderkey % 3 as int)) args", "o_orderkey % 5 = 0 closed", expected)
+    listed = [("f0", 0, ["Any"], 1, "R1", []), ("f0", 1, ["T", "Map<T, T>"], 1, "Array<T>", ["T"]), ("f1", 0, ["R2", "Any"], 0, "N3", None), ("f1", 1, ["Box<T>"], 1, "N3", ["T"])]
+    overloads = spark.createDataFrame(listed, "name string, overload int, params array<string>, required int, result string, type_params array<string>")
+    return verdicts.call_frontier(overloads, calls, types.subtype_closure(_edges(spark, d))).select("call_id", "overload", "state", "reason")
+
+
+@_query("SELECT doc_id, 4::BIGINT AS layouts, 1::BIGINT AS verdicts, true AS invariant FROM documents WHERE length(text) > 0")
+def checked_fragmentations(spark, d):
+    """Whether the checker's answer is the same however a document is cut: as a whole, by lines, by words, and by pieces of any size."""
+    docs, layouts = _t(spark, d, "documents"), ("whole", "line", "word", "random")
+    parts = [lexing.fragments(docs, "doc_id", "text", layout, 7).select(F.concat(F.lit(f"{layout}:"), "doc_id").alias("stream_id"), "seq", "fragment") for layout in layouts]
+    answers = checker.check_batch(reduce(DataFrame.unionByName, parts)).groupBy("stream_id").agg(F.bool_and("ok").alias("accepted"))
+    case = F.substring_index("stream_id", ":", -1).cast("long").alias("doc_id")
+    return reports.fragmentation_invariance(answers.select(case, F.substring_index("stream_id", ":", 1).alias("layout"), "accepted"), "doc_id")
+
+
+@_query(
+    f"""WITH p AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'fu' WHEN 1 THEN 'r' WHEN 2 THEN page_id::VARCHAR WHEN 3 THEN page_id::VARCHAR || '.5' WHEN 4 THEN '"' || page_id WHEN 5 THEN '`x' || page_id WHEN 6 THEN '<' WHEN 7 THEN 'v' || page_id ELSE '/* ' || page_id END AS partial FROM pages)
+    SELECT page_id, partial, CASE page_id % 9 WHEN 0 THEN 'name,' || array_to_string(list_filter([{', '.join(f"'{k}'" for k in lexing.KEYWORDS)}], lambda k: starts_with(k, 'fu')), ',') WHEN 1 THEN 'name,rune,' || array_to_string(list_filter([{', '.join(f"'{k}'" for k in lexing.KEYWORDS)}], lambda k: starts_with(k, 'r')), ',')
+      WHEN 2 THEN 'integer,float' WHEN 3 THEN 'float' WHEN 4 THEN 'text' WHEN 5 THEN 'raw' WHEN 6 THEN '<<=,<:,<=,<<,sign' WHEN 7 THEN 'name' ELSE '' END AS candidates, true AS continuable FROM p"""
+)
+def open_ends(spark, d):
+    """What the open end of a text may become."""
+    partial = F.expr("case page_id % 9 when 0 then 'fu' when 1 then 'r' when 2 then string(page_id) when 3 then concat(page_id, '.5') when 4 then concat('\"', page_id) when 5 then concat('`x', page_id) when 6 then '<' when 7 then concat('v', page_id) else concat('/* ', page_id) end")
+    rows = lexer.lex_batch(_t(spark, d, "pages").select(F.col("page_id").cast("string").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("let x = "), partial).alias("fragment")))
+    return rows.select(F.col("stream_id").cast("long").alias("page_id"), "partial", F.array_join("candidates", ",").alias("candidates"), "continuable")
+
+
 @_query(
     """WITH p AS (SELECT conv_id, turn, role, lag(role) OVER w AS one, lag(role, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
     SELECT conv_id, turn, role, coalesce(two = 'user' AND one = 'assistant' AND role <> 'user', false) AS violates FROM p"""
