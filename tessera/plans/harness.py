@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import lexing
 from tessera.operators import reports, summaries, symbols, types
 from tessera.sinks import lines
-from tessera.sources import context, harness
+from tessera.sources import context, harness, token_table
 from tessera.sources.folders import shared_folder
 from tessera.streaming import lexer
 
@@ -504,6 +505,23 @@ def token_type_ids(spark, d):
     return lexing.type_ids(_t(spark, d, "conversations").selectExpr("conv_id", "turn", "role as kind"), table).select("conv_id", "turn", "type_id")
 
 
+@_query(
+    r"""WITH w AS (SELECT DISTINCT conv_id // 100 AS t, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM conversations),
+    r AS (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY word) - 1 AS r FROM w), m AS (SELECT t, max(r + r // 6) AS last FROM r GROUP BY t)
+    SELECT t::VARCHAR AS vocabulary, (r + r // 6)::INT AS token_id, hex(word) AS bytes FROM r UNION ALL SELECT t::VARCHAR, i::INT, NULL FROM m, range(0, last + 1) x(i) WHERE i % 7 = 6"""
+)
+def token_tables(spark, d):
+    """The words of every 100 conversations as a token table with gaps, written and read back by ranges of ids."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = _t(spark, d, "conversations").select(F.expr("conv_id div 100").cast("string").alias("table"), F.explode(words).alias("word")).distinct()
+    rank = F.row_number().over(W.partitionBy("table").orderBy("word")) - 1
+    rows = rows.withColumn("r", rank).selectExpr("table", "r + r div 6 as token_id", "cast(word as binary) as bytes")
+    folder = shared_folder(spark, "token-tables")
+    token_table.write_token_tables(rows, folder)
+    spark.dataSource.register(token_table.TokenTables)
+    return spark.read.format("token_table").option("entries", 1000).load(folder).select(F.col("table").alias("vocabulary"), "token_id", F.hex("bytes").alias("bytes"))
+
+
 @_query()
 def document_token_ids(spark, d):
     import public_tokenizers
