@@ -60,7 +60,7 @@ def transcript_digest(answers: DataFrame, key: str, order: str, text: str) -> Da
     value = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
     framed = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(value).cast("long")), 16, "0")), value)
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), framed.alias("framed"))))
-    joined = F.aggregate(F.transform(parts, lambda x: F.hex(x["framed"])), F.lit(""), lambda a, x: F.concat(a, x))
+    joined = F.array_join(F.transform(parts, lambda x: F.hex(x["framed"])), "")
     return answers.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.unhex(joined), 256).alias("digest"))
 
 

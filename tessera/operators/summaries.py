@@ -114,10 +114,12 @@ def multisets_equal(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def clusters(rows: DataFrame, key: tuple[str, ...], example: str, most: int = 3) -> DataFrame:
-    """Per key its count and its `most` smallest examples, ranked before they are collected."""
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(example))
-    ranked = rows.withColumn("__rank", rank)
-    return ranked.groupBy(*key).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("__rank") <= most, F.col(example)))), ",").alias("examples"))
+    """Per key its count and its `most` smallest examples. Tasks pass on no more examples of a key than that, so a key with many rows is no more work than others; null keys are equal."""
+    rank = F.row_number().over(W.partitionBy(*(F.col(f"k.{c}") for c in key)).orderBy("example"))
+    ranked = rows.select(F.struct(*key).alias("k"), F.col(example).alias("example")).withColumn("rank", rank).filter(F.col("rank") <= most)
+    shown = ranked.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("example")), ",").alias("shown"))
+    counts = rows.groupBy(F.struct(*key).alias("k")).agg(F.count("*").alias("rows"))
+    return counts.join(shown.withColumnRenamed("k", "of"), F.col("k").eqNullSafe(F.col("of"))).select("k.*", F.col("rows").alias("n"), F.col("shown").alias("examples"))
 
 
 def running_offsets(parts: DataFrame, stream: str, order: str, text: str) -> DataFrame:

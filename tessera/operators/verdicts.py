@@ -15,7 +15,8 @@ def first_reject(verdicts: DataFrame, stream: str = "stream_id") -> DataFrame:
 def stop_after_first(verdicts: DataFrame, stream: str = "stream_id") -> DataFrame:
     """The verdicts up to and including a stream's first reject: nothing is answered after it."""
     bad = F.min(F.when(~F.coalesce("ok", F.lit(False)), F.col("seq"))).over(W.partitionBy(stream))
-    return verdicts.withColumn("__bad", bad).filter("__bad is null or seq <= __bad").drop("__bad")
+    first = max(verdicts.columns, key=len) + "_first"  # longer than any of the columns' names, so none of them
+    return verdicts.withColumn(first, bad).filter(F.col(first).isNull() | (F.col("seq") <= F.col(first))).drop(first)
 
 
 def protocol_bit(ok: Column, competition: bool = False) -> Column:

@@ -160,13 +160,13 @@ def explode_count(spark, d):
 @_query(
     """WITH l AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN ' +' || (event_id % 300)::VARCHAR || ' ' WHEN event_id % 11 = 0 THEN 'x' || event_id::VARCHAR ELSE (event_id % 300)::VARCHAR END AS raw FROM events),
     n AS (SELECT event_id, try_cast(nullif(regexp_extract(trim(raw), '^\\+?(-?[0-9]+)$', 1), '') AS BIGINT) AS token_id FROM l)
-    SELECT event_id, token_id, coalesce(token_id BETWEEN 0 AND 255, false) AS found FROM n"""
+    SELECT event_id, token_id, coalesce(token_id BETWEEN 0 AND 255, false) AS found, CASE WHEN token_id BETWEEN 0 AND 255 THEN lpad(upper(to_hex(token_id)), 2, '0') END AS bytes FROM n"""
 )
 def token_decode_join(spark, d):
     i = (F.col("event_id") % 300).cast("string")
     raw = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit(" +"), i, F.lit(" "))).when(F.col("event_id") % 11 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(i)
     lines = _t(spark, d, "events").select("event_id", raw.alias("raw"))
-    return vocabulary.decode_ids(lines, vocabulary.byte_vocabulary(spark)).select("event_id", "token_id", "found")
+    return vocabulary.decode_ids(lines, vocabulary.byte_vocabulary(spark)).select("event_id", "token_id", "found", F.hex("bytes").alias("bytes"))
 
 
 @_query(
