@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import Numbers, buffers, cut, freed, joined, shared_folder
+from .base import Numbers, buffers, cut, freed, joined, shared_folder, small_batches
 
 MAGIC, END_ID, SHARD_TOKENS, WORD_BITS = b"WVM1", 2, 1 << 20, 512
 #: Strings whose ids a task keeps.
@@ -246,7 +246,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 ["part", "shard", "n_tokens", "doc_ids", "lengths", "matrix"],
             )
 
-        for batch in cut(freed(batches), "text", 1 << 20):
+        for batch in cut(batches, "text", 1 << 20):
             got, counts = encoder.encode(batch.column("text"), end_id)
             ids.append(got)
             docs_in += batch.column("doc_id").to_pylist()
@@ -259,7 +259,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             yield row()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lambda b: freed(run(b)), SHARD).write.parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -285,7 +286,7 @@ def read_documents(spark: SparkSession, path: str, keep_ids: bool = True) -> Dat
                 yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * keep_ids)
 
     shards = spark.read.schema(SHARD).parquet(path)
-    rows = shards.mapInArrow(run, f"doc_id long, within long, n_tokens long, ids_crc32 long, part int, shard int{ids_type}")
+    rows = shards.mapInArrow(lambda b: freed(run(b)), f"doc_id long, within long, n_tokens long, ids_crc32 long, part int, shard int{ids_type}")
     return rows.join(shard_starts(shards), ["part", "shard"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
 
