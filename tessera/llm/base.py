@@ -198,6 +198,11 @@ def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of a task's batches, whose worker gives memory back when the last batch is out and what the function held is gone."""
+    return lambda batches: freed(run(batches))
+
+
 def sequences(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the k words from each word on, and whether they lie in one text; short ends give no sequence."""
     n = len(hashes)

@@ -10,6 +10,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import Numbers, buffers, cut, freed, joined, shared_folder, small_batches
+from .base import Numbers, buffers, cut, freeing, joined, shared_folder, small_batches
 
 MAGIC, END_ID, SHARD_TOKENS, WORD_BITS = b"WVM1", 2, 1 << 20, 512
 #: Strings whose ids a task keeps.
@@ -124,6 +125,12 @@ class Encoder:
         return np.insert(ids, ends[1:], np.uint32(end)), np.diff(ends) + 1
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: the tasks it runs in turn share the tokenizer and the strings known so far (KNOWN and a batch's at most)."""
+    return Encoder(path)
+
+
 def build_matrix(ids: np.ndarray, levels: int | None = None) -> bytes:
     """The wavelet matrix of ids: per level the bits in the order the levels above leave, zeros first; and the count of ones before each 512 bits."""
     n = len(ids)
@@ -237,7 +244,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        own, part, shard = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids, docs_in, lengths, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -247,7 +254,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             )
 
         for batch in cut(batches, "text", 1 << 20):
-            got, counts = encoder.encode(batch.column("text"), end_id)
+            got, counts = own.encode(batch.column("text"), end_id)
             ids.append(got)
             docs_in += batch.column("doc_id").to_pylist()
             lengths += counts.tolist()
@@ -260,7 +267,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with small_batches(docs.sparkSession):
-        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lambda b: freed(run(b)), SHARD).write.parquet(path)
+        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(freeing(run), SHARD).write.parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -286,7 +293,7 @@ def read_documents(spark: SparkSession, path: str, keep_ids: bool = True) -> Dat
                 yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * keep_ids)
 
     shards = spark.read.schema(SHARD).parquet(path)
-    rows = shards.mapInArrow(lambda b: freed(run(b)), f"doc_id long, within long, n_tokens long, ids_crc32 long, part int, shard int{ids_type}")
+    rows = shards.mapInArrow(freeing(run), f"doc_id long, within long, n_tokens long, ids_crc32 long, part int, shard int{ids_type}")
     return rows.join(shard_starts(shards), ["part", "shard"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
 
