@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .base import buffers, cut, different, freed, mix, sequences, whole_runs, words, written
+from .base import buffers, cut, different, freeing, mix, sequences, whole_runs, words, written
 from .components import components
 
 N, GROUPS, LEAF, BLOCK = 5, 64, 64, 512
@@ -176,12 +176,12 @@ def set_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """(doc_id, n_shingles, key): key is a 64-bit hash of the set, null for an empty one; equal sets have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(freed(batches), "text"):
+        for batch in cut(batches, "text"):
             sets = list(shingle_sets(batch.column("text"), n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles long, key long")
+    return _texts(docs, id_col, text_col).mapInArrow(freeing(run), f"doc_id {kind}, n_shingles long, key long")
 
 
 def _often(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def _often(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(COUNTERS, np.int64), set()
-        for batch in cut(freed(batches), "text"):
+        for batch in cut(batches, "text"):
             for grams in shingle_sets(batch.column("text"), n):
                 if len(grams) > 2 and (key := _key(grams)) not in seen:
                     seen.add(key)
@@ -197,7 +197,7 @@ def _often(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["place", "times"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "place long, times long")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(freeing(run), "place long, times long")
     table = counted.groupBy("place").agg(F.sum("times").alias("times")).toArrow()  # COUNTERS rows at most
     often = np.zeros(COUNTERS, np.int64)
     often[table.column("place").to_numpy()] = table.column("times").to_numpy()
@@ -210,7 +210,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in cut(freed(batches), "text"):
+        for batch in cut(batches, "text"):
             sigs, keys = [], []
             for grams in shingle_sets(batch.column("text"), n):
                 if len(grams) > 2 and (key := _key(grams)) not in seen:
@@ -220,7 +220,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], ["sig", "key"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig long, key long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(freeing(run), "sig long, key long")
 
 
 def _sets_of(docs: DataFrame, keyed: DataFrame, keys: DataFrame, id_col: str, text_col: str, n: int, grams: bool) -> DataFrame:
@@ -240,7 +240,7 @@ def _sets_of(docs: DataFrame, keyed: DataFrame, keys: DataFrame, id_col: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value.view(np.uint64), set()
-        for batch in cut(freed(batches), "text"):
+        for batch in cut(batches, "text"):
             p = batch.column("p").to_numpy().astype(np.uint64)
             batch = batch.filter(pa.array(((bitmap[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)))
             out = []
@@ -259,7 +259,7 @@ def _sets_of(docs: DataFrame, keyed: DataFrame, keys: DataFrame, id_col: str, te
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(np.diff(lengths), pa.int64()), what, *([] if grams else [rough])], ["key", "n", *(["grams"] if grams else ["point", "rough"])])
 
     texts = _texts(docs, id_col, text_col).select(place, "text")
-    sets = texts.mapInArrow(run, f"key long, n long, {'grams array<bigint>' if grams else 'point binary, rough binary'}")
+    sets = texts.mapInArrow(freeing(run), f"key long, n long, {'grams array<bigint>' if grams else 'point binary, rough binary'}")
     return written(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
@@ -276,7 +276,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     one, two = (points.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}")) for x in "ab")
     rows = pairs.join(one, "a").join(two, "b")
-    return rows.filter(f"least(n_a, n_b) * {WHOLE} >= greatest(n_a, n_b) * {PART}").mapInArrow(run, "a long, b long")
+    return rows.filter(f"least(n_a, n_b) * {WHOLE} >= greatest(n_a, n_b) * {PART}").mapInArrow(freeing(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -297,7 +297,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, id_col: str,
     sets = _sets_of(docs, keyed, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), id_col, text_col, n, grams=True)
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(freeing(run), "a long, b long, shared long, n_a long, n_b long")
 
 
 def _near_rows(batch: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
@@ -359,7 +359,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
-        for batch, first in whole_runs(freed(batches), starts):
+        for batch, first in whole_runs(batches, starts):
             u, v, tree, points, which = _near_rows(batch, first)
             if not len(u):
                 continue
@@ -384,7 +384,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
             close, seen = close[new], np.concatenate([seen if len(seen) < 1_000_000 else seen[:0], mark[new]])
             yield pa.RecordBatch.from_arrays([pa.array(keys[x[close]]), pa.array(keys[y[close]])], ["a", "b"])
 
-    return rows.select("sig", "i", "j", "block", "key", "part", "n", "rough").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("sig", "i", "j", "block", "key", "part", "n", "rough").mapInArrow(freeing(run), "a long, b long").distinct()
 
 
 def _shared_keys(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -466,12 +466,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(freed(batches), "text"):
+        for batch in cut(batches, "text"):
             keys = [_key(s) if len(s) else None for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("doc_id"), batch.column("text"), pa.array(keys, pa.int64())], ["own", "doc_id", "text", "key"])
 
     some = own.join(twice, "doc_id", "left_semi").select("own", "doc_id", "text")
-    some = some.mapInArrow(run, StructType([*some.schema.fields, StructField("key", LongType())]))
+    some = some.mapInArrow(freeing(run), StructType([*some.schema.fields, StructField("key", LongType())]))
     rank = F.row_number().over(W.partitionBy("doc_id", "key").orderBy("text"))
     some = some.join(gone, ["doc_id", "key"], "left_anti").withColumn("rank", rank).filter("rank = 1 or key is null")
     return kept.unionByName(some.select("own.*"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Numbers, bucketed, buffers, cut, freed, joined, mix, small_batches, whole_runs
+from .base import Numbers, bucketed, buffers, cut, freeing, joined, mix, small_batches, whole_runs
 
 #: A chunk's bytes of text, chunks of a block and lots of a chunk's words.
 CHUNK_BYTES, BLOCK_CHUNKS, LOTS = 12 << 20, 160, 64
@@ -133,7 +133,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = TaskContext.get().partitionId() << 32, 0
         state = Numbers(), [], [], [], []
-        for some in cut(freed(batches), "text", 1 << 19):
+        for some in cut(batches, "text", 1 << 19):
             numbers, ids, counts, codes, texts = state
             data, offsets = buffers(some.column("text"))
             full = np.diff(offsets) > 0
@@ -155,7 +155,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if state[1]:
             yield close(key, *state)
 
-    return docs.mapInArrow(run, CHUNK)
+    return docs.mapInArrow(freeing(run), CHUNK)
 
 
 def _load(lot: int, members: list[tuple], pieces: Pieces, pairs: frozenset[str], rule: str) -> tuple[bytes, list[tuple[int, str]]]:
@@ -193,7 +193,7 @@ def units(stored: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, pairs = shared.value
-        for batch, first in whole_runs(freed(batches), starts):
+        for batch, first in whole_runs(batches, starts):
             for i, j in zip(first, np.append(first[1:], batch.num_rows)):
                 own = batch.slice(i, j - i)
                 load, found = _load(own.column("lot")[0].as_py(), list(zip(*(own.column(c).to_pylist() for c in ("chunk", "n", "size", "packed")))), pieces, pairs, rule)
@@ -202,7 +202,7 @@ def units(stored: DataFrame, pieces: Pieces, rule: str) -> DataFrame:
                     part = found[k : k + 5000]
                     yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int32()), pa.array([u for _, u in part], pa.string()), pa.nulls(len(part), pa.binary())], names)
 
-    return asked.repartition("block", "lot").sortWithinPartitions("block", "lot", "chunk").mapInArrow(run, "at int, unit string, load binary")
+    return asked.repartition("block", "lot").sortWithinPartitions("block", "lot", "chunk").mapInArrow(freeing(run), "at int, unit string, load binary")
 
 
 EDGES = "edges array<struct<i: int, j: int, id: int, score: double>>, merges array<struct<ends: bigint, inside: bigint>>"
@@ -229,7 +229,7 @@ def lattice(units: DataFrame, pieces: Pieces, least: int = 1) -> DataFrame:
         return np.flatnonzero((batch.column("i").to_numpy() == 0) & (batch.column("j").to_numpy() == least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first in whole_runs(freed(batches), starts):
+        for batch, first in whole_runs(batches, starts):
             i, j = (batch.column(c).to_numpy().astype(np.int64) for c in "ij")
             unit = np.cumsum(np.isin(np.arange(len(i)), first)) - 1
             if not len(first) or first[0] or (np.diff(unit << 16 | i << 8 | j) <= 0).any():
@@ -250,7 +250,7 @@ def lattice(units: DataFrame, pieces: Pieces, least: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lists), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), borders)], [*own, "edges", "merges"])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in units.schema)
-    return edges.mapInArrow(run, f"{kinds}{EDGES}")
+    return edges.mapInArrow(freeing(run), f"{kinds}{EDGES}")
 
 
 def fold_merges(lattices: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def answers(folded: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load, parts = None, []
-        for batch in freed(batches):
+        for batch in batches:
             at = batch.column("at").to_numpy()
             heads = set(np.flatnonzero(at == -1).tolist())
             cuts = sorted({0, batch.num_rows} | heads)
@@ -359,7 +359,7 @@ def answers(folded: DataFrame, pieces: Pieces) -> DataFrame:
         if load is not None:
             yield close(load, parts)
 
-    return folded.select("at", "unit", "load", "edges", "borders").mapInArrow(run, "chunk long, lot int, n int, size int, packed binary")
+    return folded.select("at", "unit", "load", "edges", "borders").mapInArrow(freeing(run), "chunk long, lot int, n int, size int, packed binary")
 
 
 def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,12 +398,12 @@ def encode(docs: DataFrame, model_file: str, rule: str = "merges", id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + step], pa.int64()), pa.ListArray.from_arrays(pa.array(sums[some - some[0]], pa.int32()), pa.array(joined(flat, starts[own], lengths[own]), pa.int32()))], ["doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in freed(batches):
+        for batch in batches:
             for row in range(batch.num_rows):
                 head = tuple(batch.column(c)[row].as_py() for c in ("doc_ids", "counts", "n", "size", "packed"))
                 yield from texts(head, [tuple(x.values()) for x in batch.column("parts")[row].as_py() or ()])
 
-    return rows.select("doc_ids", "counts", "n", "size", "packed", "parts").mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.select("doc_ids", "counts", "n", "size", "packed", "parts").mapInArrow(freeing(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -414,7 +414,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, lengths = shared.value
-        for batch in freed(batches):
+        for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 ids = part.column("ids")
@@ -426,4 +426,4 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
                 texts = [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends.tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(freeing(run), "doc_id long, ids array<int>, text string")

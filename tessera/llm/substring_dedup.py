@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import _STEP, buffers, cut, freed, mix, sequences, word_starts, words, written
+from .base import _STEP, buffers, cut, freeing, mix, sequences, word_starts, words, written
 
 K, WINDOW, MIN_WORDS, MIN_IDENTITY = 6, 10, 50, 0.75
 GAP_COST, MAX_GAP, MARGIN, DROP, BAND = 0.2, 40, 64, 8, 6
@@ -314,7 +314,7 @@ def _areas(shared: DataFrame, least: int) -> DataFrame:
                 heads = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
                 yield pa.RecordBatch.from_arrays([pa.array(of[heads]), pa.ListArray.from_arrays(pa.array(2 * np.append(heads, len(of)), pa.int32()), pa.array(spans.ravel()))], ["id", "areas"])
 
-    return shared.repartition("id").sortWithinPartitions("id", "pos").mapInArrow(run, "id long, areas array<bigint>")
+    return shared.repartition("id").sortWithinPartitions("id", "pos").mapInArrow(freeing(run), "id long, areas array<bigint>")
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -361,7 +361,7 @@ def _whole(own: DataFrame, least: int) -> DataFrame:
                 heads[_first_of_each(of, hashes)] = True
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids.to_numpy()[of]), pa.array(at - first[of]), pa.array(heads)], ["seed", "id", "pos", "head"])
 
-    found = own.mapInArrow(run, "seed long, id long, pos long, head boolean")
+    found = own.mapInArrow(freeing(run), "seed long, id long, pos long, head boolean")
     return found.join(_first_holders(found), "seed").filter("id <> ref_id").select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos")
 
 
@@ -407,7 +407,7 @@ def _loose(shared: DataFrame, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([twice[0], pa.nulls(len(rows), pa.int64()), *twice[1:], pa.array(rows)], names)
 
     rows = shared.select("id", "pos", "ref_id", "ref_pos").repartition("id").sortWithinPartitions("id", "pos")
-    return rows.mapInArrow(run, "id long, pos long, one long, other long, apart long")
+    return rows.mapInArrow(freeing(run), "id long, pos long, one long, other long, apart long")
 
 
 def _met(loose: DataFrame, shared: DataFrame) -> DataFrame:
@@ -445,7 +445,7 @@ def _chained(anchors: DataFrame) -> DataFrame:
             yield from flush(*columns)
 
     rows = anchors.repartition("doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id", "pos")
-    return rows.mapInArrow(run, "doc_id long, ref_id long, p0 long, p1 long, r0 long, r1 long, chain array<bigint>")
+    return rows.mapInArrow(freeing(run), "doc_id long, ref_id long, p0 long, p1 long, r0 long, r1 long, chain array<bigint>")
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -467,7 +467,7 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 _, hashes, first = words(*buffers(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["id", "words"])
 
-    rows = docs.filter("id is not null").withColumn("p", place).mapInArrow(run, "id long, words array<int>")
+    rows = docs.filter("id is not null").withColumn("p", place).mapInArrow(freeing(run), "id long, words array<int>")
     return rows.join(wanted, "id").dropDuplicates(["id"])
 
 
@@ -488,14 +488,14 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base = base.join(several, F.col("id") == F.col("span_id"), "left").filter("mark is null or mark = xxhash64(text)").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(freed(batches), "text"):
+        for batch in cut(batches, "text"):
             hashes, at, of = seeds(batch.column("text"))
             ids = batch.column("id").to_numpy(zero_copy_only=False)[of].astype(np.int64)
             heads = np.zeros(len(of), bool)
             heads[_first_of_each(of, hashes)] = True
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(at), pa.array(heads)], ["seed", "id", "pos", "head"])
 
-    occurrences = base.filter("id is not null").mapInArrow(run, "seed long, id long, pos long, head boolean")
+    occurrences = base.filter("id is not null").mapInArrow(freeing(run), "seed long, id long, pos long, head boolean")
     shared = written(occurrences.join(_first_holders(occurrences), "seed").select("id", "ref_id", "pos", "ref_pos", "head"), "shared")
     if min_words >= K + WINDOW - 1:
         areas = written(_areas(shared.select("id", "pos"), min_words), "areas")
@@ -528,7 +528,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if out:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:7]), pa.array([o[7] for o in out])], ["doc_id", "ref_doc_id", "start_word", "n_words", "ref_start_word", "ref_n_words", "matches", "identity"])
 
-    return rows.select("doc_id", "ref_id", "p0", "p1", "r0", "r1", "chain", "a", "b").mapInArrow(aligned, "doc_id long, ref_doc_id long, start_word long, n_words long, ref_start_word long, ref_n_words long, matches long, identity double")
+    return rows.select("doc_id", "ref_id", "p0", "p1", "r0", "r1", "chain", "a", "b").mapInArrow(freeing(aligned), "doc_id long, ref_doc_id long, start_word long, n_words long, ref_start_word long, ref_n_words long, matches long, identity double")
 
 
 def _first_of_each(of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -553,7 +553,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in freed(batches):
+        for batch in batches:
             column, spans = batch.column("own_text"), batch.column("spans")
             texts, keep = column.to_pylist(), np.ones(batch.num_rows, bool)
             for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False)).tolist():
@@ -572,7 +572,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
             columns = [pa.array(texts, column.type) if n == text_col else c for n, c in zip(names, batch.column("own").flatten())]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(freeing(run), docs.schema)
 
 
 def _texts_of_one_id(marks: DataFrame) -> DataFrame:

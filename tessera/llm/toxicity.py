@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import buffers, cut, freed, terms
+from .base import buffers, cut, freeing, terms
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 #: At most so many labelled documents, those whose md5 of the id comes first, are learnt from.
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(wanted: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in cut(freed(batches), "text"):
+            for batch in cut(batches, "text"):
                 _, _, hashes, first = terms(*buffers(batch.column("text")), PREFIXES)
                 out = []
                 for a, b in zip(first[:-1], first[1:]):
@@ -204,11 +204,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return empty
     schema = "feature long, n long"
     count = lambda rows: rows.groupBy("feature").agg(F.sum("n").alias("n"))
-    toxic = count(texts.filter("toxic = 1").select("text").mapInArrow(features(None), schema)).filter(F.col("n") >= max(LEAST_DOCS, n_toxic // 200)).toPandas()
+    toxic = count(texts.filter("toxic = 1").select("text").mapInArrow(freeing(features(None)), schema)).filter(F.col("n") >= max(LEAST_DOCS, n_toxic // 200)).toPandas()
     if not len(toxic):
         return empty
     wanted = np.sort(toxic["feature"].to_numpy().view(np.uint64))
-    clean = count(texts.filter("toxic <> 1").select("text").mapInArrow(features(wanted), schema)).toPandas()
+    clean = count(texts.filter("toxic <> 1").select("text").mapInArrow(freeing(features(wanted)), schema)).toPandas()
     a = dict(zip(toxic["feature"], toxic["n"]))
     c = dict(zip(clean["feature"], clean["n"]))
     a, c = np.array([a[x] for x in wanted.view(np.int64)], float), np.array([c.get(x, 0) for x in wanted.view(np.int64)], float)
@@ -219,12 +219,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return empty
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(freed(batches), "text"):
+        for batch in cut(batches, "text"):
             _, _, steps, first = _evidence(*buffers(batch.column("text")), model)
             rows = [(np.flatnonzero(steps[i:j]), steps[i:j][steps[i:j] > 0]) for i, j in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(np.diff(first), pa.int64()), pa.array([x.tolist() for x, _ in rows], pa.list_(pa.int32())), pa.array([y.tolist() for _, y in rows], pa.list_(pa.int32()))], ["toxic", "n", "at", "step"])
 
-    known = texts.mapInArrow(places, "toxic int, n long, at array<int>, step array<int>").toPandas()
+    known = texts.mapInArrow(freeing(places), "toxic int, n long, at array<int>, step array<int>").toPandas()
     for name in ("at", "step"):
         known[name] = [np.asarray(v, np.int64) for v in known[name]]
     known = known.assign(key=[hash((t, n, tuple(a))) for t, n, a in zip(known["toxic"], known["n"], known["at"])]).sort_values(["n", "key"], kind="stable")  # one order whatever task came first
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in cut(freed(batches), "text", 1 << 20):
+        for batch in cut(batches, "text", 1 << 20):
             data, offsets = buffers(batch.column("text"))
             starts, ends, first, p, value = _scored(data, offsets, model)
             total = np.zeros(batch.num_rows)
@@ -291,7 +291,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 columns.append(pa.array([[{"start": place(t, starts[s["from"]]), "end": place(t, ends[s["last"]]), "p": float(s["p"])} for s in row] for t, row in enumerate(rows)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "expected", *(["spans"] if spans else [])])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -299,8 +299,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(freed(batches), text_col, 1 << 20):
+        for batch in cut(batches, text_col, 1 << 20):
             *_, value = _scored(*buffers(batch.column(text_col)), shared.value)
             yield batch.filter(pa.array(value < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
