@@ -10,22 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_join, sentencepiece_lattice, substring_dedup, toxicity
+from tessera.llm.base import small_batches
 from tessera.sources.folders import forget, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field scores as toxic go, by labels outside of the held-out quarter; null and empty texts stay or go by the score of a text without words. Repeated rows fare alike; an empty table stays empty."""
-    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    with small_batches(spark):
+        model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows without an id or without words stay. Repeats as in one_of_each_group."""
-    return ngram_join.one_of_each_group(docs)
+    with small_batches(spark):
+        return ngram_join.one_of_each_group(docs)
 
 
 def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has, too, are cut from the texts; a document of which nothing is left goes. Nulls stay; repeats as in without_passages."""
-    return substring_dedup.without_passages(docs, substring_dedup.shared_passages(docs))
+    with small_batches(spark):
+        return substring_dedup.without_passages(docs, substring_dedup.shared_passages(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
