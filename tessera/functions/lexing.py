@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ KEYWORDS = (
 )
 KINDS = ("newline", "text", "multiline", "rune", "raw", "name", "keyword", "integer", "float", "operator", "sign")
 
+_KEYWORDS = frozenset(KEYWORDS)
 _LONGER = {op[:i] for op in OPERATORS for i in range(1, len(op))}
 _STRING = r'"(?:[^"\\]|\\.)*"'
 #: The tokens that a regular expression tells; block comments, which nest, are measured by hand.
@@ -52,7 +53,17 @@ def _block_end(text: str, at: int) -> int:
 
 
 def scan(text: str, last: bool = True) -> tuple[list[tuple[str, int, int]], int]:
-    """The tokens (kind, start, end) of a text, and where what is not certain yet begins.
+    """The tokens (kind, start, end) of a text, and where what is not certain yet begins, as by scanned()."""
+    found, out = scanned(text, last), []
+    while True:
+        try:
+            out.append(next(found))
+        except StopIteration as end:
+            return out, end.value
+
+
+def scanned(text: str, last: bool = True) -> Generator[tuple[str, int, int], None, int]:
+    """The tokens (kind, start, end) of a text one after the other; returns where what is not certain yet begins.
 
     Unless this is the last of a text, a token is certain only when nothing that may follow changes
     it: a name, number or operator at the end may go on, an open text, rune, raw name or comment is
@@ -60,28 +71,28 @@ def scan(text: str, last: bool = True) -> tuple[list[tuple[str, int, int]], int]
     block comment the rest of the text. A number is a run of digits, letters, _ and dots, a float
     if it has one of . e E f, so 0..10 is one float.
     """
-    out, at, n = [], 0, len(text)
+    at, n = 0, len(text)
     while at < n:
         m = _TOKEN.match(text, at)
         kind, end = m.lastgroup, m.end()
         if kind == "block":
             end = _block_end(text, at)
             if end < 0:
-                return out, n if last else at
+                return n if last else at
         elif not last:
             opens = kind == "text" and text.startswith('"""', at) or kind == "sign" and text[at] in '"`' or kind == "name" and text[at : at + 2] == "r" and end == n
             quote = kind == "name" and end == at + 1 and text[at] == "r" and end < n and text[end] in "'\""  # an open rune
             grows = end == n and (kind in ("name", "number", "line") or kind in ("operator", "sign") and text[at:end] in _LONGER | {"/"} or kind == "text" and text[at:end] == '""')
             if opens or grows or quote and "\n" not in text[end:]:
-                return out, at
+                return at
         if kind == "number":
             kind = "float" if any(c in ".eEf" for c in text[at + 1 : end]) and not text.startswith(("0x", "0X"), at) else "integer"
-        elif kind == "name" and text[at:end] in KEYWORDS:
+        elif kind == "name" and text[at:end] in _KEYWORDS:
             kind = "keyword"
         if kind not in ("blank", "line", "block"):
-            out.append((kind, at, end))
+            yield kind, at, end
         at = end
-    return out, n
+    return n
 
 
 def candidates(partial: str) -> list[str]:
@@ -104,9 +115,11 @@ def viable(partial: str) -> bool:
 
 
 TOKENS = "pos int, kind string, token string, line int, col int"
+#: Tokens that a task of lex() holds before it passes them on, and the characters that they may have.
+HELD, HELD_CHARS = 20_000, 4_000_000
 
 
-def _rows(text: str, tokens: list[tuple[str, int, int]], line: int, col: int) -> Iterator[tuple[str, str, int, int]]:
+def _rows(text: str, tokens: Iterable[tuple[str, int, int]], line: int, col: int) -> Iterator[tuple[str, str, int, int]]:
     """Kind, text, line and column of tokens, of a text that starts at a line and column."""
     at = 0
     for kind, start, end in tokens:
@@ -121,16 +134,33 @@ def moved(text: str, start: int, end: int, line: int, col: int) -> tuple[int, in
     return (line + lines, end - text.rfind("\n", start, end)) if lines else (line, col + end - start)
 
 
+def _batch(ids: pa.Array, rows: list[tuple[int, int, str, str, int, int]]) -> pa.RecordBatch:
+    at, pos, kind, token, line, col = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict({
+        "id": ids.take(pa.array(at, pa.int32())), "pos": pa.array(pos, pa.int32()), "kind": pa.array(kind, pa.string()), "token": pa.array(token, pa.string()), "line": pa.array(line, pa.int32()), "col": pa.array(col, pa.int32()),
+    })
+
+
+def lexed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of batches of (id, text), HELD at most at a time, be it of many texts or of one."""
+    for batch in batches:
+        out, chars = [], 0
+        for at, text in enumerate(batch.column(1)):
+            text = text.as_py() or ""
+            for pos, row in enumerate(_rows(text, scanned(text), 1, 1)):
+                out.append((at, pos, *row))
+                chars += len(row[1])
+                if len(out) >= HELD or chars >= HELD_CHARS:
+                    yield _batch(batch.column(0), out)
+                    out, chars = [], 0
+        if out:
+            yield _batch(batch.column(0), out)
+
+
 def lex(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row (id, pos, kind, token, line, col) per token of each whole text, in order; blanks and comments (block comments nest) are skipped, line and column count from 1. A null text has none; rows that repeat an id stand for themselves."""
     kind = sources.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(i, p, *row) for i, text in zip(pdf["id"], pdf["text"]) if isinstance(text, str) for p, row in enumerate(_rows(text, scan(text)[0], 1, 1))]
-            yield pd.DataFrame(out, columns=["id", "pos", "kind", "token", "line", "col"])
-
-    rows = sources.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, {TOKENS}")
+    rows = sources.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lexed, f"id {kind}, {TOKENS}")
     return rows.withColumnRenamed("id", id_col)
 
 
