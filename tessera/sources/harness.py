@@ -7,11 +7,13 @@ input never raises by itself: it gives a null, no row, or a row in a table of vi
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 
 def programs(spark: SparkSession, path: str, suffix: str = "cj") -> DataFrame:
@@ -109,11 +111,26 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def token_ids(sources: DataFrame, id_col: str, text_col: str, tokenizer_path: str) -> DataFrame:
-    """(id, seq, token_id): the ids of each text by a tokenizer's file, in order. A null or empty text has none. Texts go to the tokenizer by Arrow batches; its file must be readable where tasks run."""
+#: Bytes of the texts that go to a tokenizer at a time; a longer text goes alone.
+ENCODED_BYTES = 500_000
+
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encoded(texts: pd.Series) -> pd.Series:
-        return pd.Series([e.ids for e in _tokenizer(tokenizer_path).encode_batch([t or "" for t in texts], add_special_tokens=False)])
+def encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The ids (id, ids) of batches of (id, text), ENCODED_BYTES of texts at a time: what a tokenizer tells of a token takes many times its bytes."""
+    tokenizer = _tokenizer(path)
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        at = 0
+        while at < len(sizes):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 10_000], dtype=np.int64), ENCODED_BYTES, "right")))
+            part = batch.slice(at, n)
+            found = tokenizer.encode_batch_fast([t or "" for t in part.column(1).to_pylist()], add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], ["id", "ids"])
+            at += n
 
-    return sources.select(id_col, F.posexplode(encoded(F.col(text_col))).alias("seq", "token_id"))
+
+def token_ids(sources: DataFrame, id_col: str, text_col: str, tokenizer_path: str) -> DataFrame:
+    """(id, seq, token_id): the ids of each text by a tokenizer's file, in order. A null or empty text has none. Texts go to the tokenizer by parts of Arrow batches; its file must be readable where tasks run."""
+    kind = sources.schema[id_col].dataType.simpleString()
+    rows = sources.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: encoded(batches, tokenizer_path), f"id {kind}, ids array<int>")
+    return rows.select(F.col("id").alias(id_col), F.posexplode("ids").alias("seq", "token_id"))
