@@ -172,15 +172,38 @@ def type_ids(tokens: DataFrame, vocabulary: DataFrame, kind: str = "kind") -> Da
     return rows.select(*tokens.columns, F.coalesce("type_id", "spare").alias("type_id"))
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces (id, seq, fragment) of batches of (id, text, sizes), HELD at most at a time: from each start on to the next, a piece a step."""
+    for batch in batches:
+        ids, seqs, parts = [], [], []
+
+        def passed(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(ids, pa.int32())), "seq": pa.array(seqs, pa.int32()), "fragment": pa.array(parts, pa.string())})
+
+        for row, (text, sizes) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+            text, sizes, at, seq = text.as_py(), sizes.values.to_numpy().tobytes(), 0, 0
+            while at < len(text):
+                end = at + sizes[at]
+                ids.append(row)
+                seqs.append(seq)
+                parts.append(text[at:end])
+                at, seq = end, seq + 1
+                if len(ids) >= HELD:
+                    yield passed()
+                    ids, seqs, parts = [], [], []
+        if ids:
+            yield passed()
+
+
 def fragments(sources: DataFrame, id_col: str, text_col: str, layout: str, seed: int = 0) -> DataFrame:
     """A text in parts (id, seq, fragment) that make it up: as a whole, by line, by word with the blanks before it, by character, or by pieces of 1 to 17 characters whose lengths follow from the id, the place and a seed. A null or empty text has no part."""
     text = F.col(text_col)
     if layout == "random":
-        place = F.expr(f"sequence(0, greatest(length({text_col}) - 1, 0))")
-        size = lambda k: F.pmod(F.xxhash64(F.col(id_col), k, F.lit(seed)), F.lit(17)).cast("int") + 1
-        # from each cut on the next one: a fold over the characters that keeps the cuts made so far
-        cuts = F.aggregate(place, F.array(F.lit(0)), lambda a, k: F.when(k >= F.element_at(a, -1) + size(F.element_at(a, -1)), F.array_append(a, k)).otherwise(a))
-        parts = F.transform(cuts, lambda c: F.substring(text, c + 1, size(c)))
-        return sources.filter(F.length(text) > 0).select(id_col, F.posexplode(parts).alias("seq", "fragment"))
+        size = lambda k: (F.pmod(F.xxhash64(F.col(id_col), k, F.lit(seed)), F.lit(17)) + 1).cast("tinyint")
+        # what a piece that starts at a character has for a length, of which only those where pieces start count
+        sizes = F.transform(F.expr(f"sequence(0, length({text_col}) - 1)"), size)
+        kind = sources.schema[id_col].dataType.simpleString()
+        rows = sources.filter(F.length(text) > 0).select(F.col(id_col).alias("id"), text.alias("text"), sizes.alias("sizes"))
+        return rows.mapInArrow(_pieces, f"id {kind}, seq int, fragment string").withColumnRenamed("id", id_col)
     pattern = {"whole": r"(?s)^.+$", "line": r"[^\n]*\n|[^\n]+$", "word": r"\s*\S+|\s+$", "character": r"(?s)."}[layout]
     return sources.select(id_col, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("seq", "fragment"))
