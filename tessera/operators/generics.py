@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.types import arguments, canonical, head, type_nodes
-from tessera.sources.folders import forget, shared_folder
+from tessera.sources.folders import forget, shared_folder, stored
 
 #: A name with what makes it another type than the name alone (a path, a mark, an opening <), or any other sign.
 _PIECE = r"[A-Za-z0-9_.:?\[\]]+<?|[^A-Za-z0-9_.:?\[\]]"
@@ -82,17 +82,25 @@ def bind_type_variables(calls: DataFrame, overloads: DataFrame) -> DataFrame:
     Types are taken apart into nodes with the way that leads to each (heads and places). A variable is bound to the argument's node
     at the end of the same way; where heads differ, ways do. The first binding in order of the parameters and of
     their nodes counts; conflict says whether another one is different. Variables without a binding have no row.
+    Equal lists of arguments are bound once a name; only calls that share an id are put together by it.
     """
-    on = overloads.select(F.col("name").alias("of"), "overload", "type_params", "params")
-    rows = calls.select("call_id", "name", "args").join(on, F.col("name") == F.col("of"))
+    on = stored(overloads.select(F.col("name").alias("of"), "overload", "type_params", "params"), "overloads")  # stored, so its size is known and no join deals calls out by a few names
+    rows = stored(calls.select("name", "args").distinct(), "call-kinds").join(on, F.col("name") == F.col("of"))
     zipped = F.slice(F.arrays_zip("params", "args"), F.lit(1), F.least(F.size("params"), F.size("args")))
-    rows = rows.select("call_id", "overload", "type_params", F.posexplode(zipped).alias("at", "pair"))
+    rows = rows.select("name", "args", "overload", "type_params", F.posexplode(zipped).alias("at", "pair"))
     rows = rows.withColumn("wanted", type_nodes(F.col("pair.params"))).withColumn("given", type_nodes(F.col("pair.args")))
     ways = F.map_from_entries(F.transform("given", lambda n: F.struct(n["way"], n["text"])))
     rows = rows.withColumn("ways", ways)
     nodes = F.filter(F.transform("wanted", lambda n, i: F.struct(i.alias("ord"), n["text"].alias("variable"), F.try_element_at(F.col("ways"), n["way"]).alias("bound"))), lambda x: F.array_contains(F.col("type_params"), x["variable"]) & x["bound"].isNotNull())
-    found = rows.select("call_id", "overload", "at", F.explode(nodes).alias("n")).select("call_id", "overload", "n.variable", F.struct(F.col("at"), F.col("n.ord").alias("ord"), F.col("n.bound").alias("bound")).alias("first"))
-    out = found.groupBy("call_id", "overload", "variable").agg(F.min("first").alias("first"), F.min("first.bound").alias("least"), F.max("first.bound").alias("most"))
+    found = rows.select("name", "args", "overload", "at", F.explode(nodes).alias("n")).select("name", "args", "overload", "n.variable", F.struct(F.col("at"), F.col("n.ord").alias("ord"), F.col("n.bound").alias("bound")).alias("first"))
+    first, least, most = F.min("first").alias("first"), F.min("first.bound").alias("least"), F.max("first.bound").alias("most")
+    kinds = stored(found.groupBy(F.col("name").alias("of"), F.col("args").alias("given"), "overload", "variable").agg(first, least, most), "call-bindings")
+
+    shared = stored(calls.groupBy(F.col("call_id").alias("id")).count().filter("count > 1").select("id"), "call-ids")
+    same, fields = F.col("call_id").eqNullSafe(F.col("id")), ["call_id", "overload", "variable", "first", "least", "most"]
+    bound_by = lambda some: some.select("call_id", "name", "args").join(kinds, (F.col("name") == F.col("of")) & (F.col("args") == F.col("given"))).select(*fields)
+    merged = bound_by(calls.join(shared, same, "left_semi")).groupBy("call_id", "overload", "variable").agg(first, F.min("least").alias("least"), F.max("most").alias("most"))
+    out = bound_by(calls.join(shared, same, "left_anti")).unionByName(merged)
     return out.select("call_id", "overload", "variable", F.col("first.bound").alias("bound"), (F.col("least") != F.col("most")).alias("conflict"))
 
 
