@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.folders import stored
+
 
 def first_reject(verdicts: DataFrame, stream: str = "stream_id") -> DataFrame:
     """Per stream the smallest seq whose verdict is a reject (a missing one counts as such), null if none, and the number of verdicts."""
@@ -67,26 +71,29 @@ def call_frontier(overloads: DataFrame, calls: DataFrame, closure: DataFrame | N
     types arguments must be compatible, each pair of types being looked up once; without one equal.
     Where overloads have type_params, a parameter or result that names one of them fits everything. Where overloads
     have a result and calls an expected type (null: none), a result that doesn't fit it is told as the reason expected return only of an
-    overload that isn't dead; it kills none.
+    overload that isn't dead; it kills none. Calls that are alike but for their ids are answered once.
     """
     from .generics import names_one_of
     from .types import compatible
 
     need = F.when(F.col("required") == 0, F.size("params")).otherwise(F.col("required"))
-    rows = calls.join(overloads, "name")
+    results = "result" in overloads.columns and "expected" in calls.columns
+    alike = ["name", "args", "closed", *(["expected"] if results else [])]
+    # stored, so their sizes are known and no join deals calls out by a few names
+    rows = stored(calls.select(*alike).distinct().withColumn("kind", F.monotonically_increasing_id()), "call-kinds").join(stored(overloads, "overloads"), "name")
     variables = F.coalesce("type_params", F.array().cast("array<string>")) if "type_params" in overloads.columns else F.array().cast("array<string>")
     rows = rows.withColumn("params", F.transform("params", lambda p: F.when(~names_one_of(p, variables), p)))
     if closure is None:
         clash = F.expr("exists(sequence(0, greatest(least(size(args), size(params)), 1) - 1), i -> i < size(args) and i < size(params) and get(args, i) <> get(params, i))")
     else:
-        both = rows.select("call_id", "overload", F.explode(F.arrays_zip(F.col("args").alias("got"), F.slice("params", 1, F.greatest(F.size("args"), F.lit(0))).alias("want"))).alias("p")).select("call_id", "overload", "p.got", "p.want").filter("want is not null")
+        both = rows.select("kind", "overload", F.explode(F.arrays_zip(F.col("args").alias("got"), F.slice("params", 1, F.greatest(F.size("args"), F.lit(0))).alias("want"))).alias("p")).select("kind", "overload", "p.got", "p.want").filter("want is not null")
         bad = compatible(both.select("got", "want").distinct(), closure).filter(~F.col("compatible")).select("got", "want")
-        hit = both.join(bad, ["got", "want"]).select("call_id", "overload").distinct().withColumn("hit", F.lit(True))
-        rows, clash = rows.join(hit, ["call_id", "overload"], "left"), F.coalesce("hit", F.lit(False))
+        hit = both.join(bad, ["got", "want"]).select("kind", "overload").distinct().withColumn("hit", F.lit(True))
+        rows, clash = rows.join(hit, ["kind", "overload"], "left"), F.coalesce("hit", F.lit(False))
     reason = F.when(F.size("args") > F.size("params"), "arity exceeded").when(clash, "argument type").when(F.col("closed") & (F.size("args") < need), "arity short at close")
     state = F.when(F.col("reason").isNotNull(), "dead").when(F.size("args") < need, "waiting").otherwise("alive")
     rows = rows.withColumn("reason", reason).withColumn("state", state)
-    if "result" in overloads.columns and "expected" in calls.columns:
+    if results:
         asked = F.col("expected").isNotNull() & ~names_one_of(F.col("result"), variables)
         if closure is None:
             other = F.col("result") != F.col("expected")
@@ -94,4 +101,6 @@ def call_frontier(overloads: DataFrame, calls: DataFrame, closure: DataFrame | N
             bad = compatible(rows.filter(asked).selectExpr("result as got", "expected as want").distinct(), closure).filter(~F.col("compatible")).selectExpr("got as result", "want as expected", "true as other")
             rows, other = rows.join(bad, ["result", "expected"], "left"), F.col("other")
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(asked & other, "expected return only")))
-    return rows.select("call_id", "name", "overload", "state", "reason")
+    answers = stored(rows.select(*(F.col(c).alias(f"of_{c}") for c in alike), "overload", "state", "reason"), "call-answers")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in alike))
+    return calls.select("call_id", *alike).join(answers, same).select("call_id", "name", "overload", "state", "reason")
