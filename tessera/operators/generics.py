@@ -43,14 +43,15 @@ def generic_closure(nominals: DataFrame, edges: DataFrame) -> DataFrame:
     nominals: name, type_params; edges: sub, ord, super, where super is spelled by sub's parameters. From a nominal each head
     is followed once, on its first path in order of ord, and no path leads to a head that it has passed; so cycles
     that grow end, and a head that several paths reach keeps one way on, while all its spellings are super types.
-    A round extends the heads that the round before has found, or found a better path to, by one edge. A
-    nominal without a row in nominals has no parameters.
+    A round extends the heads that the round before has found, or found a better path to, by one edge; the edges of these heads
+    are stored, so that few of them need no join that deals all states out by a few heads. A nominal without a row in nominals has no parameters.
     """
     spark = edges.sparkSession
     own = nominals.filter("name is not null").groupBy("name").agg(F.min("type_params").alias("type_params"))
     steps = edges.filter("sub is not null and super is not null").select("sub", F.col("ord").cast("int").alias("ord"), canonical(F.col("super")).alias("super")).distinct()
     names = steps.select(F.col("sub").alias("name")).union(own.select("name")).distinct().join(own, "name", "left")
     names = names.select("name", F.coalesce("type_params", F.array().cast("array<string>")).alias("type_params"))
+    names = stored(names, "closure-names")
     next_ = names.join(steps, F.col("name") == F.col("sub")).select(F.col("name").alias("head"), F.col("type_params").alias("params"), "ord", "super")
     whole = F.when(F.size("type_params") > 0, F.concat("name", F.lit("<"), F.array_join("type_params", ","), F.lit(">"))).otherwise(F.col("name"))
     start = names.select(F.col("name").alias("sub"), "type_params", F.col("name").alias("head"), F.array().cast("array<int>").alias("path"), F.lit(1).alias("fresh"), whole.alias("term"), F.array("name").alias("heads"))
@@ -63,7 +64,8 @@ def generic_closure(nominals: DataFrame, edges: DataFrame) -> DataFrame:
         return spark.read.schema(rows.schema).parquet(path), path
 
     def over(states: DataFrame) -> DataFrame:
-        rows = states.drop("fresh").withColumn("args", arguments(F.col("term"))).join(next_, "head")
+        here = stored(next_.join(states.select("head").distinct(), "head", "left_semi"), "closure-edges")
+        rows = states.drop("fresh").withColumn("args", arguments(F.col("term"))).join(here, "head")
         rows = rows.withColumn("term", substituted(F.col("super"), bound(F.col("params"), F.col("args")))).withColumn("head", head(F.col("term")))
         return rows.filter(~F.array_contains("heads", F.col("head"))).withColumn("path", F.array_append("path", F.col("ord")))
 
@@ -72,7 +74,7 @@ def generic_closure(nominals: DataFrame, edges: DataFrame) -> DataFrame:
         found = over(known.filter("fresh = 1")).select("sub", "type_params", "head", "path", F.lit(1).alias("fresh"), "term", F.array_append("heads", F.col("head")).alias("heads"))
         best = known.withColumn("fresh", F.lit(0)).unionByName(found).groupBy("sub", "head").agg(F.min(F.struct("path", "fresh", "term", "heads", "type_params")).alias("b"))
         known, folder = keep(best.select("sub", "b.type_params", "head", "b.path", "b.fresh", "b.term", "b.heads"), folder)
-    supers = over(known).select("sub", "type_params", F.col("term").alias("super"), F.size("path").alias("steps"))
+    supers = over(known.filter("size(path) = 0")).unionByName(over(known.filter("size(path) > 0"))).select("sub", "type_params", F.col("term").alias("super"), F.size("path").alias("steps"))
     return known.filter("size(path) = 0").select("sub", "type_params", F.col("term").alias("super"), F.lit(0).alias("steps")).unionByName(supers).groupBy("sub", "super").agg(F.min("type_params").alias("type_params"), F.min("steps").alias("steps")).select("sub", "type_params", "super", "steps")
 
 

@@ -47,20 +47,26 @@ def compatible(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     Unknown (null, '' or '?') fits everything; otherwise equal, a subtype, or the same head where
     want has no arguments. closure has sub and super, and type_params where super types are spelled by
     them: then got's arguments stand for those. A function fits one with as many parameters, each of which fits in the
-    other direction, and whose result fits. A pair of types is looked up once however often it stands in the table.
+    other direction, and whose result fits. A pair of types is looked up once however often it stands in the table; only pairs of
+    functions are taken apart in Python.
     """
     named = pairs.withColumn("pair_got", canonical(F.col("got"))).withColumn("pair_want", canonical(F.col("want")))
     todo = stored(named.select("pair_got", "pair_want").distinct(), "type-pairs")
     params = F.col("type_params") if "type_params" in closure.columns else F.array().cast("array<string>")
     known = closure.select(F.col("sub").alias("known_sub"), canonical(F.col("super")).alias("known_super"), params.alias("known_params")).distinct().withColumn("known_head", head(F.col("known_super")))
-    parts = todo.select("pair_got", "pair_want", F.posexplode_outer(leaf_pairs(F.col("pair_got"), F.col("pair_want"))).alias("at", "leaf"))
-    parts = parts.select("pair_got", "pair_want", "at", "leaf.got", "leaf.want", head(F.col("leaf.got")).alias("g"), head(F.col("leaf.want")).alias("w")).withColumn("args", arguments(F.col("got")))
-    rows = parts.join(known, (F.col("g") == F.col("known_sub")) & (F.col("w") == F.col("known_head")), "left")
-    plain = ~F.contains("want", F.lit("<"))
+    plain_want = ~F.contains("want", F.lit("<"))
     spelled = substituted(F.col("known_super"), bound(F.col("known_params"), F.col("args"))) == F.col("want")
-    fits = _unknown(F.col("got")) | _unknown(F.col("want")) | (F.col("got") == F.col("want")) | (plain & (F.col("known_sub").isNotNull() | (F.col("g") == F.col("w")))) | spelled
-    each = rows.groupBy("pair_got", "pair_want", "at").agg(F.bool_or(F.col("at").isNotNull() & F.coalesce(fits, F.lit(False))).alias("fits"))
-    all_fit = each.groupBy(F.col("pair_got").alias("of_got"), F.col("pair_want").alias("of_want")).agg(F.bool_and("fits").alias("compatible"))
+    fits = _unknown(F.col("got")) | _unknown(F.col("want")) | (F.col("got") == F.col("want")) | (plain_want & (F.col("known_sub").isNotNull() | (F.col("g") == F.col("w")))) | spelled
+
+    def looked_up(parts: DataFrame, *by: str) -> DataFrame:
+        rows = parts.withColumns({"g": head(F.col("got")), "w": head(F.col("want")), "args": arguments(F.col("got"))}).join(known, (F.col("g") == F.col("known_sub")) & (F.col("w") == F.col("known_head")), "left")
+        return rows.groupBy("pair_got", "pair_want", *by).agg(F.bool_or(F.coalesce(fits, F.lit(False))).alias("fits"))
+
+    functions = F.coalesce(F.startswith("pair_got", F.lit("(")) & F.startswith("pair_want", F.lit("(")), F.lit(False))
+    plain = looked_up(todo.filter(~functions).select("pair_got", "pair_want", F.col("pair_got").alias("got"), F.col("pair_want").alias("want")))
+    leaves = todo.filter(functions).select("pair_got", "pair_want", F.posexplode_outer(leaf_pairs(F.col("pair_got"), F.col("pair_want"))).alias("at", "leaf")).select("pair_got", "pair_want", "at", "leaf.got", "leaf.want")
+    apart = looked_up(leaves, "at").groupBy("pair_got", "pair_want").agg(F.bool_and(F.col("at").isNotNull() & F.col("fits")).alias("fits"))
+    all_fit = stored(plain.unionByName(apart).select(F.col("pair_got").alias("of_got"), F.col("pair_want").alias("of_want"), F.col("fits").alias("compatible")), "type-answers")
     same = F.col("pair_got").eqNullSafe(F.col("of_got")) & F.col("pair_want").eqNullSafe(F.col("of_want"))
     return named.join(all_fit, same).select(*pairs.columns, "compatible")
 

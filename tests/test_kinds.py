@@ -1,5 +1,10 @@
 """Calls and pairs of types that are alike are looked at once, however many rows there are, and rows that share an id keep their answers."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from tessera.functions import types as kinds
 from tessera.operators import generics, types, verdicts
 
 CALL, OVERLOAD = "call_id int, name string, args array<string>", "name string, overload int, type_params array<string>, params array<string>"
@@ -36,3 +41,11 @@ def test_frontier_answers_calls_that_are_alike_once(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     # the rows of calls meet stored answers, and are grouped by nothing
     assert "Aggregate" not in plan(got) and plan(got).count("Join") == 1
+
+
+def test_arguments_are_split_in_no_python_worker(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("ab,,<>(-)->[]{}") for _ in range(rng.randrange(14))),) for _ in range(2000)] + [(None,), ("->",), (",",), ("",)]
+    got = spark.createDataFrame(rows, "t string").select("t", kinds.split_parts(F.col("t")).alias("p"))
+    assert "EvalPython" not in plan(got)
+    assert [r for r in got.collect() if r["p"] != (None if r["t"] is None else kinds._parts(r["t"]))] == []
