@@ -18,8 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # Fixed values of the format.
 MAGIC, MISSING = b"CJTK\x01\x00\x00\x00", 0xFFFFFFFF
 HEAD = len(MAGIC) + 8
-#: Entries of a partition.
-ENTRIES = 100_000
+#: Entries that are read at once, and partitions that the ranges of so many entries are dealt out to.
+ENTRIES, PARTITIONS = 100_000, 200
 
 
 class TokenTableError(ValueError):
@@ -70,14 +70,19 @@ def header(path: str) -> tuple[int, int]:
     return count, payload
 
 
-class _Range(InputPartition):
+class _Range:
     def __init__(self, path: str, start: int, stop: int, count: int, payload: int):
         self.path, self.start, self.stop, self.count, self.payload = path, start, stop, count, payload
 
 
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, entries: int):
-        self.path, self.entries = path, entries
+    def __init__(self, path: str, entries: int, most: int = PARTITIONS):
+        self.path, self.entries, self.most = path, entries, most
 
     def partitions(self) -> list[InputPartition]:
         system, name = _place(self.path)
@@ -86,13 +91,18 @@ class _Reader(DataSourceReader):
             paths = sorted(f.path for f in system.get_file_info(fs.FileSelector(name)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
             if "://" in self.path:
                 paths = [f"{self.path.rstrip('/')}/{p.rpartition('/')[2]}" for p in paths]
-        out: list[InputPartition] = []
+        out: list[_Range] = []
         for path in paths:
             count, payload = header(path)
             out += [_Range(path, i, min(i + self.entries, count), count, payload) for i in range(0, max(count, 1), self.entries)]
-        return out
+        each = max(-(-len(out) // self.most), 1)
+        return [_Ranges(out[i : i + each]) for i in range(0, len(out), each)]
+
+    def read(self, part: _Ranges) -> Iterator[pa.RecordBatch]:
+        for entries in part.ranges:
+            yield self._batch(entries)
 
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+    def _batch(self, part: _Range) -> pa.RecordBatch:
         system, name = _place(part.path)
         with system.open_input_file(name) as file:
             file.seek(HEAD + 8 * part.start)
@@ -107,13 +117,14 @@ class _Reader(DataSourceReader):
             data = file.read(last - first)
         values = [data[a - first : a - first + n] if ok else None for (a, n), ok in zip(entries.tolist(), there.tolist(), strict=True)]
         table = part.path.rpartition("/")[2]
-        yield pa.RecordBatch.from_arrays([pa.array([table] * len(values), pa.string()), pa.array(np.arange(part.start, part.stop, dtype=np.int32)), pa.array(values, pa.binary())], ["table", "token_id", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array([table] * len(values), pa.string()), pa.array(np.arange(part.start, part.stop, dtype=np.int32)), pa.array(values, pa.binary())], ["table", "token_id", "bytes"])
 
 
 class TokenTables(DataSource):
     """spark.dataSource.register(TokenTables); spark.read.format("token_table").load(path of a table or of a folder of them): table (the file's name), token_id, bytes (null for an id without).
 
-    Partitions are ranges of entries (option entries), each of which reads its part of the payload alone. The path must be one that the driver and
+    A range of entries (option entries) is read at once, with its part of the payload alone; a partition reads one range after another, so that there
+    are as many partitions as ranges, but no more than the option partitions says. The path must be one that the driver and
     the tasks can open. A file that is no sound table raises NoTable, BadHeader, ShortEntries, ShortPayload or BadEntry.
     """
 
@@ -125,7 +136,7 @@ class TokenTables(DataSource):
         return "table string, token_id int, bytes binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("entries", ENTRIES)))
+        return _Reader(self.options["path"], int(self.options.get("entries", ENTRIES)), int(self.options.get("partitions", PARTITIONS)))
 
 
 def table_bytes(ids: list[int], values: list[bytes]) -> bytes:
