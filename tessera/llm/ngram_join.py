@@ -12,6 +12,11 @@ quarter, to be exact of the first n - ceil(0.75 n) + 1. Two sets of a Jaccard si
 at least 0.75 n of the larger one's hashes in common, so the smallest common hash lies in both of
 these parts: no link is lost, and nothing is capped. The order puts hashes in few sets first, as far
 as COUNTERS counters tell them apart, so passages that many texts share give few keys.
+
+Of two sets let the first part of one end before the other's in that order. A hash of the former's first
+part that both have is in both parts, so they share at most the keys they have in common and all
+hashes after the former's part. What tells near copies apart is rare and comes first, so this
+bound is close where points say little, and a pair is made in the first of its common trees alone.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ N, GROUPS, LEAF, BLOCK = 5, 64, 64, 512
 PART, WHOLE = 75, 100
 BITS = 23
 COUNTERS = 1 << 18
+#: Trees of a set that its rows name; how many hashes the others stand for is told as one number.
+NAMED = 64
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -123,6 +130,49 @@ def needed(a, b):
     return -(-PART * (a + b) // (WHOLE + PART))
 
 
+def common_trees(trees: list[np.ndarray], times: list[np.ndarray], total: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs (u, v) of sets the most hashes of their first parts that they can share, and the first tree they share, if known (a number and whether it is).
+
+    trees: the first NAMED trees of a set in order, times: how many hashes each stands for, total: all
+    trees' hashes. Past the last tree that a set names the others may be any of the pair's.
+    """
+    counts = np.array([len(x) for x in trees], np.int64)
+    starts = np.cumsum(counts) - counts
+    trees, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (trees, times))
+    known = np.add.reduceat(np.append(times, 0), starts) if len(counts) else counts
+    last = np.where(known < total, trees[starts + counts - 1], np.iinfo(np.int64).max)
+    numbers, code = np.unique(trees, return_inverse=True)
+    last = np.searchsorted(numbers, last, "right")  # codes below are told
+    most, first, sure = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.zeros(len(u), bool)
+    sizes = np.cumsum(counts[u] + counts[v])
+    at = 0
+    while at < len(u):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 20), "right")))
+        n = to - at
+        end, rest, sides = np.minimum(last[u[at:to]], last[v[at:to]]), [], []
+        for own in (u[at:to], v[at:to]):
+            pair = np.repeat(np.arange(n), counts[own])
+            entry = np.arange(len(pair)) + np.repeat(starts[own] - (np.cumsum(counts[own]) - counts[own]), counts[own])
+            inside = code[entry] < end[pair]
+            pair, entry = pair[inside], entry[inside]
+            rest.append(total[own] - np.bincount(pair, times[entry], n).astype(np.int64))
+            sides.append((pair * len(numbers) + code[entry], entry))
+        (meets, entry), (meets_v, _) = sides
+        spot = np.searchsorted(meets_v, meets)
+        both = np.append(meets_v, -1)[spot] == meets
+        pair, entry = meets[both] // max(1, len(numbers)), entry[both]
+        most[at:to] = np.bincount(pair, times[entry], n).astype(np.int64) + np.minimum(*rest)
+        head = np.flatnonzero(np.diff(pair, prepend=-1))
+        first[at + pair[head]], sure[at + pair[head]] = trees[entry[head]], True
+        at = to
+    return most, first, sure
+
+
+def after_prefix(n):
+    """Hashes of a set of n that are no keys."""
+    return -(-PART * n // WHOLE) - 1
+
+
 def tree_join(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (of left, or of left and right) whose bound reaches the threshold, over boxes of LEAF points packed by size and place."""
 
@@ -339,15 +389,18 @@ def _near_rows(batch: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -> DataFrame:
-    """Pairs (a, b) of members (sig, key, part) of different parts that meet in a sig and whose rough points' bound reaches the threshold; if smallest, of each b only the one with the smallest a in each tree.
+    """Pairs (a, b) of members (sig, key, part, times) of different parts that meet in a sig and whose bounds, by rough points and by common trees, reach the threshold; if smallest, of each b only the one with the smallest a in each tree.
 
-    A sig with many members is dealt out in pairs of blocks, each a task's worth; points stay in numpy.
+    A pair that meets in several trees is made in the first, as far as its sets' NAMED trees tell. A
+    sig with many members is dealt out in pairs of blocks, each a task's worth; points stay in numpy.
     """
     by = W.partitionBy("sig")
     rows = members.withColumn("block", ((F.row_number().over(by.orderBy("key")) - 1) / BLOCK).cast("int")).withColumn("blocks", F.max("block").over(by) + 1)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "part")
-    rows = rows.join(points.select("key", "n", "rough"), "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    named = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sig", F.col("times").cast("int").alias("times")))).alias("all"), F.sum("times").alias("total"))
+    named = named.select("key", "total", F.slice("all", 1, NAMED).alias("all")).select("key", "total", F.col("all.sig").alias("trees"), F.col("all.times").alias("times"))
+    rows = rows.join(points.select("key", "n", "rough").join(named, "key"), "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
     def starts(batch: pa.RecordBatch) -> np.ndarray:
         new = np.ones(batch.num_rows, bool)
@@ -358,33 +411,36 @@ def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -
         return np.flatnonzero(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
         for batch, first in whole_runs(batches, starts):
             u, v, tree, points, which = _near_rows(batch, first)
             if not len(u):
                 continue
             key, sizes = batch.column("key").to_numpy(), batch.column("n").to_numpy()
-            own, counts = np.zeros(len(points), np.int64), np.int64(len(points))
-            own[which] = sizes
+            own, one, counts = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64), np.int64(len(points))
+            own[which], one[which] = sizes, np.arange(batch.num_rows)
             pairs, back = np.unique(which[u] * counts + which[v], return_inverse=True)  # a pair may meet in many trees
             x, y = pairs // counts, pairs % counts
             close = np.flatnonzero(fine_bound(points, x, y) >= needed(own[x], own[y]))
-            good = np.zeros(len(pairs), bool)
-            good[close] = True
+            if not len(close):
+                continue
+            ends, which_end = np.unique(np.concatenate([x[close], y[close]]), return_inverse=True)
+            rows = batch.select(["trees", "times", "total"]).take(pa.array(one[ends]))
+            named, times = ([np.asarray(k.values, np.int64) for k in rows.column(c)] for c in ("trees", "times"))
+            most, tree_of, sure = common_trees(named, times, rows.column("total").to_numpy(), which_end[: len(close)], which_end[len(close) :])
+            near = most + np.maximum(after_prefix(own[x[close]]), after_prefix(own[y[close]])) >= needed(own[x[close]], own[y[close]])
+            good, only, at = np.zeros(len(pairs), bool), np.zeros(len(pairs), bool), np.zeros(len(pairs), np.int64)
+            good[close], only[close], at[close] = near, sure, tree_of
+            rows = np.flatnonzero(good[back] & (~only[back] | (at[back] == batch.column("sig").to_numpy()[first][tree])))
             if smallest:
-                rows = np.flatnonzero(good[back])
                 order = rows[np.lexsort((key[u[rows]], key[v[rows]], tree[rows]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (np.diff(tree[order]) != 0) | (np.diff(key[v[order]]) != 0)
-                close = np.unique(back[order[new]])
-            keys = np.empty(len(points), np.int64)
-            keys[which] = key
-            mark = mix(mix(keys[x[close]].view(np.uint64)) + keys[y[close]].view(np.uint64))
-            new = np.isin(mark, seen, invert=True)  # other tasks' repeats go with distinct() below
-            close, seen = close[new], np.concatenate([seen if len(seen) < 1_000_000 else seen[:0], mark[new]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[x[close]]), pa.array(keys[y[close]])], ["a", "b"])
+                rows = order[new]
+            rows = rows[np.unique(back[rows], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[u[rows]]), pa.array(key[v[rows]])], ["a", "b"])
 
-    return rows.select("sig", "i", "j", "block", "key", "part", "n", "rough").mapInArrow(freeing(run), "a long, b long").distinct()
+    columns = ["sig", "i", "j", "block", "key", "part", "n", "rough", "trees", "times", "total"]
+    return rows.select(*columns).mapInArrow(freeing(run), "a long, b long").distinct()
 
 
 def _shared_keys(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -402,7 +458,7 @@ def ngram_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = written(set_keys(docs, id_col, text_col, n), "keys")
     shared = _shared_keys(docs, text_col, n)
     points = _sets_of(docs, keyed, shared.select("key").distinct(), id_col, text_col, n, grams=False)
-    return _verified(_bounded(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part")), points), points), docs, keyed, id_col, text_col, n)
+    return _verified(_bounded(_tree_pairs(shared.select("sig", "key", F.col("key").alias("part"), "times"), points), points), docs, keyed, id_col, text_col, n)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -415,17 +471,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     edges = written(_verified(_bounded(best, points), docs, keyed, id_col, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     roots = written(components(edges), "roots")
     by = W.partitionBy("sig")
-    for smallest in (True, False):
-        parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
-        open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part")
+    links, smallest, last = edges.count(), True, False
+    while not last:
+        last = not smallest
+        parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"), "times")
+        open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part", "times")
         found = _bounded(_tree_pairs(open_keys, points, smallest), points)
         if smallest:  # over all trees, two partners a set
             ends = found.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y"))
             found = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
         more = written(_verified(found, docs, keyed, id_col, text_col, n).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        if not more.isEmpty():
+        if new := more.count():
             edges = edges.unionByName(more)
             roots = written(components(edges), "roots")
+        smallest, links = new > links, links + new
     least = keyed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     own = least.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "root", "component_id")
@@ -443,7 +502,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that makes components without pairs within a group. Then only sets of different components
     that still share a key go through the R-trees; their verified pairs join components. The first
     round of trees gives each set its smallest partner in each tree, and two of those at most go
-    on, so that a group of near copies grows together without its pairs; the last gives every pair of sets that are still apart. Equal
+    on, so that a group of near copies grows together without its pairs; such a round follows as long as one doubles
+    the links. The last gives every pair of sets that are still apart. Equal
     sets are one set (its 64-bit hash; the 5-grams are 64-bit hashes too).
     """
     return _grouped(docs, id_col, text_col, n).select("doc_id", "n_shingles", "component_id")

@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import components, fingerprints, media, mixing, ngram_join, quality, queries, sentencepiece_lattice, substring_dedup, token_store, toxicity, warc
 
@@ -101,6 +103,44 @@ def test_ngram_pairs_lose_none(docs, rows):
     assert ngram_join.ngram_pairs(docs).count() == links
 
 
+def test_trees_make_a_pair_once(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    first = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    for i in range(80):  # near copies with many trees in common, which lie in different tasks
+        text = list(first)
+        for at in rng.sample(range(300), 4):
+            text[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed, shared = ngram_join.set_keys(docs), ngram_join._shared_keys(docs, "text", ngram_join.N)
+    points = ngram_join._sets_of(docs, keyed, shared.select("key").distinct(), "doc_id", "text", ngram_join.N, grams=False)
+    members = shared.select("sig", "key", "times", F.col("key").alias("part"))
+    found = ngram_join._tree_pairs(members, points).count()
+    monkeypatch.setattr(type(docs), "distinct", lambda self: self)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = ngram_join._tree_pairs(members, points).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sets = [set(s.tolist()) for s in ngram_join.shingle_sets(pa.array([t for _, t in rows]))]
+    links = sum(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert links > 100 and links <= found == made
+
+
+@pytest.mark.parametrize("named", [3, 64])
+def test_common_trees_by_brute_force(named):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 20))) for _ in range(30)]
+    times = rng.integers(1, 5, 40)
+    u, v = np.triu_indices(30, 1)
+    most, first, sure = ngram_join.common_trees([s[:named] for s in sets], [times[s[:named]] for s in sets], np.array([times[s].sum() for s in sets]), u, v)
+    for i, (a, b) in enumerate(zip(u, v)):
+        both = np.intersect1d(sets[a], sets[b])
+        assert most[i] >= times[both].sum() and (named < 20 or most[i] == times[both].sum())
+        assert not sure[i] or first[i] == both[0]
+        assert sure[i] or not len(both) or both[0] > min(sets[a][:named][-1], sets[b][:named][-1])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(500, x) for x in range(501, 560)] + [(x, x + 1) for x in range(600, 640)]
