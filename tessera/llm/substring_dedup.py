@@ -82,17 +82,19 @@ class Tree:
         return out
 
 
-def runs(at: np.ndarray, ref: np.ndarray, size: np.ndarray, apart: int = WINDOW) -> np.ndarray:
-    """Matches of size words (of one document and holder) on one diagonal, at most apart words after the last one's end, as one: rows (start, holder's start, words)."""
-    order = np.lexsort((at, at - ref))
-    at, ref, size = at[order], ref[order], size[order]
-    line = np.concatenate([[0], np.cumsum(np.diff(at - ref) != 0)]) << 40
+def runs(at: np.ndarray, ref: np.ndarray, size: np.ndarray, apart: int = WINDOW, group: np.ndarray | None = None) -> np.ndarray:
+    """Matches of size words (of one document and holder, or of many groups, numbered in order) on one diagonal, at most apart words after the last one's end, as one: rows (start, holder's start, words, with group its number)."""
+    of = np.zeros(len(at), np.int64) if group is None else group
+    order = np.lexsort((at, at - ref, of))
+    at, ref, size, of = at[order], ref[order], size[order], of[order]
+    line = np.concatenate([[0], np.cumsum((np.diff(at - ref) != 0) | (np.diff(of) != 0))]) << 32
     far = np.maximum.accumulate(line + at + size)
     new = np.ones(len(at), bool)
     new[1:] = line[1:] + at[1:] > far[:-1] + apart
     begins = np.flatnonzero(new)
     ends = np.concatenate([begins[1:], [len(at)]]) - 1
-    return np.stack([at[begins], ref[begins], far[ends] - line[ends] - at[begins]], 1)
+    out = np.stack([at[begins], ref[begins], far[ends] - line[ends] - at[begins]], 1)
+    return out if group is None else np.column_stack([out, of[begins]])
 
 
 def chains(segments: np.ndarray, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[list[tuple[int, int, int]]]:
@@ -140,6 +142,13 @@ def _edit_matches(a: np.ndarray, b: np.ndarray) -> int:
     """Words that an alignment of two short runs has in common."""
     if not len(a) or not len(b):
         return 0
+    if len(a) == 1 or len(b) == 1:
+        return int(len(np.intersect1d(a, b)) > 0) if len(a) * len(b) > 1 else int(a[0] == b[0])
+    if len(a) * len(b) > 64:
+        a, b, total = *sorted((a, b), key=len), np.zeros(max(len(a), len(b)) + 1, np.int64)
+        for x in a:
+            total[1:] = np.maximum.accumulate(np.maximum(total[1:], total[:-1] + (b == x)))
+        return int(total[-1])
     row = [0] * (len(b) + 1)
     for x in a.tolist():
         new = [0]
@@ -189,39 +198,77 @@ def _extend_over_gaps(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 def _reaches(a: np.ndarray, a_at: np.ndarray, a_left: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_left: np.ndarray, step: int) -> np.ndarray:
     """_extend_over_gaps for many places at once, a row each: from a_at and b_at on, forwards or backwards, where a_left and b_left words follow."""
-    shifts = np.arange(-BAND, BAND + 1)
-    one, none = 1 << 20, -(1 << 40)
-    value = np.tile(np.where(shifts < 0, none, -one * shifts), (len(a_at), 1))
-    best, out, live = np.zeros(len(a_at), np.int64), np.zeros((len(a_at), 3), np.int64), np.arange(len(a_at))
+    shifts = np.arange(-BAND, BAND + 1, dtype=np.int32)[:, None]
+    one, none = np.int32(1 << 10), np.int32(-(1 << 28))  # MARGIN words at most: below one there is room for the equal ones
+    slope = one * shifts
+    beside = np.lib.stride_tricks.sliding_window_view(np.pad(b, MARGIN + 2 * BAND), 2 * BAND + 1)[:, ::step]  # of each place the words up to BAND away
+    value = np.repeat(np.where(shifts < 0, none, -slope), len(a_at), 1)
+    best, out, live = np.zeros(len(a_at), np.int32), np.zeros((len(a_at), 3), np.int64), np.arange(len(a_at))
     for i in range(1, MARGIN + 1):
         on = a_left[live] >= i
-        live, value = live[on], value[on]
+        if not on.all():
+            live, value = live[on], value[:, on]
         if not len(live):
             break
-        j, n = i + shifts, b_left[live][:, None]
-        word = a[a_at[live] + step * (i - 1)][:, None]
-        same = (b[np.clip(b_at[live][:, None] + step * (j - 1), 0, len(b) - 1)] == word) & (j >= 1) & (j <= n)
-        straight = value + np.where(same, one + 1, -one)
-        straight[:, :-1] = np.maximum(straight[:, :-1], value[:, 1:] - one)
+        j, n = i + shifts, b_left[live]
+        same = (beside[b_at[live] + (step * (i - 1) + MARGIN + BAND)] == a[a_at[live] + step * (i - 1)][:, None]).T
+        same &= (j >= 1) & (j <= n)
+        straight = value + np.where(same, one + np.int32(1), -one)
+        straight[:-1] = np.maximum(straight[:-1], value[1:] - one)
         value = np.where((j >= 0) & (j <= n), straight, none)
-        value = np.maximum.accumulate(value + one * shifts, 1) - one * shifts
-        k = value.argmax(1)
-        top = value[np.arange(len(live)), k]
+        value = np.maximum.accumulate(value + slope, 0) - slope
+        k = value.argmax(0)
+        top = value[k, np.arange(len(live))]
         more = top > best[live]
         best[live[more]] = top[more]
-        out[live[more]] = np.stack([np.full(int(more.sum()), i), i + shifts[k[more]], top[more] & (one - 1)], 1)
+        out[live[more]] = np.stack([np.full(int(more.sum()), i), i + shifts[k[more], 0], top[more] & (one - 1)], 1)
         on = top >= best[live] - DROP * one
-        live, value = live[on], value[on]
+        if not on.all():
+            live, value = live[on], value[:, on]
     return out
 
 
-def _extended(a: pa.ListArray, b: pa.ListArray, begins: np.ndarray, ends: np.ndarray, b_begins: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How far what is alike goes on over gaps after and before chains that begin and end at these places of the lists."""
+def _extended(a: pa.ListArray, b: pa.ListArray, begins: np.ndarray, ends: np.ndarray, b_begins: np.ndarray, b_ends: np.ndarray, least: int) -> np.ndarray:
+    """How far what is alike goes on over gaps after and before chains of fewer than least words that begin and end at these places of the lists."""
     (x, x0), (y, y0) = ((c.values.to_numpy(), c.offsets.to_numpy().astype(np.int64)) for c in (a, b))
     if not len(x) or not len(y):
         return np.zeros((2, len(begins), 3), np.int64)
-    after = _reaches(x, x0[:-1] + ends, np.diff(x0) - ends, y, y0[:-1] + b_ends, np.diff(y0) - b_ends, 1)
-    return after, _reaches(x, x0[:-1] + begins - 1, begins, y, y0[:-1] + b_begins - 1, b_begins, -1)
+    out = np.zeros((2, len(begins), 3), np.int64)
+    some = np.flatnonzero(ends - begins < least)  # none of the others is looked at
+    begins, ends, b_begins, b_ends = (c[some] for c in (begins, ends, b_begins, b_ends))
+    x0, x_n, y0, y_n = x0[:-1][some], np.diff(x0)[some], y0[:-1][some], np.diff(y0)[some]
+    out[0, some] = _reaches(x, x0 + ends, x_n - ends, y, y0 + b_ends, y_n - b_ends, 1)
+    out[1, some] = _reaches(x, x0 + begins - 1, begins, y, y0 + b_begins - 1, b_begins, -1)
+    return out
+
+
+def _ahead(a: np.ndarray, a_at: np.ndarray, a_left: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_left: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """_extend for many places at once, as _reaches; MARGIN words follow at most."""
+    i, n = np.arange(MARGIN)[:, None], np.minimum(np.minimum(a_left, b_left), MARGIN)
+    same = (a[np.clip(a_at + step * i, 0, len(a) - 1)] == b[np.clip(b_at + step * i, 0, len(b) - 1)]) & (i < n)
+    total = np.cumsum(np.where(same, 1, -2), 0, dtype=np.int16)
+    fallen = (i >= n) | (total < np.maximum.accumulate(np.maximum(total, 0), 0) - DROP)
+    total[np.logical_or.accumulate(fallen, 0)] = -1
+    far, rows = total.argmax(0), np.arange(len(n))
+    far = np.where(total[far, rows] > 0, far + 1, 0)
+    return far, (same & (i < far)).sum(0)
+
+
+def _straight(a: pa.ListArray, b: pa.ListArray, p: np.ndarray, r: np.ndarray, n: np.ndarray, after: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """align for many chains of one segment (p, r, n), a row each, with how far they go on over gaps after and before them."""
+    (x, x0), (y, y0) = ((c.values.to_numpy(), c.offsets.to_numpy().astype(np.int64)) for c in (a, b))
+    p_left, r_left = np.diff(x0) - p - n, np.diff(y0) - r - n
+    x_at, y_at, ends = x0[:-1] + p, y0[:-1] + r, np.cumsum(n)
+    inside = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+    equal = x[inside + np.repeat(x_at, n)] == y[inside + np.repeat(y_at, n)]
+    matches = np.diff(np.append(0, np.cumsum(equal))[np.append(0, ends)])
+    more, equal = _ahead(x, x_at + n, p_left, y, y_at + n, r_left, 1)
+    back, equal_back = _ahead(x, x_at - 1, p, y, y_at - 1, r, -1)
+    short = n + more + back < least
+    more_b, back_b = (np.where(short, far[:, 1], m) for far, m in ((after, more), (before, back)))
+    more, back = (np.where(short, far[:, 0], m) for far, m in ((after, more), (before, back)))
+    same = matches + np.where(short, after[:, 2], equal) + np.where(short, before[:, 2], equal_back)
+    return p - back, p + n + more, r - back_b, r + n + more_b, same
 
 
 def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least: int = 0, over_gaps: tuple | None = None) -> tuple[int, int, int, int, int]:
@@ -430,15 +477,22 @@ def _chained(anchors: DataFrame) -> DataFrame:
             doc, ref, p, r, size = (x[order] for x in (doc, ref, p, r, size))
             other = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(ref) != 0) | (np.diff(p) != 0) | (np.diff(r) != 0) | (np.diff(size) != 0)])
             doc, ref, p, r, size = (x[other] for x in (doc, ref, p, r, size))  # a match may have been found twice
-            edges = np.flatnonzero((np.diff(doc) != 0) | (np.diff(ref) != 0)) + 1
-            bounds = np.concatenate([[0], edges, [len(doc)]])
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(ref) != 0)]))
+            doc, ref, group = doc[heads], ref[heads], np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(doc))))
+            found = runs(p, r, size, group=group)
+            segments, bounds = found[:, :3], np.searchsorted(found[:, 3], np.arange(len(heads) + 1))
+            names = ["doc_id", "ref_id", "p0", "p1", "r0", "r1", "chain"]
+            alone = np.flatnonzero(np.diff(bounds) == 1)
+            if len(alone):  # a group's only segment is its chain
+                one = np.ascontiguousarray(segments[bounds[alone]])
+                (p, r, n), offsets = one.T, pa.array(np.arange(len(one) + 1) * 3, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (doc[alone], ref[alone], p, p + n, r, r + n)), pa.ListArray.from_arrays(offsets, pa.array(one.ravel()))], names)
             out = []
-            for i, j in zip(bounds[:-1], bounds[1:]):
-                for chain in chains(runs(p[i:j], r[i:j], size[i:j])):
+            for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
+                for chain in chains(segments[bounds[i] : bounds[i + 1]]):
                     (p0, r0, _), (p1, r1, n) = chain[0], chain[-1]
                     out.append((doc[i], ref[i], p0, p1 + n, r0, r1 + n, [x for s in chain for x in s]))
             if out:
-                names = ["doc_id", "ref_id", "p0", "p1", "r0", "r1", "chain"]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in list(zip(*out))[:6]), pa.array([o[6] for o in out], pa.list_(pa.int64()))], names)
 
         for columns in _grouped(batches, ["doc_id", "ref_id", "pos", "ref_pos", "size"], 2):
@@ -516,17 +570,31 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = []
             p0, r0, p1, r1 = (batch.column(c).to_numpy() for c in ("p0", "r0", "p1", "r1"))
             p_, r_ = np.maximum(0, p0 - MARGIN), np.maximum(0, r0 - MARGIN)
-            after, before = _extended(batch.column("a"), batch.column("b"), p0 - p_, p1 - p_, r0 - r_, r1 - r_)
+            after, before = _extended(batch.column("a"), batch.column("b"), p0 - p_, p1 - p_, r0 - r_, r1 - r_, min_words)
             # ten words are left for what other costs of a mismatch make of it
             worth = p1 - p0 + after[:, 0] + before[:, 0] >= min_words - 10
-            batch = batch.filter(pa.array(worth))
-            for doc, ref, p0, r0, chain, a, b, *over_gaps in zip(*(batch.column(c) for c in ("doc_id", "ref_id", "p0", "r0", "chain", "a", "b")), after[worth].tolist(), before[worth].tolist()):
-                p, r = max(0, p0.as_py() - MARGIN), max(0, r0.as_py() - MARGIN)
+            batch, after, before, p_, r_ = batch.filter(pa.array(worth)), after[worth], before[worth], p_[worth], r_[worth]
+            if not batch.num_rows:
+                continue
+            names = ["doc_id", "ref_doc_id", "start_word", "n_words", "ref_start_word", "ref_n_words", "matches", "identity"]
+            rest = np.ones(batch.num_rows, bool)  # chains of one segment that are alike throughout are made all at once
+            if len(one := np.flatnonzero(np.diff(batch.column("chain").offsets.to_numpy()) == 3)):
+                some, at, ref_at = batch.take(pa.array(one)), p_[one], r_[one]
+                p, r, q = (some.column(c).to_numpy() for c in ("p0", "r0", "p1"))
+                s, e, rs, re, same = _straight(some.column("a"), some.column("b"), p - at, r - ref_at, q - p, after[one], before[one], min_words)
+                longer = np.maximum(e - s, re - rs)
+                good = same >= min_identity * longer
+                rest[one[good]] = False
+                good &= e - s >= min_words
+                found = [some.column("doc_id").to_numpy(), some.column("ref_id").to_numpy(), s + at, e - s, rs + ref_at, re - rs, same, same / longer]
+                yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in found], names)
+            batch, rest = batch.filter(pa.array(rest)), np.flatnonzero(rest)
+            for doc, ref, p, r, chain, a, b, *over_gaps in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ref_id")), p_[rest].tolist(), r_[rest].tolist(), *(batch.column(c) for c in ("chain", "a", "b")), after[rest].tolist(), before[rest].tolist()):
                 steps = chain.values.to_numpy().reshape(-1, 3) - [p, r, 0]
                 for s, e, rs, re, same in passages(a.values.to_numpy(), b.values.to_numpy(), [tuple(x) for x in steps.tolist()], min_words, min_identity, over_gaps):
-                    out.append((doc.as_py(), ref.as_py(), s + p, e - s, rs + r, re - rs, same, same / max(e - s, re - rs)))
+                    out.append((doc, ref, s + p, e - s, rs + r, re - rs, same, same / max(e - s, re - rs)))
             if out:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:7]), pa.array([o[7] for o in out])], ["doc_id", "ref_doc_id", "start_word", "n_words", "ref_start_word", "ref_n_words", "matches", "identity"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out))[:7]), pa.array([o[7] for o in out])], names)
 
     return rows.select("doc_id", "ref_id", "p0", "p1", "r0", "r1", "chain", "a", "b").mapInArrow(freeing(aligned), "doc_id long, ref_doc_id long, start_word long, n_words long, ref_start_word long, ref_n_words long, matches long, identity double")
 

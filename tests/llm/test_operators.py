@@ -271,6 +271,32 @@ def test_equal_words_are_kept_of_a_poor_chain():
     assert s == 0 and 60 <= e <= 62 and same >= 0.9 * (e - s)
 
 
+def test_straight_chains_at_once():
+    rng, rows = np.random.default_rng(8), []
+    for _ in range(200):
+        a = rng.integers(0, 1000, rng.integers(10, 200)).astype(np.int32)
+        b = np.where(rng.random(len(a)) < rng.choice([0.02, 0.1, 0.3]), -1, a).astype(np.int32)
+        cut = rng.integers(0, len(a))
+        b = np.delete(b, cut) if rng.random() < 0.5 else b
+        p = int(rng.integers(max(0, cut - 60), cut + 1))
+        rows.append((a, b, p, min(p, len(b)), int(rng.integers(0, min(len(a) - p, len(b) - min(p, len(b)), 64) + 1))))
+    x, y = (pa.array([r[k][max(0, r[2 + k] - substring_dedup.MARGIN) : r[2 + k] + r[4] + substring_dedup.MARGIN].tolist() for r in rows], pa.list_(pa.int32())) for k in (0, 1))
+    p, r = (np.array([min(row[k], substring_dedup.MARGIN) for row in rows]) for k in (2, 3))
+    n = np.array([row[4] for row in rows])
+    after, before = substring_dedup._extended(x, y, p, p + n, r, r + n, 50)
+    got = np.stack(substring_dedup._straight(x, y, p, r, n, after, before, 50), 1)
+    for i, (u, v) in enumerate(zip(x, y)):
+        assert tuple(got[i].tolist()) == substring_dedup.align(u.values.to_numpy(), v.values.to_numpy(), [(int(p[i]), int(r[i]), int(n[i]))], 50)
+
+
+def test_runs_of_many_groups_at_once():
+    rng = np.random.default_rng(9)
+    group, at, ref = np.sort(rng.integers(0, 20, 400)), rng.integers(0, 90, 400), rng.integers(0, 4, 400)
+    ref, size = at + ref, np.full(400, 6)
+    got = substring_dedup.runs(at, ref, size, group=group)
+    assert got.tolist() == [[*row, g] for g in np.unique(group).tolist() for row in substring_dedup.runs(at[group == g], ref[group == g], size[group == g]).tolist()]
+
+
 def test_far_match_hides_no_near_one(spark):
     rng = random.Random(3)
     fill = lambda k: words(rng, k, 10**6).split()
