@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import _STEP, buffers, cut, freeing, mix, sequences, word_starts, words, written
+from .base import _STEP, buffers, cut, freeing, mix, sequences, small_batches, word_starts, words, written
 
 K, WINDOW, MIN_WORDS, MIN_IDENTITY = 6, 10, 50, 0.75
 GAP_COST, MAX_GAP, MARGIN, DROP, BAND = 0.2, 40, 64, 8, 6
@@ -458,14 +458,45 @@ def _loose(shared: DataFrame, least: int) -> DataFrame:
 
 
 def _met(loose: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, ref_id, pos, ref_pos): the loose seeds that a document has in common with the smallest one that has a seam of it, too. A seed is known by its first holder's place."""
+    """(doc_id, ref_id, pos, ref_pos): the loose seeds that a document has in common with the smallest one that has a seam of it, too. A seed is known by its first holder's place.
+
+    A pair of documents is one row with the seeds of both, not a row a seed.
+    """
     key = ["one", "other", "apart"]
     seams = loose.filter("apart is not null").select("id", *key).distinct()
     first = seams.groupBy(*key).agg(F.min("id").alias("ref_id"), F.max("id").alias("last_id")).filter("ref_id < last_id").drop("last_id")
-    pairs = seams.join(first, key).filter("id <> ref_id").select("id", "ref_id").distinct()
-    own = pairs.join(loose.filter("apart is null").select("id", "pos", "one", "other"), "id")
-    held = shared.filter("head").select(F.col("id").alias("ref_id"), F.col("pos").alias("ref_pos"), F.col("ref_id").alias("one"), F.col("ref_pos").alias("other"))
-    return own.join(held, ["ref_id", "one", "other"]).select(F.col("id").alias("doc_id"), "ref_id", "pos", "ref_pos")
+    pairs = written(seams.join(first, key).filter("id <> ref_id").select("id", "ref_id").distinct(), "pairs")
+    listed = lambda rows, by, name: rows.join(pairs.select(by).distinct(), by, "left_semi").groupBy(by).agg(F.collect_list(F.struct("one", "other", "pos")).alias(name))
+    own = listed(loose.filter("apart is null"), "id", "own")
+    held = listed(shared.filter("head").select(F.col("id").alias("ref_id"), F.col("ref_id").alias("one"), F.col("ref_pos").alias("other"), "pos"), "ref_id", "held")
+    names = [f"{side}_{c}" for side in ("held", "own") for c in ("one", "other", "pos")]
+    rows = pairs.join(own, "id").join(held, "ref_id").select("id", "ref_id", *(F.col(n.replace("_", ".")).alias(n) for n in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, at, ref_at = _in_common(batch, names)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(pair)), batch.column("ref_id").take(pa.array(pair)), pa.array(at), pa.array(ref_at)], ["doc_id", "ref_id", "pos", "ref_pos"])
+
+    with small_batches(loose.sparkSession, 100):  # a row has the seeds of two documents
+        return written(rows.mapInArrow(freeing(run), "doc_id long, ref_id long, pos long, ref_pos long"), "met")
+
+
+def _in_common(rows: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds (one, other, pos) of each row's own list that its held list has, too: row, and places in both."""
+    sides = []
+    for some in (names[:3], names[3:]):
+        lists = [rows.column(c) for c in some]
+        of = np.repeat(np.arange(rows.num_rows), np.diff(lists[0].offsets.to_numpy()))
+        sides.append([of, *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)])
+    of, one, other, pos = (np.concatenate(x) for x in zip(*sides))
+    is_own = np.arange(len(of)) >= len(sides[0][0])
+    order = np.lexsort((is_own, other, one, of))
+    last = np.maximum.accumulate(np.where(is_own[order], -1, np.arange(len(order))))  # the held one before, if any
+    mine = np.flatnonzero(is_own[order] & (last >= 0))
+    x, y = order[mine], order[last[mine]]
+    same = (of[x] == of[y]) & (one[x] == one[y]) & (other[x] == other[y])
+    x, y = x[same], y[same]
+    return of[x], pos[x], pos[y]
 
 
 def _chained(anchors: DataFrame) -> DataFrame:

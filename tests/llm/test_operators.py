@@ -271,6 +271,18 @@ def test_equal_words_are_kept_of_a_poor_chain():
     assert s == 0 and 60 <= e <= 62 and same >= 0.9 * (e - s)
 
 
+def test_seeds_of_pairs_as_lists():
+    rng, names = random.Random(4), [f"{side}_{c}" for side in ("held", "own") for c in ("one", "other", "pos")]
+    lists = lambda: [(rng.randrange(3), rng.randrange(4), rng.randrange(90)) for _ in range(rng.randrange(9))]
+    pairs = [({(one, other): pos for one, other, pos in lists()}, lists()) for _ in range(60)]
+    held = [[(*seed, pos) for seed, pos in h.items()] for h, _ in pairs]
+    rows = pa.RecordBatch.from_arrays([pa.array([[s[k] for s in x] for x in side], pa.list_(pa.int64())) for side in (held, [own for _, own in pairs]) for k in range(3)], names)
+    for some in (rows, rows.slice(7, 30), rows.slice(0, 0)):
+        start = 7 if some.num_rows == 30 else 0
+        want = [(i, pos, h[one, other]) for i, (h, own) in enumerate(pairs[start : start + some.num_rows]) for one, other, pos in own if (one, other) in h]
+        assert sorted(zip(*(x.tolist() for x in substring_dedup._in_common(some, names)))) == sorted(want)
+
+
 def test_straight_chains_at_once():
     rng, rows = np.random.default_rng(8), []
     for _ in range(200):
