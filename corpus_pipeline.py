@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_join, sentencepiece_lattice, substring_dedup, toxicity
 from tessera.llm.base import small_batches
-from tessera.sources.folders import forget, shared_folder
+from tessera.sources.folders import forget, shared_folder, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has, too, are cut from the texts; a document of which nothing is left goes. Nulls stay; repeats as in without_passages."""
     with small_batches(spark):
-        return substring_dedup.without_passages(docs, substring_dedup.shared_passages(docs))
+        passages = stored(substring_dedup.shared_passages(docs), "passages")  # what is lazy runs later, in batches of any size
+    return substring_dedup.without_passages(docs, passages)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -647,31 +647,33 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
     spans = passages.groupBy(F.col("doc_id").cast("long").alias("span_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("spans"))
     id_, mark = F.col(id_col).cast("long"), F.xxhash64(text_col)
     spans = spans.join(_texts_of_one_id(docs.select(id_.alias("span_id"), mark.alias("mark"))), "span_id", "left")
-    own = docs.select(F.struct(*docs.columns).alias("own"), id_.alias("own_id"), F.col(text_col).alias("own_text"), mark.alias("own_mark"))  # so that no column's name can clash
-    rows = own.join(spans, F.col("own_id") == F.col("span_id"), "left").select("own", "own_text", F.when(F.col("mark").isNull() | (F.col("mark") == F.col("own_mark")), F.col("spans")).alias("spans"))
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, spans = batch.column("own_text"), batch.column("spans")
-            texts, keep = column.to_pylist(), np.ones(batch.num_rows, bool)
-            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                data = texts[i].encode()
-                raw = np.frombuffer(data, np.uint8)
-                starts, _ = word_starts(raw, np.array([0, len(raw)]))
-                bounds = [*starts.tolist(), len(data)]
-                pieces, at = [], 0
-                for s in spans[i].as_py():
-                    a, b = bounds[min(s["start_word"], len(bounds) - 1)], bounds[min(s["start_word"] + s["n_words"], len(bounds) - 1)]
-                    if a > at:
-                        pieces.append(data[at:a])
-                    at = max(at, b)
-                texts[i] = b"".join([*pieces, data[at:]]).decode()
-                keep[i] = bool(texts[i].strip(" \t\n\v\f\r"))
-            columns = [pa.array(texts, column.type) if n == text_col else c for n, c in zip(names, batch.column("own").flatten())]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
-
-    return rows.mapInArrow(freeing(run), docs.schema)
+    own = docs.select(F.struct(*docs.columns).alias("own"), id_.alias("own_id"), mark.alias("own_mark"))  # so that no column's name can clash
+    text = F.col("own").getField(text_col)
+    looked_at = text.isNotNull() & F.col("spans").isNotNull() & (F.col("mark").isNull() | (F.col("mark") == F.col("own_mark")))
+
+    def left(text: str | None, spans: list | None) -> str | None:
+        return None if text is None or spans is None else _without(text, spans)
+
+    # row by row and only what is cut, as the caller's batches, in which a lazy result runs, may hold many texts; once, as nondeterministic
+    cut_ = F.udf(left, "string", useArrow=False).asNondeterministic()(F.when(looked_at, text), F.when(looked_at, F.col("spans")))
+    rows = own.join(spans, F.col("own_id") == F.col("span_id"), "left").select("own", looked_at.alias("cut"), cut_.alias("left")).filter("cut is null or not cut or left is not null")
+    return rows.select(*(F.when(F.col("cut"), F.col("left")).otherwise(F.col("own").getField(n)).alias(n) if n == text_col else F.col("own").getField(n).alias(n) for n in docs.columns))
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str | None:
+    """The text without words, given as first ones and numbers of them; null if no word is left."""
+    data = text.encode()
+    raw = np.frombuffer(data, np.uint8)
+    starts, _ = word_starts(raw, np.array([0, len(raw)]))
+    bounds = [*starts.tolist(), len(data)]
+    pieces, at = [], 0
+    for start, n in spans:
+        a, b = bounds[min(start, len(bounds) - 1)], bounds[min(start + n, len(bounds) - 1)]
+        if a > at:
+            pieces.append(data[at:a])
+        at = max(at, b)
+    left = b"".join([*pieces, data[at:]]).decode()
+    return left if left.strip(" \t\n\v\f\r") else None
 
 
 def _texts_of_one_id(marks: DataFrame) -> DataFrame:

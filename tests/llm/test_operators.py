@@ -568,6 +568,20 @@ def test_passages_of_nulls_and_repeats(spark):
     assert {k: (v or "").strip() for k, v in got.items()} == {k: (v or "").strip() for k, v in expect.items()}
 
 
+def test_cut_stage_runs_in_no_batches_of_the_callers(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    passage = words(rng, 60, 5000)
+    rows = [(1, f"{words(rng, 9)} {passage} \u00a0", "a"), (2, f"\u00e9 \tB {passage}\n{words(rng, 3)} \u4e2d", "b"), (3, passage, "c"), (4, " ", "d"), (5, None, "e"), (None, passage, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = dict(corpus_pipeline.STAGES)["shared_passages"](spark, docs, DIR)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # texts, or chains with words, 10,000 rows at a time
+    assert out.columns == docs.columns
+    got = {r["spans"]: r["text"] for r in out.collect()}
+    assert got == {r[2]: r[1] for r in rows if r[2] != "c"} | {"b": rows[1][1].replace(passage + "\n", "")}
+
+
 def test_mixing_with_clashing_names(spark):
     docs = spark.createDataFrame([(i, "w " * (i + 1), "s", i, i, "x", "y") for i in range(20)], "doc_id long, text string, source string, size int, copies int, own string, own_id string")
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(docs).count() == 20
