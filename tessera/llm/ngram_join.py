@@ -17,6 +17,8 @@ Of two sets let the first part of one end before the other's in that order. A ha
 part that both have is in both parts, so they share at most the keys they have in common and all
 hashes after the former's part. What tells near copies apart is rare and comes first, so this
 bound is close where points say little, and a pair is made in the first of its common trees alone.
+Most sets share a few hashes with texts that are nothing like them; where sizes and numbers of shared hashes
+leave a set no partner in a tree, its points do not go there.
 """
 
 from __future__ import annotations
@@ -388,30 +390,80 @@ def _near_rows(batch: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np
     return np.where(swap, v, u), np.where(swap, u, v), tree[u], points, which
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """The members with the block of their sig that they are in, and the number of blocks."""
+    by = W.partitionBy("sig")
+    return members.withColumn("block", ((F.row_number().over(by.orderBy("key")) - 1) / BLOCK).cast("int")).withColumn("blocks", F.max("block").over(by) + 1)
+
+
+def _dealt(rows: DataFrame, *names: str) -> DataFrame:
+    """(sig, i, j, block and the columns named): a row for each pair (i, j) of blocks that a member's is in."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *names)
+
+
+def _tree_starts(batch: pa.RecordBatch) -> np.ndarray:
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = False
+    for c in ("sig", "i", "j"):
+        x = batch.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def partnered(first: np.ndarray, part: np.ndarray, sizes: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Which rows of whole trees (each from a row of first on) have one of another part in theirs with which the threshold can be reached, if they share no more hashes of first parts than each shares with any."""
+    counts = np.diff(np.append(first, len(part)))
+    tree, rows, out = np.repeat(np.arange(len(first)), counts), np.arange(len(part)), np.zeros(len(part), bool)
+
+    def can(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(sizes[u], sizes[v]), np.maximum(sizes[u], sizes[v])
+        return (part[u] != part[v]) & (WHOLE * low >= PART * high) & (np.minimum(total[u], total[v]) + after_prefix(high) >= needed(low, high))
+
+    whole = counts > LEAF // 4
+    for step in range(1, LEAF // 4):
+        u = rows[:-step]
+        u = u[(tree[u] == tree[u + step]) & ~whole[tree[u]]]
+        if not len(u):
+            break
+        u = u[can(u, u + step)]
+        out[u] = out[u + step] = True
+    for t in np.flatnonzero(whole).tolist():
+        own = rows[first[t] : first[t] + counts[t]]
+        for i in range(0, len(own), LEAF):
+            out[own[i : i + LEAF]] = can(own[i : i + LEAF, None], own[None]).any(axis=1)
+    return out
+
+
+def _with_partners(members: DataFrame, points: DataFrame) -> DataFrame:
+    """The members (sig, key, part, times) that partnered() leaves. Two sets that can reach the threshold both stay in each tree that they have in common, so such a pair's trees are told as before."""
+    rows = _blocks(members).join(points.select("key", "n"), "key").withColumn("total", F.sum("times").over(W.partitionBy("key")))
+    names = ["sig", "key", "part", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first in whole_runs(batches, _tree_starts):
+            stay = partnered(first, *(batch.column(c).to_numpy() for c in ("part", "n", "total")))
+            yield batch.select(names).filter(pa.array(stay))
+
+    rows = _dealt(rows, "key", "part", "times", "n", "total").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return rows.mapInArrow(freeing(run), "sig long, key long, part long, times long").dropDuplicates(["sig", "key"])
+
+
 def _tree_pairs(members: DataFrame, points: DataFrame, smallest: bool = False) -> DataFrame:
     """Pairs (a, b) of members (sig, key, part, times) of different parts that meet in a sig and whose bounds, by rough points and by common trees, reach the threshold; if smallest, of each b only the one with the smallest a in each tree.
 
     A pair that meets in several trees is made in the first, as far as its sets' NAMED trees tell. A
-    sig with many members is dealt out in pairs of blocks, each a task's worth; points stay in numpy.
+    sig with many members is dealt out in pairs of blocks, each a task's worth; points stay in numpy
+    and go with the members alone that sizes and numbers of hashes leave a partner.
     """
-    by = W.partitionBy("sig")
-    rows = members.withColumn("block", ((F.row_number().over(by.orderBy("key")) - 1) / BLOCK).cast("int")).withColumn("blocks", F.max("block").over(by) + 1)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "part")
+    members = written(_with_partners(members, points), "members")
+    rows = _dealt(_blocks(members), "key", "part")
     named = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sig", F.col("times").cast("int").alias("times")))).alias("all"), F.sum("times").alias("total"))
     named = named.select("key", "total", F.slice("all", 1, NAMED).alias("all")).select("key", "total", F.col("all.sig").alias("trees"), F.col("all.times").alias("times"))
     rows = rows.join(points.select("key", "n", "rough").join(named, "key"), "key").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def starts(batch: pa.RecordBatch) -> np.ndarray:
-        new = np.ones(batch.num_rows, bool)
-        new[1:] = False
-        for c in ("sig", "i", "j"):
-            x = batch.column(c).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        return np.flatnonzero(new)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first in whole_runs(batches, starts):
+        for batch, first in whole_runs(batches, _tree_starts):
             u, v, tree, points, which = _near_rows(batch, first)
             if not len(u):
                 continue
@@ -476,7 +528,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
         last = not smallest
         parts = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"), "times")
         open_keys = parts.withColumns({"p": F.min("part").over(by), "q": F.max("part").over(by)}).filter("p <> q").select("sig", "key", "part", "times")
-        found = _bounded(_tree_pairs(open_keys, points, smallest), points)
+        found = _bounded(written(_tree_pairs(open_keys, points, smallest), "found"), points)
         if smallest:  # over all trees, two partners a set
             ends = found.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y"))
             found = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")

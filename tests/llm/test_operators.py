@@ -127,6 +127,43 @@ def test_trees_make_a_pair_once(spark, monkeypatch):
     assert links > 100 and links <= found == made
 
 
+def test_members_without_partners_stay_out_of_the_trees(spark, monkeypatch):
+    """Texts that share a passage alone have no partner; no member of a link's common trees is lost."""
+    monkeypatch.setattr(ngram_join, "_often", lambda *_: np.zeros(ngram_join.COUNTERS, np.int64))  # as where all counters are full
+    rng, rows = random.Random(6), []
+    lines = [words(rng, 20, 10**6) for _ in range(40)]
+    for i in range(120):
+        text = words(rng, rng.randint(80, 90), 10**6)
+        rows.append((len(rows), f"{text} {lines[i % 40]}"))
+        if i % 4 == 0:
+            rows.append((len(rows), f"{text} {lines[i % 40]} {words(rng, rng.randint(1, 15), 10**6)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed, shared = ngram_join.set_keys(docs), ngram_join._shared_keys(docs, "text", ngram_join.N)
+    points = ngram_join._sets_of(docs, keyed, shared.select("key").distinct(), "doc_id", "text", ngram_join.N, grams=False)
+    members = shared.select("sig", "key", "times", F.col("key").alias("part"))
+    left = {(r["sig"], r["key"]) for r in ngram_join._with_partners(members, points).collect()}
+    trees = defaultdict(set)
+    for r in members.collect():
+        trees[r["key"]].add(r["sig"])
+    sets = {ngram_join._key(s): set(s.tolist()) for s in ngram_join.shingle_sets(pa.array([t for _, t in rows]))}
+    links = [(a, b) for a in trees for b in trees if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(links) > 20 and all((sig, key) in left for pair in links for sig in trees[pair[0]] & trees[pair[1]] for key in pair)
+    linked = {key for pair in links for key in pair}
+    assert len(trees.keys() - linked) > 50 and len({key for _, key in left}) <= 1.2 * len(linked)
+
+
+def test_partnered_by_brute_force():
+    rng = np.random.default_rng(8)
+    counts = np.concatenate([rng.integers(1, 12, 300), [40, 200]])
+    first, m = np.cumsum(counts) - counts, int(counts.sum())
+    part, sizes, total = rng.integers(0, 4, m), rng.integers(3, 400, m), rng.integers(1, 60, m)
+    got = ngram_join.partnered(first, part, sizes, total)
+    for a, c in zip(first.tolist(), counts.tolist()):
+        for u in range(a, a + c):
+            can = [part[u] != part[v] and 4 * min(sizes[u], sizes[v]) >= 3 * max(sizes[u], sizes[v]) and min(total[u], total[v]) + max(ngram_join.after_prefix(sizes[u]), ngram_join.after_prefix(sizes[v])) >= ngram_join.needed(sizes[u], sizes[v]) for v in range(a, a + c)]
+            assert got[u] == any(can)
+
+
 @pytest.mark.parametrize("named", [3, 64])
 def test_common_trees_by_brute_force(named):
     rng = np.random.default_rng(3)
